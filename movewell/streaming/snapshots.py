@@ -1,0 +1,65 @@
+"""Whole-table snapshots that readers can use while the next one is written."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+LOG_SCHEMA = "version BIGINT, batch_id BIGINT, fingerprint STRING, slot INT"
+
+
+class SnapshotTable:
+    """A table that is replaced as a whole, with its schema, in numbered versions.
+
+    Version N is written to slot ``N % keep`` and becomes visible when its one-row log entry
+    is written. A crash in between leaves the previous version in force. Nothing that readers
+    may still use is deleted: a slot is overwritten ``keep`` versions later, which also bounds
+    the space. One writer at a time. The schema may change from one version to the next.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 4, fmt: str = "parquet"):
+        if keep < 2:
+            raise ValueError("keep at least two versions: the one in use and the one being written")
+        self.spark, self.path, self.keep, self.fmt = spark, path.rstrip("/"), keep, fmt
+
+    def latest(self) -> Row | None:
+        """The newest log entry; the log holds at most ``keep`` rows."""
+        try:
+            log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return log.orderBy(F.desc("version")).first()
+
+    def publish(self, snapshot: DataFrame, batch_id: int = -1, fingerprint: str = "") -> int:
+        """Write the next version. A batch that is replayed unchanged is not written again."""
+        last = self.latest()
+        if last and batch_id >= 0 and (last["batch_id"], last["fingerprint"]) == (batch_id, fingerprint):
+            return last["version"]
+        version = last["version"] + 1 if last else 0
+        slot = version % self.keep
+        snapshot.write.format(self.fmt).mode("overwrite").save(f"{self.path}/data/slot={slot}")
+        entry = self.spark.range(1).select(
+            F.lit(version).cast("bigint").alias("version"), F.lit(batch_id).cast("bigint").alias("batch_id"),
+            F.lit(fingerprint).alias("fingerprint"))
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/slot={slot}")
+        return version
+
+    def location(self) -> str:
+        last = self.latest()
+        if last is None:
+            raise LookupError(f"nothing published yet in {self.path}")
+        return f"{self.path}/data/slot={last['slot']}"
+
+    def read(self) -> DataFrame:
+        return self.spark.read.format(self.fmt).load(self.location())
+
+    def register(self, name: str, persistent: bool = False) -> None:
+        """Point a SQL name at the newest version: a session view, or a table in the catalog."""
+        if not persistent:
+            self.read().createOrReplaceTempView(name)
+            return
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay
+        self.spark.sql(f"CREATE TABLE {name} USING {self.fmt} LOCATION '{self.location()}'")
