@@ -66,13 +66,20 @@ def counter_increase(samples: DataFrame, length: str, series: Sequence[str], ts:
                  F.sum("_samples").alias("samples")))
 
 
+def counter_rate(samples: DataFrame, length_seconds: int, app: str, series: Sequence[str], ts: str = "ts",
+                 value: str = "value", tie: str = "event_id") -> DataFrame:
+    """Growth per second by application and window: the rates of its counters, added up."""
+    grown = counter_increase(samples, f"{length_seconds} seconds", [app, *series], ts, value, tie)
+    return (grown.groupBy(app, "window_start")
+            .agg((F.sum("increase") / F.lit(length_seconds)).alias("per_second")))
+
+
 def cdc_lag(messages: DataFrame, length: str, stream: Sequence[str], committed: str, arrived: str) -> DataFrame:
-    """Milliseconds behind the source per stream and window: the latest and the largest."""
+    """Milliseconds behind the source per stream and window: of the last arrival, and the largest."""
     lag = F.timestamp_diff("MILLISECOND", F.col(committed), F.col(arrived))
     measured = messages.where(F.col(committed).isNotNull() & F.col(arrived).isNotNull()).withColumn("_lag", lag)
-    latest = F.max(F.struct(arrived, "_lag"))["_lag"]
     return (measured.groupBy(*stream, F.window(arrived, length).alias("_window"))
-            .agg(latest.alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
+            .agg(F.max_by("_lag", arrived).alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
             .select(*stream, F.col("_window.start").alias("window_start"), "last_lag_ms", "max_lag_ms"))
 
 

@@ -6,34 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spark_will_broadcast(table: DataFrame) -> bool:
+    """Whether Spark's size estimate for the table is within its own broadcast limit.
+
+    Reading the estimate starts no job. Where it cannot be read the answer is no.
+    """
+    try:
+        limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        estimate = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except (AttributeError, NotImplementedError):
+        return False
+    return int(str(estimate)) <= int(limit)
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys holding more than two shuffle partitions' share of the rows, and their slices.
 
-    A key with that share can occur at most ``spark.sql.shuffle.partitions / 2`` times, so
-    the result is small whatever the size of the data, and safe to broadcast. Counting is
-    map-side combined and reads the key column alone.
+    Fewer than half as many keys as there are shuffle partitions can hold that share, so the
+    result is small whatever the size of the data, and safe to broadcast. The counts are
+    combined in each task and read the key column alone; the total is taken from them.
     """
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    counted = (rows.select(key).where(F.col(key).isNotNull())
+               .groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counted.agg(F.sum("_rows")).scalar()
     share = F.col("_rows") * F.lit(width) / total
-    return (rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(share > F.lit(2))
-            .select(key, F.ceil(share).cast("int").alias("_slices")))
+    return counted.where(share > F.lit(2)).select(key, F.ceil(share).cast("int").alias("_slices"))
 
 
 def left_join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows LEFT JOIN lookup USING (key)`` where lookup has one row per key.
 
-    Rows of a hot key are dealt into slices by the task that read them, and the key's single
-    lookup row is copied to each slice. Null keys match nothing and are dealt over all
-    partitions. No key is dropped or cut; the copies add at most one row per shuffle
-    partition and hot key. The side to broadcast, if any, is left to Spark's own size check.
+    A lookup that Spark is going to broadcast moves no rows, so skew does not matter.
+    Otherwise the rows of a hot key are dealt into slices by the task that read them, and the
+    key's single lookup row is copied to each slice. Null keys match nothing and are dealt
+    over all partitions. No row is dropped, and the copies number at most one and a half
+    times the shuffle partitions.
     """
+    if spark_will_broadcast(lookup):
+        return rows.join(lookup, key, "left")
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(rows, key))
     task, slices = F.spark_partition_id(), F.coalesce("_slices", F.lit(1))
-    dealt = rows.join(hot, key, "left").select(
-        *rows.columns, F.pmod(task, F.when(F.col(key).isNull(), F.lit(width)).otherwise(slices)).alias("_slice"))
+    spread = F.when(F.col(key).isNull(), F.lit(width)).otherwise(slices)
+    dealt = rows.join(hot, key, "left").select(*rows.columns, F.pmod(task, spread).alias("_slice"))
     copied = lookup.join(hot, key, "left").select(
         *lookup.columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
     return dealt.join(copied, [key, "_slice"], "left").drop("_slice")

@@ -150,6 +150,13 @@ SELECT *, 'Session de ' || type_activite || ' de ' || CAST(distance_m AS VARCHAR
 UNION ALL SELECT 999999999, TIMESTAMP '2001-08-01 00:00:00', 'course à pied', 5000.0e0, 1800, 'Session de test unique'
 UNION ALL SELECT 0, TIMESTAMP '2001-08-01 00:00:00', 'BACKFILL_COMPLETE', 0.0e0, 0, '--- FIN DU BACKFILL POC ---'"""
 
+STEPS = """
+valued AS (
+  SELECT user_id, ts, CAST(value AS DECIMAL(18, 4)) AS v,
+    lag(CAST(value AS DECIMAL(18, 4))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
+  FROM events),
+steps AS (SELECT user_id, ts, CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END AS grown FROM valued)"""
+
 RATE = """
 rate AS (
   SELECT user_id % 2 AS app, date_trunc('hour', ts) AS window_start, count(*) AS events,
@@ -209,14 +216,13 @@ FROM events GROUP BY 1""",
     "batch_rate": _with(RATE, "\nSELECT * FROM rate"),
     "threshold_status": _with(RATE, """
 SELECT app, window_start, events, CASE WHEN events >= 80 THEN 'red' ELSE 'green' END AS colour FROM rate"""),
-    "counter_increase": """
-WITH steps AS (
-  SELECT user_id, ts, CAST(value AS DECIMAL(18, 4)) AS v,
-    lag(CAST(value AS DECIMAL(18, 4))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
-  FROM events)
-SELECT user_id, date_trunc('hour', ts) AS window_start,
-  CAST(sum(CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END) AS DOUBLE) AS increase, count(*) AS samples
-FROM steps GROUP BY 1, 2""",
+    "counter_increase": _with(STEPS, """
+SELECT user_id, date_trunc('hour', ts) AS window_start, CAST(sum(grown) AS DOUBLE) AS increase, count(*) AS samples
+FROM steps GROUP BY 1, 2"""),
+    "counter_rate": _with(STEPS, """
+SELECT user_id % 2 AS app, date_trunc('hour', ts) AS window_start,
+  CAST(CAST(round(sum(grown) * 10000 / 3600, 0) AS BIGINT) AS DOUBLE) / 10000 AS per_second
+FROM steps GROUP BY 1, 2"""),
     "cdc_lag": """
 WITH lagged AS (
   SELECT user_id, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS arrived,

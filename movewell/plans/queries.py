@@ -142,9 +142,7 @@ def _stream_gold(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
                   SnapshotTable(spark, f"{base}/gold"), mode)
     for wave, messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
         finish(start_bronze(messages, job.bronze_path, f"{base}/bronze-checkpoint"))
-        if wave == 0:
-            job.build_initial()
-        finish(job.start(f"{base}/gold-checkpoint", every=None))
+        finish(job.start(f"{base}/gold-checkpoint", every=None, initial=wave == 0))
     return job.gold.read()
 
 
@@ -306,6 +304,14 @@ def counter_increase(spark, sf_dir):
             .withColumn("increase", F.col("increase").cast("double")))
 
 
+@registered
+def counter_rate(spark, sf_dir):
+    samples = views.events(spark, sf_dir).select(
+        (F.col("user_id") % 2).alias("app"), "user_id", "ts", "event_id", F.col("value").cast("decimal(18,4)"))
+    return (health.counter_rate(samples, 3600, "app", ["user_id"])
+            .withColumn("per_second", F.round("per_second", 4).cast("double")))
+
+
 @registered
 def cdc_lag(spark, sf_dir):
     return health.cdc_lag(views.arrivals(spark, sf_dir), "1 hour", ["user_id"], "committed", "arrived")

@@ -29,6 +29,7 @@ from movewell.fixed_values import (
 AS_OF = datetime(2001, 8, 1)  # last order date
 EVENTS_AS_OF = datetime(2024, 1, 31)
 MARKER_ORDER = 303
+TOPIC_PARTITIONS = 1  # Fixed value: the activity topic has one partition.
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -101,14 +102,15 @@ def _micros(ts: str) -> Column:
 
 
 def cdc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The activities as change records in one partition, the way a topic delivers them."""
+    """The activities as change records, the way a topic delivers them: dealt by id, with an offset."""
     rows = activities(spark, sf_dir)
     body = F.struct("id", "employee_id", _micros("date_debut").alias("date_debut"), "type_activite",
                     "distance_m", "duree_s", "commentaire")
     after = F.when(F.col("op") != "d", body)
     record = F.struct(F.struct("op", after.alias("after"), F.struct(F.lit("sportsdb").alias("db")).alias("source"))
                       .alias("payload"))
-    return rows.select(F.lit(0).alias("partition"), F.col("id").alias("offset"),
+    partition = F.pmod(F.hash("id"), F.lit(TOPIC_PARTITIONS))
+    return rows.select(partition.alias("partition"), F.col("id").alias("offset"),
                        F.to_json(record).cast("binary").alias("value"))
 
 

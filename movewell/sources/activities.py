@@ -35,9 +35,13 @@ def stream_bronze(spark: SparkSession, path: str, fmt: str = "parquet", **option
 TEXT_LAYOUT = {"sep": "\t", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 
-def append_activities(activities: DataFrame, path: str) -> None:
-    """Bulk-load files: tab-separated text without header, added to what is there."""
-    activities.select(*LOADED_ACTIVITY.names).write.mode("append").options(**TEXT_LAYOUT).csv(path)
+def append_activities(activities: DataFrame, target: str | Mapping[str, str]) -> None:
+    """Bulk load, added to what is there: tab-separated text without header, or a database table."""
+    writer = activities.select(*LOADED_ACTIVITY.names).write.mode("append")
+    if isinstance(target, str):
+        writer.options(**TEXT_LAYOUT).csv(target)
+    else:
+        writer.format("jdbc").options(**target).save()
 
 
 def read_loaded(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ class GoldJob:
     ``incremental`` keeps one count per employee in the stream's state, so a batch costs as
     much as its new rows and the employees, however long the history. ``rebuild`` counts the
     whole history in every batch. Both give the same gold and read the rules anew each time,
-    so changed rules hold from the next batch, or at once through ``build_initial``.
+    so changed rules hold from the next batch or the next start.
     """
 
     bronze_path: str
@@ -66,7 +66,11 @@ class GoldJob:
         if not history.isEmpty():
             self._publish(activity_counts(history), batch_id)
 
-    def start(self, checkpoint: str, every: str | None = TRIGGER, **source_options: str) -> StreamingQuery:
+    def start(self, checkpoint: str, every: str | None = TRIGGER, initial: bool = True,
+              **source_options: str) -> StreamingQuery:
+        """Build gold from the history, then follow the bronze table."""
+        if initial:
+            self.build_initial()
         arriving = stream_bronze(self.gold.spark, self.bronze_path, self.fmt, **source_options)
         if self.mode == INCREMENTAL:
             writer = activity_counts(arriving).writeStream.outputMode("complete").foreachBatch(self.on_counts)
