@@ -18,7 +18,9 @@ class Outbox:
 
     Both outputs are named after the batch, so a batch that is replayed after a failure
     overwrites its own files: no text is lost or doubled. The barrier of a partition stays
-    known over restarts, and a restarted stream goes on posting where it stopped.
+    known over restarts, and a restarted stream goes on posting where it stopped. Batches must
+    come in offset order within a partition, as a topic source delivers them; inside a batch
+    the order of rows does not matter.
     """
 
     def __init__(self, spark: SparkSession, path: str):

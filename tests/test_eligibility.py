@@ -1,0 +1,97 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from movewell.operators import eligibility
+from movewell.operators.kpi import kpi_by_unit, kpi_total
+from movewell.plans import views
+from movewell.rules import DEFAULT, Rules
+from movewell.schemas import GOLD
+from movewell.sources.hr import hr_ids, load_hr, read_hr, write_hr
+
+HR = "employee_id bigint, bu string, moyen_dep string, salaire_brut_annuel double, distance_km double"
+
+
+def people(spark, *rows):
+    return spark.createDataFrame(rows, HR)
+
+
+def did(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "employee_id int")
+
+
+def test_expected_totals(spark, tables):
+    gold = eligibility.gold_eligibility(views.hr(spark, tables), views.kept_activities(spark, tables), DEFAULT)
+    row = gold.agg(F.count(F.lit(1)), F.count_if("prime_sportive"), F.count_if("jours_bien_etre"),
+                   F.sum(F.col("montant_prime_euros").cast("decimal(18,4)")).cast("double")).first()
+    assert tuple(row) == (150, 35, 5, 59238.978)
+    assert [(f.name, f.dataType) for f in gold.schema] == [(f.name, f.dataType) for f in GOLD]
+
+
+def test_missing_activities_and_unknown_employees(spark):
+    hr = people(spark, (1, "a", "Marche/running", 100.0, 3.0), (2, "a", None, 100.0, 3.0), (None, "b", None, 1.0, None))
+    done = did(spark, *([1] * 15), 999999999, 0, None, None)
+    gold = {row["employee_id"]: row for row in eligibility.gold_eligibility(hr, done, DEFAULT).collect()}
+    assert set(gold) == {1, 2, None}
+    assert (gold[1]["nb_activites"], gold[1]["jours_bien_etre"], gold[1]["montant_prime_euros"]) == (15, True, 5.0)
+    assert (gold[2]["nb_activites"], gold[2]["jours_bien_etre"], gold[2]["prime_sportive"]) == (0, False, False)
+    assert (gold[None]["nb_activites"], gold[None]["declaration_correcte"]) == (0, False)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_duplicate_hr_rows_stay_duplicate(spark, request, broadcast):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    hr = people(spark, *[(1, "a", None, 1.0, None)] * 40, *[(i, "b", None, 1.0, None) for i in range(2, 30)])
+    rows = eligibility.gold_eligibility(hr, did(spark, 1, 1, 5), DEFAULT).collect()
+    assert len(rows) == 68
+    assert {row["nb_activites"] for row in rows if row["employee_id"] == 1} == {2}
+
+
+def test_rules_are_parameters(spark):
+    hr = people(spark, (1, "a", "Marche/running", 100.0, 8.0))
+    strict = Rules(percent=0.5, min_activities=2, max_walk_km=8.0, max_bike_km=0.0, window_days=30)
+    row = eligibility.gold_eligibility(hr, did(spark, 1, 1), strict).first()
+    assert (row["montant_prime_euros"], row["jours_bien_etre"]) == (50.0, True)
+
+
+def test_trailing_period_bounds(spark):
+    days = [(1, datetime(2024, 8, 1)), (2, datetime(2024, 7, 31, 23, 59)), (3, datetime(2025, 8, 1)), (4, datetime(2025, 8, 2))]
+    frame = spark.createDataFrame(days, "employee_id int, date_debut timestamp_ntz")
+    kept = eligibility.trailing(frame, datetime(2025, 8, 1), 365, "date_debut")
+    assert sorted(row["employee_id"] for row in kept.collect()) == [1, 3]
+
+
+def test_untidy_sheet_from_csv(spark, tmp_path):
+    (tmp_path / "hr.csv").write_text(
+        " ID salarié ,BU,Moyen de déplacement ,Salaire brut, distance_km,Adresse du domicile\n"
+        "59019,Marketing,Marche/running,36490,2.5,1 rue A\n"
+        "abc,Ventes,,n/a,,\n", encoding="utf-8")
+    sheet = read_hr(spark, str(tmp_path / "hr.csv"))
+    assert sheet.columns[0] == "ID salarié"
+    rows = [tuple(row) for row in load_hr(sheet).collect()]
+    assert rows == [(59019, "Marketing", "Marche/running", 36490.0, 2.5), (None, "Ventes", None, None, None)]
+    assert [row[0] for row in hr_ids(load_hr(sheet)).collect()] == [59019]
+
+
+def test_nan_id_becomes_null(spark):
+    sheet = spark.createDataFrame([(float("nan"), "x", "m", 1.0, 1.0)],
+                                  "`ID salarié` double, BU string, `Moyen de déplacement` string, `Salaire brut` double, distance_km double")
+    assert load_hr(sheet).first()["employee_id"] is None
+
+
+def test_written_sheet_reads_back(spark, tmp_path):
+    hr = people(spark, (1, "a", "Marche/running", 100.0, 3.0))
+    write_hr(hr, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).collect() == hr.collect()
+
+
+def test_indicators(spark):
+    gold = spark.createDataFrame(
+        [(1, "a", True, 10.0005, 1.0, 20, True, True), (2, "a", False, 0.0, 1.0, 0, False, False),
+         (3, "b", True, 5.0, 1.0, 15, True, True)], GOLD)
+    gold.createOrReplaceTempView("gold_test")
+    by_unit = {row["bu"]: tuple(row)[1:] for row in kpi_by_unit(spark, "gold_test").collect()}
+    assert by_unit == {"a": (2, 1, 10.0005, 1, 20), "b": (1, 1, 5.0, 1, 15)}
+    assert tuple(kpi_total(spark, "gold_test").first()) == (3, 2, 15.0005, 2, 35)

@@ -1,0 +1,81 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from movewell.fixed_values import ACTIVITY_TYPES
+from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
+from movewell.operators.ordering import activities_by_date
+from movewell.schemas import LOADED_ACTIVITY
+from movewell.sources.activities import append_activities, jdbc_options, read_activities, read_loaded
+
+NOW = datetime(2025, 8, 1, 12, 30)
+
+
+def generated(spark, count=400, seed=1, tasks=4):
+    ids = spark.range(1, count + 1, 1, tasks).select(F.col("id").alias("employee_id"))
+    return generate_activities(ids, NOW, seed)
+
+
+def test_ranges(spark):
+    rows = generated(spark).collect()
+    per_employee = {}
+    for r in rows:
+        per_employee[r["employee_id"]] = per_employee.get(r["employee_id"], 0) + 1
+        assert timedelta(0) <= NOW - r["date_debut"] <= timedelta(days=364)
+        assert (NOW - r["date_debut"]).seconds == 0
+        assert 800 <= r["distance_m"] <= 20000 and round(r["distance_m"], 2) == r["distance_m"]
+        assert 600 <= r["duree_s"] <= 7200 and r["type_activite"] in ACTIVITY_TYPES
+        assert r["commentaire"] == f"Session de {r['type_activite']} de {r['distance_m']} m, durée {r['duree_s']} s."
+    assert len(per_employee) == 400
+    assert min(per_employee.values()) >= 10 and max(per_employee.values()) <= 25
+    assert {10, 25} <= set(per_employee.values())
+
+
+def test_values_are_spread(spark):
+    rows = generated(spark, 2000)
+    total = rows.count()
+    kinds = {r[0]: r[1] for r in rows.groupBy("type_activite").count().collect()}
+    assert all(abs(kinds[kind] / total - 0.2) < 0.02 for kind in ACTIVITY_TYPES)
+    assert rows.select("date_debut").distinct().count() == 365
+    assert abs(rows.agg(F.avg("distance_m")).first()[0] - 10400) < 200
+    assert abs(rows.agg(F.avg("duree_s")).first()[0] - 3900) < 75
+
+
+def test_repeatable_whatever_the_partitions(spark):
+    one, two = generated(spark, tasks=1), generated(spark, tasks=7)
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    assert generated(spark, seed=2).exceptAll(one).count() > 0
+
+
+def test_no_shuffle(spark):
+    assert "Exchange" not in generated(spark)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_special_rows(spark):
+    assert tuple(backfill_marker(spark, NOW).first()) == (0, NOW, "BACKFILL_COMPLETE", 0.0, 0, "--- FIN DU BACKFILL POC ---")
+    assert tuple(probe_activity(spark, NOW).first()) == (999999999, NOW, "course à pied", 5000.0, 1800, "Session de test unique")
+
+
+def test_bulk_load_appends(spark, tmp_path):
+    path = str(tmp_path / "load")
+    rows = generated(spark, 50)
+    append_activities(rows, path)
+    append_activities(backfill_marker(spark, NOW), path)
+    back = read_loaded(spark, path)
+    assert back.schema == LOADED_ACTIVITY
+    expected = rows.unionByName(backfill_marker(spark, NOW))
+    assert back.exceptAll(expected).count() == 0 and back.count() == expected.count()
+
+
+def test_activity_table_from_files_and_database_options(spark, tmp_path):
+    generated(spark, 5).write.parquet(str(tmp_path / "table"))
+    assert read_activities(spark, str(tmp_path / "table")).count() == generated(spark, 5).count()
+    options = jdbc_options("jdbc:postgresql://db/sportsdb", "sport_activities", 1, 1000, 16)
+    assert (options["partitionColumn"], options["numPartitions"], options["upperBound"]) == ("id", "16", "1000")
+
+
+def test_order_by_date_is_total(spark):
+    frame = spark.range(0, 5000, 1, 5).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(NOW)).otherwise(F.lit(NOW) - F.make_dt_interval((F.col("id") % 40).cast("int"))).alias("date_debut"))
+    rows = [(r["date_debut"], r["id"]) for r in activities_by_date(frame).collect()]
+    assert rows == sorted(rows)

@@ -1,0 +1,22 @@
+"""Every registered query equals its SQL twin, with and without broadcast joins."""
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+from __spark_entry__ import queries  # noqa: E402
+from check import compare, open_twin  # noqa: E402
+
+JOINS = ("gold_eligibility", "gold_sparse", "distance_enrich", "dq_statistics", "dq_violations", "invalid_employee_ids")
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_equal(spark, tables, name):
+    ours, theirs, _ = compare(spark, open_twin(tables), tables, name)
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("name", JOINS)
+def test_equal_without_broadcast(spark, tables, no_broadcast, name):
+    ours, theirs, _ = compare(spark, open_twin(tables), tables, name)
+    assert ours == theirs
