@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,15 +10,17 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def build_session(name: str = "movewell", cores: str = "*", **settings: str) -> SparkSession:
-    """A session for local runs. On a cluster, spark-submit supplies master and sizes."""
-    builder = SparkSession.builder.appName(name)
-    if "SPARK_MASTER" not in os.environ:
-        builder = builder.master(f"local[{cores}]")
+def job_session(name: str) -> SparkSession:
+    """The session of a submitted job. Master, sizes and partitions come from spark-submit."""
+    return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def local_session(name: str, cores: str = "8", **settings: str) -> SparkSession:
+    """A session on this machine, for tests and timings."""
+    builder = SparkSession.builder.appName(name).master(f"local[{cores}]")
     defaults = {
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.shuffle.partitions": cores,
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():

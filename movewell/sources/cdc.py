@@ -30,10 +30,12 @@ def read_cdc_stream(spark: SparkSession, fmt: str, options: Mapping[str, str]) -
 def decode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
     """One row per message: the named message columns, then op, after and source_ts_ms.
 
-    Parsing is permissive: what cannot be read becomes null and the row stays.
+    Parsing is permissive: what cannot be read becomes null and the row stays. The explode
+    of a single value keeps the parse in an operator of its own; a plain projection would be
+    merged into later filters, which would parse each message once per condition.
     """
     payload = F.from_json(F.col("value").cast("string"), ENVELOPE)["payload"]
-    return messages.select(*keep, payload.alias("payload")).select(
+    return messages.select(*keep, F.explode(F.array(payload)).alias("payload")).select(
         *keep, "payload.op", "payload.after", F.col("payload.source.ts_ms").alias("source_ts_ms"))
 
 

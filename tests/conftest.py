@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from movewell.session import CHECKPOINT_DIR, build_session  # noqa: E402
+from movewell.session import CHECKPOINT_DIR, local_session  # noqa: E402
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -13,8 +13,7 @@ TABLES = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
-    session = build_session("tests", "8", **{CHECKPOINT_DIR: str(shared), "spark.sql.shuffle.partitions": "8",
-                                             "spark.sql.maxMetadataStringLength": "1000"})
+    session = local_session("tests", "8", **{CHECKPOINT_DIR: str(shared), "spark.sql.maxMetadataStringLength": "1000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

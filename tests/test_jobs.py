@@ -1,0 +1,109 @@
+"""The command line, from generated activities to indicators."""
+
+import json
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from movewell.fixed_values import ACTIVITY_TYPES
+from movewell.jobs import main
+from movewell.operators.quality import ValidationFailed
+from movewell.sources.activities import read_loaded
+from movewell.streaming.notify import Outbox
+from movewell.streaming.snapshots import SnapshotTable
+
+NOW = "2025-08-01T12:00:00"
+
+
+@pytest.fixture
+def hr(tmp_path):
+    lines = [" ID salarié ,BU,Moyen de déplacement,Salaire brut,distance_km,Adresse du domicile"]
+    lines += [f"{i},{'AB'[i % 2]},{'Marche/running' if i % 3 else 'Transports en commun'},30000,{i}.0,rue {i % 7}" for i in range(1, 31)]
+    (tmp_path / "hr.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return str(tmp_path / "hr.csv")
+
+
+def as_messages(rows):
+    """The loaded rows as change records in one partition: activities, marker, probe."""
+    place = (F.when(F.col("employee_id") == 999999999, 2).when(F.col("type_activite") == "BACKFILL_COMPLETE", 1)
+              .otherwise(0))
+    order = Window.orderBy(place, "date_debut", "employee_id", "distance_m")
+    numbered = rows.withColumn("id", F.row_number().over(order))
+    after = F.struct("id", "employee_id", F.unix_micros(F.col("date_debut").cast("timestamp")).alias("date_debut"),
+                     "type_activite", "distance_m", "duree_s", "commentaire")
+    record = F.to_json(F.struct(F.struct(F.lit("c").alias("op"), after.alias("after")).alias("payload")))
+    return numbered.select(F.lit(0).alias("partition"), F.col("id").cast("bigint").alias("offset"), record.cast("binary").alias("value"))
+
+
+def test_whole_pipeline(spark, tmp_path, hr, capsys):
+    base = str(tmp_path)
+    main(["generate", "--hr", hr, "--activities", f"{base}/load", "--as-of", NOW, "--seed", "3"])
+    loaded = read_loaded(spark, f"{base}/load")
+    assert loaded.where("type_activite = 'BACKFILL_COMPLETE'").count() == 1
+    assert 30 * 10 < loaded.count() <= 30 * 25 + 1
+
+    as_messages(loaded).coalesce(1).write.parquet(f"{base}/log")
+    options = ["--source", "parquet", "--option", f"path={base}/log", "--every", "once"]
+    main(["bronze", *options, "--table", f"{base}/bronze", "--checkpoint", f"{base}/ck1"])
+    rules = tmp_path / "rules.json"
+    rules.write_text(json.dumps({"prime_sportive": {"percent": 0.1}, "bien_etre": {"min_activities": 18},
+                                 "distance": {"max_walk_km": 10, "max_bike_km": 20}}))
+    main(["gold", "--bronze", f"{base}/bronze", "--table", f"{base}/gold", "--checkpoint", f"{base}/ck2", "--hr", hr,
+          "--rules", str(rules), "--every", "once"])
+    gold = {row["employee_id"]: row for row in SnapshotTable(spark, f"{base}/gold").read().collect()}
+    counts = {row["employee_id"]: row["count"] for row in loaded.groupBy("employee_id").count().collect()}
+    assert set(gold) == set(range(1, 31))
+    for number, row in gold.items():
+        assert row["nb_activites"] == counts[number] and row["jours_bien_etre"] == (counts[number] >= 18)
+        assert row["montant_prime_euros"] == (3000.0 if number % 3 and number <= 10 else 0.0)
+
+    main(["indicators", "--table", f"{base}/gold"])
+    assert "total_primes_euros" in capsys.readouterr().out
+
+    main(["notify", *options, "--outbox", f"{base}/outbox", "--checkpoint", f"{base}/ck3"])
+    assert Outbox(spark, f"{base}/outbox").read().count() == 0  # nothing after the marker yet
+    main(["generate", "--activities", f"{base}/load2", "--as-of", NOW, "--probe"])
+    probe = as_messages(loaded.unionByName(read_loaded(spark, f"{base}/load2"))).orderBy(F.desc("offset")).limit(1)
+    probe.write.mode("append").parquet(f"{base}/log")
+    main(["notify", *options, "--outbox", f"{base}/outbox", "--checkpoint", f"{base}/ck3"])
+    texts = Outbox(spark, f"{base}/outbox").read().collect()
+    assert len(texts) == 1 and "`999999999`" in texts[0]["text"]
+
+
+def test_validation_passes_then_fails(spark, tmp_path, hr):
+    main(["generate", "--hr", hr, "--activities", f"{tmp_path}/load", "--as-of", NOW])
+    rows = read_loaded(spark, f"{tmp_path}/load").withColumn("id", F.monotonically_increasing_id())
+    rows.write.parquet(f"{tmp_path}/table")
+    arguments = ["validate", "--hr", hr, "--activities", f"{tmp_path}/table", "--as-of", NOW, "--evidence", f"{tmp_path}/evidence"]
+    main(arguments)
+    assert spark.read.parquet(f"{tmp_path}/evidence/violations").count() == 0
+    rows.limit(1).withColumn("employee_id", F.lit(999999999).cast("bigint")).write.mode("append").parquet(f"{tmp_path}/table")
+    with pytest.raises(ValidationFailed, match="employee_id: 1 unexpected"):
+        main(arguments)
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/evidence/invalid_ids").collect()] == [999999999]
+
+
+def test_validation_with_a_stored_suite(spark, tmp_path, hr):
+    suite = {"expectations": [{"expectation_type": "expect_column_values_to_be_in_set",
+                               "kwargs": {"column": "type_activite", "value_set": list(ACTIVITY_TYPES)}}]}
+    (tmp_path / "suite.json").write_text(json.dumps(suite), encoding="utf-8")
+    spark.createDataFrame([(1, 5, "boxe")], "id int, employee_id int, type_activite string").write.parquet(f"{tmp_path}/table")
+    with pytest.raises(ValidationFailed, match="type_activite: 1"):
+        main(["validate", "--hr", hr, "--activities", f"{tmp_path}/table", "--as-of", NOW, "--suite", str(tmp_path / "suite.json")])
+
+
+def test_distances(spark, tmp_path, hr):
+    main(["addresses", "--hr", hr, "--out", f"{tmp_path}/addresses"])
+    found = spark.read.parquet(f"{tmp_path}/addresses")
+    assert found.count() == 7
+    body = '{"status":"OK","rows":[{"elements":[{"status":"OK","distance":{"value":16000}}]}]}'
+    found.where("`Adresse du domicile` <> 'rue 0'").select(F.col("Adresse du domicile").alias("address"), F.lit(body).alias("body")) \
+        .write.parquet(f"{tmp_path}/responses")
+    main(["enrich", "--hr", hr, "--responses", f"{tmp_path}/responses", "--out", f"{tmp_path}/enriched"])
+    rows = spark.read.parquet(f"{tmp_path}/enriched").collect()
+    assert len(rows) == 30
+    for row in rows:
+        known = row["Adresse du domicile"] != "rue 0"
+        assert row["distance_km"] == (16.0 if known else None)
+        assert row["declaration_correcte"] == (not known or row["Moyen de déplacement"] != "Marche/running")
