@@ -19,18 +19,22 @@ def spark_will_broadcast(table: DataFrame) -> bool:
     return int(str(estimate)) <= int(limit)
 
 
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """Rows per non-null key; each task sends one row per key, and only the key is read."""
+    return (rows.select(key).where(F.col(key).isNotNull())
+            .groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")))
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys holding more than two shuffle partitions' share of the rows, and their slices.
 
     Fewer than half as many keys as there are shuffle partitions can hold that share, so the
-    result is small whatever the size of the data, and safe to broadcast. The counts are
-    combined in each task and read the key column alone; the total is taken from them.
+    result is small whatever the size of the data, and safe to broadcast.
     """
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = (rows.select(key).where(F.col(key).isNotNull())
-               .groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
-    total = counted.agg(F.sum("_rows")).scalar()
-    share = F.col("_rows") * F.lit(width) / total
+    counted = key_counts(rows, key)
+    total = counted.agg(F.sum("occurrences")).scalar()
+    share = F.col("occurrences") * F.lit(width) / total
     return counted.where(share > F.lit(2)).select(key, F.ceil(share).cast("int").alias("_slices"))
 
 

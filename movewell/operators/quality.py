@@ -6,6 +6,8 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movewell.fixed_values import ACTIVITY_TYPES, GENERATED_SECONDS, MARKER_TYPE
-from movewell.operators.joins import left_join_unique
+from movewell.operators.joins import key_counts, left_join_unique, spark_will_broadcast
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 IN_SET = "expect_column_values_to_be_in_set"
@@ -105,6 +107,10 @@ def violates(rule: Expectation, rows: DataFrame) -> Column:
     return F.coalesce(~fits, F.lit(False))
 
 
+def _typed(rows: DataFrame, column: str, reference: DataFrame) -> DataFrame:
+    return rows.withColumn(column, F.col(column).cast(reference.schema[0].dataType))
+
+
 def unknown_values(rows: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """Distinct non-null values missing from the one-column reference, with their row counts.
 
@@ -112,10 +118,20 @@ def unknown_values(rows: DataFrame, column: str, reference: DataFrame) -> DataFr
     so a value that fills a third of the table is joined as a single row.
     """
     known = reference.toDF(column).dropna().distinct()
-    counted = (rows.where(F.col(column).isNotNull())
-               .groupBy(F.col(column).cast(known.schema[column].dataType).alias(column))
-               .agg(F.count(F.lit(1)).alias("occurrences")))
-    return counted.join(known, column, "left_anti")
+    return key_counts(_typed(rows, column, reference), column).join(known, column, "left_anti")
+
+
+def rows_with_unknown_value(rows: DataFrame, column: str, reference: DataFrame) -> DataFrame:
+    """Rows whose non-null value is missing from the one-column reference.
+
+    A reference small enough to broadcast is looked up in the scan. Otherwise the rows meet
+    the unknown values, which are few in sound data, with hot values dealt over several tasks.
+    """
+    values = _typed(rows, column, reference).where(F.col(column).isNotNull())
+    if spark_will_broadcast(reference):
+        return values.join(reference.toDF(column).dropna(), column, "left_anti")
+    unknown = left_join_unique(values, unknown_values(rows, column, reference), column)
+    return unknown.where(F.col("occurrences").isNotNull()).drop("occurrences")
 
 
 def _totals(rows: DataFrame, suite: Suite, references: Mapping[str, DataFrame]) -> DataFrame:
@@ -172,18 +188,18 @@ def dq_violations(rows: DataFrame, suite: Suite, references: Mapping[str, DataFr
                         F.col(rule.column).cast("string").alias("value"))
 
     checked = rows.where(is_checked())
-    literal = F.array_compact(F.array(*(
-        F.when(violates(rule, rows), evidence(number, rule))
-        for number, rule in enumerate(suite) if not rule.by_reference)))
-    found = checked.select(key, F.inline(literal))
+    literal = [(number, rule) for number, rule in enumerate(suite) if not rule.by_reference]
+    found = []
+    if literal:
+        broken = [violates(rule, rows) for _, rule in literal]
+        evidences = F.array_compact(F.array(*(
+            F.when(fails, evidence(number, rule)) for fails, (number, rule) in zip(broken, literal))))
+        found.append(checked.where(reduce(or_, broken)).select(key, F.inline(evidences)))
     for number, rule in enumerate(suite):
         if rule.by_reference:
-            known = references[rule.column].toDF(rule.column).dropna().distinct().withColumn("_known", F.lit(True))
-            pairs = checked.where(F.col(rule.column).isNotNull()).select(
-                key, F.col(rule.column).cast(known.schema[rule.column].dataType).alias(rule.column))
-            unknown = left_join_unique(pairs, known, rule.column).where(F.col("_known").isNull())
-            found = found.unionByName(unknown.select(key, F.inline(F.array(evidence(number, rule)))))
-    return found
+            unknown = rows_with_unknown_value(checked.select(key, rule.column), rule.column, references[rule.column])
+            found.append(unknown.select(key, F.inline(F.array(evidence(number, rule)))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def invalid_employee_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
