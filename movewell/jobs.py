@@ -47,7 +47,8 @@ def bronze(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def gold(spark: SparkSession, args: argparse.Namespace) -> None:
-    job = GoldJob(args.bronze, load_hr(_sheet(spark, args)), lambda: _rules(spark, args.rules),
+    people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
+    job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules),
                   SnapshotTable(spark, args.table), args.mode, args.format)
     job.start(args.checkpoint, args.every).awaitTermination()
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from movewell.functions.status import matches_fully
+from movewell.sources.cdc import decode_envelope
 
 
 def stream_liveness(progress: DataFrame, as_of: datetime, threshold: str, stream: str = "stream",
@@ -74,12 +75,19 @@ def counter_rate(samples: DataFrame, length_seconds: int, app: str, series: Sequ
             .agg((F.sum("increase") / F.lit(length_seconds)).alias("per_second")))
 
 
-def cdc_lag(messages: DataFrame, length: str, stream: Sequence[str], committed: str, arrived: str) -> DataFrame:
+def arrival_samples(messages: DataFrame, *stream: str, arrived: str = "timestamp") -> DataFrame:
+    """Commit and arrival time of change messages; null where the connector gives no commit time."""
+    decoded = decode_envelope(messages, *stream, arrived)
+    return decoded.select(*stream, F.timestamp_millis("source_ts_ms").alias("committed"),
+                          F.col(arrived).alias("arrived"))
+
+
+def cdc_lag(samples: DataFrame, length: str, *stream: str) -> DataFrame:
     """Milliseconds behind the source per stream and window: of the last arrival, and the largest."""
-    lag = F.timestamp_diff("MILLISECOND", F.col(committed), F.col(arrived))
-    measured = messages.where(F.col(committed).isNotNull() & F.col(arrived).isNotNull()).withColumn("_lag", lag)
-    return (measured.groupBy(*stream, F.window(arrived, length).alias("_window"))
-            .agg(F.max_by("_lag", arrived).alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
+    lag = F.timestamp_diff("MILLISECOND", F.col("committed"), F.col("arrived"))
+    measured = samples.where(F.col("committed").isNotNull() & F.col("arrived").isNotNull()).withColumn("_lag", lag)
+    return (measured.groupBy(*stream, F.window("arrived", length).alias("_window"))
+            .agg(F.max_by("_lag", "arrived").alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
             .select(*stream, F.col("_window.start").alias("window_start"), "last_lag_ms", "max_lag_ms"))
 
 

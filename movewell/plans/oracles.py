@@ -226,9 +226,9 @@ FROM steps GROUP BY 1, 2"""),
     "cdc_lag": """
 WITH lagged AS (
   SELECT user_id, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS arrived,
-    CAST(round(value * 1000000) AS BIGINT) // 1000 AS lag_ms
+    (epoch_us(ts) % 1000 + CAST(round(value * 1000000) AS BIGINT)) // 1000 AS lag_ms  -- commit time in whole ms
   FROM events)
-SELECT user_id, date_trunc('hour', arrived) AS window_start, arg_max(lag_ms, (arrived, lag_ms)) AS last_lag_ms,
+SELECT user_id, date_trunc('hour', arrived) AS window_start, arg_max(lag_ms, arrived) AS last_lag_ms,
   max(lag_ms) AS max_lag_ms
 FROM lagged GROUP BY 1, 2""",
     "sessions_by_state": """

@@ -314,7 +314,9 @@ def counter_rate(spark, sf_dir):
 
 @registered
 def cdc_lag(spark, sf_dir):
-    return health.cdc_lag(views.arrivals(spark, sf_dir), "1 hour", ["user_id"], "committed", "arrived")
+    samples = health.arrival_samples(views.event_messages(spark, sf_dir), "user_id")
+    return (health.cdc_lag(samples, "1 hour", "user_id")
+            .withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
 @registered

@@ -158,8 +158,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         application.alias("application_name"))
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as change messages: commit time, and an arrival some milliseconds later."""
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as change messages: commit time in the record, arrival some milliseconds later."""
     delay = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("value").cast("decimal(18,6)"))
+    source = F.struct((F.floor(_micros("ts") / 1000)).alias("ts_ms"))
+    record = F.to_json(F.struct(F.struct(F.lit("c").alias("op"), source.alias("source")).alias("payload")))
     return events(spark, sf_dir).select(
-        "user_id", F.col("ts").alias("committed"), (F.col("ts") + delay).alias("arrived"))
+        "user_id", record.cast("binary").alias("value"), (F.col("ts") + delay).cast("timestamp").alias("timestamp"))

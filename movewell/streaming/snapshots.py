@@ -57,9 +57,11 @@ class SnapshotTable:
         return self.spark.read.format(self.fmt).load(self.location())
 
     def register(self, name: str, persistent: bool = False) -> None:
-        """Point a SQL name at the newest version: a session view, or a table in the catalog."""
-        if not persistent:
+        """Point a SQL name at the newest version: a session view, or a view in the catalog.
+
+        Replacing a view is one step, so SQL clients never find the name missing.
+        """
+        if persistent:
+            self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {self.fmt}.`{self.location()}`")
+        else:
             self.read().createOrReplaceTempView(name)
-            return
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay
-        self.spark.sql(f"CREATE TABLE {name} USING {self.fmt} LOCATION '{self.location()}'")

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -80,9 +81,15 @@ def test_batch_rate(spark):
 
 
 def test_lag(spark):
-    rows = [(1, START, START + timedelta(milliseconds=1500)), (1, START, START + timedelta(milliseconds=900)), (1, None, START)]
-    frame = spark.createDataFrame(rows, "stream int, committed timestamp_ntz, arrived timestamp_ntz")
-    assert [tuple(r)[2:] for r in health.cdc_lag(frame, "1 minute", ["stream"], "committed", "arrived").collect()] == [(1500, 1500)]
+    def message(arrived_ms, source):
+        return 1, bytearray(json.dumps({"payload": {"op": "c", **source}}), "utf-8"), START + timedelta(milliseconds=arrived_ms)
+
+    start_ms = 1_735_689_600_000  # START in UTC
+    rows = [message(1500, {"source": {"ts_ms": start_ms}}), message(1600, {"source": {"ts_ms": start_ms + 700}}), message(5000, {})]
+    frame = spark.createDataFrame(rows, "stream int, value binary, timestamp timestamp_ntz").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp"))
+    lags = health.cdc_lag(health.arrival_samples(frame, "stream"), "1 minute", "stream").collect()
+    assert [tuple(r)[2:] for r in lags] == [(900, 1500)]
 
 
 def test_sessions(spark):

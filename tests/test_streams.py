@@ -157,6 +157,16 @@ def test_gold_is_visible_to_sql(spark, tmp_path):
     assert spark.table("sql_gold").count() == 5
 
 
+def test_gold_is_visible_in_the_catalog(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    for version in (1, 2):
+        table.publish(spark.range(version).withColumn(f"column_{version}", F.lit("x")))
+        table.register("catalog_gold", persistent=True)
+        assert spark.newSession().table("catalog_gold").columns == ["id", f"column_{version}"]
+        assert spark.table("catalog_gold").count() == version
+    spark.sql("DROP VIEW catalog_gold")
+
+
 def test_notifications_of_a_stream_equal_batch(spark, tables, tmp_path):
     outbox = Outbox(spark, f"{tmp_path}/outbox")
     for low, high in ((0, 200), (200, 400), (400, 10_000)):
