@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from movewell.functions.benefits import bonus_euros, commute_eligible, wellness_flag
+from movewell.functions.time import moment
 from movewell.operators.joins import left_join_unique
 from movewell.rules import Rules
 from movewell.schemas import GOLD
@@ -25,7 +26,7 @@ def commute_bonus(hr: DataFrame, rules: Rules) -> DataFrame:
 
 def trailing(activities: DataFrame, as_of: datetime, days: int, when: str = "date_debut_ts") -> DataFrame:
     """Activities of the ``days`` up to ``as_of``; the filter reaches the scan."""
-    return activities.where(F.col(when).between(F.lit(as_of - timedelta(days=days)), F.lit(as_of)))
+    return activities.where(F.col(when).between(moment(as_of - timedelta(days=days)), moment(as_of)))
 
 
 def activity_counts(activities: DataFrame) -> DataFrame:

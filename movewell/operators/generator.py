@@ -19,6 +19,7 @@ from movewell.fixed_values import (
     PROBE_COMMENT,
     PROBE_EMPLOYEE_ID,
 )
+from movewell.functions.time import moment
 from movewell.schemas import LOADED_ACTIVITY
 
 
@@ -34,10 +35,13 @@ def generate_activities(ids: DataFrame, as_of: datetime, seed: int = 0) -> DataF
     Every value is a hash of (seed, employee, number), so neither the partitioning nor a
     repeated task changes the result.
     """
-    digest = lambda *parts: F.md5(F.concat_ws("|", F.lit(str(seed)), *(part.cast("string") for part in parts)))
+    def digest(*parts: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), *(part.cast("string") for part in parts)))
+
     employee = F.col("employee_id").cast("bigint")
     quantity = _draw(digest(employee), 0, *GENERATED_PER_EMPLOYEE)
-    numbered = ids.select(employee.alias("employee_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), quantity)).alias("_no"))
+    numbers = F.explode(F.sequence(F.lit(1).cast("bigint"), quantity))
+    numbered = ids.select(employee.alias("employee_id"), numbers.alias("_no"))
     hashed = numbered.select("employee_id", digest(F.col("employee_id"), F.col("_no")).alias("_digest"))
     drawn = F.col("_digest")
     days_back = _draw(drawn, 0, 0, GENERATED_DAYS - 1)
@@ -45,7 +49,7 @@ def generate_activities(ids: DataFrame, as_of: datetime, seed: int = 0) -> DataF
     centimetres = _draw(drawn, 2, *(100 * bound for bound in GENERATED_METRES))
     activities = hashed.select(
         "employee_id",
-        (F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days_back.cast("int"))).alias("date_debut"),
+        (moment(as_of) - F.make_dt_interval(days_back.cast("int"))).alias("date_debut"),
         F.get(kinds, _draw(drawn, 1, 0, len(ACTIVITY_TYPES) - 1).cast("int")).alias("type_activite"),
         (centimetres / F.lit(100.0)).alias("distance_m"),
         _draw(drawn, 3, *GENERATED_SECONDS).cast("int").alias("duree_s"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from movewell.functions.status import matches_fully
+from movewell.functions.time import moment
 from movewell.sources.cdc import decode_envelope
 
 
@@ -17,7 +18,7 @@ def stream_liveness(progress: DataFrame, as_of: datetime, threshold: str, stream
     """1 for each stream that reported within ``threshold`` (an interval text) before ``as_of``, else 0."""
     latest = (progress.where(matches_fully(F.col(stream), streams))
               .groupBy(stream).agg(F.max(ts).alias("last_seen")))
-    alive = F.col("last_seen") >= F.lit(as_of) - F.expr(f"INTERVAL {threshold}")
+    alive = F.col("last_seen") >= moment(as_of) - F.expr(f"INTERVAL {threshold}")
     return latest.withColumn("up", F.coalesce(alive, F.lit(False)).cast("int"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movewell.fixed_values import ACTIVITY_TYPES, GENERATED_SECONDS, MARKER_TYPE
+from movewell.functions.time import moment
 from movewell.operators.joins import key_counts, left_join_unique, spark_will_broadcast
 
 NOT_NULL = "expect_column_values_to_not_be_null"
@@ -89,6 +90,10 @@ def is_checked(marker_column: str = "type_activite") -> Column:
     return ~F.col(marker_column).eqNullSafe(F.lit(MARKER_TYPE))
 
 
+def _literal(bound: Any) -> Column:
+    return moment(bound) if isinstance(bound, datetime) else F.lit(bound)
+
+
 def violates(rule: Expectation, rows: DataFrame) -> Column:
     """True where the value breaks the rule. Only the not-null rule looks at missing values."""
     value = F.col(rule.column)
@@ -99,8 +104,8 @@ def violates(rule: Expectation, rows: DataFrame) -> Column:
     if rule.kind == IN_SET:
         fits = value.isin(*rule.values)
     else:
-        limits = [value >= F.lit(rule.lowest)] if rule.lowest is not None else []
-        limits += [value <= F.lit(rule.highest)] if rule.highest is not None else []
+        limits = [value >= _literal(rule.lowest)] if rule.lowest is not None else []
+        limits += [value <= _literal(rule.highest)] if rule.highest is not None else []
         if not limits:
             raise ValueError(f"the rule on {rule.column} has no bounds yet")
         fits = limits[0] if len(limits) == 1 else limits[0] & limits[1]

@@ -321,4 +321,4 @@ def cdc_lag(spark, sf_dir):
 
 @registered
 def sessions_by_state(spark, sf_dir):
-    return health.sessions_by_state(views.sessions(spark, sf_dir), "sportsdb", "Connector.*")
+    return health.sessions_by_state(views.sessions(spark, sf_dir), "activities", "Connector.*")

@@ -25,6 +25,7 @@ from movewell.fixed_values import (
     PROBE_EMPLOYEE_ID,
     WALK_MODE,
 )
+from movewell.functions.time import moment
 
 AS_OF = datetime(2001, 8, 1)  # last order date
 EVENTS_AS_OF = datetime(2024, 1, 31)
@@ -98,7 +99,7 @@ def kept_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _micros(ts: str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col(ts))
+    return F.timestamp_diff("MICROSECOND", moment(datetime(1970, 1, 1)), F.col(ts))
 
 
 def cdc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +108,7 @@ def cdc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.struct("id", "employee_id", _micros("date_debut").alias("date_debut"), "type_activite",
                     "distance_m", "duree_s", "commentaire")
     after = F.when(F.col("op") != "d", body)
-    record = F.struct(F.struct("op", after.alias("after"), F.struct(F.lit("sportsdb").alias("db")).alias("source"))
+    record = F.struct(F.struct("op", after.alias("after"), F.struct(F.lit("activities").alias("db")).alias("source"))
                       .alias("payload"))
     partition = F.pmod(F.hash("id"), F.lit(TOPIC_PARTITIONS))
     return rows.select(partition.alias("partition"), F.col("id").alias("offset"),
@@ -154,7 +155,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     application = F.when(user % 3 == 0, F.lit("psql")).otherwise(F.concat(F.lit("Connector "), user.cast("string")))
     return events(spark, sf_dir).select(
         F.col("event_type").alias("state"),
-        F.when(F.col("event_id") % 5 == 0, F.lit("postgres")).otherwise(F.lit("sportsdb")).alias("datname"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("postgres")).otherwise(F.lit("activities")).alias("datname"),
         application.alias("application_name"))
 
 

@@ -31,7 +31,7 @@ def test_complete_record(spark):
     row = decoded(spark, envelope())
     stamp = row.pop("date_debut_ts")
     assert row == AFTER
-    assert stamp.replace(tzinfo=timezone.utc) == datetime(2025, 7, 4, 14, 3, 19, 103123, tzinfo=timezone.utc)
+    assert stamp.astimezone(timezone.utc) == datetime(2025, 7, 4, 14, 3, 19, 103123, tzinfo=timezone.utc)
 
 
 @pytest.mark.parametrize("value", ["not json", "", None, "{}", '{"payload":null}', json.dumps({"op": "c", "after": AFTER}),

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from movewell.fixed_values import ACTIVITY_TYPES
+from movewell.functions.time import moment
 from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
 from movewell.operators.ordering import activities_by_date
 from movewell.schemas import LOADED_ACTIVITY
@@ -70,12 +71,12 @@ def test_bulk_load_appends(spark, tmp_path):
 def test_activity_table_from_files_and_database_options(spark, tmp_path):
     generated(spark, 5).write.parquet(str(tmp_path / "table"))
     assert read_activities(spark, str(tmp_path / "table")).count() == generated(spark, 5).count()
-    options = jdbc_options("jdbc:postgresql://db/sportsdb", "sport_activities", 1, 1000, 16)
+    options = jdbc_options("jdbc:postgresql://db/activities", "activity", 1, 1000, 16)
     assert (options["partitionColumn"], options["numPartitions"], options["upperBound"]) == ("id", "16", "1000")
 
 
 def test_order_by_date_is_total(spark):
     frame = spark.range(0, 5000, 1, 5).select(
-        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(NOW)).otherwise(F.lit(NOW) - F.make_dt_interval((F.col("id") % 40).cast("int"))).alias("date_debut"))
+        F.col("id"), F.when(F.col("id") % 3 == 0, moment(NOW)).otherwise(moment(NOW) - F.make_dt_interval((F.col("id") % 40).cast("int"))).alias("date_debut"))
     rows = [(r["date_debut"], r["id"]) for r in activities_by_date(frame).collect()]
     assert rows == sorted(rows)

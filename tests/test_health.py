@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from movewell.functions.time import moment
 from movewell.operators import health
 
 START = datetime(2025, 1, 1)
@@ -93,16 +94,16 @@ def test_lag(spark):
 
 
 def test_sessions(spark):
-    rows = [("active", "sportsdb", "Connector 1"), ("idle", "sportsdb", "Connector 2"), ("idle", "sportsdb", "Connector"),
-            ("idle", "sportsdb", "my Connector"), ("idle", "postgres", "Connector 3"), ("idle", "sportsdb", None)]
+    rows = [("active", "activities", "Connector 1"), ("idle", "activities", "Connector 2"), ("idle", "activities", "Connector"),
+            ("idle", "activities", "my Connector"), ("idle", "postgres", "Connector 3"), ("idle", "activities", None)]
     frame = spark.createDataFrame(rows, "state string, datname string, application_name string")
-    counts = {r["state"]: r["sessions"] for r in health.sessions_by_state(frame, "sportsdb", "Connector.*").collect()}
+    counts = {r["state"]: r["sessions"] for r in health.sessions_by_state(frame, "activities", "Connector.*").collect()}
     assert counts == {"active": 1, "idle": 2}
 
 
 def test_hot_series_is_cut_into_even_runs(spark):
     frame = spark.range(0, 40_000).select(
-        F.lit("only").alias("series"), F.lit(START).cast("timestamp_ntz").alias("ts"), F.col("id").alias("event_id"),
+        F.lit("only").alias("series"), moment(START).alias("ts"), F.col("id").alias("event_id"),
         F.col("id").cast("double").alias("value"))
     plan = health.counter_increase(frame, "1 hour", ["series"])
     assert [tuple(r) for r in plan.collect()] == [("only", START, 39_999.0, 40_000)]

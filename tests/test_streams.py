@@ -212,7 +212,7 @@ def test_progress_feeds_the_health_operators(spark, tmp_path):
     job.bronze_path = f"{tmp_path}/in"
     rows = progress_rows(spark, [finish(job.start(f"{tmp_path}/ck", every=None, initial=False))])
     assert rows.agg(F.sum("input_rows")).first()[0] == 2
-    latest = rows.agg(F.max("ts")).first()[0]
+    latest = rows.agg(F.max(F.col("ts").cast("timestamp_ntz"))).first()[0]
     assert [r["up"] for r in stream_liveness(rows, latest, "20 seconds", streams="bronze|gold").collect()] == [1]
 
 
