@@ -20,6 +20,15 @@ def is_marker() -> Column:
     return F.col("type_activite").eqNullSafe(F.lit(MARKER_TYPE))
 
 
+def may_hold_marker(messages: DataFrame) -> DataFrame:
+    """Messages that can decode to a marker, found without parsing them.
+
+    JSON can write the marker in only two ways: as it is, or with \\u escapes in it.
+    """
+    text = F.col("value").cast("string")
+    return messages.where(text.contains(MARKER_TYPE) | text.contains("\\u"))
+
+
 def barriers(created: DataFrame) -> DataFrame:
     """Offset of the first marker in each partition: one row per partition that has one."""
     return created.where(is_marker()).groupBy("partition").agg(F.min("offset").alias("barrier"))

@@ -158,8 +158,9 @@ def gold_stream_rebuild(spark, sf_dir):
 
 @registered
 def notifications(spark, sf_dir):
-    created = notices.creations(views.cdc_messages(spark, sf_dir))
-    return notices.notifications(created, notices.barriers(created))
+    messages = views.cdc_messages(spark, sf_dir)
+    gates = notices.barriers(notices.creations(notices.may_hold_marker(messages)))
+    return notices.notifications(notices.creations(messages), gates)
 
 
 @registered

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from movewell.operators.notifications import barriers, creations, notifications
+from movewell.operators.notifications import barriers, creations, may_hold_marker, notifications
 from movewell.streaming.runs import start
 
 BARRIER_SCHEMA = "partition INT, barrier BIGINT"
@@ -36,15 +36,17 @@ class Outbox:
         return self.spark.read.schema(BARRIER_SCHEMA).parquet(self._barrier_path(batch_id))
 
     def on_batch(self, messages: DataFrame, batch_id: int) -> None:
-        created = creations(messages).persist()
-        try:
-            gates = (self.barriers_after(batch_id - 1).unionByName(barriers(created))
-                     .groupBy("partition").agg(F.min("barrier").alias("barrier")))
-            gates.coalesce(1).write.mode("overwrite").parquet(self._barrier_path(batch_id))
-            texts = notifications(created, self.barriers_after(batch_id))
-            texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch_id}")
-        finally:
-            created.unpersist()
+        """Store the barriers known after this batch, then the texts beyond them.
+
+        The batch is read twice rather than cached, since a back-fill arrives as one large
+        batch; the first reading only searches the text for markers.
+        """
+        found = barriers(creations(may_hold_marker(messages)))
+        gates = (self.barriers_after(batch_id - 1).unionByName(found)
+                 .groupBy("partition").agg(F.min("barrier").alias("barrier")))
+        gates.coalesce(1).write.mode("overwrite").parquet(self._barrier_path(batch_id))
+        texts = notifications(creations(messages), self.barriers_after(batch_id))
+        texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch_id}")
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/texts")

@@ -1,7 +1,7 @@
 import json
 from datetime import datetime, timezone
 
-from movewell.operators.notifications import barriers, creations, notifications
+from movewell.operators.notifications import barriers, creations, may_hold_marker, notifications
 from movewell.schemas import MESSAGE
 
 MARKER = "BACKFILL_COMPLETE"
@@ -37,6 +37,20 @@ def test_marker_must_be_a_creation(spark):
     assert posted(spark, message(0, 1, op="u", kind=MARKER), message(0, 2)) == {}
 
 
+def test_markers_are_found_without_parsing_the_rest(spark):
+    escaped = MARKER.replace("C", "\\u0043")
+    texts = [json.dumps({"payload": {"op": "c", "after": {"id": 1, "type_activite": "vélo"}}}, ensure_ascii=False),
+             json.dumps({"payload": {"op": "c", "after": {"id": 2, "type_activite": MARKER}}}),
+             json.dumps({"payload": {"op": "c", "after": {"id": 3, "type_activite": MARKER}}}).replace(MARKER, escaped)]
+    rows = [(offset, offset, bytearray(text, "utf-8")) for offset, text in enumerate([*texts, "noise"])]
+    messages = spark.createDataFrame([*rows, (9, 9, None)], MESSAGE)
+    kept = may_hold_marker(messages)
+    assert sorted(r["offset"] for r in kept.collect()) == [1, 2]
+    assert sorted(r["partition"] for r in barriers(creations(kept)).collect()) == [1, 2]
+    assert barriers(creations(kept)).exceptAll(barriers(creations(messages))).isEmpty()
+    assert barriers(creations(messages)).exceptAll(barriers(creations(kept))).isEmpty()
+
+
 def test_missing_bodies_are_skipped_and_missing_values_named(spark):
     empty = (0, 5, bytearray(b'{"payload":{"op":"c","after":{}}}'))
     gone = (0, 6, bytearray(b'{"payload":{"op":"c","after":null}}'))
