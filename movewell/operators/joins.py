@@ -26,7 +26,7 @@ def key_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys holding more than two shuffle partitions' share of the rows, and their slices.
+    """Keys holding more than two shuffle partitions' share of the rows.
 
     Fewer than half as many keys as there are shuffle partitions can hold that share, so the
     result is small whatever the size of the data, and safe to broadcast.
@@ -34,26 +34,24 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = key_counts(rows, key)
     total = counted.agg(F.sum("occurrences")).scalar()
-    share = F.col("occurrences") * F.lit(width) / total
-    return counted.where(share > F.lit(2)).select(key, F.ceil(share).cast("int").alias("_slices"))
+    return counted.where(F.col("occurrences") * F.lit(width) > total * F.lit(2)).select(key)
 
 
 def left_join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows LEFT JOIN lookup USING (key)`` where lookup has one row per key.
 
     A lookup that Spark is going to broadcast moves no rows, so skew does not matter.
-    Otherwise the rows of a hot key are dealt into slices by the task that read them, and the
-    key's single lookup row is copied to each slice. Null keys match nothing and are dealt
-    over all partitions. No row is dropped, and the copies number at most one and a half
-    times the shuffle partitions.
+    Otherwise the rows are split. Those with a hot key stay where they are and meet a
+    broadcast of the hot keys' lookup rows, at most one per two shuffle partitions; those
+    with a null key stay too, as they match nothing. The rest is joined by shuffle, where no
+    key is left that could fill a task, and a lookup grouped by the key is not moved again.
     """
     if spark_will_broadcast(lookup):
         return rows.join(lookup, key, "left")
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(rows, key))
-    task, slices = F.spark_partition_id(), F.coalesce("_slices", F.lit(1))
-    spread = F.when(F.col(key).isNull(), F.lit(width)).otherwise(slices)
-    dealt = rows.join(hot, key, "left").select(*rows.columns, F.pmod(task, spread).alias("_slice"))
-    copied = lookup.join(hot, key, "left").select(
-        *lookup.columns, F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
-    return dealt.join(copied, [key, "_slice"], "left").drop("_slice")
+    hot = F.broadcast(hot_keys(rows, key).withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, key, "left")
+    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
+    moved = marked.where(~stays).drop("_hot").join(lookup, key, "left")
+    hot_rows = F.broadcast(lookup.join(hot, key).drop("_hot"))
+    kept = marked.where(stays).drop("_hot").join(hot_rows, key, "left")
+    return moved.unionByName(kept)

@@ -130,7 +130,7 @@ def rows_with_unknown_value(rows: DataFrame, column: str, reference: DataFrame)
     """Rows whose non-null value is missing from the one-column reference.
 
     A reference small enough to broadcast is looked up in the scan. Otherwise the rows meet
-    the unknown values, which are few in sound data, with hot values dealt over several tasks.
+    the unknown values, which are few in sound data, with hot values kept out of the shuffle.
     """
     values = _typed(rows, column, reference).where(F.col(column).isNotNull())
     if spark_will_broadcast(reference):
@@ -185,7 +185,7 @@ def dq_violations(rows: DataFrame, suite: Suite, references: Mapping[str, DataFr
     """One row per broken rule and checked row: the key, the rule and the value as text.
 
     Literal rules are decided in the scan. A reference rule joins only (key, value) pairs,
-    with hot values dealt over several tasks.
+    with hot values kept out of the shuffle.
     """
     def evidence(number: int, rule: Expectation) -> Column:
         return F.struct(F.lit(number).alias("rule_no"), F.lit(rule.kind).alias("expectation"),
