@@ -50,7 +50,7 @@ def gold(spark: SparkSession, args: argparse.Namespace) -> None:
     people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
     job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules),
                   SnapshotTable(spark, args.table), args.mode, args.format)
-    job.start(args.checkpoint, args.every).awaitTermination()
+    job.start(args.checkpoint, args.every, **_pairs(args.option)).awaitTermination()
 
 
 def notify(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -144,6 +144,7 @@ def _parser() -> argparse.ArgumentParser:
     people(sub)
     stream(sub, TRIGGER)
     sub.add_argument("--rules")
+    sub.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="bronze stream option")
     sub.add_argument("--mode", choices=(INCREMENTAL, REBUILD), default=INCREMENTAL)
     sub = job(notify, "outbox", "checkpoint")
     source(sub)
