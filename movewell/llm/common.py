@@ -40,3 +40,8 @@ def share_kept(key: Column, share: Column) -> Column:
     """A repeatable sample: true for about ``share`` of all keys, by the key's hash alone."""
     steps = 1 << 30
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(steps)) < share * F.lit(steps)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where a lambda inside refers to it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,12 +8,12 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from movewell.llm import bpe
+from movewell.llm import attribution, bpe, decontamination, language, neardup, quality, repair, secrets, topk, toxicity
 from movewell.llm.common import table
+from movewell.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,54 @@ def registered(query: Query) -> Query:
     return run
 
 
+@registered
+def op1_topk(spark, sf_dir):
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@registered
+def op2_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op3_repair(spark, sf_dir):
+    path = repair.write_shards(table(spark, sf_dir, "documents"), WORD_BPE)
+    return repair.read_documents(spark, path)
+
+
+@registered
+def op4_attribution(spark, sf_dir):
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@registered
+def op5_decontamination(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @registered
 def op6_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@registered
+def op7_quality(spark, sf_dir):
+    return quality.quality(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+@registered
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+@registered
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_documents(docs, language.train(docs))
+
+
+@registered
+def op10_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
