@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
-from movewell.llm import bpe
+from pyspark.sql import functions as F
+
+from movewell.llm import bpe, decontamination, neardup, secrets, toxicity
 from movewell.llm.common import table
 from movewell.llm.queries import BYTE_BPE
 from movewell.session import shared_dir
 
+NEAR_DUPLICATE_WORDS = 5
+
+
+def _without(docs, rejected):
+    """The documents whose id is not among the rejected ones; a null id never is."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def reject_toxic(spark, docs, sf_dir):
+    """Documents that the classifier does not call toxic."""
+    scores = toxicity.toxicity(spark, sf_dir, docs)
+    return _without(docs, scores.where("predicted = 1"))
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """One document of each group of near duplicates, that with the smallest id."""
+    found = neardup.near_duplicates(docs, neardup.Settings(words=NEAR_DUPLICATE_WORDS))
+    return _without(docs, found.where(~F.col("kept")))
+
+
+def reject_leaks(spark, docs, sf_dir):
+    """Documents that do not hold a benchmark item."""
+    return _without(docs, decontamination.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mask_secrets(spark, docs, sf_dir):
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
 
 def encode(spark, docs, sf_dir):
     """Token ids of every remaining document."""
     return bpe.encode_documents(docs, BYTE_BPE, with_ids=True)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("near duplicates", keep_one_of_each_group), ("decontamination", reject_leaks),
+          ("secrets", mask_secrets), ("bpe", encode)]
 
-#: Trained classifiers decide in the first stage, which SQL cannot express.
+#: A trained classifier decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -23,7 +55,7 @@ def run(spark, sf_dir):
     """All stages over the documents of ``sf_dir``; the rows of the last stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_dir(spark, f"pipeline-{name}")
+        path = shared_dir(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,10 +36,10 @@ def fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % F.lit(folds)
 
 
-def share_kept(key: Column, share: Column) -> Column:
-    """A repeatable sample: true for about ``share`` of all keys, by the key's hash alone."""
+def share_kept(key: Column, share: Column, salt: str = "sample") -> Column:
+    """A repeatable sample: true for about ``share`` of all keys, by the hash of key and salt alone."""
     steps = 1 << 30
-    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(steps)) < share * F.lit(steps)
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(steps)) < share * F.lit(steps)
 
 
 def let(value: Column, body) -> Column:

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all else that is learned from is unlabelled. A linear
-classifier over word presence is trained with the class-prior-corrected risk
+Confirmed toxic documents are the positives; a sample of all documents, whatever they are, is the
+unlabelled text. A linear classifier over the presence of words and word beginnings is trained with the class-prior-corrected risk
 
     prior * R+(f) + max(0, Ru(f) - prior * R-(f)),    R+, R- over positives, Ru over unlabelled,
 
@@ -26,6 +26,7 @@ from movewell.llm.common import fold, share_kept, small_batches, stored, table,
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"\w+")
+BEGINNINGS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,13 @@ class Settings:
     """Bounds of the training sample, features and fit.
 
     positives, unlabelled: expected rows of each kind in the sample, taken by hash of the id.
-    features: words looked at, those with the highest count differences. steps, rate, decay: of the
-    fit. boost: how many standard errors the counts must differ for a word to be looked at.
+    features: words and beginnings looked at, those whose shares differ by most standard errors, and
+    by at least ``least_z``. steps, rate, decay: of the fit.
     """
 
     positives: int = 3_000
     unlabelled: int = 9_000
-    features: int = 256
+    features: int = 512
     least_z: float = 4.0
     steps: int = 400
     rate: float = 0.1
@@ -47,8 +48,9 @@ class Settings:
 
 
 def word_buckets(text: str) -> np.ndarray:
-    """The distinct hashed words of a whole text, sorted."""
+    """The distinct hashed words, and beginnings of words, of a whole text, sorted."""
     words = set(WORD.findall(text.lower()))
+    words.update(*[{w[:n] + "*" for w in words if len(w) >= n} for n in BEGINNINGS])
     hashed = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % BUCKETS
     return np.unique(hashed)
 
@@ -63,11 +65,10 @@ def choose_features(positive: np.ndarray, unlabelled: np.ndarray, sizes: tuple[i
     return np.sort(order[z[order] >= settings.least_z])
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, settings: Settings) -> np.ndarray:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Settings) -> np.ndarray:
     """Weights (last: the constant) minimising the non-negative risk by Adam over full batches."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    pos, unl = x[positive], x[~positive]
-    weights = np.zeros(x.shape[1])
+    pos, unl = (np.hstack([x[np.lexsort(x.T)] if x.size else x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    weights = np.zeros(pos.shape[1])
     weights[-1] = -1.0
     if not len(pos) or not len(unl):
         return weights
@@ -100,48 +101,52 @@ class Model:
         return float(_sigmoid(self.weights[:-1][found].sum() + self.weights[-1]))
 
 
-def _sampled_labels(labels: DataFrame, settings: Settings) -> tuple[DataFrame, float]:
-    """(doc_id, positive) of the bounded sample, and the class prior among the labels learned from."""
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("positive"))
-             .where(F.col("doc_id").isNotNull() & F.col("positive").isNotNull() & (fold("doc_id", 3) != 1))
-             .groupBy("doc_id").agg(F.max("positive").alias("positive")))
-    counts = {r["positive"]: r["count"] for r in known.groupBy("positive").count().collect()}
-    n_pos, n_unl = counts.get(True, 0), counts.get(False, 0)
-    share = F.when(F.col("positive"), F.lit(min(1.0, settings.positives / max(n_pos, 1)))).otherwise(
-        F.lit(min(1.0, settings.unlabelled / max(n_unl, 1))))
-    return known.where(share_kept(F.col("doc_id"), share)), n_pos / max(n_pos + n_unl, 1)
+def _positives(labels: DataFrame, settings: Settings) -> tuple[DataFrame, float]:
+    """Ids of a bounded sample of toxic documents, and their share among the labels learned from."""
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic"))
+             .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1))
+             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    counts = known.agg(F.count_if("toxic").alias("toxic"), F.count(F.lit(1)).alias("every")).first()
+    share = F.lit(min(1.0, settings.positives / max(counts["toxic"], 1)))
+    sample = known.where(F.col("toxic") & share_kept(F.col("doc_id"), share)).select("doc_id")
+    return sample, counts["toxic"] / max(counts["every"], 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from labels of documents outside the held-out fold (crc32 of the id mod 3 is 1).
+    """Learn from documents and labels outside the held-out fold (crc32 of the id mod 3 is 1).
 
     To the driver come counts per hashed word (at most ``BUCKETS`` rows) and, of the sample, which
     of the chosen words each document has. Rows with null ids or labels teach nothing; of a label
     given twice the toxic one counts. Without positives every score is below one half.
     """
-    sample, prior = _sampled_labels(labels, settings)
-    rows = texts_of(docs).where(fold("doc_id", 3) != 1).join(F.broadcast(sample), "doc_id")
+    positives, prior = _positives(labels, settings)
+    known = texts_of(docs).where(fold("doc_id", 3) != 1)
+    share = F.lit(min(1.0, settings.unlabelled / max(known.select("doc_id").count(), 1)))
+    rows = (known.join(F.broadcast(positives.withColumn("positive", F.lit(True))), "doc_id", "left")
+            .select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"),
+                    share_kept(F.col("doc_id"), share, "unlabelled").alias("unlabelled")).where("positive OR unlabelled"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [word_buckets(text.as_py() or "").tolist() for text in batch.column(1)]
-            yield pa.record_batch([batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["positive", "buckets"])
+            yield pa.record_batch([batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))],
+                                  names=["positive", "unlabelled", "buckets"])
 
-    found = stored(rows.mapInArrow(buckets, "positive boolean, buckets array<bigint>"), "toxic-sample")
-    counted = (found.select("positive", F.explode("buckets").alias("bucket")).groupBy("bucket")
-               .agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).toPandas())
-    sizes = {r["positive"]: r["count"] for r in found.groupBy("positive").count().collect()}
+    small_batches(docs.sparkSession)
+    found = stored(rows.mapInArrow(buckets, "positive boolean, unlabelled boolean, buckets array<bigint>"), "toxic-sample")
+    both = [F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")]
+    counted = found.select("positive", "unlabelled", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*both).toPandas()
+    sizes = found.agg(*both).first()
     positive, unlabelled = np.zeros(BUCKETS), np.zeros(BUCKETS)
     positive[counted["bucket"]], unlabelled[counted["bucket"]] = counted["p"], counted["u"]
-    chosen = choose_features(positive, unlabelled, (sizes.get(True, 0), sizes.get(False, 0)), settings)
+    chosen = choose_features(positive, unlabelled, (sizes["p"], sizes["u"]), settings)
     wanted = F.array(*[F.lit(int(b)) for b in chosen]).cast("array<bigint>")
-    present = found.select("positive", F.array_sort(F.array_intersect("buckets", wanted)).alias("has")).collect()
+    present = found.select("positive", "unlabelled", F.array_intersect("buckets", wanted).alias("has")).collect()
     x = np.zeros((len(present), len(chosen)))
     for row, one in enumerate(present):
         x[row, np.searchsorted(chosen, one["has"])] = 1
-    labelled = np.array([one["positive"] for one in present], dtype=bool)
-    order = np.lexsort((labelled, x @ np.arange(1, len(chosen) + 1))) if len(present) else slice(0)
-    return Model(chosen, fit(x[order], labelled[order], prior, settings))
+    kinds = np.array([(one["positive"], one["unlabelled"]) for one in present], dtype=bool).reshape(-1, 2)
+    return Model(chosen, fit(x[kinds[:, 0]], x[kinds[:, 1]], prior, settings))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
