@@ -1,11 +1,12 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; a sample of all documents, whatever they are, is the
-unlabelled text. A linear classifier over the presence of words and word beginnings is trained with the class-prior-corrected risk
+unlabelled text. A linear classifier over the presence of words and word beginnings is trained with
+the class-prior-corrected risk
 
     prior * R+(f) + max(0, Ru(f) - prior * R-(f)),    R+, R- over positives, Ru over unlabelled,
 
-with a sigmoid loss and the non-negative correction: where the second term falls below zero, its
+with a logistic loss and the non-negative correction: where the second term falls below zero, its
 gradient is stepped against. Which words are looked at is found from document counts over the whole
 training sample, by Spark; the fit itself is numpy over a bounded sample.
 """
@@ -40,11 +41,11 @@ class Settings:
 
     positives: int = 3_000
     unlabelled: int = 9_000
-    features: int = 512
-    least_z: float = 4.0
-    steps: int = 400
+    features: int = 384
+    least_z: float = 8.0
+    steps: int = 600
     rate: float = 0.1
-    decay: float = 1e-4
+    decay: float = 2e-4
 
 
 def word_buckets(text: str) -> np.ndarray:
@@ -74,12 +75,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Se
         return weights
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, settings.steps + 1):
-        s_pos, s_unl = _sigmoid(pos @ weights), _sigmoid(unl @ weights)
-        # loss of calling it positive: 1 - s; of calling it negative: s
-        slope_pos, slope_unl = s_pos * (1 - s_pos), s_unl * (1 - s_unl)
-        up = prior * -(slope_pos @ pos) / len(pos)
-        rest = s_unl.mean() - prior * s_pos.mean()
-        down = (slope_unl @ unl) / len(unl) - prior * (slope_pos @ pos) / len(pos)
+        f_pos, f_unl = pos @ weights, unl @ weights
+        # logistic loss of calling it positive: log(1 + exp(-f)); of calling it negative: log(1 + exp(f))
+        up = -prior * (_sigmoid(-f_pos) @ pos) / len(pos)
+        rest = np.logaddexp(0, f_unl).mean() - prior * np.logaddexp(0, f_pos).mean()
+        down = (_sigmoid(f_unl) @ unl) / len(unl) - prior * (_sigmoid(f_pos) @ pos) / len(pos)
         gradient = (up + down if rest >= 0 else -down) + settings.decay * weights
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
