@@ -6,7 +6,9 @@ overlaps of classes, the sketch of the union estimates their similarity, and ful
 
 Lists of common values (beyond ``common`` classes) are not paired up. A class most of whose retained
 values are rare meets its partners in rare lists, for two sets that share four fifths of their
-shingles share rare ones too. The other classes, made mostly of common shingles, are first compared
+shingles share rare ones too. Of the other classes, the core, whole sets are looked at: pairs that
+share a shingle rare in the core meet in its list, and all others share common shingles only, so the
+numbers of these bound their similarity. Where the bound allows a link, classes are first compared
 with the leader of each of their lists, and what the leaders leave apart is compared across the
 components of a list. No list is capped and no value dropped without the other way taking its place.
 """
@@ -39,7 +41,7 @@ class Settings:
 
     sketch: hashes retained of each set. probes: of these, how many go to inverted lists. common: a
     list longer than this is not paired up. mostly: a class with a larger share of common probes
-    than this goes to leaders too. slack: how far below the bound an estimate may lie; at 64
+    than this is of the core. slack: how far below the bound an estimate may lie; at 64
     retained values five standard errors. leader_probes: common values by which leaders are met.
     """
 
@@ -155,6 +157,26 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
 
 
+def _marked(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (value, id, n, ...) of values that several ids have, marked where these are many."""
+    lengths = rows.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > 1)
+    return rows.join(lengths, "value").withColumn("common", F.col("length") > settings.common).drop("length")
+
+
+def _met(lists: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) that meet in a list of a value that is not common."""
+    rare = lists.where(~F.col("common")).select("value", "id", "n")
+    other = rare.select("value", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    return (rare.join(other, "value").where((F.col("id") < F.col("id_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
+            .select(F.col("id").alias("a"), F.col("id_b").alias("b")))
+
+
+def _bound_allows(n: Column, h: Column, n_b: Column, h_b: Column, percent: int) -> Column:
+    """Whether sets that share common shingles only, h of n and h_b of n_b, can share enough."""
+    shared = F.least(h, h_b)
+    return shared * 100 >= (n + n_b - shared) * percent
+
+
 def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """(id, component) of every class that is linked with another; classes: id, n, sketch.
 
@@ -162,31 +184,29 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     copies costs about one comparison for each of them instead of one for each pair.
     """
     probed = classes.select("id", "n", F.posexplode(F.slice("sketch", 1, settings.probes)).alias("place", "value"))
-    lengths = probed.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > 1)
-    lists = stored(probed.join(lengths, "value").select(
-        "value", "id", "n", "place", (F.col("length") > settings.common).alias("common")), "neardup-lists")
-
-    rare = lists.where(~F.col("common")).select("value", "id", "n")
-    other = rare.select("value", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    met = (rare.join(other, "value").where((F.col("id") < F.col("id_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
-           .groupBy(F.col("id").alias("a"), F.col("id_b").alias("b"))
-           .agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "n_b")).alias("n")))
-
-    counted = lists.groupBy("id", "n").agg(F.count_if("common").alias("commons"))
-    mostly = counted.where(F.col("commons") > F.least("n", F.lit(settings.probes)) * settings.mostly)
+    lists = stored(_marked(probed, settings), "neardup-lists")
+    counted = lists.where("common").groupBy("id", "n").agg(F.count(F.lit(1)).alias("commons"))
+    core = counted.where(F.col("commons") > F.least("n", F.lit(settings.probes)) * settings.mostly).select("id")
+    core_sets = stored(whole_sets(docs, core, settings), "neardup-core")
+
+    shingles = core_sets.select("id", F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
+    core_lists = stored(_marked(shingles, settings), "neardup-core-lists")
+    commons = core_lists.where("common").groupBy("id").agg(F.count(F.lit(1)).alias("h"))
     nearest = Window.partitionBy("id").orderBy("place")
-    led = stored(lists.where("common").join(mostly.select("id", "commons"), "id")
+    led = stored(lists.where("common").drop("common").join(commons, "id").where(F.col("h") * 100 >= F.col("n") * settings.percent)
                  .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= settings.leader_probes)
-                 .select("value", "id", "n", "commons"), "neardup-led")
-    rank = F.struct(F.col("commons"), (-F.col("n")).alias("small"), (-F.col("id")).alias("first"))
+                 .select("value", "id", "n", "h"), "neardup-led")
+    rank = F.struct((F.col("h") / F.col("n")).alias("share"), (-F.col("n")).alias("small"), (-F.col("id")).alias("first"), "h")
     leaders = led.groupBy("value").agg(F.max(rank).alias("lead")).select(
-        "value", (-F.col("lead.first")).alias("id_b"), (-F.col("lead.small")).alias("n_b"))
-    to_leader = (led.join(leaders, "value").where((F.col("id") != F.col("id_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
-                 .select(*_ordered(F.col("id"), F.col("id_b"))).distinct())
+        "value", (-F.col("lead.first")).alias("id_b"), (-F.col("lead.small")).alias("n_b"), F.col("lead.h").alias("h_b"))
+    allowed = _bound_allows(F.col("n"), F.col("h"), F.col("n_b"), F.col("h_b"), settings.percent)
+    to_leader = (led.join(leaders, "value").where((F.col("id") != F.col("id_b")) & allowed)
+                 .select(*_ordered(F.col("id"), F.col("id_b"))))
 
-    pairs = stored(_plausible(met.select("a", "b").union(to_leader).distinct(), classes, settings), "neardup-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(led.select("id"))
-    sets = stored(whole_sets(docs, ends, settings), "neardup-sets")
+    candidates = _met(lists, settings).union(_met(core_lists, settings)).union(to_leader).distinct()
+    pairs = stored(_plausible(candidates, classes, settings), "neardup-pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(core_sets.select("id"), "id", "left_anti")
+    sets = core_sets.union(stored(whole_sets(docs, ends, settings), "neardup-sets"))
 
     best = pairs.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("near", (-F.col("a")).alias("other"))).alias("best"))
     first = stored(_confirmed(best.select((-F.col("best.other")).alias("a"), F.col("id").alias("b")), sets, settings), "neardup-links")
@@ -194,15 +214,14 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
     labels = components(first.union(again))
 
-    named = led.join(labels, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    named = led.join(labels, "id", "left").select("value", "id", "n", "h", F.coalesce("component", "id").alias("component"))
     largest = (named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("value")
                .agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
                .where(F.col("kinds") > 1).select("value", F.col("most.component").alias("main")))
     split = named.join(largest, "value")
     apart = split.where(F.col("component") != F.col("main")).select(
-        "value", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    cross = (split.join(apart, "value")
-             .where((F.col("component") != F.col("component_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
+        "value", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("component").alias("component_b"))
+    cross = (split.join(apart, "value").where((F.col("component") != F.col("component_b")) & allowed)
              .select(*_ordered(F.col("id"), F.col("id_b"))).distinct())
     last = stored(_confirmed(_plausible(cross, classes, settings), sets, settings), "neardup-links")
     return components(first.union(again).union(last)) if last.head(1) else labels
