@@ -195,7 +195,7 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     nearest = Window.partitionBy("id").orderBy("place")
     led = stored(lists.where("common").drop("common").join(commons, "id").where(F.col("h") * 100 >= F.col("n") * settings.percent)
                  .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= settings.leader_probes)
-                 .select("value", "id", "n", "h"), "neardup-led")
+                 .select("value", "id", "n", "h", F.collect_set("value").over(Window.partitionBy("id")).alias("met_by")), "neardup-led")
     rank = F.struct((F.col("h") / F.col("n")).alias("share"), (-F.col("n")).alias("small"), (-F.col("id")).alias("first"), "h")
     leaders = led.groupBy("value").agg(F.max(rank).alias("lead")).select(
         "value", (-F.col("lead.first")).alias("id_b"), (-F.col("lead.small")).alias("n_b"), F.col("lead.h").alias("h_b"))
@@ -214,14 +214,16 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
     labels = components(first.union(again))
 
-    named = led.join(labels, "id", "left").select("value", "id", "n", "h", F.coalesce("component", "id").alias("component"))
+    named = led.join(labels, "id", "left").select("value", "id", "n", "h", "met_by", F.coalesce("component", "id").alias("component"))
     largest = (named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("value")
                .agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
                .where(F.col("kinds") > 1).select("value", F.col("most.component").alias("main")))
     split = named.join(largest, "value")
     apart = split.where(F.col("component") != F.col("main")).select(
-        "value", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("component").alias("component_b"))
-    cross = (split.join(apart, "value").where((F.col("component") != F.col("component_b")) & allowed)
+        "value", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("met_by").alias("met_by_b"),
+        F.col("component").alias("component_b"))
+    once = F.array_min(F.array_intersect("met_by", "met_by_b")) == F.col("value")  # of the lists that both are in
+    cross = (split.join(apart, "value").where((F.col("component") != F.col("component_b")) & allowed & once)
              .select(*_ordered(F.col("id"), F.col("id_b"))).distinct())
     last = stored(_confirmed(_plausible(cross, classes, settings), sets, settings), "neardup-links")
     return components(first.union(again).union(last)) if last.head(1) else labels

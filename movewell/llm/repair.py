@@ -65,10 +65,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         if not len(found):
             break
         best = np.lexsort((found, -counts))[: settings.width]
-        rank = np.empty(len(best), np.int64)
-        order = np.argsort(found[best])
-        chosen = found[best][order]
-        rank = order
+        rank = np.argsort(found[best])
+        chosen = found[best][rank]
         at = np.searchsorted(chosen, pair)
         at[at == len(chosen)] = 0
         hit = np.where(chosen[at] == pair, rank[at], np.iinfo(np.int64).max)
@@ -224,14 +222,11 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     start is the number of ids of all documents before it in the order of writing. The running sum
     is taken over one row for each shard, and within a shard by the shard's task.
     """
-    stored = spark.read.schema(SHARDS).parquet(folder)
-    order = Window.orderBy(F.col("first").asc_nulls_first(), F.col("n_docs"), F.col("tail"))
-    place = stored.select("first", "n_ids", F.size("doc_ids").alias("n_docs"), F.element_at("doc_ids", -1).alias("tail"),
-                          F.xxhash64("doc_ids", "n_ids").alias("shard"))
+    stored = spark.read.schema(SHARDS).parquet(folder).withColumn("shard", F.xxhash64("doc_ids", "n_ids"))
+    place = stored.select("shard", "first", "n_ids", F.element_at("doc_ids", -1).alias("tail"))
     before = Window.orderBy(F.col("first").asc_nulls_first(), "tail", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    del order
     starts = place.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    rows = stored.withColumn("shard", F.xxhash64("doc_ids", "n_ids")).join(starts, "shard").select("doc_ids", "before", "payload")
+    rows = stored.join(starts, "shard").select("doc_ids", "before", "payload")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
