@@ -19,11 +19,13 @@ HR_MODE = "Moyen de déplacement"
 HR_SALARY = "Salaire brut"
 HR_DISTANCE = "distance_km"
 HR_ADDRESS = "Adresse du domicile"
-HR_DECLARATION = "declaration_correcte"
+
+# Fixed value: the name under which SQL clients find gold.
+GOLD_VIEW = "gold_eligibilites"
 
 # The business rules in force when no rules file is given.
 DEFAULT_RULES = {
-    "prime_sportive": {"rule": "commute_sportif", "percent": 0.05},
+    "prime_sportive": {"percent": 0.05},
     "bien_etre": {"min_activities": 15, "window_days": 365},
     "distance": {"max_walk_km": 15, "max_bike_km": 25},
 }

@@ -5,15 +5,17 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from movewell.fixed_values import HR_ADDRESS, HR_MODE  # noqa: E402
-from movewell.operators import distances, generator, kpi, ordering, quality  # noqa: E402
-from movewell.rules import DEFAULT, Rules, load_rules  # noqa: E402
+from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS, UP_STEPS  # noqa: E402
+from movewell.functions.status import threshold_status  # noqa: E402
+from movewell.operators import distances, generator, health as stream_health, kpi, ordering, quality  # noqa: E402
+from movewell.rules import DEFAULT, Rules, load_rules, read_bytes  # noqa: E402
 from movewell.session import job_session  # noqa: E402
 from movewell.sources.activities import append_activities, read_activities  # noqa: E402
 from movewell.sources.cdc import read_cdc_stream  # noqa: E402
@@ -22,6 +24,7 @@ from movewell.sources.routes import parse_distances  # noqa: E402
 from movewell.streaming.bronze import start_bronze  # noqa: E402
 from movewell.streaming.gold import INCREMENTAL, REBUILD, TRIGGER, GoldJob  # noqa: E402
 from movewell.streaming.notify import Outbox  # noqa: E402
+from movewell.streaming.progress import ProgressLog, read_progress  # noqa: E402
 from movewell.streaming.snapshots import SnapshotTable  # noqa: E402
 
 
@@ -41,20 +44,29 @@ def _activity_source(args: argparse.Namespace) -> str | dict[str, str]:
     return args.activities or _pairs(args.option)
 
 
+def _watched(spark: SparkSession, args: argparse.Namespace) -> None:
+    if args.progress:
+        spark.streams.addListener(ProgressLog(spark, args.progress))
+
+
 def bronze(spark: SparkSession, args: argparse.Namespace) -> None:
     messages = read_cdc_stream(spark, args.source, _pairs(args.option))
+    _watched(spark, args)
     start_bronze(messages, args.table, args.checkpoint, args.format, args.every).awaitTermination()
 
 
 def gold(spark: SparkSession, args: argparse.Namespace) -> None:
     people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
-    job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules),
-                  SnapshotTable(spark, args.table), args.mode, args.format)
+    now = (lambda: datetime.now(timezone.utc).replace(tzinfo=None)) if args.trailing else None
+    job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules), SnapshotTable(spark, args.table), args.mode,
+                  args.format, args.view, args.catalog, now)
+    _watched(spark, args)
     job.start(args.checkpoint, args.every, **_pairs(args.option)).awaitTermination()
 
 
 def notify(spark: SparkSession, args: argparse.Namespace) -> None:
     messages = read_cdc_stream(spark, args.source, _pairs(args.option))
+    _watched(spark, args)
     Outbox(spark, args.outbox).start(messages, args.checkpoint, args.every).awaitTermination()
 
 
@@ -62,12 +74,11 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> None:
     """Print the statistics, keep the evidence if a folder is given, and fail if a rule failed."""
     suite = quality.ACTIVITY_SUITE
     if args.suite:
-        with open(args.suite, encoding="utf-8") as file:
-            suite = quality.suite_from_json(file.read())
+        suite = quality.suite_from_json(read_bytes(args.suite, spark).decode("utf-8"))
     suite = quality.with_date_bounds(quality.without_column(suite, "commentaire"), args.as_of)
     rows = read_activities(spark, _activity_source(args))
     references = {"employee_id": hr_ids(load_hr(_sheet(spark, args)))}
-    statistics = quality.dq_statistics(rows, suite, references)
+    statistics = quality.evaluated(quality.dq_statistics(rows, suite, references))
     statistics.orderBy("rule_no").show(len(suite), truncate=False)
     quality.dq_summary(statistics).show(truncate=False)
     if args.evidence:
@@ -103,9 +114,29 @@ def generate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def indicators(spark: SparkSession, args: argparse.Namespace) -> None:
-    SnapshotTable(spark, args.table).register("gold_eligibilites")
+    """Print the totals; the indicators of all units are written to a folder."""
+    SnapshotTable(spark, args.table).register(GOLD_VIEW)
     kpi.kpi_total(spark).show(truncate=False)
-    kpi.kpi_by_unit(spark).orderBy("bu").show(1000, truncate=False)
+    kpi.kpi_by_unit(spark).write.mode("overwrite").parquet(args.out)
+
+
+def clean(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Remove gold versions older than a number of hours, never the newest."""
+    print("removed", SnapshotTable(spark, args.table).clean_up(timedelta(hours=args.hours)))
+
+
+def health(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Liveness and batch rates of the streams in a progress table, and the lag of a change log, as tables."""
+    rows = read_progress(spark, args.progress)
+    up = stream_health.stream_liveness(rows, args.as_of, args.threshold)
+    up.withColumn("colour", threshold_status(F.col("up"), UP_STEPS)).write.mode("overwrite").parquet(f"{args.out}/up")
+    rates = stream_health.batch_rate(rows, args.window, app="stream")
+    rates.withColumn("colour", threshold_status(F.col("events"), RATE_STEPS)).write.mode("overwrite").parquet(f"{args.out}/rates")
+    window = F.window("ts", f"{args.window} seconds")["start"].alias("window_start")
+    rows.groupBy("stream", window).agg(F.sum("input_rows").alias("input_rows")).write.mode("overwrite").parquet(f"{args.out}/input")
+    if args.messages:
+        samples = stream_health.arrival_samples(spark.read.parquet(args.messages))
+        stream_health.cdc_lag(samples, f"{args.window} seconds").write.mode("overwrite").parquet(f"{args.out}/lag")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -122,6 +153,7 @@ def _parser() -> argparse.ArgumentParser:
     def stream(sub: argparse.ArgumentParser, every: str | None) -> None:
         sub.add_argument("--every", default=every, help="pace; 'once' uses up the present input and ends")
         sub.add_argument("--format", default="parquet", help="table format")
+        sub.add_argument("--progress", help="table to which a row for every batch is added")
 
     def source(sub: argparse.ArgumentParser) -> None:
         sub.add_argument("--source", default="kafka", help="kafka, or a file format")
@@ -139,16 +171,19 @@ def _parser() -> argparse.ArgumentParser:
 
     sub = job(bronze, "table", "checkpoint")
     source(sub)
-    stream(sub, "0 seconds")
+    stream(sub, "10 seconds")
     sub = job(gold, "bronze", "table", "checkpoint")
     people(sub)
     stream(sub, TRIGGER)
     sub.add_argument("--rules")
     sub.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="bronze stream option")
     sub.add_argument("--mode", choices=(INCREMENTAL, REBUILD), default=INCREMENTAL)
+    sub.add_argument("--trailing", action="store_true", help="count the rules' trailing days only; needs --mode rebuild")
+    sub.add_argument("--view", default=GOLD_VIEW, help="SQL name of the newest version")
+    sub.add_argument("--catalog", action="store_true", help="make the view one of the catalog, for other sessions")
     sub = job(notify, "outbox", "checkpoint")
     source(sub)
-    stream(sub, "0 seconds")
+    stream(sub, "10 seconds")
     sub = job(validate)
     people(sub)
     activities(sub)
@@ -164,7 +199,13 @@ def _parser() -> argparse.ArgumentParser:
     activities(sub)
     sub.add_argument("--seed", type=int, default=0)
     sub.add_argument("--probe", action="store_true")
-    job(indicators, "table")
+    job(indicators, "table", "out")
+    job(clean, "table").add_argument("--hours", type=float, default=24.0)
+    sub = job(health, "progress", "out")
+    sub.add_argument("--threshold", default="1 minute")
+    sub.add_argument("--window", type=int, default=300, help="seconds")
+    sub.add_argument("--messages", help="change messages with their arrival time, for the lag")
+    sub.add_argument("--as-of", type=datetime.fromisoformat, default=datetime.now(timezone.utc).replace(tzinfo=None))
     return parser
 
 

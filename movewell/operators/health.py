@@ -84,11 +84,14 @@ def arrival_samples(messages: DataFrame, *stream: str, arrived: str = "timestamp
 
 
 def cdc_lag(samples: DataFrame, length: str, *stream: str) -> DataFrame:
-    """Milliseconds behind the source per stream and window: of the last arrival, and the largest."""
+    """Milliseconds behind the source per stream and window: of the last arrival, and the largest.
+
+    Of messages that arrive at the same moment the one furthest behind counts as the last.
+    """
     lag = F.timestamp_diff("MILLISECOND", F.col("committed"), F.col("arrived"))
     measured = samples.where(F.col("committed").isNotNull() & F.col("arrived").isNotNull()).withColumn("_lag", lag)
     return (measured.groupBy(*stream, F.window("arrived", length).alias("_window"))
-            .agg(F.max_by("_lag", "arrived").alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
+            .agg(F.max(F.struct("arrived", "_lag"))["_lag"].alias("last_lag_ms"), F.max("_lag").alias("max_lag_ms"))
             .select(*stream, F.col("_window.start").alias("window_start"), "last_lag_ms", "max_lag_ms"))
 
 

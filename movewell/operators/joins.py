@@ -1,4 +1,4 @@
-"""A left join to a one-row-per-key table that stays balanced when a key is hot."""
+"""Left joins to a lookup with one row per key, and counts per key."""
 
 from __future__ import annotations
 
@@ -6,52 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spark_will_broadcast(table: DataFrame) -> bool:
-    """Whether Spark's size estimate for the table is within its own broadcast limit.
-
-    Reading the estimate starts no job. Where it cannot be read the answer is no.
-    """
-    try:
-        limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        estimate = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except (AttributeError, NotImplementedError):
-        return False
-    return int(str(estimate)) <= int(limit)
-
-
 def key_counts(rows: DataFrame, key: str) -> DataFrame:
     """Rows per non-null key; each task sends one row per key, and only the key is read."""
     return (rows.select(key).where(F.col(key).isNotNull())
             .groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")))
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys holding more than two shuffle partitions' share of the rows.
-
-    Fewer than half as many keys as there are shuffle partitions can hold that share, so the
-    result is small whatever the size of the data, and safe to broadcast.
-    """
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = key_counts(rows, key)
-    total = counted.agg(F.sum("occurrences")).scalar()
-    return counted.where(F.col("occurrences") * F.lit(width) > total * F.lit(2)).select(key)
-
-
 def left_join_unique(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows LEFT JOIN lookup USING (key)`` where lookup has one row per key.
 
-    A lookup that Spark is going to broadcast moves no rows, so skew does not matter.
-    Otherwise the rows are split. Those with a hot key stay where they are and meet a
-    broadcast of the hot keys' lookup rows, at most one per two shuffle partitions; those
-    with a null key stay too, as they match nothing. The rest is joined by shuffle, where no
-    key is left that could fill a task, and a lookup grouped by the key is not moved again.
+    One plan for all sizes, left to Spark: a lookup within its broadcast limit moves no rows, a
+    larger one is joined by shuffle, where partitions made large by a hot or a null key are split
+    at run time, as the rows stand on the outer side. The lookup must be one whose size Spark can
+    tell: a stream's state is not, it looks as small as the batch's new rows.
     """
-    if spark_will_broadcast(lookup):
-        return rows.join(lookup, key, "left")
-    hot = F.broadcast(hot_keys(rows, key).withColumn("_hot", F.lit(True)))
-    marked = rows.join(hot, key, "left")
-    stays = F.col("_hot").isNotNull() | F.col(key).isNull()
-    moved = marked.where(~stays).drop("_hot").join(lookup, key, "left")
-    hot_rows = F.broadcast(lookup.join(hot, key).drop("_hot"))
-    kept = marked.where(stays).drop("_hot").join(hot_rows, key, "left")
-    return moved.unionByName(kept)
+    return rows.join(lookup, key, "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from movewell.fixed_values import GOLD_VIEW
+
 # Money is summed as decimals, so the total does not depend on the order of addition.
 _MEASURES = """
     count(*) AS employees,
@@ -14,9 +16,9 @@ _MEASURES = """
 """
 
 
-def kpi_by_unit(spark: SparkSession, table: str = "gold_eligibilites") -> DataFrame:
+def kpi_by_unit(spark: SparkSession, table: str = GOLD_VIEW) -> DataFrame:
     return spark.sql(f"SELECT bu, {_MEASURES} FROM {table} GROUP BY bu")
 
 
-def kpi_total(spark: SparkSession, table: str = "gold_eligibilites") -> DataFrame:
+def kpi_total(spark: SparkSession, table: str = GOLD_VIEW) -> DataFrame:
     return spark.sql(f"SELECT {_MEASURES} FROM {table}")

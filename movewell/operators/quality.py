@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from movewell.fixed_values import ACTIVITY_TYPES, GENERATED_SECONDS, MARKER_TYPE
 from movewell.functions.time import moment
-from movewell.operators.joins import key_counts, left_join_unique, spark_will_broadcast
+from movewell.operators.joins import key_counts
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 IN_SET = "expect_column_values_to_be_in_set"
@@ -129,14 +129,11 @@ def unknown_values(rows: DataFrame, column: str, reference: DataFrame) -> DataFr
 def rows_with_unknown_value(rows: DataFrame, column: str, reference: DataFrame) -> DataFrame:
     """Rows whose non-null value is missing from the one-column reference.
 
-    A reference small enough to broadcast is looked up in the scan. Otherwise the rows meet
-    the unknown values, which are few in sound data, with hot values kept out of the shuffle.
+    A reference within Spark's broadcast limit is looked up in the scan; beyond it rows and
+    reference are shuffled, and partitions made large by a hot value are split at run time.
     """
     values = _typed(rows, column, reference).where(F.col(column).isNotNull())
-    if spark_will_broadcast(reference):
-        return values.join(reference.toDF(column).dropna(), column, "left_anti")
-    unknown = left_join_unique(values, unknown_values(rows, column, reference), column)
-    return unknown.where(F.col("occurrences").isNotNull()).drop("occurrences")
+    return values.join(reference.toDF(column).dropna(), column, "left_anti")
 
 
 def _totals(rows: DataFrame, suite: Suite, references: Mapping[str, DataFrame]) -> DataFrame:
@@ -184,8 +181,7 @@ def dq_violations(rows: DataFrame, suite: Suite, references: Mapping[str, DataFr
                   key: str = "id") -> DataFrame:
     """One row per broken rule and checked row: the key, the rule and the value as text.
 
-    Literal rules are decided in the scan. A reference rule joins only (key, value) pairs,
-    with hot values kept out of the shuffle.
+    Literal rules are decided in the scan. A reference rule joins only (key, value) pairs.
     """
     def evidence(number: int, rule: Expectation) -> Column:
         return F.struct(F.lit(number).alias("rule_no"), F.lit(rule.kind).alias("expectation"),
@@ -212,6 +208,11 @@ def invalid_employee_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return unknown_values(rows.where(is_checked()), "employee_id", ids).select("employee_id")
 
 
+def evaluated(statistics: DataFrame) -> DataFrame:
+    """The statistics as local rows, one per rule: what reads them later scans nothing again."""
+    return statistics.sparkSession.createDataFrame(statistics.collect(), statistics.schema)
+
+
 def require_success(statistics: DataFrame) -> None:
     """Raise if a rule failed. The driver sees one row per rule, never data rows."""
     failed = statistics.where(~F.col("success")).orderBy("rule_no")

@@ -10,7 +10,7 @@ rh AS (
     30000.0e0 + c_acctbal AS salaire_brut_annuel,
     CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST((c_custkey * 7) % 400 AS DOUBLE) / 10.0e0 END AS distance_km,
     CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'siège'
-      ELSE CAST(c_custkey // 3 AS VARCHAR) || ' rue des Platanes' END AS address
+      ELSE CAST(c_custkey // 3 AS VARCHAR) || ' chemin du Moulin' END AS address
   FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)"""
 
 ACT = """
@@ -228,10 +228,27 @@ WITH lagged AS (
   SELECT user_id, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS arrived,
     (epoch_us(ts) % 1000 + CAST(round(value * 1000000) AS BIGINT)) // 1000 AS lag_ms  -- commit time in whole ms
   FROM events)
-SELECT user_id, date_trunc('hour', arrived) AS window_start, arg_max(lag_ms, arrived) AS last_lag_ms,
+SELECT user_id, date_trunc('hour', arrived) AS window_start, max({'at': arrived, 'lag': lag_ms}).lag AS last_lag_ms,
   max(lag_ms) AS max_lag_ms
 FROM lagged GROUP BY 1, 2""",
     "sessions_by_state": """
 SELECT event_type AS state, count(*) AS sessions FROM events
 WHERE event_id % 5 <> 0 AND user_id % 3 <> 0 GROUP BY 1""",
 }
+
+_OTHER_RULES = (("<= 15)", "<= 10)"), ("<= 25)", "<= 20)"), (">= 15 AS", ">= 12 AS"), ("* 0.05e0", "* 0.08e0"))
+
+
+def _other_rules(sql: str) -> str:
+    """The same statement under the second rules file of gold_stream_rules."""
+    for one, other in _OTHER_RULES:
+        sql = sql.replace(one, other)
+    return sql
+
+
+ORACLES["gold_stream_sql"] = ORACLES["gold_sql_kpi"]
+ORACLES["dq_table"] = ORACLES["dq_statistics"]
+ORACLES["gold_stream_rules"] = _other_rules(ORACLES["gold_stream"]).replace("coalesce(nb_activites, 0) AS nb_activites,", """coalesce(nb_activites, 0) AS nb_activites,
+  md5('{"prime_sportive": {"percent": 0.08}, "bien_etre": {"min_activities": 12}, "distance": {"max_walk_km": 10, "max_bike_km": 20}}'
+      || chr(10)) AS fingerprint,""")
+ORACLES["stream_progress"] = "SELECT 'bronze' AS stream, CAST(4 AS BIGINT) AS batches, count(*) AS input_rows FROM orders"

@@ -8,21 +8,22 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movewell.fixed_values import HR_ADDRESS, HR_MODE, RATE_STEPS
+from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS
 from movewell.functions import status
 from movewell.operators import distances, eligibility, health, kpi, notifications as notices, quality
 from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
 from movewell.operators.ordering import activities_by_date as ordered_by_date
 from movewell.plans import views
-from movewell.rules import DEFAULT
+from movewell.rules import DEFAULT, load_rules
 from movewell.session import shared_dir
-from movewell.sources.activities import append_activities, read_bronze, read_loaded
+from movewell.sources.activities import append_activities, read_activities, read_bronze, read_loaded
 from movewell.sources.cdc import decode_activities, read_cdc_stream
 from movewell.sources.hr import hr_ids, load_hr, strip_headers, write_hr
 from movewell.sources.routes import parse_distances
 from movewell.streaming.bronze import start_bronze
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
+from movewell.streaming.progress import ProgressLog, read_progress
 from movewell.streaming.runs import finish
 from movewell.streaming.snapshots import SnapshotTable
 
@@ -82,7 +83,7 @@ def gold_sparse(spark, sf_dir):
 def _publish_gold(spark: SparkSession, sf_dir: str) -> None:
     gold = SnapshotTable(spark, shared_dir(spark, "gold"))
     gold.publish(gold_eligibility(spark, sf_dir))
-    gold.register("gold_eligibilites")
+    gold.register(GOLD_VIEW)
 
 
 @registered
@@ -136,24 +137,48 @@ def bronze_stream(spark, sf_dir):
     return _zoneless(read_bronze(spark, f"{base}/table"))
 
 
-def _stream_gold(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    base = shared_dir(spark, "gold-stream")
-    job = GoldJob(f"{base}/bronze", views.hr(spark, sf_dir), lambda: (DEFAULT, "default"),
+def _stream_gold(spark: SparkSession, sf_dir: str, mode: str, rules=lambda wave: (DEFAULT, "default")) -> GoldJob:
+    """Run bronze and gold over the arriving log; each wave restarts both, under the wave's rules."""
+    base, now = shared_dir(spark, "gold-stream"), {"wave": 0}
+    job = GoldJob(f"{base}/bronze", views.hr(spark, sf_dir), lambda: rules(now["wave"]),
                   SnapshotTable(spark, f"{base}/gold"), mode)
-    for wave, messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
+    for now["wave"], messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
         finish(start_bronze(messages, job.bronze_path, f"{base}/bronze-checkpoint"))
-        finish(job.start(f"{base}/gold-checkpoint", every=None, initial=wave == 0))
-    return job.gold.read()
+        finish(job.start(f"{base}/gold-checkpoint", every=None))
+    return job
 
 
 @registered
 def gold_stream(spark, sf_dir):
-    return _stream_gold(spark, sf_dir, INCREMENTAL)
+    return _stream_gold(spark, sf_dir, INCREMENTAL).gold.read()
+
+
+@registered
+def gold_stream_sql(spark, sf_dir):
+    """Indicators that SQL finds under gold's name while the stream runs: each version is registered."""
+    _stream_gold(spark, sf_dir, INCREMENTAL)
+    return kpi.kpi_by_unit(spark)
+
+
+RULES_FILES = ('{"prime_sportive": {"percent": 0.05}, "bien_etre": {"min_activities": 15}, '
+               '"distance": {"max_walk_km": 15, "max_bike_km": 25}}',
+               '{"prime_sportive": {"percent": 0.08}, "bien_etre": {"min_activities": 12}, '
+               '"distance": {"max_walk_km": 10, "max_bike_km": 20}}')
+
+
+@registered
+def gold_stream_rules(spark, sf_dir):
+    """Gold under a rules file that changes between two restarts, with the file's fingerprint."""
+    base = shared_dir(spark, "rules")
+    for number, text in enumerate(RULES_FILES):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{base}/{number}.json")
+    job = _stream_gold(spark, sf_dir, INCREMENTAL, lambda wave: load_rules(f"{base}/{min(wave, 1)}.json", spark))
+    return job.gold.read().withColumn("fingerprint", F.lit(job.gold.latest()["fingerprint"]))
 
 
 @registered
 def gold_stream_rebuild(spark, sf_dir):
-    return _stream_gold(spark, sf_dir, REBUILD)
+    return _stream_gold(spark, sf_dir, REBUILD).gold.read()
 
 
 @registered
@@ -186,6 +211,15 @@ def dq_statistics(spark, sf_dir):
     return quality.dq_statistics(*_quality_inputs(spark, sf_dir))
 
 
+@registered
+def dq_table(spark, sf_dir):
+    """Statistics over an activity table that was written and is read as a source."""
+    rows, suite, references = _quality_inputs(spark, sf_dir)
+    path = f"{shared_dir(spark, 'activities')}/table"
+    rows.write.parquet(path)
+    return quality.dq_statistics(read_activities(spark, path), suite, references)
+
+
 @registered
 def dq_summary(spark, sf_dir):
     return quality.dq_summary(quality.dq_statistics(*_quality_inputs(spark, sf_dir)))
@@ -273,6 +307,22 @@ def activity_load(spark, sf_dir):
 # --- Stream health ------------------------------------------------------------------------
 
 
+@registered
+def stream_progress(spark, sf_dir):
+    """Rows and batches of a stream over all messages, from the table its listener writes."""
+    base = shared_dir(spark, "progress")
+    views.cdc_messages(spark, sf_dir).repartition(4).write.parquet(f"{base}/log")
+    messages = read_cdc_stream(spark, "parquet", {"path": f"{base}/log", "maxFilesPerTrigger": "1"})
+    log = ProgressLog(spark, f"{base}/progress", piece=3)
+    spark.streams.addListener(log)
+    try:
+        log.wait_for(finish(start_bronze(messages, f"{base}/table", f"{base}/checkpoint")))
+    finally:
+        spark.streams.removeListener(log)
+    rows = read_progress(spark, f"{base}/progress").where("input_rows > 0")
+    return rows.groupBy("stream").agg(F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("input_rows"))
+
+
 @registered
 def stream_liveness(spark, sf_dir):
     samples = views.events(spark, sf_dir).withColumn("stream", F.col("user_id").cast("string"))

@@ -52,7 +52,7 @@ def _address(custkey: Column) -> Column:
     """Shared by three customers, missing for some; every fourth customer gives the head office."""
     return (F.when(custkey % 13 == 0, F.lit(None).cast("string"))
              .when(custkey % 4 == 1, F.lit("siège"))
-             .otherwise(F.concat(F.floor(custkey / 3).cast("string"), F.lit(" rue des Platanes"))))
+             .otherwise(F.concat(F.floor(custkey / 3).cast("string"), F.lit(" chemin du Moulin"))))
 
 
 def hr_people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ class Rules:
 DEFAULT = Rules.from_mapping(DEFAULT_RULES)
 
 
-def _raw_bytes(path: str, spark: SparkSession | None) -> bytes:
-    if spark is not None and "://" in path:
+def read_bytes(path: str, spark: SparkSession | None = None) -> bytes:
+    """A small file: with a session as Spark finds the path, in shared storage too, else a local one."""
+    if spark is not None:
         return bytes(spark.read.format("binaryFile").load(path).first()["content"])
     with open(path, "rb") as file:
         return file.read()
@@ -46,9 +47,9 @@ def _raw_bytes(path: str, spark: SparkSession | None) -> bytes:
 def load_rules(path: str, spark: SparkSession | None = None) -> tuple[Rules, str]:
     """Read a YAML or JSON rules file; the fingerprint is the md5 of its bytes.
 
-    A path with a scheme is read through Spark, so the file may lie in shared storage.
+    With a session the path is Spark's: in shared storage, or local as file:///...
     """
-    raw = _raw_bytes(path, spark)
+    raw = read_bytes(path, spark)
     if path.endswith(".json"):
         settings = json.loads(raw)
     else:

@@ -37,5 +37,9 @@ def hr_ids(hr: DataFrame) -> DataFrame:
 
 
 def write_hr(hr: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the enriched sheet to a folder of its own, never the one it was read from."""
+    """Write the enriched sheet to a folder of its own; one that it is read from is refused."""
+    hadoop = hr.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path).toUri().getPath().rstrip("/")
+    if any(f"{hadoop(file).toUri().getPath()}/".startswith(f"{target}/") for file in hr.inputFiles()):
+        raise ValueError(f"{path} holds the sheet that is read; write to another folder")
     hr.write.format(fmt).mode("overwrite").save(path)

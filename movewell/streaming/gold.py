@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from movewell.operators.eligibility import activity_counts, gold_from_counts
+from movewell.fixed_values import GOLD_VIEW
+from movewell.operators.eligibility import activity_counts, gold_from_counts, trailing
 from movewell.rules import Rules
 from movewell.sources.activities import read_bronze, stream_bronze
 from movewell.streaming.runs import start
@@ -20,12 +23,14 @@ INCREMENTAL, REBUILD = "incremental", "rebuild"
 
 @dataclass
 class GoldJob:
-    """Publishes gold from bronze.
+    """Publishes gold from bronze, and registers each version for SQL as ``view``.
 
     ``incremental`` keeps one count per employee in the stream's state, so a batch costs as
     much as its new rows and the employees, however long the history. ``rebuild`` counts the
-    whole history in every batch. Both give the same gold and read the rules anew each time,
-    so changed rules hold from the next batch or the next start.
+    whole history in every batch; with ``as_of`` only the rules' trailing days. Rules are read
+    anew for every version. A version in which a count is below that in force is not shown:
+    after an initial build the stream first has to catch up with the history. With ``as_of``
+    counts may fall, as days leave the period.
     """
 
     bronze_path: str
@@ -34,17 +39,36 @@ class GoldJob:
     gold: SnapshotTable
     mode: str = INCREMENTAL
     fmt: str = "parquet"
+    view: str = GOLD_VIEW
+    catalog: bool = False
+    as_of: Callable[[], datetime] | None = None
+    level: bool = field(default=False, init=False)
 
     def __post_init__(self) -> None:
         if self.mode not in (INCREMENTAL, REBUILD):
             raise ValueError(f"mode is {INCREMENTAL} or {REBUILD}, not {self.mode}")
+        if self.as_of and self.mode != REBUILD:
+            raise ValueError("counts of a trailing period need the rebuild mode")
 
-    def _publish(self, counts: DataFrame, batch_id: int) -> None:
+    def _publish(self, counts: DataFrame, batch_id: int, growing: bool = True) -> None:
         rules, fingerprint = self.rules()
-        self.gold.publish(gold_from_counts(self.hr, counts, rules), batch_id, fingerprint)
+        gold = gold_from_counts(self.hr, counts, rules)
+        self.gold.publish(gold, batch_id, fingerprint, self._caught_up if growing else None)
+        self.register()
+
+    def _caught_up(self, new: DataFrame, shown: DataFrame) -> bool:
+        """Whether no employee's count falls. Counts grow with bronze, so one yes holds until the next start."""
+        if not self.level:
+            before = shown.select("employee_id", F.col("nb_activites").alias("before"))
+            self.level = new.join(before, "employee_id").where(F.col("nb_activites") < F.col("before")).isEmpty()
+        return self.level
+
+    def register(self) -> None:
+        self.gold.register(self.view, self.catalog)
 
     def _history(self) -> DataFrame:
-        return read_bronze(self.gold.spark, self.bronze_path, self.fmt)
+        history = read_bronze(self.gold.spark, self.bronze_path, self.fmt)
+        return trailing(history, self.as_of(), self.rules()[0].window_days) if self.as_of else history
 
     def rules_changed(self) -> bool:
         last = self.gold.latest()
@@ -55,22 +79,36 @@ class GoldJob:
         history = self._history()
         if history.isEmpty():
             return False
-        self._publish(activity_counts(history), batch_id=-1)
+        self._publish(activity_counts(history), batch_id=-1, growing=not self.as_of)
+        self.level = False  # the stream may still be behind the history
         return True
 
     def on_counts(self, counts: DataFrame, batch_id: int) -> None:
-        self._publish(counts, batch_id)
+        """Write the state's counts, then join them from there.
+
+        Spark takes a state for as small as the batch's new rows and would broadcast it whatever it
+        holds; of a written table it knows the size. Also every state partition is read to its end.
+        """
+        path = f"{self.gold.path}/counts"
+        counts.write.mode("overwrite").parquet(path)
+        self._publish(self.gold.spark.read.schema(counts.schema).parquet(path), batch_id)
 
     def on_arrival(self, _new: DataFrame, batch_id: int) -> None:
         history = self._history()
-        if not history.isEmpty():
-            self._publish(activity_counts(history), batch_id)
+        if self.as_of or not history.isEmpty():
+            self._publish(activity_counts(history), batch_id, growing=not self.as_of)
 
     def start(self, checkpoint: str, every: str | None = TRIGGER, initial: bool = True,
               **source_options: str) -> StreamingQuery:
-        """Build gold from the history, then follow the bronze table."""
-        if initial:
+        """Build gold from the history if there is none yet or the rules changed, then follow bronze.
+
+        An unchanged restart reads no history and publishes nothing; it only registers what there is.
+        """
+        self.level = False
+        if initial and self.rules_changed():
             self.build_initial()
+        elif self.gold.latest():
+            self.register()
         arriving = stream_bronze(self.gold.spark, self.bronze_path, self.fmt, **source_options)
         if self.mode == INCREMENTAL:
             writer = activity_counts(arriving).writeStream.outputMode("complete").foreachBatch(self.on_counts)

@@ -1,19 +1,71 @@
-"""Progress of streaming queries as rows for the health operators."""
+"""Progress of streaming queries as rows for the health operators, kept beyond Spark's short memory."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from threading import Condition
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 PROGRESS_SCHEMA = ("stream STRING, batch_id BIGINT, ts TIMESTAMP, input_rows BIGINT, "
                    "rows_per_second DOUBLE, duration_ms BIGINT")
 
 
+class ProgressLog(StreamingQueryListener):
+    """Appends one row for every progress report to a table, in pieces of at most ``piece`` rows.
+
+    A piece is written when it is full and when a query ends. Register with
+    ``spark.streams.addListener``; ``flush`` writes what is waiting.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, piece: int = 100):
+        self.spark, self.path, self.piece = spark, path, piece
+        self._rows: list[tuple] = []
+        self._lock = Condition()
+        self._ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        with self._lock:
+            self._rows.append((report.name, report.batchId, datetime.fromisoformat(report.timestamp), report.numInputRows,
+                               float(report.inputRowsPerSecond or 0.0), report.durationMs.get("triggerExecution")))
+            full = len(self._rows) >= self.piece
+        if full:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:
+        self.flush()
+        with self._lock:
+            self._ended.add(str(event.runId))
+            self._lock.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 60) -> bool:
+        """Whether all reports of a query that ended have arrived, within the time given."""
+        with self._lock:
+            return self._lock.wait_for(lambda: str(query.runId) in self._ended, seconds)
+
+    def flush(self) -> None:
+        with self._lock:
+            rows, self._rows = self._rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a progress table."""
+    return spark.read.schema(PROGRESS_SCHEMA).parquet(path)
+
+
 def progress_rows(spark: SparkSession, queries: Iterable[StreamingQuery]) -> DataFrame:
-    """The recent progress Spark keeps for each query (a bounded list) as a DataFrame."""
+    """The last reports Spark itself keeps for each query (100 by default); ProgressLog keeps all."""
     rows = [
         (report["name"], report["batchId"], datetime.fromisoformat(report["timestamp"]),
          report["numInputRows"], float(report.get("inputRowsPerSecond") or 0.0),

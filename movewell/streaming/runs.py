@@ -13,9 +13,11 @@ def start(writer: DataStreamWriter, checkpoint: str, every: str | None = None,
     return writer.start(path) if path else writer.start()
 
 
-def finish(query: StreamingQuery, seconds: int = 3600) -> StreamingQuery:
-    """Wait for an available-now query; one that hangs is stopped and reported."""
-    if not query.awaitTermination(seconds):
+def finish(query: StreamingQuery, seconds: int | None = None) -> StreamingQuery:
+    """Wait for an available-now query to end; with a limit, one that takes longer is stopped and reported."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream did not finish in {seconds} s")
     return query

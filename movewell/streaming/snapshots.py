@@ -1,57 +1,73 @@
-"""Whole-table snapshots that readers can use while the next one is written."""
+"""Whole-table snapshots: one immutable folder per version."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = "version BIGINT, batch_id BIGINT, fingerprint STRING, slot INT"
+LOG_SCHEMA = "batch_id BIGINT, fingerprint STRING, written TIMESTAMP, version BIGINT"
 
 
 class SnapshotTable:
     """A table that is replaced as a whole, with its schema, in numbered versions.
 
-    Version N is written to slot ``N % keep`` and becomes visible when its one-row log entry
-    is written. A crash in between leaves the previous version in force. Nothing that readers
-    may still use is deleted: a slot is overwritten ``keep`` versions later, which also bounds
-    the space. One writer at a time. The schema may change from one version to the next.
+    Version N is written to a folder of its own and becomes visible with its one-row log entry; a
+    crash in between leaves the version before in force, and the folder is written anew. No
+    visible version is ever changed, so readers and views keep theirs until ``clean_up`` takes
+    those older than a given age. One writer at a time. The schema may change between versions.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 4, fmt: str = "parquet"):
-        if keep < 2:
-            raise ValueError("keep at least two versions: the one in use and the one being written")
-        self.spark, self.path, self.keep, self.fmt = spark, path.rstrip("/"), keep, fmt
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
+        self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
 
-    def latest(self) -> Row | None:
-        """The newest log entry; the log holds at most ``keep`` rows."""
+    def log(self) -> DataFrame | None:
+        """One row per version there is; null before the first."""
         try:
-            log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+            return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return log.orderBy(F.desc("version")).first()
 
-    def publish(self, snapshot: DataFrame, batch_id: int = -1, fingerprint: str = "") -> int:
-        """Write the next version. A batch that is replayed unchanged is not written again."""
+    def latest(self) -> Row | None:
+        log = self.log()
+        return None if log is None else log.orderBy(F.desc("version")).first()
+
+    def publish(self, snapshot: DataFrame, batch_id: int = -1, fingerprint: str = "",
+                accept: Callable[[DataFrame, DataFrame], bool] | None = None) -> int:
+        """Write the next version and return its number.
+
+        A batch that is replayed unchanged is not written again. ``accept`` is asked with the data
+        written and those in force; a version it refuses is not made visible.
+        """
         last = self.latest()
         if last and batch_id >= 0 and (last["batch_id"], last["fingerprint"]) == (batch_id, fingerprint):
             return last["version"]
         version = last["version"] + 1 if last else 0
-        slot = version % self.keep
-        snapshot.write.format(self.fmt).mode("overwrite").save(f"{self.path}/data/slot={slot}")
+        snapshot.write.format(self.fmt).mode("overwrite").save(self._data(version))
+        if last and accept and not accept(self._load(version), self._load(last["version"])):
+            return last["version"]
         entry = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"), F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(fingerprint).alias("fingerprint"))
-        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/slot={slot}")
+            F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(fingerprint).alias("fingerprint"),
+            F.current_timestamp().alias("written"))
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
         return version
 
+    def _data(self, version: int) -> str:
+        return f"{self.path}/data/version={version}"
+
+    def _load(self, version: int) -> DataFrame:
+        return self.spark.read.format(self.fmt).load(self._data(version))
+
     def location(self) -> str:
         last = self.latest()
         if last is None:
             raise LookupError(f"nothing published yet in {self.path}")
-        return f"{self.path}/data/slot={last['slot']}"
+        return self._data(last["version"])
 
     def read(self) -> DataFrame:
         return self.spark.read.format(self.fmt).load(self.location())
@@ -65,3 +81,21 @@ class SnapshotTable:
             self.spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {self.fmt}.`{self.location()}`")
         else:
             self.read().createOrReplaceTempView(name)
+
+    def clean_up(self, age: timedelta, now: datetime | None = None) -> list[int]:
+        """Remove versions written longer than ``age`` ago, never the newest; return their numbers.
+
+        A job of its own: no reader may need a version for longer than that.
+        """
+        log = self.log()
+        if log is None:
+            return []
+        before = F.lit(now or datetime.now()) - F.lit(age)
+        old = log.where(F.col("written") < before).where(F.col("version") < self.latest()["version"])
+        versions = sorted(row["version"] for row in old.select("version").collect())
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for version in versions:  # the entry first: a version without one is not there
+            for folder in (f"{self.path}/log/version={version}", self._data(version)):
+                path = hadoop(folder)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return versions

@@ -95,3 +95,15 @@ def test_indicators(spark):
     by_unit = {row["bu"]: tuple(row)[1:] for row in kpi_by_unit(spark, "gold_test").collect()}
     assert by_unit == {"a": (2, 1, 10.0005, 1, 20), "b": (1, 1, 5.0, 1, 15)}
     assert tuple(kpi_total(spark, "gold_test").first()) == (3, 2, 15.0005, 2, 35)
+
+
+def test_a_sheet_is_not_written_over_itself(spark, tmp_path):
+    from movewell.sources.hr import write_hr
+    path = f"{tmp_path}/sheet"
+    spark.range(3).write.parquet(path)
+    for target in (path, path + "/", str(tmp_path)):
+        with pytest.raises(ValueError):
+            write_hr(spark.read.parquet(path), target)
+    assert spark.read.parquet(path).count() == 3
+    write_hr(spark.read.parquet(path), f"{tmp_path}/sheet2")
+    assert spark.read.parquet(f"{tmp_path}/sheet2").count() == 3

@@ -114,3 +114,11 @@ def test_hot_series_is_cut_into_even_runs(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(sizes) < 40_000 / 4
+
+
+def test_the_last_of_equal_arrivals_is_the_one_furthest_behind(spark):
+    from movewell.operators.health import cdc_lag
+    rows = [("2024-01-01 00:00:00", "2024-01-01 00:00:05"), ("2024-01-01 00:00:03", "2024-01-01 00:00:05"), ("2024-01-01 00:00:00", "2024-01-01 00:00:04")]
+    frame = spark.createDataFrame(rows, "committed string, arrived string").select(
+        *[F.col(c).cast("timestamp").alias(c) for c in ("committed", "arrived")])
+    assert [r["last_lag_ms"] for r in cdc_lag(frame, "1 hour").collect()] == [5000]

@@ -58,8 +58,11 @@ def test_whole_pipeline(spark, tmp_path, hr, capsys):
         assert row["nb_activites"] == counts[number] and row["jours_bien_etre"] == (counts[number] >= 18)
         assert row["montant_prime_euros"] == (3000.0 if number % 3 and number <= 10 else 0.0)
 
-    main(["indicators", "--table", f"{base}/gold"])
+    main(["indicators", "--table", f"{base}/gold", "--out", f"{base}/indicators"])
     assert "total_primes_euros" in capsys.readouterr().out
+    assert {r["bu"]: r["employees"] for r in spark.read.parquet(f"{base}/indicators").collect()} == {"A": 15, "B": 15}
+    main(["clean", "--table", f"{base}/gold", "--hours", "1"])
+    assert SnapshotTable(spark, f"{base}/gold").read().count() == 30
 
     main(["notify", *options, "--outbox", f"{base}/outbox", "--checkpoint", f"{base}/ck3"])
     assert Outbox(spark, f"{base}/outbox").read().count() == 0  # nothing after the marker yet
@@ -71,6 +74,25 @@ def test_whole_pipeline(spark, tmp_path, hr, capsys):
     assert len(texts) == 1 and "`999999999`" in texts[0]["text"]
 
 
+def test_indicators_of_more_than_a_thousand_units(spark, tmp_path):
+    rows = spark.range(1001).select(F.col("id").cast("string").alias("bu"), F.lit(True).alias("prime_sportive"),
+                                    F.lit(1.0).alias("montant_prime_euros"), F.lit(False).alias("jours_bien_etre"), F.lit(1).alias("nb_activites"))
+    SnapshotTable(spark, f"{tmp_path}/gold").publish(rows)
+    main(["indicators", "--table", f"{tmp_path}/gold", "--out", f"{tmp_path}/out"])
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1001
+
+
+def test_health_of_a_progress_table(spark, tmp_path):
+    rows = [("bronze", n, f"2025-08-01 11:5{n}:00", 10 * n) for n in range(5)] + [("gold", 0, "2025-08-01 08:00:00", 1)]
+    frame = spark.createDataFrame(rows, "stream string, batch_id bigint, ts string, input_rows bigint").withColumn("ts", F.col("ts").cast("timestamp"))
+    frame.write.parquet(f"{tmp_path}/progress")
+    main(["health", "--progress", f"{tmp_path}/progress", "--out", f"{tmp_path}/out", "--as-of", NOW, "--threshold", "10 minutes"])
+    assert {r["stream"]: (r["up"], r["colour"]) for r in spark.read.parquet(f"{tmp_path}/out/up").collect()} == {
+        "bronze": (1, "green"), "gold": (0, "dark-red")}
+    assert spark.read.parquet(f"{tmp_path}/out/rates").agg(F.sum("events")).first()[0] == 6
+    assert spark.read.parquet(f"{tmp_path}/out/input").agg(F.sum("input_rows")).first()[0] == 101
+
+
 def test_validation_passes_then_fails(spark, tmp_path, hr):
     main(["generate", "--hr", hr, "--activities", f"{tmp_path}/load", "--as-of", NOW])
     rows = read_loaded(spark, f"{tmp_path}/load").withColumn("id", F.monotonically_increasing_id())

@@ -1,9 +1,9 @@
-"""The skew-safe join against the plain one, and its balance."""
+"""The left join to one row per key: rows, plans and balance."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from movewell.operators.joins import hot_keys, left_join_unique, spark_will_broadcast
+from movewell.operators.joins import left_join_unique
 
 
 def skewed_rows(spark):
@@ -17,48 +17,36 @@ def lookup_table(spark):
     return spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
 
 
-def test_hot_keys_are_few(spark):
-    assert [row["k"] for row in hot_keys(skewed_rows(spark), "k").collect()] == [7]
+def final_plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_uniform_keys_are_not_hot(spark):
-    rows = spark.range(10_000).select((F.col("id") % 100).alias("k"))
-    assert hot_keys(rows, "k").count() == 0
+def test_every_row_once_with_its_value(spark, no_broadcast):
+    rows = left_join_unique(skewed_rows(spark), lookup_table(spark), "k").collect()
+    assert len({row["row_id"] for row in rows}) == len(rows) == 30_000
+    assert all(row["v"] == (row["k"] * 10 if row["k"] is not None and row["k"] < 400 else None) for row in rows)
 
 
-def test_same_rows_as_the_plain_join(spark, no_broadcast):
-    rows, lookup = skewed_rows(spark), lookup_table(spark)
-    assert not spark_will_broadcast(lookup)
-    ours = left_join_unique(rows, lookup, "k").select("row_id", "k", "v")
-    plain = rows.join(lookup, "k", "left").select("row_id", "k", "v")
-    assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
-    assert ours.count() == 30_000
+def test_small_lookup_is_joined_without_moving_rows(spark):
+    plan = final_plan(left_join_unique(skewed_rows(spark), lookup_table(spark), "k"))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
-def test_hot_and_null_rows_do_not_pile_up_in_a_task(spark, no_broadcast):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_hot_and_null_keys_are_split_at_run_time(spark, no_broadcast):
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         joined = left_join_unique(skewed_rows(spark), lookup_table(spark), "k")
-        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+        sizes = joined.select(F.spark_partition_id().alias("p")).collect()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 30_000
-    assert max(sizes) < 10_000  # one hot key alone would put 10 000 rows into a task
-
-
-def test_small_lookup_is_joined_without_moving_rows(spark):
-    rows, lookup = skewed_rows(spark), lookup_table(spark)
-    assert spark_will_broadcast(lookup)
-    plan = left_join_unique(rows, lookup, "k")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-
-
-def test_grouped_lookup_is_shuffled_once(spark, tables, no_broadcast):
-    orders = spark.read.parquet(f"{tables}/orders.parquet").withColumnRenamed("o_custkey", "k")
-    joined = left_join_unique(skewed_rows(spark), orders.groupBy("k").agg(F.count("*").alias("n")), "k")
-    joined._jdf.queryExecution().toRdd().count()
-    final = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==\n   Union")[0]
-    assert "Final Plan" in final and final.count("orders.parquet") == 1  # the second use reuses the exchange
+        for key in settings:
+            spark.conf.unset(key)
+    counts = {}
+    for row in sizes:
+        counts[row["p"]] = counts.get(row["p"], 0) + 1
+    assert sum(counts.values()) == 30_000 and max(counts.values()) < 15_000  # unsplit, 22 000 rows meet in one task
 
 
 @pytest.mark.parametrize("rows", [0, 1])

@@ -1,6 +1,7 @@
 """Streams against batch, restarts, replays and failures half-way."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -18,7 +19,7 @@ from movewell.sources.cdc import decode_activities, read_cdc_stream
 from movewell.streaming.bronze import start_bronze
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
-from movewell.streaming.progress import progress_rows
+from movewell.streaming.progress import ProgressLog, progress_rows, read_progress
 from movewell.streaming.runs import finish
 from movewell.streaming.snapshots import SnapshotTable
 
@@ -121,7 +122,7 @@ def test_unknown_mode_is_refused(spark, tmp_path):
 
 
 def test_snapshots_keep_the_previous_version_until_the_next_is_complete(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t", keep=2)
+    table = SnapshotTable(spark, f"{tmp_path}/t")
     assert table.publish(spark.range(3), 0, "f") == 0
     before = table.read()
     broken = spark.range(5).select(F.raise_error(F.lit("executor gone")).alias("id"))
@@ -133,7 +134,7 @@ def test_snapshots_keep_the_previous_version_until_the_next_is_complete(spark, t
 
 
 def test_snapshots_replay_and_schema_change(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t", keep=3)
+    table = SnapshotTable(spark, f"{tmp_path}/t")
     table.publish(spark.range(2), 0, "f")
     assert table.publish(spark.range(99), 0, "f") == 0  # a replayed batch is already there
     assert table.read().count() == 2
@@ -142,9 +143,121 @@ def test_snapshots_replay_and_schema_change(spark, tmp_path):
         wider = spark.range(version).withColumn("extra", F.lit("x"))
         assert table.publish(wider, version, "g") == version
     assert table.read().columns == ["id", "extra"] and table.read().count() == 6
-    assert spark.read.parquet(f"{tmp_path}/t/log").count() == 3
+    assert table.log().count() == 7
+
+
+def test_held_readers_and_views_outlive_ten_versions_until_clean_up(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    assert table.clean_up(timedelta(0)) == []
+    table.publish(spark.range(3))
+    held = table.read()
+    table.register("held_gold")
+    for version in range(1, 11):
+        table.publish(spark.range(version))
+    assert held.count() == 3 and spark.table("held_gold").count() == 3 and table.read().count() == 10
+    later = datetime.now() + timedelta(hours=30)
+    assert table.clean_up(timedelta(hours=48), later) == []
+    assert table.clean_up(timedelta(hours=24), later) == list(range(10))
+    assert table.read().count() == 10 and table.log().count() == 1
+    assert table.publish(spark.range(4)) == 11
+
+
+def test_a_refused_version_is_not_shown(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    grown = lambda new, shown: new.count() >= shown.count()
+    assert [table.publish(spark.range(n), at, "f", grown) for at, n in enumerate((5, 3, 5, 6))] == [0, 0, 1, 2]
+    assert table.read().count() == 6
+
+
+def test_published_counts_never_fall_over_restarts(spark, tmp_path):
+    """Several files wait at the first start and at a restart, one is taken per batch."""
+    state = {"fingerprint": "one"}
+    job = small_job(spark, tmp_path, INCREMENTAL, lambda: (DEFAULT, state["fingerprint"]))
+    seen = []
+    publish = job.gold.publish
+
+    def watched(*arguments, **named):
+        version = publish(*arguments, **named)
+        seen.append(job.gold.read().where("employee_id = 1").first()["nb_activites"])
+        return version
+
+    job.gold.publish = watched
+    for _ in range(3):
+        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1"))
+    for _ in range(3):
+        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
+    before = job.gold.latest()["version"]
+    query = job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1")
+    finish(query)
+    state["fingerprint"] = "two"
+    for _ in range(2):
+        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1"))
+    assert seen == sorted(seen) and seen[0] == 15 and seen[-1] == 40
+    assert job.gold.latest()["version"] > before and job.gold.latest()["fingerprint"] == "two"
+
+
+def test_an_unchanged_restart_publishes_nothing(spark, tmp_path, monkeypatch):
+    job = small_job(spark, tmp_path, INCREMENTAL)
+    bronze_rows(spark, 1, 2).write.parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None))
+    version = job.gold.latest()["version"]
+    monkeypatch.setattr(job, "build_initial", lambda: pytest.fail("history was read"))
+    finish(job.start(f"{tmp_path}/ck", every=None))
+    assert job.gold.latest()["version"] == version
+    assert spark.table("gold_eligibilites").count() == 2
+
+
+def test_the_size_of_a_stream_state_is_known_to_the_join(spark, tmp_path, monkeypatch):
+    """Ten new rows on a state of 50 000 employees: the state is not taken for ten rows."""
+    plans, limit = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "20k")
+    monkeypatch.setattr(SnapshotTable, "register", lambda *_: spark.conf.unset(limit) if len(plans) == 2 else None)
+    job = small_job(spark, tmp_path, INCREMENTAL)
+    publish = job.gold.publish
+
+    def watched(snapshot, *arguments):
+        version = publish(snapshot, *arguments)
+        plans.append(snapshot._jdf.queryExecution().executedPlan().toString())
+        return version
+
+    job.gold.publish = watched
+    spark.range(50_000).select(*[(F.col("id") if f.name == "employee_id" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                 for f in BRONZE]).write.parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
+    bronze_rows(spark, *range(10)).write.mode("append").parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
+    assert len(plans) == 2 and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
+    assert spark.conf.get(limit) != "20k"
+
+
+def test_a_trailing_period_follows_the_rules(spark, tmp_path):
+    now = datetime(2025, 1, 31)
+    job = small_job(spark, tmp_path, REBUILD, fixed_rules(Rules(0.05, 2, 15.0, 25.0, 10)))
+    job.as_of = lambda: now
+    rows = bronze_rows(spark, 1, 1, 2).withColumn("date_debut_ts", F.when(
+        F.col("employee_id") == 1, F.lit("2025-01-25")).otherwise(F.lit("2024-01-25")).cast("timestamp"))
+    rows.write.parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None))
+    assert {r["employee_id"]: r["nb_activites"] for r in job.gold.read().collect()} == {1: 2, 2: 0}
     with pytest.raises(ValueError):
-        SnapshotTable(spark, f"{tmp_path}/t", keep=1)
+        GoldJob(job.bronze_path, job.hr, job.rules, job.gold, INCREMENTAL, as_of=lambda: now)
+
+
+def test_the_listener_keeps_more_batches_than_spark(spark, tmp_path):
+    rows = spark.range(130).select(F.lit(None).cast("binary").alias("value"), F.lit(0).alias("partition"), F.col("id").alias("offset"))
+    rows.repartition(130, "offset").coalesce(130).write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/log")
+    log = ProgressLog(spark, f"{tmp_path}/progress", piece=25)
+    spark.streams.addListener(log)
+    try:
+        messages = read_cdc_stream(spark, "parquet", {"path": f"{tmp_path}/log", "maxFilesPerTrigger": "1"})
+        query = finish(start_bronze(messages, f"{tmp_path}/bronze", f"{tmp_path}/ck"))
+        assert log.wait_for(query)
+    finally:
+        spark.streams.removeListener(log)
+    kept = read_progress(spark, f"{tmp_path}/progress").where("input_rows > 0")
+    assert kept.count() == 130 > len(query.recentProgress) - 1 and kept.agg(F.sum("input_rows")).first()[0] == 130
 
 
 def test_gold_is_visible_to_sql(spark, tmp_path):

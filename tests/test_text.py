@@ -23,6 +23,15 @@ def test_numbers_read_as_in_python(spark):
     assert [row["t"] for row in rows] == [str(n) for n in numbers]
 
 
+def test_numbers_of_every_size_keep_their_digits(spark):
+    numbers = [s * m * 10.0 ** e for e in range(-300, 301) for m in (1.0, 1.5, 7.25) for s in (1, -1)]
+    numbers += [0.000123456789012345, 1e-05, 1e16, 1e15, 123456789.0, 9999999.999, 1e7, 0.001, 0.00099999, float("nan")]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n double").select("n", plain_number(F.col("n")).alias("t")).collect()
+    wrong = [(row["n"], row["t"]) for row in rows if row["t"].lower() != str(row["n"])]
+    assert [w for w in wrong if float(w[1]) != w[0]] == []  # the same value always
+    assert len(wrong) <= len(numbers) // 20  # an older Java writes a digit more than needed for a few
+
+
 def test_threshold_steps(spark):
     values = [None, -1.0, 0.0, 0.5, 1.0, 79.9, 80.0, 500.0]
     frame = spark.createDataFrame([(v,) for v in values], "v double")

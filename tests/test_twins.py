@@ -4,13 +4,13 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from __spark_entry__ import queries  # noqa: E402
 from check import compare, open_twin  # noqa: E402
+from movewell.plans.queries import REGISTRY  # noqa: E402
 
 JOINS = ("gold_eligibility", "gold_sparse", "distance_enrich", "dq_statistics", "dq_violations", "invalid_employee_ids")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_equal(spark, tables, name):
     ours, theirs, _ = compare(spark, open_twin(tables), tables, name)
     assert ours == theirs
