@@ -14,27 +14,40 @@ lengths, the first symbol of each document and of the end, and the symbols, each
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from movewell.llm.bpe import printable_bytes
 from movewell.llm.common import small_batches, texts_of
 from movewell.session import shared_dir
 
 MAGIC = b"RPR1"
 END = 1
+MARK = "<|"
+NO_RULE = np.iinfo(np.int64).max
+BUCKET_BITS = 20
 CACHED_CHUNKS = 250_000
+CACHED_WORDS = 750_000
 CACHED_LENGTH = 64
 #: White space for Python's split, but not for the vocabulary's pattern: such texts go whole to the library.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Printable ASCII and single Latin letters, each of which is its own normal form and has one lower-case letter.
+PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+#: Fixed value: the pattern by which this vocabulary's words are cut, for lower-case plain characters.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
 @dataclass(frozen=True)
@@ -48,6 +61,10 @@ class Settings:
     width: int = 2048
 
 
+def bucket_of(pair: np.ndarray) -> np.ndarray:
+    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings()) -> bytes:
     """A shard of the documents that end before each of ``ends``."""
     symbols = ids.astype(np.int64)
@@ -58,21 +75,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
     next_symbol = base
     for _ in range(settings.rounds):
         pair = symbols[:-1] << 32 | symbols[1:]
-        pair[last[:-1]] = -1
-        found, counts = np.unique(pair, return_counts=True)
-        often = (counts >= settings.least) & (found >= 0)
+        # a frequent pair lies in a bucket at least as full, so no other pairs need sorting
+        bucket = bucket_of(pair)
+        inner = ~last[:-1]
+        full = np.bincount(bucket[inner], minlength=1 << BUCKET_BITS) >= settings.least
+        found, counts = np.unique(pair[full[bucket] & inner], return_counts=True)
+        often = counts >= settings.least
         found, counts = found[often], counts[often]
         if not len(found):
             break
         best = np.lexsort((found, -counts))[: settings.width]
         rank = np.argsort(found[best])
         chosen = found[best][rank]
-        at = np.searchsorted(chosen, pair)
-        at[at == len(chosen)] = 0
-        hit = np.where(chosen[at] == pair, rank[at], np.iinfo(np.int64).max)
+        wanted = np.zeros(1 << BUCKET_BITS, bool)
+        wanted[bucket_of(chosen)] = True
+        maybe = np.flatnonzero(wanted[bucket] & inner)
+        at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
+        hit = np.full(len(pair), NO_RULE)
+        hit[maybe] = np.where(chosen[at] == pair[maybe], rank[at], NO_RULE)
         # of overlapping occurrences the more frequent pair wins, of equal ones the earlier
-        before, after = np.append(np.iinfo(np.int64).max, hit[:-1]), np.append(hit[1:], np.iinfo(np.int64).max)
-        places = np.flatnonzero((hit < np.iinfo(np.int64).max) & (hit < before) & (hit <= after))
+        before, after = np.append(NO_RULE, hit[:-1]), np.append(hit[1:], NO_RULE)
+        places = np.flatnonzero((hit < NO_RULE) & (hit < before) & (hit <= after))
         if not len(places):
             break
         used, named = np.unique(hit[places], return_inverse=True)
@@ -150,50 +173,96 @@ def library(path: str):
 
 class ChunkEncoder:
     """The library's ids of whole texts. Words never reach across white space, so each chunk between
-    white space is encoded once and remembered, up to a bound at which all is forgotten."""
+    white space is encoded once and remembered, up to a bound at which all is forgotten.
+
+    A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
+    words here, and each new word goes straight to the library's model; the words of many chunks are
+    the same. Any other chunk goes through the whole library.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = library(path), {}
+        self.tokenizer, self.known, self.words = library(path), {}, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        shown = printable_bytes()
+        self.shown = {ord(c): "".join(shown[b] for b in c.encode("utf-8")) for c in map(chr, range(0xA0, 0x180))}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marked = all(token.content.startswith(MARK) for token in added)  # so that what lacks the mark holds none
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.shown))]).tobytes()
+            if len(word) <= CACHED_LENGTH:
+                if len(self.words) >= CACHED_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not self.marked or MARK in chunk or not PLAIN.fullmatch(chunk):
+            return self._ids([chunk])[0]
+        lowered = chunk.lower()
+        if lowered.isalpha():
+            return self._word(lowered)
+        return b"".join([self._word(word) for word in WORDS.findall(lowered)])
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in SEPARATORS):
+            return self._ids([text])[0]
+        chunks, known = text.split(), self.known
+        try:
+            return b"".join([known[chunk] for chunk in chunks])
+        except KeyError:
+            pass
+        made = []
+        for chunk in chunks:
+            ids = known.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
+                if len(chunk) <= CACHED_LENGTH:
+                    if len(known) >= CACHED_CHUNKS:
+                        known.clear()
+                    known[chunk] = ids
+            made.append(ids)
+        return b"".join(made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if any(s in text for s in SEPARATORS) else text.split() for text in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        new = list(set().union(*[c for c in cut if c]) - self.known.keys())
-        made = dict(zip(new, self._ids(new)))
-        extra = {chunk: ids for chunk, ids in made.items() if len(chunk) > CACHED_LENGTH}
-        self.known.update((chunk, ids) for chunk, ids in made.items() if len(chunk) <= CACHED_LENGTH)
-        find = self.known.__getitem__
-        if extra:
-            find = lambda chunk: extra[chunk] if chunk in extra else self.known[chunk]
-        return [self._ids([text])[0] if c is None else b"".join(map(find, c)) for text, c in zip(texts, cut)]
+        """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""
+        return [self._text(text) for text in texts]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker, with the words that it knows."""
+    return ChunkEncoder(path)
 
 
-SHARDS = "doc_ids array<bigint>, first long, n_ids long, payload binary"
+SHARDS = "part int, place int, doc_ids array<bigint>, n_ids long, payload binary"
 
 
 def write_shards(docs: DataFrame, path: str, settings: Settings = Settings()) -> str:
     """Write shards of every whole text's ids, with id 1 after each, and return their folder.
 
     Documents are ordered by doc_id (null first), then text. A null text is empty: the end id alone.
-    Rows are dealt by ranges of the id, so a task holds one shard and one Arrow batch.
+    Rows are dealt by ranges of the id, so a task holds one shard and one Arrow batch. A shard's row
+    names its task (part), whose number follows the ranges, and its place among that task's shards.
     """
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([END], "<u4").tobytes()
+        task, place = TaskContext.get().partitionId(), count()
         names, parts, size = [], [], 0
 
         def closed():
             ids = np.frombuffer(b"".join(parts), "<u4")
             ends = np.cumsum([len(part) // 4 for part in parts])
-            first = next((name for name in names if name is not None), None)
-            return pa.record_batch([pa.array([names], pa.list_(pa.int64())), pa.array([first], pa.int64()),
-                                    pa.array([len(ids)], pa.int64()), pa.array([compress(ids, ends, settings)], pa.binary())],
-                                   names=["doc_ids", "first", "n_ids", "payload"])
+            return pa.record_batch([pa.array([task], pa.int32()), pa.array([next(place)], pa.int32()),
+                                    pa.array([names], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
+                                    pa.array([compress(ids, ends, settings)], pa.binary())],
+                                   names=["part", "place", "doc_ids", "n_ids", "payload"])
 
         for batch in batches:
             texts = [text.as_py() or "" for text in batch.column(1)]
@@ -219,14 +288,17 @@ def write_shards(docs: DataFrame, path: str, settings: Settings = Settings()) ->
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the shards.
 
-    start is the number of ids of all documents before it in the order of writing. The running sum
-    is taken over one row for each shard, and within a shard by the shard's task.
+    start is the number of ids of all documents before it in the order of writing. Running sums are
+    taken over the shards of each writing task, over one row for each such task, and within a shard.
     """
-    stored = spark.read.schema(SHARDS).parquet(folder).withColumn("shard", F.xxhash64("doc_ids", "n_ids"))
-    place = stored.select("shard", "first", "n_ids", F.element_at("doc_ids", -1).alias("tail"))
-    before = Window.orderBy(F.col("first").asc_nulls_first(), "tail", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = place.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    rows = stored.join(starts, "shard").select("doc_ids", "before", "payload")
+    stored = spark.read.schema(SHARDS).parquet(folder)
+    place = stored.select("part", "place", "n_ids")
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = place.groupBy("part").agg(F.sum("n_ids").alias("of_part")).select("part", F.sum("of_part").over(across).alias("earlier"))
+    starts = (place.withColumn("own", F.sum("n_ids").over(within)).join(parts, "part")
+              .select("part", "place", (F.coalesce("earlier", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("before")))
+    rows = stored.join(starts, ["part", "place"]).select("doc_ids", "before", "payload")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

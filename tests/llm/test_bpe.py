@@ -67,6 +67,7 @@ def test_no_documents(docs_of):
 def test_chunks_equal_whole_texts_of_the_library():
     tokenizer, encoder = library(WORDS), repair.ChunkEncoder(WORDS)
     texts = odd_strings(1500) + ["x" * 300 + " y " + "x" * 300]
+    texts += ["It'S DON'T we'll ÉCOLE Straße ſo ĸ 2×3÷4 Σίσυφος İstanbul e\u0301 ﬁn 漢字 <|endoftext|>x <| a|b a\x1cb", "'s'T'"]
     for text, raw in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
