@@ -37,7 +37,7 @@ from movewell.session import shared_dir
 MAGIC = b"RPR1"
 END = 1
 MARK = "<|"
-NO_RULE = np.iinfo(np.int64).max
+NO_RULE = np.iinfo(np.int32).max
 BUCKET_BITS = 20
 CACHED_CHUNKS = 250_000
 CACHED_WORDS = 750_000
@@ -91,14 +91,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         wanted[bucket_of(chosen)] = True
         maybe = np.flatnonzero(wanted[bucket] & inner)
         at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        hit = np.full(len(pair), NO_RULE)
+        around = np.full(len(pair) + 2, NO_RULE, np.int32)
+        before, hit, after = around[:-2], around[1:-1], around[2:]
         hit[maybe] = np.where(chosen[at] == pair[maybe], rank[at], NO_RULE)
         # of overlapping occurrences the more frequent pair wins, of equal ones the earlier
-        before, after = np.append(NO_RULE, hit[:-1]), np.append(hit[1:], NO_RULE)
         places = np.flatnonzero((hit < NO_RULE) & (hit < before) & (hit <= after))
         if not len(places):
             break
-        used, named = np.unique(hit[places], return_inverse=True)
+        applied = np.bincount(hit[places], minlength=len(best)) > 0
+        used, named = np.flatnonzero(applied), (np.cumsum(applied) - 1)[hit[places]]
         pairs = found[best][used]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
         symbols[places] = next_symbol + named
@@ -298,17 +299,20 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     parts = place.groupBy("part").agg(F.sum("n_ids").alias("of_part")).select("part", F.sum("of_part").over(across).alias("earlier"))
     starts = (place.withColumn("own", F.sum("n_ids").over(within)).join(parts, "part")
               .select("part", "place", (F.coalesce("earlier", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("before")))
-    rows = stored.join(starts, ["part", "place"]).select("doc_ids", "before", "payload")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, before_all, payload in zip(*batch.columns):
+            for part, place, names, payload in zip(*batch.columns):
                 ids, sizes = Shard(payload.as_py()).every()
                 ends = np.cumsum(sizes)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * (e - n): 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pa.record_batch([pa.array(names.as_py(), pa.int64()), pa.array(before_all.as_py() + ends - sizes),
-                                       pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array([part.as_py()] * len(sizes), pa.int32()), pa.array([place.as_py()] * len(sizes), pa.int32()),
+                                       names.values, pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())],
+                                      names=["part", "place", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return rows.mapInArrow(expand, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = stored.select("part", "place", "doc_ids", "payload").mapInArrow(
+        expand, "part int, place int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return read.join(starts, ["part", "place"]).select(
+        "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
