@@ -3,7 +3,8 @@
 Document statistics are standardised and mapped to cosine features whose products approximate a
 Gaussian kernel. Each partition of the training sample sums its own normal equations; the sums are
 added by Spark, one row of the matrix at a time, and solved once. Ridge scores of a part of the
-sample kept out of the fit are made probabilities by isotonic regression.
+sample kept out of the fit are made probabilities by isotonic regression. A sampled row counts for
+all rows of its label that it stands for, so that probabilities keep the labels' own proportion.
 """
 
 from __future__ import annotations
@@ -106,14 +107,18 @@ class Model:
         return np.clip(np.interp(self.cosines(stats) @ self.weights, *self.steps), 0, 1)
 
 
-def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing probabilities by pooling adjacent violators: knots and their values."""
+def isotonic(raw: np.ndarray, label: np.ndarray, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Non-decreasing probabilities by pooling adjacent violators: knots and their values.
+
+    ``each`` is what a row counts, one where it is not given.
+    """
     if not len(raw):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     order = np.lexsort((label, raw))
     knots, at = np.unique(raw[order], return_inverse=True)
-    weight = np.bincount(at).astype(float)
-    total = np.bincount(at, weights=label[order])
+    each = np.ones(len(raw)) if each is None else each
+    weight = np.bincount(at, weights=each[order])
+    total = np.bincount(at, weights=(each * label)[order])
     blocks: list[list[float]] = []  # sum, weight, knots
     for s, w in zip(total, weight):
         blocks.append([s, w, 1])
@@ -126,8 +131,11 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return knots[keep], values[keep]
 
 
-def normal_equations(rows: DataFrame, shape: Model, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y, summed within each partition, then over partitions one matrix row at a time."""
+def normal_equations(rows: DataFrame, shape: Model, partitions: int, counts: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """X'X and X'y, summed within each partition, then over partitions one matrix row at a time.
+
+    ``counts`` is what a row of label 0 and one of label 1 count.
+    """
     width = len(shape.phases) + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +143,7 @@ def normal_equations(rows: DataFrame, shape: Model, partitions: int) -> tuple[np
         for batch in batches:
             stats = np.array(batch.column(0).to_pylist()).reshape(-1, len(STATISTICS))
             x, y = shape.cosines(stats), np.array(batch.column(1).to_pylist(), float)
-            total += x.T @ np.hstack([x, y[:, None]])
+            total += (x * np.where(y == 1, counts[1], counts[0])[:, None]).T @ np.hstack([x, y[:, None]])
         at, column = np.divmod(np.arange(total.size), width + 1)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(column, pa.int32()), pa.array(total.ravel())],
                               names=["i", "j", "value"])
@@ -147,12 +155,19 @@ def normal_equations(rows: DataFrame, shape: Model, partitions: int) -> tuple[np
     return matrix[:, :-1], matrix[:, -1]
 
 
+def combined(means: np.ndarray, deviations: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of groups together, one line of ``means`` and ``deviations`` for each; zero without rows."""
+    part = (rows / max(1.0, rows.sum()))[:, None]
+    mean = (part * means).sum(axis=0)
+    return mean, np.sqrt((part * (deviations ** 2 + (means - mean) ** 2)).sum(axis=0))
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learn from labels of documents outside the held-out fold (crc32 of the id mod 4 is 2).
 
-    The fit takes a sample of the labelled rows, bounded by ``per_label`` of each label and balanced
-    by weightless choice; the calibration sees it in the labels' own proportion. Null ids and labels
-    teach nothing; of a label given twice the lower counts. Without labels there is no model.
+    Fit and calibration take a sample of the labelled rows, bounded by ``per_label`` of each label. Each
+    row counts one over its label's share, so both see the labels' own proportion at every size. Null ids
+    and labels teach nothing; of a label given twice the lower counts. Without labels there is no model.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", 4) != 2))
@@ -161,30 +176,33 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     if not counts:
         return None
     shares = {label: min(1.0, settings.per_label / n) for label, n in counts.items()}
+    each = (1 / shares.get(0, 1.0), 1 / shares.get(1, 1.0))
     share = F.when(F.col("label") == 1, F.lit(shares.get(1, 1.0))).otherwise(F.lit(shares.get(0, 1.0)))
     sample = known.where(share_kept(F.col("doc_id"), share))
     rows = texts_of(docs).where(fold("doc_id", 4) != 2).join(F.broadcast(sample), "doc_id")
     found = stored(_statistics(rows.select("doc_id", "text", "label"),
                                [("doc_id", pa.int64(), "long"), ("label", pa.int32(), "int")]), "quality-sample")
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(settings.calibration)) == 0
-    moments = found.where(~apart).select(*[F.col("stats")[i].alias(s) for i, s in enumerate(STATISTICS)]).agg(
+    moments = found.where(~apart).select("label", *[F.col("stats")[i].alias(s) for i, s in enumerate(STATISTICS)]).groupBy("label").agg(
         *[F.avg(s).alias(f"m{i}") for i, s in enumerate(STATISTICS)],
-        *[F.stddev_pop(s).alias(f"d{i}") for i, s in enumerate(STATISTICS)]).first()
+        *[F.stddev_pop(s).alias(f"d{i}") for i, s in enumerate(STATISTICS)], F.count(F.lit(1)).alias("rows")).orderBy("label").collect()
     size = len(STATISTICS)
-    centre, scale = np.array([m or 0.0 for m in moments[:size]]), np.array([d or 0.0 for d in moments[size:]])
+    centre, scale = combined(np.array([m[1:1 + size] for m in moments]).reshape(-1, size),
+                             np.array([m[1 + size:-1] for m in moments]).reshape(-1, size),
+                             np.array([m["rows"] * each[m["label"]] for m in moments]))
     random = np.random.default_rng(settings.seed)
     shape = Model(centre, np.where(scale > 1e-9, scale, 1.0),
                   random.normal(size=(size, settings.features)) / (settings.width * np.sqrt(size)),
                   random.uniform(0, 2 * np.pi, settings.features), np.zeros(settings.features + 1),
                   (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    gram, moment = normal_equations(found.where(~apart), shape, settings.partitions)
+    gram, moment = normal_equations(found.where(~apart), shape, settings.partitions, each)
     rows_fitted = max(1.0, gram[-1, -1])
     weights = np.linalg.solve(gram + settings.ridge * rows_fitted * np.eye(len(gram)) / len(gram), moment)
     kept = found.where(apart).select("stats", "label").toPandas()
     fitted = Model(shape.centre, shape.scale, shape.directions, shape.phases, weights, shape.steps)
     stats = np.array(kept["stats"].tolist()).reshape(-1, size)
     return Model(shape.centre, shape.scale, shape.directions, shape.phases, weights,
-                 isotonic(fitted.cosines(stats) @ weights, kept["label"].to_numpy(float)))
+                 isotonic(fitted.cosines(stats) @ weights, kept["label"].to_numpy(float), np.array(each)[kept["label"].to_numpy(int)]))
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:

@@ -68,6 +68,27 @@ def test_isotonic_values_never_fall():
     assert np.interp(raw, knots, values).mean() == pytest.approx(label.mean(), abs=1e-9)
 
 
+def test_probabilities_do_not_depend_on_the_size_of_the_sample(spark, docs_of):
+    """Thinning the more frequent label must not lower the probability of what nine in ten call good."""
+    rng = np.random.default_rng(5)
+    good = (rng.uniform(size=6000) < 0.9).astype(int).tolist()
+    texts = docs_of([(i, "the same few words for every document " * (1 + i % 7)) for i in range(6000)])
+    known = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    whole, thinned = (quality.score_documents(texts, quality.train(texts, known, quality.Settings(per_label=n))).toPandas()
+                      for n in (6_000, 400))
+    assert whole["score"].mean() == pytest.approx(0.9, abs=0.05)
+    assert thinned["score"].mean() == pytest.approx(0.9, abs=0.05)
+    assert thinned["predicted"].mean() > 0.9
+
+
+def test_moments_of_groups_together():
+    rng = np.random.default_rng(6)
+    one, other = rng.normal(size=(30, 3)), rng.normal(2, 3, size=(50, 3))
+    mean, deviation = quality.combined(np.array([one.mean(0), other.mean(0)]), np.array([one.std(0), other.std(0)]), np.array([30.0, 50.0]))
+    both = np.vstack([one, other])
+    assert np.allclose(mean, both.mean(0)) and np.allclose(deviation, both.std(0))
+
+
 def test_normal_equations_equal_those_of_all_rows(spark):
     rng = np.random.default_rng(1)
     size = len(quality.STATISTICS)
