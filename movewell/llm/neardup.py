@@ -6,7 +6,8 @@ overlaps of classes, the sketch of the union estimates their similarity, and ful
 
 Lists of common values (beyond ``common`` classes) are not paired up. A class most of whose retained
 values are rare meets its partners in rare lists, for two sets that share four fifths of their
-shingles share rare ones too. Of the other classes, the core, whole sets are looked at: pairs that
+shingles share rare ones too: it would have to be at least 29 of the 48 smallest values of their
+union that only one of them has, where a fifth is expected (odds 1.1e-9). Of the other classes, the core, whole sets are looked at: pairs that
 share a shingle rare in the core meet in its list, and all others share common shingles only, so the
 numbers of these bound their similarity. Where the bound allows a link, classes are first compared
 with the leader of each of their lists, and what the leaders leave apart is compared across the
@@ -41,7 +42,7 @@ class Settings:
 
     sketch: hashes retained of each set. probes: of these, how many go to inverted lists. common: a
     list longer than this is not paired up. mostly: a class with a larger share of common probes
-    than this is of the core. slack: how far below the bound an estimate may lie; at 64
+    than this is of the core; far below percent, as the probes only estimate the share. slack: how far below the bound an estimate may lie; at 64
     retained values five standard errors. leader_probes: common values by which leaders are met.
     """
 
@@ -50,7 +51,7 @@ class Settings:
     sketch: int = 64
     probes: int = 48
     common: int = 32
-    mostly: float = 0.6
+    mostly: float = 0.4
     slack: float = 0.25
     leader_probes: int = 12
 

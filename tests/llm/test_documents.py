@@ -71,6 +71,20 @@ def test_components_equal_brute_force(docs_of, odd_texts, settings):
     assert [r["kept"] for r in found if r["doc_id"] is None] == [True]
 
 
+def test_a_template_with_own_words_is_linked_whatever_its_probes(docs_of):
+    """A fifth of the set is rare, yet two fifths of the probes: whole sets must decide, not rare lists."""
+    template = [f"t{i}" for i in range(403)]
+    probes = lambda text: set(neardup.shingle_set(text, 4)[:48].tolist())
+    known = set(neardup.shingle_set(" ".join(template), 4).tolist())
+    copies = (" ".join(template + [f"own{n}x{i}" for i in range(100)]) for n in range(100_000))
+    copy = next(text for text in copies if len(probes(text) - known) >= 20)
+    others = [(100 + n, " ".join(template + [f"other{n}x{i}" for i in range(102)])) for n in range(200)]
+    rows = [(1, " ".join(template)), (2, copy), *others]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows)).collect()}
+    assert found == brute_components(rows, 4)
+    assert found[2] == 1
+
+
 def test_no_documents(spark, docs_of):
     none = docs_of([])
     assert neardup.near_duplicates(none).collect() == []
