@@ -2,8 +2,9 @@
 
 A text is the set of its character n-grams of lengths 1 to 3, case folded, runs of other characters
 than letters being one space. The kernel of two texts is the size of the common set over the root
-of the sizes' product. Landmark texts of every language span the regression; one ridge regressor
-per language is fitted on a bounded sample, and whole texts are scored by matrix products.
+of the sizes' product, over all n-grams: one that no landmark has adds to a text's size alone.
+Landmark texts of every language span the regression; one ridge regressor per language is fitted on
+a bounded sample, and whole texts are scored by matrix products, some landmarks at a time.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 GRAMS = (1, 2, 3)
 CELLS = 1 << 20
 UNKNOWN = "und"
+BLOCK = 64  # texts and landmarks that are compared at once
 
 
 @dataclass(frozen=True)
 class Settings:
     """per_language: expected training rows of each language, taken by hash of the id. landmarks: of
-    each language. sample_chars: none; training texts are whole. grams: n-grams kept, the most frequent
-    of the sample's. languages: more distinct values than this are an error. ridge: penalty."""
+    each language. sample_chars: none; training texts are whole. languages: more distinct values than
+    this are an error. ridge: penalty."""
 
     per_language: int = 400
     landmarks: int = 32
-    grams: int = 4096
     languages: int = 500
     ridge: float = 1e-3
     sharpness: float = 6.0
@@ -56,29 +57,41 @@ def gram_cells(text: str | None) -> np.ndarray | None:
 
 @dataclass(frozen=True)
 class Model:
-    """cells: sorted hash cells looked at. landmarks: their rows in the feature space. weights: by language."""
+    """cells: sorted hash cells that a landmark has. landmarks: their cells. weights: by language."""
 
     cells: np.ndarray
-    landmarks: np.ndarray
+    landmarks: list[np.ndarray]
     weights: np.ndarray
     languages: list[str]
     sharpness: float
 
-    def presence(self, found: list[np.ndarray | None]) -> np.ndarray:
-        """Presence of the cells looked at, each row of length one."""
+    def presence(self, found: list[np.ndarray | None], cells: np.ndarray | None = None) -> np.ndarray:
+        """Presence of ``cells``, by default those of all landmarks, over the root of each text's whole size."""
+        cells = self.cells if cells is None else cells
         column = np.full(CELLS, -1, np.int32)
-        column[self.cells] = np.arange(len(self.cells))
-        out = np.zeros((len(found), len(self.cells)), np.float32)
-        for row, cells in enumerate(found):
-            if cells is not None:
-                at = column[cells]
-                out[row, at[at >= 0]] = 1
-        return out / np.maximum(1, np.sqrt(out.sum(axis=1, keepdims=True)))
+        column[cells] = np.arange(len(cells))
+        out = np.zeros((len(found), len(cells)), np.float32)
+        for row, own in enumerate(found):
+            if own is not None:
+                at = column[own]
+                out[row, at[at >= 0]] = 1 / np.sqrt(len(own))
+        return out
+
+    def kernel(self, found: list[np.ndarray | None]) -> np.ndarray:
+        """Kernel of each text with each landmark."""
+        out = np.zeros((len(found), len(self.landmarks)))
+        for at in range(0, len(self.landmarks), BLOCK):
+            block = self.landmarks[at: at + BLOCK]
+            cells = _union(block)
+            spanned = self.presence(block, cells).T
+            for row in range(0, len(found), BLOCK):
+                out[row: row + BLOCK, at: at + BLOCK] = self.presence(found[row: row + BLOCK], cells) @ spanned
+        return out
 
     def predict(self, found: list[np.ndarray | None]) -> tuple[list[str], list[float]]:
         if not self.languages or not found:
             return [UNKNOWN] * len(found), [0.0] * len(found)
-        kernel = self.presence(found) @ self.landmarks.T
+        kernel = self.kernel(found)
         values = np.hstack([kernel, np.ones((len(kernel), 1))]) @ self.weights
         likely = np.exp(self.sharpness * (values - values.max(axis=1, keepdims=True)))
         likely /= likely.sum(axis=1, keepdims=True)
@@ -100,7 +113,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     if len(counts) > settings.languages:
         raise ValueError(f"more than {settings.languages} languages")
     if not counts:
-        return Model(np.zeros(0, int), np.zeros((0, 0)), np.zeros((1, 0)), [], settings.sharpness)
+        return Model(np.zeros(0, int), [], np.zeros((1, 0)), [], settings.sharpness)
     share = F.create_map(*[part for r in counts for part in (
         F.lit(r["lang"]), F.lit(min(1.0, settings.per_language / r["count"])))])[F.col("lang")]
     sample = known.where(share_kept(F.col("doc_id"), share))
@@ -116,23 +129,28 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     found = [np.frombuffer(r["cells"], "<i4") for r in rows]
     languages = sorted({r["lang"] for r in rows})
     if not rows:
-        return Model(np.zeros(0, int), np.zeros((0, 0)), np.zeros((1, 0)), [], settings.sharpness)
-    frequency = np.bincount(np.concatenate(found), minlength=CELLS)
-    order = np.lexsort((np.arange(CELLS), -frequency))[: settings.grams]
-    cells = np.sort(order[frequency[order] > 0])
-    model = Model(cells, np.zeros((0, len(cells))), np.zeros((1, len(languages))), languages, settings.sharpness)
-    x = model.presence(found)
+        return Model(np.zeros(0, int), [], np.zeros((1, 0)), [], settings.sharpness)
     label = np.array([languages.index(r["lang"]) for r in rows])
     chosen = np.concatenate([_spread(np.flatnonzero(label == k), settings.landmarks) for k in range(len(languages))])
-    landmarks = x[chosen]
-    kernel = np.hstack([(x @ landmarks.T).astype(float), np.ones((len(x), 1))])
+    landmarks = [found[at] for at in chosen]
+    model = Model(_union(landmarks), landmarks, np.zeros((1, len(languages))), languages, settings.sharpness)
+    alike = model.kernel(found)
+    kernel = np.hstack([alike, np.ones((len(alike), 1))])
     targets = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = (len(label) / np.maximum(1, np.bincount(label, minlength=len(languages))))[label]
     penalty = np.zeros((kernel.shape[1], kernel.shape[1]))
-    penalty[:-1, :-1] = landmarks @ landmarks.T
+    penalty[:-1, :-1] = alike[chosen]
     left = kernel.T @ (kernel * weight[:, None]) + settings.ridge * weight.sum() * (penalty + 1e-6 * np.eye(len(penalty)))
     weights = np.linalg.solve(left, kernel.T @ (targets * weight[:, None]))
-    return Model(cells, landmarks, weights, languages, settings.sharpness)
+    return Model(model.cells, landmarks, weights, languages, settings.sharpness)
+
+
+def _union(found: list[np.ndarray]) -> np.ndarray:
+    """Sorted cells that any of the texts has."""
+    seen = np.zeros(CELLS, bool)
+    for cells in found:
+        seen[cells] = True
+    return np.flatnonzero(seen)
 
 
 def _spread(rows: np.ndarray, wanted: int) -> np.ndarray:

@@ -40,6 +40,29 @@ def test_language_of_held_out_documents(docs):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.98
 
 
+def test_rare_languages_keep_their_own_letters(spark):
+    """Two languages of few texts, each in its own script, beside two frequent ones full of other n-grams."""
+    rng = np.random.default_rng(8)
+    scripts = {"aa": ("abcdefghijklmnopqrstuvwxyz", 500, 200), "bb": ("abcdefghijklmnopqrstuvwxyzàéîõü", 500, 200),
+               "r1": ("აბგდე", 20, 6), "r2": ("ვზთიკ", 20, 6)}
+    rows = []
+    for lang, (letters, texts, size) in scripts.items():
+        for _ in range(texts):
+            words = ("".join(rng.choice(list(letters), 5)) for _ in range(size))
+            rows.append((len(rows), " ".join(words), lang))
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.predict_documents(texts, language.train(texts)).join(texts.select("doc_id", "lang"), "doc_id").toPandas()
+    rare = found[found["lang"].isin(["r1", "r2"])]
+    assert rare["held_out"].any() and (rare["lang_pred"] == rare["lang"]).all()
+
+
+def test_kernel_counts_every_cell_of_a_text():
+    texts = [language.gram_cells(t) for t in ["abc abd", "abd xyz", "qqq"] * 40]
+    model = language.Model(language._union(texts[:80]), texts[:80], np.zeros((81, 0)), [], 1.0)
+    exact = [[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in texts[:80]] for a in texts]
+    assert np.allclose(model.kernel(texts), exact, atol=1e-6)
+
+
 def test_odd_texts_have_scores(spark, docs_of, odd_texts, docs, labels):
     odd = docs_of(odd_texts)
     for found in (toxicity.score_documents(odd, toxicity.train(docs, labels)), quality.score_documents(odd, quality.train(docs, labels))):
