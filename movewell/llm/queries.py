@@ -7,8 +7,10 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from movewell.llm import attribution, bpe, decontamination, language, neardup, quality, repair, secrets, topk, toxicity
+from movewell.llm import (attribution, bpe, decontamination, fim, language, neardup, outliers, quality, repair, secrets, topk,
+                          toxicity, trie)
 from movewell.llm.common import table
 from movewell.llm.oracles import ORACLES  # noqa: F401
 
@@ -79,3 +81,21 @@ def op9_language(spark, sf_dir):
 @registered
 def op10_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_fim(spark, sf_dir):
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2(text, 256).alias(f"{name}_sha256") for name, text in (
+        ("output", F.col("output")), ("restored", fim.restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@registered
+def op12_outliers(spark, sf_dir):
+    return outliers.judged(table(spark, sf_dir, "documents")).select("doc_id", *outliers.COUNTS, "base_failed", "kept")
+
+
+@registered
+def op13_trie(spark, sf_dir):
+    return trie.trie(table(spark, sf_dir, "conversations"))
