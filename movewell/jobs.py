@@ -25,7 +25,7 @@ from movewell.streaming.bronze import start_bronze  # noqa: E402
 from movewell.streaming.gold import INCREMENTAL, REBUILD, TRIGGER, GoldJob  # noqa: E402
 from movewell.streaming.notify import Outbox  # noqa: E402
 from movewell.streaming.progress import ProgressLog, read_progress  # noqa: E402
-from movewell.streaming.snapshots import SnapshotTable  # noqa: E402
+from movewell.streaming.published import PublishedTable  # noqa: E402
 
 
 def _pairs(options: list[str]) -> dict[str, str]:
@@ -58,7 +58,7 @@ def bronze(spark: SparkSession, args: argparse.Namespace) -> None:
 def gold(spark: SparkSession, args: argparse.Namespace) -> None:
     people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
     now = (lambda: datetime.now(timezone.utc).replace(tzinfo=None)) if args.trailing else None
-    job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules), SnapshotTable(spark, args.table), args.mode,
+    job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules), PublishedTable(spark, args.table), args.mode,
                   args.format, args.view, args.catalog, now)
     _watched(spark, args)
     job.start(args.checkpoint, args.every, **_pairs(args.option)).awaitTermination()
@@ -115,14 +115,14 @@ def generate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def indicators(spark: SparkSession, args: argparse.Namespace) -> None:
     """Print the totals; the indicators of all units are written to a folder."""
-    SnapshotTable(spark, args.table).register(GOLD_VIEW)
+    PublishedTable(spark, args.table).register(GOLD_VIEW)
     kpi.kpi_total(spark).show(truncate=False)
     kpi.kpi_by_unit(spark).write.mode("overwrite").parquet(args.out)
 
 
 def clean(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Remove gold versions older than a number of hours, never the newest."""
-    print("removed", SnapshotTable(spark, args.table).clean_up(timedelta(hours=args.hours)))
+    """Remove gold versions older than a number of hours, with their changes, never the newest."""
+    print("removed", PublishedTable(spark, args.table).clean_up(timedelta(hours=args.hours)))
 
 
 def health(spark: SparkSession, args: argparse.Namespace) -> None:

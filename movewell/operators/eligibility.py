@@ -59,5 +59,10 @@ def gold_from_counts(hr: DataFrame, counts: DataFrame, rules: Rules) -> DataFram
     }).select(*GOLD.names)
 
 
+def gold_of_changed(hr: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
+    """The gold rows of the employees in ``counts`` alone. The counts are read once."""
+    return commute_bonus(hr, rules).join(with_wellness_flag(counts, rules), "employee_id").select(*GOLD.names)
+
+
 def gold_eligibility(hr: DataFrame, activities: DataFrame, rules: Rules) -> DataFrame:
     return gold_from_counts(hr, activity_counts(activities), rules)

@@ -25,7 +25,7 @@ from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
 from movewell.streaming.progress import ProgressLog, read_progress
 from movewell.streaming.runs import finish
-from movewell.streaming.snapshots import SnapshotTable
+from movewell.streaming.published import PublishedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -81,8 +81,8 @@ def gold_sparse(spark, sf_dir):
 
 
 def _publish_gold(spark: SparkSession, sf_dir: str) -> None:
-    gold = SnapshotTable(spark, shared_dir(spark, "gold"))
-    gold.publish(gold_eligibility(spark, sf_dir))
+    gold = PublishedTable(spark, shared_dir(spark, "gold"))
+    gold.publish(gold_eligibility(spark, sf_dir), fingerprint="default")
     gold.register(GOLD_VIEW)
 
 
@@ -141,7 +141,7 @@ def _stream_gold(spark: SparkSession, sf_dir: str, mode: str, rules=lambda wave:
     """Run bronze and gold over the arriving log; each wave restarts both, under the wave's rules."""
     base, now = shared_dir(spark, "gold-stream"), {"wave": 0}
     job = GoldJob(f"{base}/bronze", views.hr(spark, sf_dir), lambda: rules(now["wave"]),
-                  SnapshotTable(spark, f"{base}/gold"), mode)
+                  PublishedTable(spark, f"{base}/gold"), mode)
     for now["wave"], messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
         finish(start_bronze(messages, job.bronze_path, f"{base}/bronze-checkpoint"))
         finish(job.start(f"{base}/gold-checkpoint", every=None))

@@ -11,7 +11,7 @@ from movewell.jobs import main
 from movewell.operators.quality import ValidationFailed
 from movewell.sources.activities import read_loaded
 from movewell.streaming.notify import Outbox
-from movewell.streaming.snapshots import SnapshotTable
+from movewell.streaming.published import PublishedTable
 
 NOW = "2025-08-01T12:00:00"
 
@@ -51,7 +51,7 @@ def test_whole_pipeline(spark, tmp_path, hr, capsys):
                                  "distance": {"max_walk_km": 10, "max_bike_km": 20}}))
     main(["gold", "--bronze", f"{base}/bronze", "--table", f"{base}/gold", "--checkpoint", f"{base}/ck2", "--hr", hr,
           "--rules", str(rules), "--every", "once"])
-    gold = {row["employee_id"]: row for row in SnapshotTable(spark, f"{base}/gold").read().collect()}
+    gold = {row["employee_id"]: row for row in PublishedTable(spark, f"{base}/gold").read().collect()}
     counts = {row["employee_id"]: row["count"] for row in loaded.groupBy("employee_id").count().collect()}
     assert set(gold) == set(range(1, 31))
     for number, row in gold.items():
@@ -62,7 +62,7 @@ def test_whole_pipeline(spark, tmp_path, hr, capsys):
     assert "total_primes_euros" in capsys.readouterr().out
     assert {r["bu"]: r["employees"] for r in spark.read.parquet(f"{base}/indicators").collect()} == {"A": 15, "B": 15}
     main(["clean", "--table", f"{base}/gold", "--hours", "1"])
-    assert SnapshotTable(spark, f"{base}/gold").read().count() == 30
+    assert PublishedTable(spark, f"{base}/gold").read().count() == 30
 
     main(["notify", *options, "--outbox", f"{base}/outbox", "--checkpoint", f"{base}/ck3"])
     assert Outbox(spark, f"{base}/outbox").read().count() == 0  # nothing after the marker yet
@@ -77,7 +77,7 @@ def test_whole_pipeline(spark, tmp_path, hr, capsys):
 def test_indicators_of_more_than_a_thousand_units(spark, tmp_path):
     rows = spark.range(1001).select(F.col("id").cast("string").alias("bu"), F.lit(True).alias("prime_sportive"),
                                     F.lit(1.0).alias("montant_prime_euros"), F.lit(False).alias("jours_bien_etre"), F.lit(1).alias("nb_activites"))
-    SnapshotTable(spark, f"{tmp_path}/gold").publish(rows)
+    PublishedTable(spark, f"{tmp_path}/gold").publish(rows)
     main(["indicators", "--table", f"{tmp_path}/gold", "--out", f"{tmp_path}/out"])
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1001
 

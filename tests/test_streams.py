@@ -21,7 +21,7 @@ from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
 from movewell.streaming.progress import ProgressLog, progress_rows, read_progress
 from movewell.streaming.runs import finish
-from movewell.streaming.snapshots import SnapshotTable
+from movewell.streaming.published import PublishedTable
 
 ALL = "1000"  # files per batch; a topic delivers offsets in order, files of one job come in any
 
@@ -57,7 +57,7 @@ def test_bronze_resumes_without_loss_or_copies(spark, tables, tmp_path):
 @pytest.mark.parametrize("mode", [INCREMENTAL, REBUILD])
 def test_gold_follows_bronze_and_equals_batch(spark, tables, tmp_path, mode):
     bronze = f"{tmp_path}/bronze"
-    job = GoldJob(bronze, views.hr(spark, tables), fixed_rules(), SnapshotTable(spark, f"{tmp_path}/gold"), mode)
+    job = GoldJob(bronze, views.hr(spark, tables), fixed_rules(), PublishedTable(spark, f"{tmp_path}/gold"), mode)
     for low, high in ((0, 500), (500, 10_000)):
         finish(start_bronze(write_log(spark, tables, f"{tmp_path}/log", low, high), bronze, f"{tmp_path}/ck-bronze"))
         finish(job.start(f"{tmp_path}/ck-gold", every=None, maxFilesPerTrigger="1"))
@@ -74,7 +74,7 @@ def bronze_rows(spark, *employees):
 def small_job(spark, tmp_path, mode, rules=None):
     hr = spark.createDataFrame([(1, "a", None, 100.0, None), (2, "a", None, 100.0, None)],
                                "employee_id bigint, bu string, moyen_dep string, salaire_brut_annuel double, distance_km double")
-    return GoldJob(f"{tmp_path}/bronze", hr, rules or fixed_rules(), SnapshotTable(spark, f"{tmp_path}/gold"), mode)
+    return GoldJob(f"{tmp_path}/bronze", hr, rules or fixed_rules(), PublishedTable(spark, f"{tmp_path}/gold"), mode)
 
 
 @pytest.mark.parametrize("mode", [INCREMENTAL, REBUILD])
@@ -121,81 +121,147 @@ def test_unknown_mode_is_refused(spark, tmp_path):
         small_job(spark, tmp_path, "sometimes")
 
 
-def test_snapshots_keep_the_previous_version_until_the_next_is_complete(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
-    assert table.publish(spark.range(3), 0, "f") == 0
-    before = table.read()
-    broken = spark.range(5).select(F.raise_error(F.lit("executor gone")).alias("id"))
-    with pytest.raises(Exception, match="executor gone"):
-        table.publish(broken, 1, "f")
-    assert table.latest()["version"] == 0 and table.read().count() == before.count() == 3
-    assert table.publish(spark.range(4), 1, "f") == 1
-    assert (table.read().count(), before.count()) == (4, 3)
+def counted(spark, counts):
+    return spark.createDataFrame(list(counts.items()), "employee_id long, nb_activites long")
 
 
-def test_snapshots_replay_and_schema_change(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
-    table.publish(spark.range(2), 0, "f")
-    assert table.publish(spark.range(99), 0, "f") == 0  # a replayed batch is already there
-    assert table.read().count() == 2
-    assert table.publish(spark.range(99), 0, "g") == 1  # same batch, changed rules
-    for version in range(2, 7):
-        wider = spark.range(version).withColumn("extra", F.lit("x"))
-        assert table.publish(wider, version, "g") == version
-    assert table.read().columns == ["id", "extra"] and table.read().count() == 6
-    assert table.log().count() == 7
+def shown(table):
+    return {r["employee_id"]: r["nb_activites"] for r in table.read().collect()}
+
+
+def test_a_version_counts_once_it_is_whole(spark, tmp_path):
+    table = PublishedTable(spark, f"{tmp_path}/t")
+    assert table.publish(counted(spark, {1: 1, 2: 1}), 0, fingerprint="f") == 0
+    before = table.read()
+    broken = counted(spark, {1: 5}).select("employee_id", F.raise_error(F.lit("executor gone")).cast("long").alias("nb_activites"))
+    with pytest.raises(Exception, match="executor gone"):
+        table.publish(broken, 1, fingerprint="f")
+    with pytest.raises(Exception, match="executor gone"):
+        table.publish_changes(broken, 1, fingerprint="f")
+    assert table.latest()["version"] == 0 and table.batches() == [] and shown(table) == {1: 1, 2: 1}
+    table.publish_changes(counted(spark, {2: 3}), 1, fingerprint="f")
+    assert shown(table) == {1: 1, 2: 3} and before.count() == 2
+    assert table.publish(counted(spark, {1: 7}), 2, fingerprint="f") == 1
+    assert shown(table) == {1: 7} and {r["nb_activites"] for r in before.collect()} == {1}
+
+
+def test_replays_and_schema_change(spark, tmp_path):
+    table = PublishedTable(spark, f"{tmp_path}/t")
+    table.publish(counted(spark, {1: 1}), 0, fingerprint="f")
+    assert table.publish(counted(spark, {9: 9}), 0, fingerprint="f") == 0  # a replayed batch is already there
+    table.publish_changes(counted(spark, {9: 9}), 0, fingerprint="f")
+    assert shown(table) == {1: 1}
+    table.publish_changes(counted(spark, {1: 4}), 1, fingerprint="f")
+    table.publish_changes(counted(spark, {1: 99}), 1, fingerprint="f")
+    assert shown(table) == {1: 4}
+    assert table.publish(counted(spark, {1: 1}), 0, fingerprint="g") == 1  # same batch, changed rules
+    for version in range(2, 5):
+        wider = counted(spark, {n: n for n in range(version)}).withColumn("extra", F.lit("x"))
+        assert table.publish(wider, version, fingerprint="g") == version
+    assert table.read().columns == ["employee_id", "nb_activites", "extra"] and table.read().count() == 4
+
+
+def test_each_key_shows_its_newest_rows(spark, tmp_path):
+    """Keys that are null, doubled, only in the whole picture, or behind it, over several batches and a fold."""
+    whole = spark.createDataFrame([(None, 0), (1, 5), (1, 5), (2, 5), (3, 1)], "employee_id long, nb_activites long")
+    for fold_after in (100, 3):
+        table = PublishedTable(spark, f"{tmp_path}/{fold_after}", fold_after=fold_after)
+        table.publish(whole, fingerprint="f")
+        for batch, changes in enumerate([{1: 3, 3: 2}, {1: 6, 2: 5}, {2: 4}, {3: 3}]):
+            doubled = counted(spark, changes)
+            table.publish_changes(doubled.union(doubled.where("employee_id = 1")), batch, fingerprint="f")
+        rows = sorted(table.read().collect(), key=lambda r: (r[0] or 0, r[1]))
+        assert [tuple(r) for r in rows] == [(None, 0), (1, 6), (1, 6), (2, 5), (3, 3)]
+        assert len(table.versions()) == (1 if fold_after == 100 else 2)
+    latest = PublishedTable(spark, f"{tmp_path}/latest", newest=("batch_id",))
+    latest.publish(counted(spark, {1: 5, 2: 5}), fingerprint="f")
+    latest.publish_changes(counted(spark, {1: 3}), 0, fingerprint="f")
+    assert shown(latest) == {1: 3, 2: 5}
 
 
 def test_held_readers_and_views_outlive_ten_versions_until_clean_up(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
+    table = PublishedTable(spark, f"{tmp_path}/t")
     assert table.clean_up(timedelta(0)) == []
-    table.publish(spark.range(3))
+    table.publish(counted(spark, {n: 1 for n in range(3)}), fingerprint="f")
+    table.publish_changes(counted(spark, {0: 2}), 0, fingerprint="f")
     held = table.read()
     table.register("held_gold")
     for version in range(1, 11):
-        table.publish(spark.range(version))
+        table.publish(counted(spark, {n: 1 for n in range(version)}), fingerprint="f")
     assert held.count() == 3 and spark.table("held_gold").count() == 3 and table.read().count() == 10
     later = datetime.now() + timedelta(hours=30)
     assert table.clean_up(timedelta(hours=48), later) == []
     assert table.clean_up(timedelta(hours=24), later) == list(range(10))
-    assert table.read().count() == 10 and table.log().count() == 1
-    assert table.publish(spark.range(4)) == 11
-
-
-def test_a_refused_version_is_not_shown(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
-    grown = lambda new, shown: new.count() >= shown.count()
-    assert [table.publish(spark.range(n), at, "f", grown) for at, n in enumerate((5, 3, 5, 6))] == [0, 0, 1, 2]
-    assert table.read().count() == 6
+    assert table.read().count() == 10 and table.versions() == [10]
+    assert table.publish(counted(spark, {1: 1}), fingerprint="f") == 11
 
 
-def test_published_counts_never_fall_over_restarts(spark, tmp_path):
+def test_shown_counts_never_fall_while_the_stream_catches_up(spark, tmp_path):
     """Several files wait at the first start and at a restart, one is taken per batch."""
     state = {"fingerprint": "one"}
     job = small_job(spark, tmp_path, INCREMENTAL, lambda: (DEFAULT, state["fingerprint"]))
-    seen = []
-    publish = job.gold.publish
-
-    def watched(*arguments, **named):
-        version = publish(*arguments, **named)
-        seen.append(job.gold.read().where("employee_id = 1").first()["nb_activites"])
-        return version
-
-    job.gold.publish = watched
-    for _ in range(3):
-        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
-    finish(job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1"))
-    for _ in range(3):
-        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
-    before = job.gold.latest()["version"]
-    query = job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1")
-    finish(query)
-    state["fingerprint"] = "two"
-    for _ in range(2):
-        bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
-    finish(job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1"))
+    seen, register = [], job.register
+
+    def watched():
+        register()
+        seen.append(shown(job.gold)[1])
+
+    job.register = watched
+    for fingerprint, files in (("one", 3), ("one", 3), ("two", 2)):
+        state["fingerprint"] = fingerprint
+        for _ in range(files):
+            bronze_rows(spark, *[1] * 5).coalesce(1).write.mode("append").parquet(job.bronze_path)
+        finish(job.start(f"{tmp_path}/ck", every=None, maxFilesPerTrigger="1"))
     assert seen == sorted(seen) and seen[0] == 15 and seen[-1] == 40
-    assert job.gold.latest()["version"] > before and job.gold.latest()["fingerprint"] == "two"
+    assert job.gold.latest()["fingerprint"] == "two"
+
+
+def test_a_small_batch_on_a_large_state_writes_its_own_employees_only(spark, tmp_path):
+    job = small_job(spark, tmp_path, INCREMENTAL)
+    job.hr = spark.range(50_000).selectExpr("id AS employee_id", "'a' AS bu", "CAST(NULL AS STRING) AS moyen_dep",
+                                            "1.0D AS salaire_brut_annuel", "CAST(NULL AS DOUBLE) AS distance_km")
+    everyone = spark.range(50_000).select(*[(F.col("id") if f.name == "employee_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in BRONZE])
+    everyone.write.parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
+    assert job.gold.versions() == [0] and job.gold.batches() == []
+    bronze_rows(spark, *range(10)).write.mode("append").parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
+    assert job.gold.versions() == [0]
+    (batch,) = job.gold.batches()
+    assert spark.read.parquet(f"{job.gold.path}/changes/version=0/batch={batch}").count() == 10
+    assert {n: c for n, c in shown(job.gold).items() if c == 2} == {n: 2 for n in range(10)} and len(shown(job.gold)) == 50_000
+
+
+def test_changed_people_are_shown_from_the_state(spark, tmp_path, monkeypatch):
+    """Someone who joins HR later has the count that the state kept; history is not read again."""
+    job = small_job(spark, tmp_path, INCREMENTAL)
+    bronze_rows(spark, 1, 3, 3).write.parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None))
+    bronze_rows(spark, 1, 3).write.mode("append").parquet(job.bronze_path)
+    finish(job.start(f"{tmp_path}/ck", every=None))
+    assert shown(job.gold) == {1: 2, 2: 0}
+    more = job.hr.union(job.hr.where("employee_id = 1").withColumn("employee_id", F.lit(3).cast("long")))
+    again = GoldJob(job.bronze_path, more, job.rules, job.gold)
+    monkeypatch.setattr(again, "build_initial", lambda: pytest.fail("history was read"))
+    bronze_rows(spark, 3).write.mode("append").parquet(job.bronze_path)
+    finish(again.start(f"{tmp_path}/ck", every=None))
+    assert shown(job.gold) == {1: 2, 2: 0, 3: 4}
+
+
+def test_a_new_checkpoint_rebuilds_from_repaired_bronze(spark, tmp_path):
+    """Counts may fall then, under unchanged rules, and gold does not freeze at the old ones."""
+    job = small_job(spark, tmp_path, INCREMENTAL)
+    for rows in ([1, 1, 1], [2]):
+        bronze_rows(spark, *rows).write.mode("append").parquet(job.bronze_path)
+        finish(job.start(f"{tmp_path}/ck", every=None))
+    assert shown(job.gold) == {1: 3, 2: 1}
+    repaired = GoldJob(f"{tmp_path}/repaired", job.hr, job.rules, job.gold)
+    bronze_rows(spark, 1, 2).write.parquet(repaired.bronze_path)
+    finish(repaired.start(f"{tmp_path}/ck-new", every=None))
+    assert shown(job.gold) == {1: 1, 2: 1}
+    bronze_rows(spark, 2).write.mode("append").parquet(repaired.bronze_path)
+    finish(repaired.start(f"{tmp_path}/ck-new", every=None))
+    assert shown(job.gold) == {1: 1, 2: 2}
 
 
 def test_an_unchanged_restart_publishes_nothing(spark, tmp_path, monkeypatch):
@@ -209,29 +275,6 @@ def test_an_unchanged_restart_publishes_nothing(spark, tmp_path, monkeypatch):
     assert spark.table("gold_eligibilites").count() == 2
 
 
-def test_the_size_of_a_stream_state_is_known_to_the_join(spark, tmp_path, monkeypatch):
-    """Ten new rows on a state of 50 000 employees: the state is not taken for ten rows."""
-    plans, limit = [], "spark.sql.autoBroadcastJoinThreshold"
-    spark.conf.set(limit, "20k")
-    monkeypatch.setattr(SnapshotTable, "register", lambda *_: spark.conf.unset(limit) if len(plans) == 2 else None)
-    job = small_job(spark, tmp_path, INCREMENTAL)
-    publish = job.gold.publish
-
-    def watched(snapshot, *arguments):
-        version = publish(snapshot, *arguments)
-        plans.append(snapshot._jdf.queryExecution().executedPlan().toString())
-        return version
-
-    job.gold.publish = watched
-    spark.range(50_000).select(*[(F.col("id") if f.name == "employee_id" else F.lit(None)).cast(f.dataType).alias(f.name)
-                                 for f in BRONZE]).write.parquet(job.bronze_path)
-    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
-    bronze_rows(spark, *range(10)).write.mode("append").parquet(job.bronze_path)
-    finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
-    assert len(plans) == 2 and all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
-    assert spark.conf.get(limit) != "20k"
-
-
 def test_a_trailing_period_follows_the_rules(spark, tmp_path):
     now = datetime(2025, 1, 31)
     job = small_job(spark, tmp_path, REBUILD, fixed_rules(Rules(0.05, 2, 15.0, 25.0, 10)))
@@ -260,24 +303,19 @@ def test_the_listener_keeps_more_batches_than_spark(spark, tmp_path):
     assert kept.count() == 130 > len(query.recentProgress) - 1 and kept.agg(F.sum("input_rows")).first()[0] == 130
 
 
-def test_gold_is_visible_to_sql(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
-    table.publish(spark.range(3))
-    table.register("sql_gold")
-    assert spark.sql("SELECT count(*) FROM sql_gold").first()[0] == 3
-    table.publish(spark.range(5))
-    table.register("sql_gold")
-    assert spark.table("sql_gold").count() == 5
-
-
-def test_gold_is_visible_in_the_catalog(spark, tmp_path):
-    table = SnapshotTable(spark, f"{tmp_path}/t")
+@pytest.mark.parametrize("persistent", [False, True])
+def test_gold_is_visible_to_sql(spark, tmp_path, persistent):
+    table, name = PublishedTable(spark, f"{tmp_path}/t"), f"sql_gold_{persistent}"
     for version in (1, 2):
-        table.publish(spark.range(version).withColumn(f"column_{version}", F.lit("x")))
-        table.register("catalog_gold", persistent=True)
-        assert spark.newSession().table("catalog_gold").columns == ["id", f"column_{version}"]
-        assert spark.table("catalog_gold").count() == version
-    spark.sql("DROP VIEW catalog_gold")
+        table.publish(counted(spark, {n: 1 for n in range(version)}).withColumn(f"column_{version}", F.lit("x")), fingerprint="f")
+        table.register(name, persistent)
+        table.publish_changes(counted(spark, {0: 2}).withColumn(f"column_{version}", F.lit("y")), version, fingerprint="f")
+        assert spark.sql(f"SELECT sum(nb_activites) FROM {name}").first()[0] == version
+        table.register(name, persistent)
+        reader = spark.newSession() if persistent else spark
+        assert reader.table(name).columns == ["employee_id", "nb_activites", f"column_{version}"]
+        assert reader.sql(f"SELECT sum(nb_activites) FROM {name}").first()[0] == version + 1
+    spark.sql(f"DROP VIEW {name}")
 
 
 def test_notifications_of_a_stream_equal_batch(spark, tables, tmp_path):
