@@ -264,7 +264,8 @@ def judged(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     known = stored(counted(docs).withColumn("base_failed", base_failed(settings)), "outliers-counted")
     named = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c) for c in GROUP]  # "" stands for null
     sound = known.where(~F.col("base_failed")).select(*named, *vector())
-    estimates = estimate(stored(sound, "outliers-vectors"), settings)
+    # written, so that Spark knows their size before it decides how to join them
+    estimates = stored(estimate(stored(sound, "outliers-vectors"), settings), "outliers-estimates")
     cut = chi_square_quantile(1 - settings.tail, SIZE)
     keyed = known.select("*", *[n.alias(f"_{c}") for c, n in zip(GROUP, named)], *vector())
     joined = keyed.join(estimates.select(*[F.col(c).alias(f"_{c}") for c in GROUP], *FACTOR), [f"_{c}" for c in GROUP], "left")
