@@ -15,6 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS, UP_STEPS  # noqa: E402
 from movewell.functions.status import threshold_status  # noqa: E402
 from movewell.operators import distances, generator, health as stream_health, kpi, ordering, quality  # noqa: E402
+from movewell.operators.daily import DAY, MONTH  # noqa: E402
 from movewell.rules import DEFAULT, Rules, load_rules, read_bytes  # noqa: E402
 from movewell.session import job_session  # noqa: E402
 from movewell.sources.activities import append_activities, read_activities  # noqa: E402
@@ -52,14 +53,14 @@ def _watched(spark: SparkSession, args: argparse.Namespace) -> None:
 def bronze(spark: SparkSession, args: argparse.Namespace) -> None:
     messages = read_cdc_stream(spark, args.source, _pairs(args.option))
     _watched(spark, args)
-    start_bronze(messages, args.table, args.checkpoint, args.format, args.every).awaitTermination()
+    start_bronze(messages, args.table, args.checkpoint, args.format, args.every, args.by).awaitTermination()
 
 
 def gold(spark: SparkSession, args: argparse.Namespace) -> None:
     people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
     now = (lambda: datetime.now(timezone.utc).replace(tzinfo=None)) if args.trailing else None
     job = GoldJob(args.bronze, people, lambda: _rules(spark, args.rules), PublishedTable(spark, args.table), args.mode,
-                  args.format, args.view, args.catalog, now)
+                  args.format, args.view, args.catalog, now, args.by)
     _watched(spark, args)
     job.start(args.checkpoint, args.every, **_pairs(args.option)).awaitTermination()
 
@@ -172,13 +173,15 @@ def _parser() -> argparse.ArgumentParser:
     sub = job(bronze, "table", "checkpoint")
     source(sub)
     stream(sub, "10 seconds")
+    sub.add_argument("--by", choices=(DAY, MONTH), help="partition bronze by the time of the activity")
     sub = job(gold, "bronze", "table", "checkpoint")
     people(sub)
     stream(sub, TRIGGER)
     sub.add_argument("--rules")
     sub.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="bronze stream option")
     sub.add_argument("--mode", choices=(INCREMENTAL, REBUILD), default=INCREMENTAL)
-    sub.add_argument("--trailing", action="store_true", help="count the rules' trailing days only; needs --mode rebuild")
+    sub.add_argument("--trailing", action="store_true", help="count the rules' trailing days only; incremental needs bronze --by the same")
+    sub.add_argument("--by", choices=(DAY, MONTH), default=DAY, help="how bronze is partitioned, for trailing days")
     sub.add_argument("--view", default=GOLD_VIEW, help="SQL name of the newest version")
     sub.add_argument("--catalog", action="store_true", help="make the view one of the catalog, for other sessions")
     sub = job(notify, "outbox", "checkpoint")

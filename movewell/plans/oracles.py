@@ -172,6 +172,11 @@ SELECT employee_id, bu, moyen_dep, CASE WHEN employee_id % 101 <> 0 THEN salaire
     "wellness_trailing": _with(
         ACT, _well("act", where="op <> 'd' AND date_debut BETWEEN TIMESTAMP '2000-08-01' AND TIMESTAMP '2001-08-01'"),
         "\nSELECT * FROM well"),
+    "wellness_daily": _with(
+        ACT, _well("act", where="op <> 'd' AND date_debut BETWEEN TIMESTAMP '2000-08-01' AND TIMESTAMP '2001-08-01'"),
+        "\nSELECT * FROM well"),
+    "gold_trailing_stream": _with(
+        RH, ACT, PRIME, _well("act", where="op <> 'd' AND date_debut BETWEEN TIMESTAMP '2000-08-01' AND TIMESTAMP '2001-08-01'"), GOLD),
     "gold_eligibility": _with(RH, ACT, PRIME, WELL, GOLD),
     "gold_sparse": _with(RH, PRIME, _well("events", "user_id"), GOLD),
     "gold_sql_kpi": _with(RH, ACT, PRIME, WELL, f"\nSELECT bu, {MEASURES} FROM ({GOLD}) GROUP BY bu"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS
 from movewell.functions import status
 from movewell.operators import distances, eligibility, health, kpi, notifications as notices, quality
+from movewell.operators.daily import MONTH, part_column
 from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
 from movewell.operators.ordering import activities_by_date as ordered_by_date
 from movewell.plans import views
@@ -21,6 +23,7 @@ from movewell.sources.cdc import decode_activities, read_cdc_stream
 from movewell.sources.hr import hr_ids, load_hr, strip_headers, write_hr
 from movewell.sources.routes import parse_distances
 from movewell.streaming.bronze import start_bronze
+from movewell.streaming.daily import TrailingCounts
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
 from movewell.streaming.progress import ProgressLog, read_progress
@@ -137,13 +140,13 @@ def bronze_stream(spark, sf_dir):
     return _zoneless(read_bronze(spark, f"{base}/table"))
 
 
-def _stream_gold(spark: SparkSession, sf_dir: str, mode: str, rules=lambda wave: (DEFAULT, "default")) -> GoldJob:
-    """Run bronze and gold over the arriving log; each wave restarts both, under the wave's rules."""
+def _stream_gold(spark: SparkSession, sf_dir: str, mode: str, rules=lambda wave: (DEFAULT, "default"), as_of=None) -> GoldJob:
+    """Run bronze and gold over the arriving log; each wave restarts both, under the wave's rules and time."""
     base, now = shared_dir(spark, "gold-stream"), {"wave": 0}
-    job = GoldJob(f"{base}/bronze", views.hr(spark, sf_dir), lambda: rules(now["wave"]),
-                  PublishedTable(spark, f"{base}/gold"), mode)
+    job = GoldJob(f"{base}/bronze", views.hr(spark, sf_dir), lambda: rules(now["wave"]), PublishedTable(spark, f"{base}/gold"),
+                  mode, as_of=as_of and (lambda: as_of(now["wave"])), by=MONTH)
     for now["wave"], messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
-        finish(start_bronze(messages, job.bronze_path, f"{base}/bronze-checkpoint"))
+        finish(start_bronze(messages, job.bronze_path, f"{base}/bronze-checkpoint", by=MONTH if as_of else None))
         finish(job.start(f"{base}/gold-checkpoint", every=None))
     return job
 
@@ -153,6 +156,26 @@ def gold_stream(spark, sf_dir):
     return _stream_gold(spark, sf_dir, INCREMENTAL).gold.read()
 
 
+@registered
+def gold_trailing_stream(spark, sf_dir):
+    """Gold over the trailing days, which move from wave to wave and end at the last order."""
+    return _stream_gold(spark, sf_dir, INCREMENTAL, as_of=lambda wave: views.AS_OF - timedelta(days=40 * (WAVES - 1 - wave))).gold.read()
+
+
+@registered
+def wellness_daily(spark, sf_dir):
+    """The trailing count from days: the log is counted by day as it arrives, and the period moves four times."""
+    base = shared_dir(spark, "daily")
+    rows = views.kept_activities(spark, sf_dir).withColumn("part", part_column(MONTH, "date_debut"))
+    rows.withColumnRenamed("date_debut", "date_debut_ts").hint("rebalance", "part").write.partitionBy("part").parquet(f"{base}/activities")
+    written = spark.read.parquet(f"{base}/activities")
+    trail = TrailingCounts(spark, f"{base}/trailing", MONTH)
+    for batch, behind in enumerate((400, 90, 30, 0)):
+        trail.add(written.where(F.pmod("id", F.lit(4)) == batch), batch)
+        trail.advance(batch, views.AS_OF - timedelta(days=behind), DEFAULT.window_days)
+    return eligibility.with_wellness_flag(trail.counts(written, views.AS_OF, DEFAULT.window_days), DEFAULT)
+
+
 @registered
 def gold_stream_sql(spark, sf_dir):
     """Indicators that SQL finds under gold's name while the stream runs: each version is registered."""

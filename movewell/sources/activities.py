@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from movewell.schemas import BRONZE, LOADED_ACTIVITY
 
@@ -24,12 +25,16 @@ def read_activities(spark: SparkSession, source: str | Mapping[str, str]) -> Dat
     return spark.read.format("jdbc").options(**source).load()
 
 
-def read_bronze(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).schema(BRONZE).load(path)
+IN_PARTS = T.StructType([*BRONZE.fields, T.StructField("part", T.DateType())])
 
 
-def stream_bronze(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    return spark.readStream.format(fmt).schema(BRONZE).options(**options).load(path)
+def read_bronze(spark: SparkSession, path: str, fmt: str = "parquet", in_parts: bool = False) -> DataFrame:
+    """Bronze as a table; ``in_parts`` if it was written by time, with its partitions as a column ``part``."""
+    return spark.read.format(fmt).schema(IN_PARTS if in_parts else BRONZE).load(path)
+
+
+def stream_bronze(spark: SparkSession, path: str, fmt: str = "parquet", in_parts: bool = False, **options: str) -> DataFrame:
+    return spark.readStream.format(fmt).schema(IN_PARTS if in_parts else BRONZE).options(**options).load(path)
 
 
 TEXT_LAYOUT = {"sep": "\t", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}

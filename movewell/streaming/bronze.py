@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from movewell.operators.daily import part_column
 from movewell.sources.cdc import decode_activities
 from movewell.streaming.runs import start
 
 
 def start_bronze(messages: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
-                 every: str | None = None) -> StreamingQuery:
-    """Append decoded messages to the bronze table. No shuffle: tasks follow the source's splits."""
-    writer = decode_activities(messages).writeStream.format(fmt).outputMode("append").queryName("bronze")
-    return start(writer, checkpoint, every, path)
+                 every: str | None = None, by: str | None = None) -> StreamingQuery:
+    """Append decoded messages to the bronze table. No shuffle: tasks follow the source's splits.
+
+    ``by`` partitions the table by the day or month of the activity; messages without one get a partition of their own.
+    """
+    rows = decode_activities(messages)
+    if by:
+        rows = rows.withColumn("part", part_column(by))
+    writer = rows.writeStream.format(fmt).outputMode("append").queryName("bronze")
+    return start(writer.partitionBy("part") if by else writer, checkpoint, every, path)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from movewell.fixed_values import GOLD_VIEW
+from movewell.operators.daily import DAY
 from movewell.operators.eligibility import activity_counts, gold_from_counts, gold_of_changed, trailing
 from movewell.rules import Rules
 from movewell.sources.activities import read_bronze, stream_bronze
+from movewell.streaming.daily import TrailingCounts
 from movewell.streaming.folders import exists
-from movewell.streaming.published import PublishedTable
+from movewell.streaming.published import LATEST, PublishedTable
 from movewell.streaming.runs import start
 
 TRIGGER = "20 seconds"  # Fixed value: pace of the gold stream.
@@ -46,6 +48,9 @@ class GoldJob:
     between two starts, and when enough changes have gathered. ``rebuild`` counts the
     whole history in every batch; with ``as_of`` only the rules' trailing days.
 
+    ``incremental`` with ``as_of`` shows the trailing days from counts per day, which move with the time, and
+    writes the employees whose count changed. Bronze is partitioned ``by`` day or month then, and there is no initial build.
+
     After an initial build the stream first catches up with the history. Until it does, an employee's
     count stays as built. A checkpoint that was lost or replaced makes ``start`` build anew from
     bronze, so that is also the way to show counts that fall after bronze was repaired.
@@ -60,13 +65,14 @@ class GoldJob:
     view: str = GOLD_VIEW
     catalog: bool = False
     as_of: Callable[[], datetime] | None = None
+    by: str = DAY
     people: str | None = None  # fingerprint of HR, taken once per job
 
     def __post_init__(self) -> None:
         if self.mode not in (INCREMENTAL, REBUILD):
             raise ValueError(f"mode is {INCREMENTAL} or {REBUILD}, not {self.mode}")
-        if self.as_of and self.mode != REBUILD:
-            raise ValueError("counts of a trailing period need the rebuild mode")
+        if self.as_of and self.mode == INCREMENTAL:
+            self.gold.newest = LATEST  # counts fall as days leave the period
 
     def _marks(self, fingerprint: str) -> dict[str, str]:
         self.people = self.people or fingerprint_of(self.hr)
@@ -123,6 +129,22 @@ class GoldJob:
         if self.as_of or not history.isEmpty():
             self._publish(activity_counts(history), batch_id)
 
+    def on_days(self, new: DataFrame, batch_id: int, trail: TrailingCounts) -> None:
+        """Count a batch by day, move the period to now, and publish the employees whose count changed."""
+        rules, fingerprint = self.rules()
+        now = self.as_of()
+        trail.add(new, batch_id)
+        trail.advance(batch_id, now, rules.window_days)
+        counts = trail.counts(read_bronze(self.gold.spark, self.bronze_path, self.fmt, in_parts=True), now, rules.window_days)
+        if self.rules_changed():
+            self._publish(counts, batch_id)
+            return
+        shown = self.gold.read().select("employee_id", F.col("nb_activites").alias("shown")).distinct()
+        changed = (shown.join(counts, "employee_id", "left").withColumn("nb_activites", F.coalesce("nb_activites", F.lit(0)))
+                   .where("nb_activites <> shown").drop("shown"))
+        self.gold.publish_changes(gold_of_changed(self.hr, changed, rules), batch_id, **self._marks(fingerprint))
+        self.register()
+
     def _orphaned(self, checkpoint: str) -> bool:
         """Whether what is in force came from a stream that this checkpoint does not continue."""
         last = self.gold.latest()
@@ -136,6 +158,8 @@ class GoldJob:
         If HR alone changed, the counts in the state are enough. An unchanged restart reads no history
         and publishes nothing; it only registers what there is.
         """
+        if self.as_of and self.mode == INCREMENTAL:
+            return self._start_trailing(checkpoint, every, source_options)
         if initial and (self.rules_changed() or self._orphaned(checkpoint)):
             self.build_initial()
         elif (last := self.gold.latest()) and last["people"] != self._marks("")["people"]:
@@ -150,3 +174,13 @@ class GoldJob:
         else:
             writer = arriving.writeStream.outputMode("update").foreachBatch(self.on_arrival)
         return start(writer.queryName("gold"), checkpoint, every)
+
+    def _start_trailing(self, checkpoint: str, every: str | None, source_options: dict[str, str]) -> StreamingQuery:
+        trail = TrailingCounts(self.gold.spark, f"{checkpoint.rstrip('/')}-trailing", self.by)
+        if not exists(self.gold.spark, f"{checkpoint}/commits/*"):
+            trail.forget()
+        if self.gold.versions():
+            self.register()
+        arriving = stream_bronze(self.gold.spark, self.bronze_path, self.fmt, in_parts=True, **source_options)
+        writer = arriving.writeStream.foreachBatch(lambda new, batch_id: self.on_days(new, batch_id, trail))
+        return start(writer.queryName("gold"), checkpoint, every)

@@ -1,0 +1,98 @@
+"""Trailing periods from daily counts against counting the period anew."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from movewell.operators import daily
+from movewell.operators.eligibility import activity_counts, trailing
+from movewell.rules import Rules
+from movewell.streaming.daily import TrailingCounts
+from movewell.streaming.gold import GoldJob
+from movewell.streaming.published import PublishedTable
+from movewell.streaming.runs import finish
+
+ROWS = "employee_id int, date_debut_ts timestamp_ntz"
+START = datetime(2025, 1, 1)
+
+
+def activities(seed, size, days=60):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4]), START + timedelta(minutes=rng.randrange(days * 1440))) for _ in range(size)]
+    return rows + [(None, START), (5, None)]
+
+
+def expected(rows, as_of, days):
+    made = {}
+    for employee, when in rows:
+        if employee is not None and when is not None and as_of - timedelta(days=days) <= when <= as_of:
+            made[employee] = made.get(employee, 0) + 1
+    return made
+
+
+def test_days_that_enter_and_leave():
+    first, last = daily.whole_days(datetime(2025, 2, 10, 8), 3)
+    assert (first.isoformat(), last.isoformat()) == ("2025-02-08", "2025-02-09")
+
+
+@pytest.mark.parametrize("unit", [daily.DAY, daily.MONTH])
+def test_moved_sums_equal_counting_anew(spark, tmp_path, unit):
+    """Late rows, a replayed batch, steps forward and back, far ahead, and within a day."""
+    table = f"{tmp_path}/bronze"
+    trail, rows = TrailingCounts(spark, f"{tmp_path}/trail", unit), []
+    moments = [START + timedelta(days=30, hours=7), START + timedelta(days=30, hours=20), START + timedelta(days=33),
+               START + timedelta(days=25, hours=1), START + timedelta(days=58, minutes=3)]
+    for batch, as_of in enumerate(moments):
+        new = activities(batch, 120)
+        rows += new
+        frame = spark.createDataFrame(new, ROWS).withColumn("part", daily.part_column(unit))
+        frame.coalesce(1).write.mode("append").partitionBy("part").parquet(table)
+        for _ in range(2 if batch == 2 else 1):
+            trail.add(frame, batch)
+            trail.advance(batch, as_of, 10)
+        bronze = spark.read.parquet(table).withColumn("date_debut_ts", F.col("date_debut_ts").cast("timestamp_ntz"))
+        found = {r["employee_id"]: r["nb_activites"] for r in trail.counts(bronze, as_of, 10).collect()}
+        anew = {r["employee_id"]: r["nb_activites"] for r in activity_counts(trailing(bronze, as_of, 10)).collect()}
+        assert found == anew == expected(rows, as_of, 10)
+
+
+def test_days_that_stay_are_not_read(spark, tmp_path):
+    trail = TrailingCounts(spark, f"{tmp_path}/trail")
+    for batch in range(2):
+        trail.add(spark.createDataFrame(activities(batch, 300), ROWS), batch)
+    before, after = daily.whole_days(START + timedelta(days=40), 10), daily.whole_days(START + timedelta(days=41), 10)
+    step = daily.moved(trail.daily(), before, 1, after)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = {f.split("part=")[1][:10] for f in trail.daily().where(
+        daily._among([*daily._minus(after, before), *daily._minus(before, after)], daily.DAY)).inputFiles()}
+    touched = {r["day"] for r in trail.daily().where(daily._among(
+        [*daily._minus(after, before), *daily._minus(before, after)], daily.DAY)).select("day").distinct().collect()}
+    assert touched <= {after[1], before[0]} and read
+
+
+def test_gold_of_a_moving_period(spark, tmp_path):
+    """The period moves between batches: counts rise, fall and reach none; only changed employees are written."""
+    hr = spark.createDataFrame([(n, "a", None, 100.0, None) for n in range(1, 8)],
+                               "employee_id bigint, bu string, moyen_dep string, salaire_brut_annuel double, distance_km double")
+    now = {"as_of": START + timedelta(days=20, hours=12)}
+    job = GoldJob(f"{tmp_path}/bronze", hr, lambda: (Rules(0.05, 2, 15.0, 25.0, 10), "f"), PublishedTable(spark, f"{tmp_path}/gold"),
+                  as_of=lambda: now["as_of"])
+    rows = []
+    for batch, days in enumerate((20, 21, 45, 200)):
+        now["as_of"] = START + timedelta(days=days, hours=12)
+        new = activities(batch, 40) if batch < 3 else [(7, now["as_of"])]
+        rows += new
+        frame = spark.createDataFrame(new, ROWS).selectExpr(
+            "CAST(NULL AS INT) id", "employee_id", "CAST(NULL AS BIGINT) date_debut", "CAST(NULL AS STRING) type_activite",
+            "CAST(NULL AS DOUBLE) distance_m", "CAST(NULL AS INT) duree_s", "CAST(NULL AS STRING) commentaire",
+            "CAST(date_debut_ts AS TIMESTAMP) date_debut_ts").withColumn("part", daily.part_column(daily.DAY))
+        frame.coalesce(1).write.mode("append").partitionBy("part").parquet(job.bronze_path)
+        finish(job.start(f"{tmp_path}/ck", every=None))
+        counts = expected(rows, now["as_of"], 10)
+        assert {r["employee_id"]: r["nb_activites"] for r in job.gold.read().collect()} == {n: counts.get(n, 0) for n in range(1, 8)}
+    assert job.gold.versions() == [0] and len(job.gold.batches()) == 3
+    written = spark.read.parquet(f"{tmp_path}/gold/changes/version=0").where("batch = 3")
+    assert {r["employee_id"] for r in written.collect()} <= {1, 2, 3, 4, 7}
