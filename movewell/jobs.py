@@ -22,11 +22,13 @@ from movewell.sources.activities import append_activities, read_activities  # no
 from movewell.sources.cdc import read_cdc_stream  # noqa: E402
 from movewell.sources.hr import hr_ids, load_hr, read_hr, write_hr  # noqa: E402
 from movewell.sources.routes import parse_distances  # noqa: E402
-from movewell.streaming.bronze import start_bronze  # noqa: E402
+from movewell.streaming.bronze import start_bronze, start_quarantine  # noqa: E402
 from movewell.streaming.gold import INCREMENTAL, REBUILD, TRIGGER, GoldJob  # noqa: E402
 from movewell.streaming.notify import Outbox  # noqa: E402
-from movewell.streaming.progress import ProgressLog, read_progress  # noqa: E402
+from movewell.streaming.progress import ProgressLog, batches, read_progress, stream_progress  # noqa: E402
 from movewell.streaming.published import PublishedTable  # noqa: E402
+from movewell.streaming.rates import rates_now, start_rates  # noqa: E402
+from movewell.streaming.runs import finish  # noqa: E402
 
 
 def _pairs(options: list[str]) -> dict[str, str]:
@@ -56,6 +58,12 @@ def bronze(spark: SparkSession, args: argparse.Namespace) -> None:
     start_bronze(messages, args.table, args.checkpoint, args.format, args.every, args.by).awaitTermination()
 
 
+def quarantine(spark: SparkSession, args: argparse.Namespace) -> None:
+    messages = read_cdc_stream(spark, args.source, _pairs(args.option))
+    _watched(spark, args)
+    start_quarantine(messages, args.table, args.checkpoint, args.format, args.every).awaitTermination()
+
+
 def gold(spark: SparkSession, args: argparse.Namespace) -> None:
     people = load_hr(_sheet(spark, args)).persist()  # HR is read once, as long as the job lives
     now = (lambda: datetime.now(timezone.utc).replace(tzinfo=None)) if args.trailing else None
@@ -129,12 +137,18 @@ def clean(spark: SparkSession, args: argparse.Namespace) -> None:
 def health(spark: SparkSession, args: argparse.Namespace) -> None:
     """Liveness and batch rates of the streams in a progress table, and the lag of a change log, as tables."""
     rows = read_progress(spark, args.progress)
+    reports = batches(rows)
     up = stream_health.stream_liveness(rows, args.as_of, args.threshold)
     up.withColumn("colour", threshold_status(F.col("up"), UP_STEPS)).write.mode("overwrite").parquet(f"{args.out}/up")
-    rates = stream_health.batch_rate(rows, args.window, app="stream")
+    if args.checkpoint:  # only the rows since the last run are read, and those of windows still open
+        finish(start_rates(batches(stream_progress(spark, args.progress)), f"{args.out}/closed", args.checkpoint, args.window, app="stream"))
+        rates = rates_now(spark.read.parquet(f"{args.out}/closed"), reports, args.window, app="stream")
+    else:
+        rates = stream_health.batch_rate(reports, args.window, app="stream")
     rates.withColumn("colour", threshold_status(F.col("events"), RATE_STEPS)).write.mode("overwrite").parquet(f"{args.out}/rates")
     window = F.window("ts", f"{args.window} seconds")["start"].alias("window_start")
-    rows.groupBy("stream", window).agg(F.sum("input_rows").alias("input_rows")).write.mode("overwrite").parquet(f"{args.out}/input")
+    sums = [F.sum(c).alias(c) for c in ("input_rows", "unreadable", "empty")]
+    reports.groupBy("stream", window).agg(*sums).write.mode("overwrite").parquet(f"{args.out}/input")
     if args.messages:
         samples = stream_health.arrival_samples(spark.read.parquet(args.messages))
         stream_health.cdc_lag(samples, f"{args.window} seconds").write.mode("overwrite").parquet(f"{args.out}/lag")
@@ -174,6 +188,9 @@ def _parser() -> argparse.ArgumentParser:
     source(sub)
     stream(sub, "10 seconds")
     sub.add_argument("--by", choices=(DAY, MONTH), help="partition bronze by the time of the activity")
+    sub = job(quarantine, "table", "checkpoint")
+    source(sub)
+    stream(sub, "10 seconds")
     sub = job(gold, "bronze", "table", "checkpoint")
     people(sub)
     stream(sub, TRIGGER)
@@ -207,6 +224,7 @@ def _parser() -> argparse.ArgumentParser:
     sub = job(health, "progress", "out")
     sub.add_argument("--threshold", default="1 minute")
     sub.add_argument("--window", type=int, default=300, help="seconds")
+    sub.add_argument("--checkpoint", help="keep rates up as a stream between runs, with this checkpoint")
     sub.add_argument("--messages", help="change messages with their arrival time, for the lag")
     sub.add_argument("--as-of", type=datetime.fromisoformat, default=datetime.now(timezone.utc).replace(tzinfo=None))
     return parser

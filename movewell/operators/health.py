@@ -68,6 +68,30 @@ def counter_increase(samples: DataFrame, length: str, series: Sequence[str], ts:
                  F.sum("_samples").alias("samples")))
 
 
+def increase_after(samples: DataFrame, length: str, series: Sequence[str], carried: DataFrame | None = None,
+                   ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
+    """Series, window_start, increase, samples and last of new samples, the steps going on from those ``carried``.
+
+    carried: series and last, a struct of time, tie and value, one row per series. Samples move once, to their
+    series and window, where all but one step of a window is made; the first steps of windows
+    come from one row per window. A window of one series in one batch is taken to fit a task.
+    """
+    piece = [*series, "window_start"]
+    known = samples.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(
+        *series, F.window(ts, length)["start"].alias("window_start"), F.struct(F.col(ts).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value")).alias("_s"))
+    inside = Window.partitionBy(*piece).orderBy("_s.at", "_s.tie")
+    steps = known.withColumn("_step", _step(F.col("_s.value"), F.lag("_s.value").over(inside)))
+    pieces = steps.groupBy(*piece).agg(F.sum("_step").alias("_inner"), F.count(F.lit(1)).alias("samples"),
+                                       F.min("_s").alias("_first"), F.max("_s").alias("last"))
+    if carried is not None:
+        nothing = [F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in ("window_start", "_inner", "samples")]
+        pieces = pieces.unionByName(carried.select(*series, *nothing, F.col("last").alias("_first"), "last"))
+    between = Window.partitionBy(*series).orderBy("_first.at", "_first.tie")
+    border = _step(F.col("_first.value"), F.lag("last.value").over(between))
+    grown = F.coalesce("_inner", F.lit(0)) + F.coalesce(border, F.lit(0))
+    return pieces.select(*piece, grown.alias("increase"), "samples", "last").where("samples IS NOT NULL")
+
+
 def counter_rate(samples: DataFrame, length_seconds: int, app: str, series: Sequence[str], ts: str = "ts",
                  value: str = "value", tie: str = "event_id") -> DataFrame:
     """Growth per second by application and window: the rates of its counters, added up."""

@@ -257,3 +257,13 @@ ORACLES["gold_stream_rules"] = _other_rules(ORACLES["gold_stream"]).replace("coa
   md5('{"prime_sportive": {"percent": 0.08}, "bien_etre": {"min_activities": 12}, "distance": {"max_walk_km": 10, "max_bike_km": 20}}'
       || chr(10)) AS fingerprint,""")
 ORACLES["stream_progress"] = "SELECT 'bronze' AS stream, CAST(4 AS BIGINT) AS batches, count(*) AS input_rows FROM orders"
+ORACLES["unreadable_messages"] = """
+SELECT count(*) AS input_rows, count(*) FILTER (o_orderkey % 8 IN (0, 3, 6)) AS unreadable,
+  count(*) FILTER (o_orderkey % 8 IN (1, 2, 4, 5)) AS empty, count(*) FILTER (o_orderkey % 8 IN (0, 3, 6)) AS kept,
+  max(o_orderkey) FILTER (o_orderkey % 8 IN (0, 3, 6)) AS last_kept
+FROM orders"""
+ORACLES["stream_heartbeats"] = """
+SELECT stream, CAST(up AS INTEGER) AS up, (SELECT count(*) FROM orders) AS input_rows
+FROM (VALUES ('bronze', 0), ('quarantine', 1)) AS t(stream, up)"""
+ORACLES["batch_rate_stream"] = ORACLES["batch_rate"]
+ORACLES["counter_increase_stream"] = ORACLES["counter_increase"]

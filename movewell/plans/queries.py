@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS
 from movewell.functions import status
+from movewell.functions.time import moment
 from movewell.operators import distances, eligibility, health, kpi, notifications as notices, quality
 from movewell.operators.daily import MONTH, part_column
 from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
@@ -22,13 +24,14 @@ from movewell.sources.activities import append_activities, read_activities, read
 from movewell.sources.cdc import decode_activities, read_cdc_stream
 from movewell.sources.hr import hr_ids, load_hr, strip_headers, write_hr
 from movewell.sources.routes import parse_distances
-from movewell.streaming.bronze import start_bronze
+from movewell.streaming.bronze import start_bronze, start_quarantine
 from movewell.streaming.daily import TrailingCounts
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
-from movewell.streaming.progress import ProgressLog, read_progress
-from movewell.streaming.runs import finish
+from movewell.streaming.progress import ProgressLog, batches, read_progress
 from movewell.streaming.published import PublishedTable
+from movewell.streaming.rates import IncreaseLog, rates_now, start_rates
+from movewell.streaming.runs import finish
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -342,10 +345,61 @@ def stream_progress(spark, sf_dir):
         log.wait_for(finish(start_bronze(messages, f"{base}/table", f"{base}/checkpoint")))
     finally:
         spark.streams.removeListener(log)
+        log.close()
     rows = read_progress(spark, f"{base}/progress").where("input_rows > 0")
     return rows.groupBy("stream").agg(F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("input_rows"))
 
 
+@registered
+def unreadable_messages(spark, sf_dir):
+    """Messages of a damaged log: counted by the stream that decodes them, and the unreadable ones kept."""
+    base = shared_dir(spark, "unreadable")
+    views.damaged_messages(spark, sf_dir).repartition(4).write.parquet(f"{base}/log")
+    log = ProgressLog(spark, f"{base}/progress")
+    spark.streams.addListener(log)
+    try:
+        for begin, table in ((start_bronze, "bronze"), (start_quarantine, "quarantine")):
+            messages = read_cdc_stream(spark, "parquet", {"path": f"{base}/log", "maxFilesPerTrigger": "1"})
+            log.wait_for(finish(begin(messages, f"{base}/{table}", f"{base}/checkpoint-{table}")))
+    finally:
+        spark.streams.removeListener(log)
+        log.close()
+    kept = spark.read.parquet(f"{base}/quarantine").agg(F.count(F.lit(1)).alias("kept"), F.max("offset").alias("last_kept"))
+    counts = batches(read_progress(spark, f"{base}/progress")).where("stream = 'bronze'")
+    sums = counts.agg(*[F.sum(c).alias(c) for c in ("input_rows", "unreadable", "empty")])
+    return sums.select("*", kept.select("kept").scalar().alias("kept"), kept.select("last_kept").scalar().alias("last_kept"))
+
+
+@registered
+def stream_heartbeats(spark, sf_dir):
+    """A stream that ended and one that lives on without new messages, told apart by the table of their reports."""
+    base, idle = shared_dir(spark, "heartbeats"), "spark.sql.streaming.noDataProgressEventInterval"
+    views.cdc_messages(spark, sf_dir).write.parquet(f"{base}/log")
+    messages = read_cdc_stream(spark, "parquet", {"path": f"{base}/log"})
+    log = ProgressLog(spark, f"{base}/progress", pace=0.5)
+    spark.streams.addListener(log)
+    spark.conf.set(idle, "500ms")
+    try:
+        log.wait_for(finish(start_bronze(messages, f"{base}/bronze", f"{base}/checkpoint")))
+        ended = read_progress(spark, f"{base}/progress").agg(F.max("ts")).first()[0]
+        living = start_quarantine(messages, f"{base}/quarantine", f"{base}/checkpoint-quarantine", every="200 milliseconds")
+        heard = ended
+        for _ in range(120):
+            time.sleep(0.5)
+            rows = read_progress(spark, f"{base}/progress")
+            heard = rows.where("stream = 'quarantine' AND batch_id IS NULL").agg(F.max("ts")).first()[0] or ended
+            if heard > ended + timedelta(seconds=5) and not batches(rows).where("stream = 'quarantine'").isEmpty():
+                break
+        living.stop()
+    finally:
+        spark.conf.unset(idle)
+        spark.streams.removeListener(log)
+        log.close()
+    rows = read_progress(spark, f"{base}/progress")
+    up = health.stream_liveness(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), heard, "4 seconds").drop("last_seen")
+    return up.join(batches(rows).groupBy("stream").agg(F.sum("input_rows").alias("input_rows")), "stream")
+
+
 @registered
 def stream_liveness(spark, sf_dir):
     samples = views.events(spark, sf_dir).withColumn("stream", F.col("user_id").cast("string"))
@@ -363,6 +417,33 @@ def batch_rate(spark, sf_dir):
     return _rates(spark, sf_dir)
 
 
+def _in_waves(spark: SparkSession, rows: DataFrame, wave: Column, base: str) -> Iterator[str]:
+    """Write rows by the number of their wave to one folder; yield it after each."""
+    for number in range(WAVES):
+        rows.where(wave == number).write.mode("append").parquet(f"{base}/samples")
+        yield f"{base}/samples"
+
+
+def _wave_of(when: Column) -> Column:
+    """Thirds of the events' month by the time given."""
+    day = F.timestamp_diff("DAY", moment(datetime(2024, 1, 1)), when)
+    return F.least(F.lit(WAVES - 1), F.greatest(F.lit(0), F.floor(day / 10).cast("int")))
+
+
+@registered
+def batch_rate_stream(spark, sf_dir):
+    """The batch rates, kept up as a stream over samples of which many come up to two hours late."""
+    base, rates = shared_dir(spark, "rates"), dict(name="metric", names="spark_.*")
+    samples = views.events(spark, sf_dir).select(
+        (F.col("user_id") % 2).alias("app"), F.col("ts").cast("timestamp").alias("ts"), status.spark_metric_name(F.col("event_type")).alias("metric"),
+        (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 3).cast("int"))).alias("arrives"))
+    for path in _in_waves(spark, samples, _wave_of(F.col("arrives")), base):
+        arriving = spark.readStream.schema(samples.schema).parquet(path)
+        finish(start_rates(arriving, f"{base}/closed", f"{base}/checkpoint", 3600, "6 hours", **rates))
+    now = rates_now(spark.read.parquet(f"{base}/closed"), spark.read.parquet(path), 3600, **rates)
+    return now.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @registered
 def threshold_status(spark, sf_dir):
     """Status colour per application and hour; the panel's step applies to events per hour here."""
@@ -378,6 +459,17 @@ def counter_increase(spark, sf_dir):
             .withColumn("increase", F.col("increase").cast("double")))
 
 
+@registered
+def counter_increase_stream(spark, sf_dir):
+    """The hourly increase from samples in three parts; the stream restarts for each and carries the last samples over."""
+    base = shared_dir(spark, "increase")
+    samples = views.events(spark, sf_dir).select("user_id", "ts", "event_id", F.col("value").cast("decimal(18,4)").alias("value"))
+    log = IncreaseLog(spark, f"{base}/log", "1 hour", ["user_id"])
+    for path in _in_waves(spark, samples, _wave_of(F.col("ts")), base):
+        finish(log.start(spark.readStream.schema(samples.schema).parquet(path), f"{base}/checkpoint"))
+    return log.read().withColumn("increase", F.col("increase").cast("double"))
+
+
 @registered
 def counter_rate(spark, sf_dir):
     samples = views.events(spark, sf_dir).select(

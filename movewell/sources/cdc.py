@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from movewell.schemas import ACTIVITY, ENVELOPE, MESSAGE
 
@@ -39,10 +40,35 @@ def decode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
         *keep, "payload.op", "payload.after", F.col("payload.source.ts_ms").alias("source_ts_ms"))
 
 
+UNREADABLE, EMPTY = "unreadable", "empty"
+_BROKEN = "_broken"
+_WITH_BROKEN = T.StructType([*ENVELOPE.fields, T.StructField(_BROKEN, T.StringType())])
+
+
+def decode_with_problem(messages: DataFrame, *keep: str) -> DataFrame:
+    """As decode_envelope, with ``problem``: null, or why the message gives no activity.
+
+    ``unreadable`` has text that is no JSON of the envelope's types (of a wrong type, the other fields are
+    still decoded); ``empty`` has no payload: another JSON text, or no value at all.
+    """
+    text = F.col("value").cast("string")
+    read = F.from_json(text, _WITH_BROKEN, {"columnNameOfCorruptRecord": _BROKEN})
+    rows = messages.select(*keep, F.explode(F.array(F.struct(text.isNotNull().alias("given"), read.alias("read")))).alias("_m"))
+    read = F.col("_m.read")
+    problem = (F.when(F.col("_m.given") & (read.isNull() | read[_BROKEN].isNotNull()), UNREADABLE)
+               .when(read["payload"].isNull(), EMPTY))
+    payload = read["payload"]
+    return rows.select(*keep, payload["op"].alias("op"), payload["after"].alias("after"),
+                       payload["source"]["ts_ms"].alias("source_ts_ms"), problem.alias("problem"))
+
+
+def flattened(decoded: DataFrame) -> DataFrame:
+    return decoded.select("after.*").withColumn("date_debut_ts", F.timestamp_micros("date_debut"))
+
+
 def decode_activities(messages: DataFrame) -> DataFrame:
     """Bronze rows. Every message gives one; deletes and unreadable ones are all null."""
-    return (decode_envelope(messages).select("after.*")
-            .withColumn("date_debut_ts", F.timestamp_micros("date_debut")))
+    return flattened(decode_envelope(messages))
 
 
 def has_body(after: str = "after") -> Column:

@@ -8,7 +8,8 @@ from movewell.plans.queries import REGISTRY
 from movewell.schemas import GOLD
 
 STARTS_JOBS = {"bronze_stream", "gold_stream", "gold_stream_rebuild", "gold_stream_sql", "gold_stream_rules", "notifications_stream",
-               "gold_sql_kpi", "gold_sql_total", "hr_writeback", "activity_load", "dq_table", "stream_progress", "gold_trailing_stream", "wellness_daily"}
+               "gold_sql_kpi", "gold_sql_total", "hr_writeback", "activity_load", "dq_table", "stream_progress", "gold_trailing_stream", "wellness_daily",
+               "unreadable_messages", "stream_heartbeats", "batch_rate_stream", "counter_increase_stream"}
 LAZY = sorted(set(REGISTRY) - STARTS_JOBS)
 
 

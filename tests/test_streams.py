@@ -297,6 +297,7 @@ def test_the_listener_keeps_more_batches_than_spark(spark, tmp_path):
         assert log.wait_for(query)
     finally:
         spark.streams.removeListener(log)
+        log.close()
     kept = read_progress(spark, f"{tmp_path}/progress").where("input_rows > 0")
     assert kept.count() == 130 > len(query.recentProgress) - 1 and kept.agg(F.sum("input_rows")).first()[0] == 130
 
