@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movewell.session import shared_dir
+from movewell.streaming.folders import remove
 
 BATCH_ROWS = 256
 
@@ -28,7 +29,15 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and survives lost executors."""
     path = shared_dir(frame.sparkSession, purpose)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    made = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``stored`` wrote for these frames, once everything made of them is stored itself."""
+    for frame in frames:
+        remove(frame.sparkSession, frame.stored_at)
 
 
 def fold(id_column: str, folds: int) -> Column:

@@ -7,11 +7,17 @@ overlaps of classes, the sketch of the union estimates their similarity, and ful
 Lists of common values (beyond ``common`` classes) are not paired up. A class most of whose retained
 values are rare meets its partners in rare lists, for two sets that share four fifths of their
 shingles share rare ones too: it would have to be at least 29 of the 48 smallest values of their
-union that only one of them has, where a fifth is expected (odds 1.1e-9). Of the other classes, the core, whole sets are looked at: pairs that
-share a shingle rare in the core meet in its list, and all others share common shingles only, so the
-numbers of these bound their similarity. Where the bound allows a link, classes are first compared
-with the leader of each of their lists, and what the leaders leave apart is compared across the
-components of a list. No list is capped and no value dropped without the other way taking its place.
+union that only one of them has, where a fifth is expected (odds 1.1e-9).
+
+Of the other classes, the core, whole sets are looked at. Pairs that share a shingle rare in the core meet in
+its list. All others share common shingles only. Of the common part of a set, runs of neighbours in the order of the
+hash are the values of the lists: several shingles together, which two sets have in common only if they are alike. At
+the bound 27 separate runs are expected to be shared, so a pair is missed with odds of about 1e-12. Small sets
+are put into several orders, made of the one hash, to have as many. Long lists are then of groups that are alike: each class
+is compared with one leader first, and what the leaders leave apart is compared across the
+components of a list. A class with more own shingles than half of what may differ
+is compared with others that have fewer, never with its like. No list is capped and no value dropped without
+the other way taking its place.
 """
 
 from __future__ import annotations
@@ -25,16 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from movewell.llm.common import small_batches, stored, texts_of
+from movewell.llm.common import discard, stored, texts_of
 from movewell.llm.components import components
 
-BASE = 0x9E3779B97F4A7C15 | 1
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -43,7 +43,7 @@ class Settings:
     sketch: hashes retained of each set. probes: of these, how many go to inverted lists. common: a
     list longer than this is not paired up. mostly: a class with a larger share of common probes
     than this is of the core; far below percent, as the probes only estimate the share. slack: how far below the bound an estimate may lie; at 64
-    retained values five standard errors. leader_probes: common values by which leaders are met.
+    retained values five standard errors. led: of the long lists of runs, one in so many has a leader.
     """
 
     words: int = 4
@@ -53,7 +53,7 @@ class Settings:
     common: int = 32
     mostly: float = 0.4
     slack: float = 0.25
-    leader_probes: int = 12
+    led: int = 8
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -62,20 +62,27 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-@lru_cache(maxsize=64)
-def _powers(size: int, base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]))
+class Words(dict):
+    """The first 8 bytes of the BLAKE2b digest of each word, as a number; forgotten as a whole when full."""
+
+    FULL, LONG = 400_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONG:
+            if len(self) >= self.FULL:
+                self.clear()
+            self[word] = made
+        return made
+
+
+KNOWN = Words()
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case."""
-    raw = LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    gap = np.concatenate([[True], SPACE[raw], [True]])
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    room = 1 << max(12, int(len(raw)).bit_length())
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(room, BASE)[: len(raw)])])
-    return _mixed((sums[ends] - sums[starts]) * _powers(room, pow(BASE, -1, 1 << 64))[starts])
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space alone
+    return np.fromiter(map(KNOWN.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -95,27 +102,35 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
+def _print(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text, by which texts of one id are told apart) and text."""
+    return texts_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n (size of the whole set), print (of the whole set), sketch (its smallest hashes)."""
+    """doc_id, mark, n (size of the whole set), print (of the whole set), sketch (its smallest hashes)."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py(), settings.words) for text in batch.column(1)]
-            prints = [hashlib.blake2b(one.tobytes(), digest_size=16).digest() for one in sets]
-            yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary()),
-                                   _lists([one[: settings.sketch] for one in sets])], names=["doc_id", "n", "print", "sketch"])
+            sets = [shingle_set(text.as_py(), settings.words) for text in batch.column(2)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(map(len, sets), pa.int64()), pa.array(map(_print, sets), pa.binary()),
+                                   _lists([one[: settings.sketch] for one in sets])], names=["doc_id", "mark", "n", "print", "sketch"])
 
-    return texts_of(docs).mapInArrow(sketch, "doc_id long, n long, print binary, sketch array<bigint>")
+    return rows_of(docs).mapInArrow(sketch, "doc_id long, mark long, n long, print binary, sketch array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """id and full set of the documents whose ids are wanted."""
+    """id and full set of the wanted classes; wanted: id, and the doc_id and mark of a row that has the set."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), _lists([shingle_set(t.as_py(), settings.words) for t in batch.column(1)])],
                                   names=["id", "members"])
 
-    rows = texts_of(docs).join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return rows.mapInArrow(gather, "id long, members array<bigint>")
+    rows = rows_of(docs).join(wanted, ["doc_id", "mark"]).select("id", "text")
+    return rows.mapInArrow(gather, "id long, members array<bigint>").dropDuplicates(["id"])  # rows may be repeated
 
 
 def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
@@ -158,76 +173,195 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
 
 
-def _marked(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (value, id, n, ...) of values that several ids have, marked where these are many."""
-    lengths = rows.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > 1)
-    return rows.join(lengths, "value").withColumn("common", F.col("length") > settings.common).drop("length")
+def _marked(rows: DataFrame, settings: Settings, purpose: str) -> DataFrame:
+    """Rows (value, ...) of values that several rows have, marked where these are many; a stored table.
 
-
-def _met(lists: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) that meet in a list of a value that is not common."""
-    rare = lists.where(~F.col("common")).select("value", "id", "n")
-    other = rare.select("value", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
-    return (rare.join(other, "value").where((F.col("id") < F.col("id_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
+    The counts are written first: where they are few, rows of lone values go no further than their scan.
+    """
+    lengths = stored(rows.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where(F.col("length") > 1), f"{purpose}-lengths")
+    made = stored(rows.join(lengths, "value").withColumn("common", F.col("length") > settings.common).drop("length"), purpose)
+    discard(lengths)
+    return made
+
+
+def _met(lists: DataFrame, settings: Settings, allowed: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that meet in a list that is not common; ``allowed`` may compare columns x with x_b."""
+    rare = lists.where(~F.col("common")).drop("common")
+    other = rare.select("value", *[F.col(c).alias(f"{c}_b") for c in rare.columns if c != "value"])
+    fits = (F.col("id") < F.col("id_b")) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent)
+    return (rare.join(other, "value").where(fits if allowed is None else fits & allowed)
             .select(F.col("id").alias("a"), F.col("id_b").alias("b")))
 
 
-def _bound_allows(n: Column, h: Column, n_b: Column, h_b: Column, percent: int) -> Column:
+def _bound_allows(percent: int) -> Column:
     """Whether sets that share common shingles only, h of n and h_b of n_b, can share enough."""
-    shared = F.least(h, h_b)
-    return shared * 100 >= (n + n_b - shared) * percent
+    shared = F.least("h", "h_b")
+    return shared * 100 >= (F.col("n") + F.col("n_b") - shared) * percent
 
 
-def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """(id, component) of every class that is linked with another; classes: id, n, sketch.
+# --- runs of the core's common shingles -------------------------------------------------------
 
-    A link inside a component that is already known is not confirmed again, so a group of near
-    copies costs about one comparison for each of them instead of one for each pair.
+
+@dataclass(frozen=True)
+class Runs:
+    """Sets of ``least`` to below ``most`` shingles: runs of ``length``, in orders enough for ``wanted`` places.
+
+    Tiers overlap by a quarter, so that two sets that can be linked have a tier in common. A run is shared at the
+    bound with 0.8 ** length, and separate ones begin at a fifth of the places.
     """
-    probed = classes.select("id", "n", F.posexplode(F.slice("sketch", 1, settings.probes)).alias("place", "value"))
-    lists = stored(_marked(probed, settings), "neardup-lists")
-    counted = lists.where("common").groupBy("id", "n").agg(F.count(F.lit(1)).alias("commons"))
-    core = counted.where(F.col("commons") > F.least("n", F.lit(settings.probes)) * settings.mostly).select("id")
-    core_sets = stored(whole_sets(docs, core, settings), "neardup-core")
 
+    length: int
+    wanted: int
+    least: int
+    most: int
+
+
+TIERS = (Runs(2, 200, 1, 15), Runs(5, 380, 12, 75), Runs(7, 600, 60, 1 << 62))
+
+
+def run_keys(held: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the runs of a set of n shingles, of which ``held`` are common."""
+    values, keys = held.astype(np.uint64), [np.zeros(0, np.uint64)]
+    for tier in TIERS:
+        if tier.least <= n < tier.most:
+            for order in range(-(-tier.wanted // n)):
+                salt = np.uint64((order << 8) + tier.length)
+                sequence = np.sort(_mixed(values + salt))[: tier.wanted]
+                run = np.full(max(0, len(sequence) - tier.length + 1), salt)
+                for at in range(tier.length):
+                    run = run * np.uint64(0xFF51AFD7ED558CCD) + sequence[at: at + len(run)]
+                keys.append(_mixed(run))
+    return np.unique(np.concatenate(keys).astype(np.int64))
+
+
+def _runs(commons: DataFrame) -> DataFrame:
+    """value (a key), id, n and h of each run; commons: id, n and the common shingles held."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = (batch.column(c).to_pylist() for c in (0, 1))
+            held = [np.asarray(one.values) for one in batch.column(2)]
+            keys = [run_keys(one, size) for one, size in zip(held, n)]
+            sizes = [len(one) for one in keys]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
+                                   *[pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (ids, n, [len(h) for h in held])]],
+                                  names=["value", "id", "n", "h"])
+
+    return commons.select("id", "n", "held").mapInArrow(deal, "value long, id long, n long, h long")
+
+
+def _core_candidates(docs: DataFrame, core_sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the core to be compared, and the lists of runs that are too long to be paired up."""
     shingles = core_sets.select("id", F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
-    core_lists = stored(_marked(shingles, settings), "neardup-core-lists")
-    commons = core_lists.where("common").groupBy("id").agg(F.count(F.lit(1)).alias("h"))
-    nearest = Window.partitionBy("id").orderBy("place")
-    led = stored(lists.where("common").drop("common").join(commons, "id").where(F.col("h") * 100 >= F.col("n") * settings.percent)
-                 .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= settings.leader_probes)
-                 .select("value", "id", "n", "h", F.collect_set("value").over(Window.partitionBy("id")).alias("met_by")), "neardup-led")
+    lists = _marked(shingles, settings, "neardup-core-lists")
+    commons = lists.where("common").groupBy("id", "n").agg(F.collect_list("value").alias("held"))  # of one set
+    runs = stored(_runs(commons.where(F.size("held") * 100 >= F.col("n") * settings.percent)), "neardup-runs")
+    dealt = _marked(runs, settings, "neardup-run-lists")
+    allowed = _bound_allows(settings.percent)
     rank = F.struct((F.col("h") / F.col("n")).alias("share"), (-F.col("n")).alias("small"), (-F.col("id")).alias("first"), "h")
-    leaders = led.groupBy("value").agg(F.max(rank).alias("lead")).select(
+    long = dealt.where("common").drop("common")
+    some = long.where(F.pmod("value", F.lit(settings.led)) == 0)
+    leaders = some.groupBy("value").agg(F.max(rank).alias("lead")).select(
         "value", (-F.col("lead.first")).alias("id_b"), (-F.col("lead.small")).alias("n_b"), F.col("lead.h").alias("h_b"))
-    allowed = _bound_allows(F.col("n"), F.col("h"), F.col("n_b"), F.col("h_b"), settings.percent)
-    to_leader = (led.join(leaders, "value").where((F.col("id") != F.col("id_b")) & allowed)
+    to_leader = (some.join(leaders, "value").where((F.col("id") != F.col("id_b")) & allowed)
                  .select(*_ordered(F.col("id"), F.col("id_b"))))
+    pairs = stored(_met(lists, settings).union(_met(dealt, settings, allowed)).union(to_leader).distinct(), "neardup-core-pairs")
+    long = stored(long, "neardup-long")
+    discard(lists, runs, dealt)
+    return pairs, long
+
+
+def _apart(long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest."""
+    light = F.col("n") * (100 - settings.percent) >= (F.col("n") - F.col("h")) * (100 + settings.percent)
+    named = long.join(labels, "id", "left").select(
+        "value", "id", "n", "h", light.alias("light"), F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows"))
+    largest = (sizes.groupBy("value").agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
+               .where("kinds > 1").select("value", F.col("most.component").alias("main")))
+    split = stored(named.join(largest, "value"), "neardup-split")
+    columns = [F.col(c).alias(f"{c}_b") for c in ("id", "n", "h", "light", "component")]
+    outside = split.where(F.col("component") != F.col("main"))
+    fits = ((F.col("component") != F.col("component_b")) & _bound_allows(settings.percent)
+            & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
+    # two sets with more own shingles than half of what may differ are no pair, so one side is light
+    either = split.where("light").join(outside.select("value", *columns), "value").where(fits)
+    other = split.where("NOT light").join(outside.where("light").select("value", *columns), "value").where(fits)
+    pairs = stored(either.union(other).select(*_ordered(F.col("id"), F.col("id_b"))).distinct(), "neardup-apart")
+    discard(split)
+    return pairs
+
+
+def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that hold the components of the classes together; classes: id, doc_id, mark, n, sketch. Stored.
 
-    candidates = _met(lists, settings).union(_met(core_lists, settings)).union(to_leader).distinct()
+    A link inside a component that is already known is not confirmed again, so a group of near
+    copies costs about one comparison for each of them instead of one for each pair.
+    """
+    probed = classes.select("id", "n", F.explode(F.slice("sketch", 1, settings.probes)).alias("value"))
+    lists = _marked(probed, settings, "neardup-lists")
+    counted = lists.where("common").groupBy("id", "n").agg(F.count(F.lit(1)).alias("commons"))
+    core = stored(counted.where(F.col("commons") > F.least("n", F.lit(settings.probes)) * settings.mostly).select("id"), "neardup-core")
+    places = classes.select("id", "doc_id", "mark")
+    core_places = stored(places.join(core, "id", "left_semi"), "neardup-core-places")
+    core_sets = stored(whole_sets(docs, core_places, settings), "neardup-core-sets")
+    core_pairs, long = _core_candidates(docs, core_sets, settings)
+
+    candidates = _met(lists, settings).union(core_pairs).distinct()
     pairs = stored(_plausible(candidates, classes, settings), "neardup-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(core_sets.select("id"), "id", "left_anti")
-    sets = core_sets.union(stored(whole_sets(docs, ends, settings), "neardup-sets"))
+    discard(lists, core_pairs)
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(core, "id", "left_anti")
+    wanted = stored(places.join(ends, "id", "left_semi"), "neardup-places")
+    other_sets = stored(whole_sets(docs, wanted, settings), "neardup-sets")
+    sets = core_sets.union(other_sets)
 
     best = pairs.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("near", (-F.col("a")).alias("other"))).alias("best"))
     first = stored(_confirmed(best.select((-F.col("best.other")).alias("a"), F.col("id").alias("b")), sets, settings), "neardup-links")
     labels = components(first)
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
+    discard(labels, pairs)
     labels = components(first.union(again))
+    cross = _apart(long, labels, settings)
+    last = _confirmed(_plausible(cross, classes, settings), sets, settings)
+    links = stored(first.union(again).union(last), "neardup-all-links")
+    discard(labels, first, again, cross, long, other_sets, core_sets, core_places, core, wanted)
+    return links
 
-    named = led.join(labels, "id", "left").select("value", "id", "n", "h", "met_by", F.coalesce("component", "id").alias("component"))
-    largest = (named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("value")
-               .agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
-               .where(F.col("kinds") > 1).select("value", F.col("most.component").alias("main")))
-    split = named.join(largest, "value")
-    apart = split.where(F.col("component") != F.col("main")).select(
-        "value", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("met_by").alias("met_by_b"),
-        F.col("component").alias("component_b"))
-    once = F.array_min(F.array_intersect("met_by", "met_by_b")) == F.col("value")  # of the lists that both are in
-    cross = (split.join(apart, "value").where((F.col("component") != F.col("component_b")) & allowed & once)
-             .select(*_ordered(F.col("id"), F.col("id_b"))).distinct())
-    last = stored(_confirmed(_plausible(cross, classes, settings), sets, settings), "neardup-links")
-    return components(first.union(again).union(last)) if last.head(1) else labels
+
+def grouped(docs: DataFrame, settings: Settings = Settings(), one_per_id: bool = False) -> DataFrame:
+    """doc_id, mark, n, group of every input row; a stored table. Texts are told apart by id and mark.
+
+    group is null for texts without a word, and the same number for all texts that links connect. With
+    ``one_per_id`` all texts of one id are connected, too, and rows without an id have no group.
+    """
+    known = stored(sketches(docs, settings), "neardup-sketches")
+    sound = known.where((F.col("n") > 0) & (F.col("doc_id").isNotNull() if one_per_id else F.lit(True)))
+    # a null id stands for itself in a row of another column, so that joins need no case for it
+    least = sound.groupBy("n", "print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "sketch")).alias("least"))
+    named = least.select("n", "print", "least.none", "least.doc_id", "least.mark", "least.sketch")
+    whole = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
+    classes = stored(named.select(F.xxhash64("print", "n").alias("id"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "mark", "n", "print", "sketch"),
+                     "neardup-classes")
+    links = class_links(whole, classes.select("id", "doc_id", "mark", "n", "sketch"), settings)
+    of_print = classes.select("print", F.col("n").alias("n_class"), "id")
+    rows = known.select("doc_id", "mark", "n", "print")
+    if one_per_id:
+        several = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("doc_id")
+        several = stored(several, "neardup-several")
+        own = rows.where("n > 0").join(several, "doc_id", "left_semi").join(of_print, "print").select("doc_id", "id").distinct()
+        first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+        more = own.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        both = stored(links.union(more), "neardup-all-links")
+        discard(links, several)
+        links = both
+    labels = components(links)
+    numbered = stored(of_print.join(labels.select("id", "component"), "id", "left").select(
+        "print", "n_class", F.coalesce("component", "id").alias("group")), "neardup-numbered")
+    mine = (F.col("n") == F.col("n_class")) & (rows["print"] == numbered["print"])
+    made = stored(rows.join(numbered, mine & (rows["doc_id"].isNotNull() if one_per_id else F.lit(True)), "left")
+                  .select("doc_id", "mark", "n", "group"), "neardup-groups")
+    discard(known, classes, links, labels, numbered)
+    return made
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -237,16 +371,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Null, empty and wordless texts have an empty set and are linked with nothing. A null doc_id has
     no component and is kept. Rows of one doc_id are one document with the links of all its texts.
     """
-    small_batches(docs.sparkSession)
-    known = stored(sketches(docs, settings), "neardup-sketches")
-    classes = stored(known.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "print").agg(
-        F.min(F.struct("doc_id", "sketch")).alias("least")).select(
-        "n", "print", F.col("least.doc_id").alias("id"), F.col("least.sketch").alias("sketch")), "neardup-classes")
-    labels = class_links(docs, classes.select("id", "n", "sketch"), settings)
-    named = classes.select("n", "print", "id").join(labels, "id", "left").select(
-        F.col("n").alias("n_class"), F.col("print").alias("print_class"), F.coalesce("component", "id").alias("component"))
-    joined = known.select("doc_id", "n", "print").join(
-        named, (F.col("n") == F.col("n_class")) & (F.col("print") == F.col("print_class")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = grouped(docs, settings, one_per_id=True)
+    least = rows.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
+    joined = rows.join(least, "group", "left")
+    # of an id that has texts with and without words, all rows go with those that have words
+    mixed = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("n") == 0).alias("bare"), F.max("group").alias("_group"))
+    mixed = stored(mixed.where("bare > 0 AND _group IS NOT NULL").join(least.withColumnRenamed("group", "_group"), "_group")
+                   .select("doc_id", F.col("least").alias("least_of_id")), "neardup-mixed")
+    component = F.coalesce(F.col("least"), F.col("least_of_id"), F.col("doc_id"))
+    return joined.join(mixed, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -7,6 +7,7 @@ import random
 import re
 from math import log2
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,63 @@ def test_components_equal_brute_force(docs_of, odd_texts, settings):
     assert [r["kept"] for r in found if r["doc_id"] is None] == [True]
 
 
+def thue_morse(letters, size=1024):
+    return "".join(letters[bin(n).count("1") % 2] for n in range(size))
+
+
+def test_crafted_words_do_not_collide(docs_of):
+    """A word and its complement, equal under every polynomial hash of odd base modulo a power of two."""
+    rows = [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, thue_morse("ab"))]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_an_id_of_several_texts_is_one_document(docs_of):
+    a, b, c = (" ".join(f"{letter}{i}" for i in range(30)) for letter in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, ""), (11, c), (11, c), (7, ""), (None, a), (12, None), (12, c), (4, "x y z"), (4, b + " end")]
+    found = neardup.near_duplicates(docs_of(rows)).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {
+        (3, 3), (5, 3), (9, 3), (4, 3), (11, 11), (12, 11), (7, 7), (None, None)}
+
+
+def passage_texts(size, seed=9):
+    """Documents of ten out of forty passages: all they are made of is common, and few are linked."""
+    rng = random.Random(seed)
+    passages = [" ".join(f"p{k}w{rng.randrange(900)}" for _ in range(40)) for k in range(40)]
+    rows = []
+    for n in range(size):
+        chosen = rng.sample(range(40), 10)
+        rows.append((n, " ".join(passages[k] for k in chosen)))
+        if n % 50 == 0:
+            rows.append((size + n, " ".join(passages[k] for k in chosen[:-1])))
+    return rows
+
+
+def test_documents_of_common_passages(docs_of):
+    rows = passage_texts(400)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows).repartition(4)).collect()}
+    assert found == brute_components(rows, 4)
+    assert sum(i != c for i, c in found.items()) >= 8
+
+
+def test_linked_sets_share_a_run():
+    """Sets at the bound, of many sizes, always have a key in common; unlike ones of some size hardly ever."""
+    rng, met = random.Random(1), 0
+    for n in [*range(4, 80), *range(80, 2000, 41)]:
+        for _ in range(8):
+            shared = rng.sample(range(1 << 62), n)
+            differ = n // 4
+            one = rng.randint(0, differ)
+            sides = [shared + rng.sample(range(1 << 62), extra) for extra in (one, differ - one)]
+            assert 100 * n >= 80 * (n + differ)
+            keys = [set(neardup.run_keys(np.array(side), len(side)).tolist()) for side in sides]
+            assert keys[0] & keys[1]
+        unlike = [np.array((shared[: n // 3] + rng.sample(range(1 << 62), n))[:n]) for _ in range(2)]
+        met += n > 15 and bool(set(neardup.run_keys(unlike[0], n).tolist()) & set(neardup.run_keys(unlike[1], n).tolist()))
+    assert met <= 12
+
+
 def test_a_template_with_own_words_is_linked_whatever_its_probes(docs_of):
     """A fifth of the set is rare, yet two fifths of the probes: whole sets must decide, not rare lists."""
     template = [f"t{i}" for i in range(403)]
