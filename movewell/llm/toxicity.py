@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from movewell.llm.common import fold, share_kept, small_batches, stored, table, texts_of
+from movewell.llm.common import fold, share_kept, stored, table, texts_of
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"\w+")
@@ -34,7 +35,8 @@ BEGINNINGS = (4, 5, 6)
 class Settings:
     """Bounds of the training sample, features and fit.
 
-    positives, unlabelled: expected rows of each kind in the sample, taken by hash of the id.
+    positives, unlabelled: expected rows of each kind in the sample; positives by hash of the id, one text for
+    each, unlabelled rows by hash of id and text, equal rows once.
     features: words and beginnings looked at, those whose shares differ by most standard errors, and
     by at least ``least_z``. steps, rate, decay: of the fit.
     """
@@ -42,10 +44,10 @@ class Settings:
     positives: int = 3_000
     unlabelled: int = 9_000
     features: int = 384
-    least_z: float = 8.0
+    least_z: float = 4.5
     steps: int = 600
     rate: float = 0.1
-    decay: float = 2e-4
+    decay: float = 5e-5
 
 
 def word_buckets(text: str) -> np.ndarray:
@@ -109,7 +111,7 @@ def _positives(labels: DataFrame, settings: Settings) -> tuple[DataFrame, float]
     counts = known.agg(F.count_if("toxic").alias("toxic"), F.count(F.lit(1)).alias("every")).first()
     share = F.lit(min(1.0, settings.positives / max(counts["toxic"], 1)))
     sample = known.where(F.col("toxic") & share_kept(F.col("doc_id"), share)).select("doc_id")
-    return sample, counts["toxic"] / max(counts["every"], 1)
+    return stored(sample, "toxic-ids"), counts["toxic"] / max(counts["every"], 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -122,9 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     positives, prior = _positives(labels, settings)
     known = texts_of(docs).where(fold("doc_id", 3) != 1)
     share = F.lit(min(1.0, settings.unlabelled / max(known.select("doc_id").count(), 1)))
-    rows = (known.join(F.broadcast(positives.withColumn("positive", F.lit(True))), "doc_id", "left")
-            .select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"),
-                    share_kept(F.col("doc_id"), share, "unlabelled").alias("unlabelled")).where("positive OR unlabelled"))
+    mark = F.xxhash64("doc_id", "text")
+    toxic = known.join(positives, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    others = known.withColumn("mark", mark).where(share_kept(F.col("mark"), share, "unlabelled")).dropDuplicates(["doc_id", "mark"])
+    kinds = [toxic.select("doc_id", "text", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled")),
+             others.select("doc_id", "text", F.lit(False), F.lit(True))]
+    rows = kinds[0].union(kinds[1])
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +137,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             yield pa.record_batch([batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int64()))],
                                   names=["positive", "unlabelled", "buckets"])
 
-    small_batches(docs.sparkSession)
     found = stored(rows.mapInArrow(buckets, "positive boolean, unlabelled boolean, buckets array<bigint>"), "toxic-sample")
     both = [F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")]
     counted = found.select("positive", "unlabelled", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*both).toPandas()
@@ -149,18 +153,32 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model(chosen, fit(x[kinds[:, 0]], x[kinds[:, 1]], prior, settings))
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+REJECTED_FROM = 0.7  # Fixed value: the score from which a document is called toxic.
+
+
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all columns as a struct) and score of every whole text. Texts are scored where they are read."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(text.as_py()) for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def score_documents(docs: DataFrame, model: Model, threshold: float = REJECTED_FROM) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text, one row per input row.
 
     Null and empty texts have no word and get the score of the constant alone. A null doc_id has a
-    null held_out. Further columns change nothing. Texts are scored where they are read.
+    null held_out. Further columns change nothing.
     """
+    # the text goes to the scorer alone: it need not come back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(text.as_py()) for text in batch.column(1)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
     return texts_of(docs).mapInArrow(score, "doc_id long, score double").select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
