@@ -267,3 +267,14 @@ SELECT stream, CAST(up AS INTEGER) AS up, (SELECT count(*) FROM orders) AS input
 FROM (VALUES ('bronze', 0), ('quarantine', 1)) AS t(stream, up)"""
 ORACLES["batch_rate_stream"] = ORACLES["batch_rate"]
 ORACLES["counter_increase_stream"] = ORACLES["counter_increase"]
+ORACLES["notifications_topic"] = _with(ACT.replace("WHEN o_orderkey = 303 THEN 'BACKFILL_COMPLETE'", "WHEN o_orderkey IN (303, 304) THEN 'BACKFILL_COMPLETE'"), """
+gates AS (SELECT id % 3 AS part, min(id) AS barrier FROM act WHERE op = 'c' AND type_activite = 'BACKFILL_COMPLETE' GROUP BY 1)""",
+    NOTIFICATIONS.replace("CAST(0 AS INT)", "CAST(part AS INT)").replace("FROM act\n", "FROM act JOIN gates ON part = id % 3\n").replace(
+        "(SELECT min(id) FROM act WHERE op = 'c' AND type_activite = 'BACKFILL_COMPLETE')", "barrier"))
+CURRENT = """
+latest AS (SELECT * REPLACE (id // 4 AS id), id AS "offset" FROM act QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY id DESC) = 1),
+present AS (SELECT * FROM latest WHERE op <> 'd')"""
+ORACLES["current_activities"] = _with(ACT, CURRENT, """
+SELECT "offset", op, CAST(id AS INT) AS id, CAST(employee_id AS INT) AS employee_id, epoch_us(date_debut) AS date_debut, type_activite,
+  distance_m, duree_s, commentaire, date_debut AS date_debut_ts FROM present""")
+ORACLES["gold_current_stream"] = _with(RH, ACT, CURRENT, PRIME, _well("present"), GOLD)

@@ -14,17 +14,18 @@ from movewell.fixed_values import GOLD_VIEW, HR_ADDRESS, HR_MODE, RATE_STEPS
 from movewell.functions import status
 from movewell.functions.time import moment
 from movewell.operators import distances, eligibility, health, kpi, notifications as notices, quality
+from movewell.operators.changes import current_rows
 from movewell.operators.daily import MONTH, part_column
 from movewell.operators.generator import backfill_marker, generate_activities, probe_activity
 from movewell.operators.ordering import activities_by_date as ordered_by_date
 from movewell.plans import views
 from movewell.rules import DEFAULT, load_rules
 from movewell.session import shared_dir
-from movewell.sources.activities import append_activities, read_activities, read_bronze, read_loaded
-from movewell.sources.cdc import decode_activities, read_cdc_stream
+from movewell.sources.activities import append_activities, read_activities, read_bronze, read_changes, read_loaded
+from movewell.sources.cdc import decode_activities, decode_changes, read_cdc_stream
 from movewell.sources.hr import hr_ids, load_hr, strip_headers, write_hr
 from movewell.sources.routes import parse_distances
-from movewell.streaming.bronze import start_bronze, start_quarantine
+from movewell.streaming.bronze import start_bronze, start_changes, start_quarantine
 from movewell.streaming.daily import TrailingCounts
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
 from movewell.streaming.notify import Outbox
@@ -121,12 +122,12 @@ def cdc_decode_damaged(spark, sf_dir):
     return _zoneless(decode_activities(views.damaged_messages(spark, sf_dir)))
 
 
-def _arriving(spark: SparkSession, sf_dir: str, log: str) -> Iterator[DataFrame]:
-    """Write the whole change log in offset order, a third at a time; yield the stream after each.
+def _arriving(spark: SparkSession, sf_dir: str, log: str, messages: DataFrame | None = None) -> Iterator[DataFrame]:
+    """Write the whole change log (or other messages over the same offsets) in offset order, a third at a time; yield the stream after each.
 
     Running the same query after each part makes it resume from its checkpoint.
     """
-    messages = views.cdc_messages(spark, sf_dir)
+    messages = messages or views.cdc_messages(spark, sf_dir)
     top = views.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     for wave in range(WAVES):
         low, high = wave * (top + 1) // WAVES, (wave + 1) * (top + 1) // WAVES
@@ -223,6 +224,35 @@ def notifications_stream(spark, sf_dir):
     return outbox.read().drop("batch")
 
 
+@registered
+def notifications_topic(spark, sf_dir):
+    """Three partitions, of which two open at their own marker and one never does; no search once all known are open."""
+    base = shared_dir(spark, "notify-topic")
+    outbox = Outbox(spark, f"{base}/outbox", partitions=3)
+    for messages in _arriving(spark, sf_dir, f"{base}/log", views.topic_messages(spark, sf_dir)):
+        finish(outbox.start(messages, f"{base}/checkpoint"))
+    return outbox.read().drop("batch")
+
+
+# --- Updates and deletes applied ------------------------------------------------------------
+
+
+@registered
+def current_activities(spark, sf_dir):
+    """The activities that are left once every change of the log is applied."""
+    rows = current_rows(decode_changes(views.change_messages(spark, sf_dir)))
+    return _zoneless(rows).drop("partition")
+
+
+@registered
+def gold_current_stream(spark, sf_dir):
+    """Gold over activities as they stand, from a log whose updates and deletes arrive in three parts."""
+    base = shared_dir(spark, "changes")
+    for messages in _arriving(spark, sf_dir, f"{base}/log", views.change_messages(spark, sf_dir)):
+        finish(start_changes(messages, f"{base}/changes", f"{base}/checkpoint"))
+    return eligibility.gold_eligibility(views.hr(spark, sf_dir), current_rows(read_changes(spark, f"{base}/changes")), DEFAULT)
+
+
 # --- Data quality -------------------------------------------------------------------------
 
 

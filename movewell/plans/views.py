@@ -124,6 +124,34 @@ def cdc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.to_json(record).cast("binary").alias("value"))
 
 
+SECOND_MARKER = 304  # an order of another partition
+
+
+def topic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change records dealt to three partitions by id; two of them have a marker, the third never opens."""
+    text = F.col("value").cast("string")
+    kind = F.concat(F.lit('"type_activite":"'), F.lit(MARKER_TYPE), F.lit('"'))
+    marked = F.when(F.col("offset") == SECOND_MARKER, F.regexp_replace(text, '"type_activite":"[^"]*"', kind)).otherwise(text)
+    return cdc_messages(spark, sf_dir).select(
+        (F.col("offset") % 3).cast("int").alias("partition"), "offset", marked.cast("binary").alias("value"))
+
+
+CHANGES_PER_ACTIVITY = 4
+
+
+def change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four change records for each activity: the order key over four is its id, the order key the offset.
+
+    The last code of an activity decides whether it is there; deletes name it in ``before`` alone.
+    """
+    rows = activities(spark, sf_dir)
+    key = F.floor(F.col("id") / CHANGES_PER_ACTIVITY).cast("int").alias("id")
+    body = F.struct(key, "employee_id", _micros("date_debut").alias("date_debut"), "type_activite", "distance_m", "duree_s", "commentaire")
+    before = F.when(F.col("op").isin("u", "d"), F.struct(key))
+    record = F.struct(F.struct("op", before.alias("before"), F.when(F.col("op") != "d", body).alias("after")).alias("payload"))
+    return rows.select(F.lit(0).alias("partition"), F.col("id").alias("offset"), F.to_json(record).cast("binary").alias("value"))
+
+
 def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change record damaged in one of eight ways, by its offset."""
     way, text = F.col("offset") % 8, F.col("value").cast("string")

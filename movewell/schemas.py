@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Names and types of the wire record, of gold and of the routing answer are those that others read and write.
 ACTIVITY = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("employee_id", T.IntegerType()),
@@ -21,6 +22,15 @@ ENVELOPE = T.StructType([
     ])),
 ])
 
+# The same with what a row was before: of a delete, the only place that names it.
+CHANGE_ENVELOPE = T.StructType([
+    T.StructField("payload", T.StructType([
+        T.StructField("op", T.StringType()),
+        T.StructField("before", T.StructType([T.StructField("id", T.IntegerType())])),
+        T.StructField("after", ACTIVITY),
+    ])),
+])
+
 # Columns a message log delivers; a file-based log must be written with the same ones.
 MESSAGE = T.StructType([
     T.StructField("partition", T.IntegerType()),
@@ -30,6 +40,12 @@ MESSAGE = T.StructType([
 
 BRONZE = T.StructType([*ACTIVITY.fields, T.StructField("date_debut_ts", T.TimestampType())])
 
+# Bronze that keeps what happened and in which order, for tables that follow updates and deletes.
+CHANGES = T.StructType([
+    T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("op", T.StringType()),
+    *BRONZE.fields,
+])
+
 GOLD = T.StructType([
     T.StructField("employee_id", T.LongType()),
     T.StructField("bu", T.StringType()),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from movewell.schemas import BRONZE, LOADED_ACTIVITY
+from movewell.schemas import BRONZE, CHANGES, LOADED_ACTIVITY
 
 
 def jdbc_options(url: str, table: str, lowest_id: int, highest_id: int, tasks: int) -> dict[str, str]:
@@ -33,6 +33,10 @@ def read_bronze(spark: SparkSession, path: str, fmt: str = "parquet", in_parts:
     return spark.read.format(fmt).schema(IN_PARTS if in_parts else BRONZE).load(path)
 
 
+def read_changes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.format(fmt).schema(CHANGES).load(path)
+
+
 def stream_bronze(spark: SparkSession, path: str, fmt: str = "parquet", in_parts: bool = False, **options: str) -> DataFrame:
     return spark.readStream.format(fmt).schema(IN_PARTS if in_parts else BRONZE).options(**options).load(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movewell.schemas import ACTIVITY, ENVELOPE, MESSAGE
+from movewell.schemas import ACTIVITY, CHANGE_ENVELOPE, CHANGES, ENVELOPE, MESSAGE
 
 KAFKA_DEFAULTS = {"startingOffsets": "earliest", "failOnDataLoss": "false"}
 
@@ -71,6 +71,16 @@ def decode_activities(messages: DataFrame) -> DataFrame:
     return flattened(decode_envelope(messages))
 
 
+def decode_changes(messages: DataFrame) -> DataFrame:
+    """Changes with partition, offset and operation; of a delete the id alone. Every message gives one row."""
+    payload = F.from_json(F.col("value").cast("string"), CHANGE_ENVELOPE)["payload"]
+    rows = messages.select("partition", "offset", F.explode(F.array(payload)).alias("payload"))
+    known = F.coalesce(F.col("payload.after.id"), F.col("payload.before.id")).alias("id")
+    others = [F.col(f"payload.after.{name}") for name in ACTIVITY.names if name != "id"]
+    return (rows.select("partition", "offset", "payload.op", known, *others)
+            .withColumn("date_debut_ts", F.timestamp_micros("date_debut")).select(*CHANGES.names))
+
+
 def has_body(after: str = "after") -> Column:
     """An empty JSON object counts as no body, like a missing one."""
     return reduce(or_, (F.col(f"{after}.{field}").isNotNull() for field in ACTIVITY.names))

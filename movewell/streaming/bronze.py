@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from movewell.operators.daily import part_column
-from movewell.sources.cdc import EMPTY, UNREADABLE, decode_with_problem, flattened
+from movewell.sources.cdc import EMPTY, UNREADABLE, decode_changes, decode_with_problem, flattened
 from movewell.streaming.runs import start
 
 DECODING = "decoding"  # name of the counts that each batch reports
@@ -32,6 +32,13 @@ def start_bronze(messages: DataFrame, path: str, checkpoint: str, fmt: str = "pa
     return start(writer.partitionBy("part") if by else writer, checkpoint, every, path)
 
 
+def start_changes(messages: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
+                  every: str | None = None) -> StreamingQuery:
+    """Append changes with their operation and offset: a bronze that current_rows can apply."""
+    writer = decode_changes(messages).writeStream.format(fmt).outputMode("append").queryName("changes")
+    return start(writer, checkpoint, every, path)
+
+
 def start_quarantine(messages: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
                      every: str | None = None) -> StreamingQuery:
     """Append the unreadable messages as they came, with partition and offset, for someone to look at.

@@ -21,10 +21,13 @@ class Outbox:
     known over restarts, and a restarted stream goes on posting where it stopped. Batches must
     come in offset order within a partition, as a topic source delivers them; inside a batch
     the order of rows does not matter.
+
+    Markers are searched in partitions whose barrier is not known yet. Where the number of the
+    topic's ``partitions`` is given and all have one, a batch is read once, for its texts.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, partitions: int | None = None):
+        self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions
 
     def _barrier_path(self, batch_id: int) -> str:
         return f"{self.path}/barriers/slot={batch_id % BARRIER_SLOTS}"
@@ -38,12 +41,15 @@ class Outbox:
     def on_batch(self, messages: DataFrame, batch_id: int) -> None:
         """Store the barriers known after this batch, then the texts beyond them.
 
-        The batch is read twice rather than cached, since a back-fill arrives as one large
-        batch; the first reading only searches the text for markers.
+        While markers are searched the batch is read twice rather than cached, since a back-fill arrives as
+        one large batch; the first reading only searches the text of partitions that are still closed.
         """
-        found = barriers(creations(may_hold_marker(messages)))
-        gates = (self.barriers_after(batch_id - 1).unionByName(found)
-                 .groupBy("partition").agg(F.min("barrier").alias("barrier")))
+        known = self.barriers_after(batch_id - 1)
+        open_ones = [row["partition"] for row in known.select("partition").collect()]  # no more than the topic has
+        gates = known
+        if self.partitions is None or len(open_ones) < self.partitions:
+            closed = messages.where(~F.col("partition").isin(open_ones)) if open_ones else messages
+            gates = known.unionByName(barriers(creations(may_hold_marker(closed))))
         gates.coalesce(1).write.mode("overwrite").parquet(self._barrier_path(batch_id))
         texts = notifications(creations(messages), self.barriers_after(batch_id))
         texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch_id}")

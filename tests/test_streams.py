@@ -327,6 +327,26 @@ def test_notifications_of_a_stream_equal_batch(spark, tables, tmp_path):
     assert expected.count() == 839
 
 
+def test_a_batch_is_read_once_when_all_partitions_are_open(spark, tables, tmp_path, monkeypatch):
+    """Two of three partitions open at their markers, over batches; the closed one is searched on, an open one is not."""
+    import movewell.streaming.notify as notify
+    topic = views.topic_messages(spark, tables)
+    outbox, searched = Outbox(spark, f"{tmp_path}/outbox", partitions=3), []
+    monkeypatch.setattr(notify, "may_hold_marker", lambda messages: searched.append(
+        {r["partition"] for r in messages.select("partition").distinct().collect()}) or notices.may_hold_marker(messages))
+    for batch, part in enumerate([topic.where("offset < 200"), topic.where("offset BETWEEN 200 AND 600"), topic.where("offset > 600")]):
+        outbox.on_batch(part, batch)
+    created = notices.creations(topic)
+    assert same(outbox.read().drop("batch"), notices.notifications(created, notices.barriers(created)))
+    assert searched == [{0, 1, 2}, {0, 1, 2}, {2}]
+    both = Outbox(spark, f"{tmp_path}/both", partitions=2)
+    two = topic.where("partition < 2")
+    both.on_batch(two.where("offset <= 600"), 0)
+    searched.clear()
+    both.on_batch(two.where("offset > 600"), 1)
+    assert not searched and same(both.read().drop("batch"), outbox.read().drop("batch"))
+
+
 def test_replayed_batch_neither_doubles_nor_loses(spark, tables, tmp_path):
     outbox, messages = Outbox(spark, f"{tmp_path}/outbox"), views.cdc_messages(spark, tables)
     parts = [messages.where("offset < 400"), messages.where("offset >= 400")]
