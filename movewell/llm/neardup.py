@@ -10,10 +10,10 @@ shingles share rare ones too: it would have to be at least 29 of the 48 smallest
 union that only one of them has, where a fifth is expected (odds 1.1e-9).
 
 Of the other classes, the core, whole sets are looked at. Pairs that share a shingle rare in the core meet in
-its list. All others share common shingles only. Of the common part of a set, runs of neighbours in the order of the
-hash are the values of the lists: several shingles together, which two sets have in common only if they are alike. At
-the bound 27 separate runs are expected to be shared, so a pair is missed with odds of about 1e-12. Small sets
-are put into several orders, made of the one hash, to have as many. Long lists are then of groups that are alike: each class
+its list. All others share common shingles only. The common part of a set gives a signature of least values,
+from ranges of the one hash and for small sets from several orders made of it, and five of these together are the value
+of a list, which two sets have in common only if they are alike. There are as many lists as it takes to miss a pair at
+the bound with odds below 1e-9. Long lists are then of groups that are alike: each class
 is compared with one leader first, and what the leaders leave apart is compared across the
 components of a list. A class with more own shingles than half of what may differ
 is compared with others that have fewer, never with its like. No list is capped and no value dropped without
@@ -26,13 +26,14 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movewell.llm.common import discard, stored, texts_of
+from movewell.llm.common import discard, pieces, stored, texts_of
 from movewell.llm.components import components
 
 
@@ -43,7 +44,7 @@ class Settings:
     sketch: hashes retained of each set. probes: of these, how many go to inverted lists. common: a
     list longer than this is not paired up. mostly: a class with a larger share of common probes
     than this is of the core; far below percent, as the probes only estimate the share. slack: how far below the bound an estimate may lie; at 64
-    retained values five standard errors. led: of the long lists of runs, one in so many has a leader.
+    retained values five standard errors. led: of the core's long lists, one in so many has a leader.
     """
 
     words: int = 4
@@ -53,7 +54,7 @@ class Settings:
     common: int = 32
     mostly: float = 0.4
     slack: float = 0.25
-    led: int = 8
+    led: int = 4
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, mark, n (size of the whole set), print (of the whole set), sketch (its smallest hashes)."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(text.as_py(), settings.words) for text in batch.column(2)]
             yield pa.record_batch([*batch.columns[:2], pa.array(map(len, sets), pa.int64()), pa.array(map(_print, sets), pa.binary()),
                                    _lists([one[: settings.sketch] for one in sets])], names=["doc_id", "mark", "n", "print", "sketch"])
@@ -125,7 +126,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
 def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """id and full set of the wanted classes; wanted: id, and the doc_id and mark of a row that has the set."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.record_batch([batch.column(0), _lists([shingle_set(t.as_py(), settings.words) for t in batch.column(1)])],
                                   names=["id", "members"])
 
@@ -199,85 +200,86 @@ def _bound_allows(percent: int) -> Column:
     return shared * 100 >= (F.col("n") + F.col("n_b") - shared) * percent
 
 
-# --- runs of the core's common shingles -------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Runs:
-    """Sets of ``least`` to below ``most`` shingles: runs of ``length``, in orders enough for ``wanted`` places.
-
-    Tiers overlap by a quarter, so that two sets that can be linked have a tier in common. A run is shared at the
-    bound with 0.8 ** length, and separate ones begin at a fifth of the places.
-    """
-
-    length: int
-    wanted: int
-    least: int
-    most: int
-
-
-TIERS = (Runs(2, 200, 1, 15), Runs(5, 380, 12, 75), Runs(7, 600, 60, 1 << 62))
-
-
-def run_keys(held: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the runs of a set of n shingles, of which ``held`` are common."""
-    values, keys = held.astype(np.uint64), [np.zeros(0, np.uint64)]
-    for tier in TIERS:
-        if tier.least <= n < tier.most:
-            for order in range(-(-tier.wanted // n)):
-                salt = np.uint64((order << 8) + tier.length)
-                sequence = np.sort(_mixed(values + salt))[: tier.wanted]
-                run = np.full(max(0, len(sequence) - tier.length + 1), salt)
-                for at in range(tier.length):
-                    run = run * np.uint64(0xFF51AFD7ED558CCD) + sequence[at: at + len(run)]
-                keys.append(_mixed(run))
+# --- bands of the core's common shingles -------------------------------------------------------
+
+BAND = 5
+SMALL = 7  # sets below 2 ** SMALL shingles take a whole order for every value of their signature
+
+
+@lru_cache(maxsize=8)
+def bands(percent: int) -> int:
+    """Bands of which two sets at the bound have one in common, but for odds of 1e-9."""
+    return ceil(log(1e-9) / log(1 - (percent / 100) ** BAND))
+
+
+def signature(values: np.ndarray, size_class: int, wanted: int) -> np.ndarray:
+    """Least values of the set in several orders, or in ranges of an order; a range without a value has a number of its own."""
+    if size_class < SMALL:
+        orders = _mixed(np.arange(1, wanted + 1, dtype=np.uint64))
+        return _mixed(values[None, :] + orders[:, None]).min(axis=1)
+    bits = min(size_class - 2, 9)
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    made = []
+    for order in range(-(-wanted >> bits)):
+        ordered = np.sort(_mixed(values + _mixed(np.array([order + 1], np.uint64))))
+        first = np.append(ordered, np.uint64(0))[np.searchsorted(ordered, edges)]
+        made.append(np.where(first >> np.uint64(64 - bits) == edges >> np.uint64(64 - bits), first, edges + np.uint64(1)))
+    return np.concatenate(made)[:wanted]
+
+
+def band_keys(held: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Keys of a set of n shingles, of which ``held`` are common, by its size class and by the next if that is near."""
+    own, number = n.bit_length() - 1, bands(percent)
+    keys = []
+    for size_class in (own, own + 1):
+        if size_class == own or n * 100 >= (1 << size_class) * percent:
+            parts = signature(held.astype(np.uint64), size_class, number * BAND).reshape(number, BAND)
+            key = np.arange(number, dtype=np.uint64) + np.uint64(size_class << 32)
+            for at in range(BAND):
+                key = key * np.uint64(0xFF51AFD7ED558CCD) + parts[:, at]
+            keys.append(_mixed(key))
     return np.unique(np.concatenate(keys).astype(np.int64))
 
 
-def _runs(commons: DataFrame) -> DataFrame:
-    """value (a key), id, n and h of each run; commons: id, n and the common shingles held."""
+def _bands(commons: DataFrame, settings: Settings) -> DataFrame:
+    """id, n, h and keys; commons: id, n and the common shingles held."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n = (batch.column(c).to_pylist() for c in (0, 1))
+        for batch in pieces(batches):
             held = [np.asarray(one.values) for one in batch.column(2)]
-            keys = [run_keys(one, size) for one, size in zip(held, n)]
-            sizes = [len(one) for one in keys]
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
-                                   *[pa.array(np.repeat(np.array(c, np.int64), sizes)) for c in (ids, n, [len(h) for h in held])]],
-                                  names=["value", "id", "n", "h"])
+            keys = [band_keys(one, n, settings.percent) for one, n in zip(held, batch.column(1).to_pylist())]
+            yield pa.record_batch([*batch.columns[:2], pa.array(map(len, held), pa.int64()), _lists(keys)], names=["id", "n", "h", "keys"])
 
-    return commons.select("id", "n", "held").mapInArrow(deal, "value long, id long, n long, h long")
+    return commons.select("id", "n", "held").mapInArrow(deal, "id long, n long, h long, keys array<bigint>")
 
 
-def _core_candidates(docs: DataFrame, core_sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of the core to be compared, and the lists of runs that are too long to be paired up."""
+def _core_candidates(docs: DataFrame, core_sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of the core to be compared; the bands of its sets; and the values of lists too long to be paired up."""
     shingles = core_sets.select("id", F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
     lists = _marked(shingles, settings, "neardup-core-lists")
     commons = lists.where("common").groupBy("id", "n").agg(F.collect_list("value").alias("held"))  # of one set
-    runs = stored(_runs(commons.where(F.size("held") * 100 >= F.col("n") * settings.percent)), "neardup-runs")
-    dealt = _marked(runs, settings, "neardup-run-lists")
+    dealt = stored(_bands(commons.where(F.size("held") * 100 >= F.col("n") * settings.percent), settings), "neardup-bands")
+    banded = _marked(dealt.select("id", "n", "h", F.explode("keys").alias("value")), settings, "neardup-band-lists")
     allowed = _bound_allows(settings.percent)
     rank = F.struct((F.col("h") / F.col("n")).alias("share"), (-F.col("n")).alias("small"), (-F.col("id")).alias("first"), "h")
-    long = dealt.where("common").drop("common")
-    some = long.where(F.pmod("value", F.lit(settings.led)) == 0)
+    some = banded.where(F.col("common") & (F.pmod("value", F.lit(settings.led)) == 0))
     leaders = some.groupBy("value").agg(F.max(rank).alias("lead")).select(
         "value", (-F.col("lead.first")).alias("id_b"), (-F.col("lead.small")).alias("n_b"), F.col("lead.h").alias("h_b"))
     to_leader = (some.join(leaders, "value").where((F.col("id") != F.col("id_b")) & allowed)
                  .select(*_ordered(F.col("id"), F.col("id_b"))))
-    pairs = stored(_met(lists, settings).union(_met(dealt, settings, allowed)).union(to_leader).distinct(), "neardup-core-pairs")
-    long = stored(long, "neardup-long")
-    discard(lists, runs, dealt)
-    return pairs, long
+    pairs = stored(_met(lists, settings).union(_met(banded, settings, allowed)).union(to_leader).distinct(), "neardup-core-pairs")
+    long = stored(banded.where("common").select("value").distinct(), "neardup-long")
+    discard(lists, banded)
+    return pairs, dealt, long
 
 
-def _apart(long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+def _apart(dealt: DataFrame, long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest."""
     light = F.col("n") * (100 - settings.percent) >= (F.col("n") - F.col("h")) * (100 + settings.percent)
-    named = long.join(labels, "id", "left").select(
-        "value", "id", "n", "h", light.alias("light"), F.coalesce("component", "id").alias("component"))
-    sizes = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows"))
-    largest = (sizes.groupBy("value").agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
-               .where("kinds > 1").select("value", F.col("most.component").alias("main")))
+    named = dealt.join(labels, "id", "left").select(
+        "id", "n", "h", light.alias("light"), F.coalesce("component", "id").alias("component"), F.explode("keys").alias("value"))
+    sizes = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).join(long, "value", "left_semi")
+    largest = stored(sizes.groupBy("value").agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
+                     .where("kinds > 1").select("value", F.col("most.component").alias("main")), "neardup-largest")
     split = stored(named.join(largest, "value"), "neardup-split")
     columns = [F.col(c).alias(f"{c}_b") for c in ("id", "n", "h", "light", "component")]
     outside = split.where(F.col("component") != F.col("main"))
@@ -287,10 +289,22 @@ def _apart(long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     either = split.where("light").join(outside.select("value", *columns), "value").where(fits)
     other = split.where("NOT light").join(outside.where("light").select("value", *columns), "value").where(fits)
     pairs = stored(either.union(other).select(*_ordered(F.col("id"), F.col("id_b"))).distinct(), "neardup-apart")
-    discard(split)
+    discard(split, largest)
     return pairs
 
 
+def _by_probes(lists: DataFrame, counted: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) that share at least a quarter of the rare probes of the one that has fewer.
+
+    Of these four fifths are expected to be shared at the bound; so few are with odds of 1e-9 at most.
+    """
+    met = _met(lists, settings).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    rare = counted.select("id", (F.least("n", F.lit(settings.probes)) - F.col("commons")).alias("rare"))
+    sized = (met.join(rare.select(F.col("id").alias("a"), F.col("rare").alias("rare_a")), "a", "left")
+             .join(rare.select(F.col("id").alias("b"), F.col("rare").alias("rare_b")), "b", "left"))
+    return sized.where(F.col("shared") * 4 >= F.least("rare_a", "rare_b")).select("a", "b")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) that hold the components of the classes together; classes: id, doc_id, mark, n, sketch. Stored.
 
@@ -299,16 +313,17 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     """
     probed = classes.select("id", "n", F.explode(F.slice("sketch", 1, settings.probes)).alias("value"))
     lists = _marked(probed, settings, "neardup-lists")
-    counted = lists.where("common").groupBy("id", "n").agg(F.count(F.lit(1)).alias("commons"))
+    counted = stored(lists.groupBy("id", "n").agg(F.count_if("common").alias("commons")), "neardup-counted")
     core = stored(counted.where(F.col("commons") > F.least("n", F.lit(settings.probes)) * settings.mostly).select("id"), "neardup-core")
     places = classes.select("id", "doc_id", "mark")
     core_places = stored(places.join(core, "id", "left_semi"), "neardup-core-places")
     core_sets = stored(whole_sets(docs, core_places, settings), "neardup-core-sets")
-    core_pairs, long = _core_candidates(docs, core_sets, settings)
+    core_pairs, dealt, long = _core_candidates(docs, core_sets, settings)
 
-    candidates = _met(lists, settings).union(core_pairs).distinct()
+    candidates = stored(_by_probes(lists, counted, settings).union(core_pairs).distinct(), "neardup-candidates")
+    discard(lists, core_pairs, counted)
     pairs = stored(_plausible(candidates, classes, settings), "neardup-pairs")
-    discard(lists, core_pairs)
+    discard(candidates)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(core, "id", "left_anti")
     wanted = stored(places.join(ends, "id", "left_semi"), "neardup-places")
     other_sets = stored(whole_sets(docs, wanted, settings), "neardup-sets")
@@ -320,10 +335,10 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
     discard(labels, pairs)
     labels = components(first.union(again))
-    cross = _apart(long, labels, settings)
+    cross = _apart(dealt, long, labels, settings)
     last = _confirmed(_plausible(cross, classes, settings), sets, settings)
     links = stored(first.union(again).union(last), "neardup-all-links")
-    discard(labels, first, again, cross, long, other_sets, core_sets, core_places, core, wanted)
+    discard(labels, first, again, cross, long, dealt, other_sets, core_sets, core_places, core, wanted)
     return links
 
 
