@@ -8,7 +8,6 @@ most of its characters, the earlier one on ties (``most``).
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,23 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from movewell.llm.bpe import Encoder, Vocabulary, vocabulary
-from movewell.llm.common import small_batches, texts_of
+from movewell.llm.common import pieces, texts_of
 
 RULES = ("first", "last", "most")
 COLUMNS = ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"]
 
 
-def character_widths(known: Vocabulary):
-    """Renders ids as what each token adds in characters: twice those that begin in it, plus one where
-    its first byte continues a character of the token before."""
-    codes = {i: 2 * sum((b & 0xC0) != 0x80 for b in raw) + ((raw[0] & 0xC0) == 0x80 if raw else 0)
-             for i, raw in known.bytes_of.items()}
-    return lambda ids: array("I", [codes[i] for i in ids]).tobytes()
+def character_widths(known: Vocabulary) -> np.ndarray:
+    """By id, what a token adds in characters: twice those that begin in it, plus one where its first byte
+    continues a character of the token before."""
+    codes = np.zeros(max(known.bytes_of) + 1, np.int64)
+    for i, raw in known.bytes_of.items():
+        codes[i] = 2 * sum((b & 0xC0) != 0x80 for b in raw) + ((raw[0] & 0xC0) == 0x80 if raw else 0)
+    return codes
 
 
-def token_spans(encoder: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(ids: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and end of every token of a whole text; a character cut in two is in both tokens."""
-    codes = np.frombuffer(b"".join(encoder.encode(text)), np.uint32).astype(np.int64)
+    codes = widths[ids]
     begun = np.cumsum(codes >> 1)
     return begun - (codes >> 1) - (codes & 1), begun
 
@@ -70,18 +70,18 @@ def section_tokens(docs: DataFrame, path: str, rule: str = "first") -> DataFrame
 
     def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        encoder = Encoder(known, character_widths(known))
-        for batch in batches:
+        encoder, widths = Encoder(known), character_widths(known)
+        for batch in pieces(batches):
             parts: list[tuple[np.ndarray, ...]] = []
-            for text in batch.column(1):
-                value = text.as_py() or ""
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            encoder.prepare(texts)
+            for value in texts:
                 ends = line_ends(value)
-                tokens, crossing = allocate(*token_spans(encoder, value), ends, rule)
+                tokens, crossing = allocate(*token_spans(encoder.encode(value), widths), ends, rule)
                 parts.append((np.arange(len(ends)), np.concatenate([[0], ends[:-1]]), ends, tokens, crossing))
             rows = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             columns = [pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64)) if parts else pa.array([], pa.int64())
                        for k in range(5)]
             yield pa.record_batch([batch.column(0).cast(pa.int64()).take(pa.array(rows, pa.int64())), *columns], names=COLUMNS)
 
-    small_batches(docs.sparkSession)
     return texts_of(docs).mapInArrow(attribute, ", ".join(f"{name} long" for name in COLUMNS))

@@ -32,20 +32,47 @@ def odd_strings(count, seed=3):
 
 def test_ids_and_decoding_equal_the_library():
     known, tokenizer = bpe.Vocabulary(BYTES), library(BYTES)
-    encoder = bpe.Encoder(known, list)
+    encoder = bpe.Encoder(known)
     for text in odd_strings(3000):
-        ids = [i for chunk in encoder.encode(text) for i in chunk]
+        ids = encoder.encode(text).tolist()
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
         assert known.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_prepared_texts_equal_the_library():
+    """New words of many texts made together, over batches, with caches that fill and are forgotten."""
+    known, tokenizer = bpe.Vocabulary(BYTES), library(BYTES)
+    encoder = bpe.Encoder(known)
+    rng = random.Random(8)
+    texts = odd_strings(1500, seed=4) + ["".join(rng.choice("abcdefghi 's1éß日\n") for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    for begin in range(0, len(texts), 150):
+        encoder.prepare(texts[begin:begin + 150])
+        for text in texts[begin:begin + 150]:
+            ids = encoder.encode(text).tolist()
+            assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder.words) > 1000
+
+
+def test_words_of_every_length_together():
+    known, tokenizer = bpe.Vocabulary(BYTES), library(BYTES)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aabcdethéx") for _ in range(rng.randint(1, 70))) for _ in range(5000)] + ["", "a"]
+    expected = [one.ids for one in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert [np.frombuffer(one, np.uint32).tolist() for one in known.packed_words([word.encode() for word in words])] == expected
+
+
+def test_another_kind_of_vocabulary_is_refused():
+    with pytest.raises((ValueError, KeyError)):
+        bpe.Vocabulary(WORDS)
+
+
 def test_long_words_take_the_heap_to_the_same_ids():
     known, tokenizer = bpe.Vocabulary(BYTES), library(BYTES)
     rng = random.Random(1)
     for size in (95, 96, 97, 400, 6000):
         word = "".join(rng.choice("aabcdeth") for _ in range(size))
         assert known.word_ids(word.encode()) == tokenizer.encode(word, add_special_tokens=False).ids
-        assert known._by_heap([known.first_ids[b] for b in word.encode()]) == known._scanned([known.first_ids[b] for b in word.encode()])
+        assert known._by_heap([known.first_ids[b] for b in word.encode()]) == known.word_ids(word.encode())
 
 
 def test_documents(docs_of, odd_texts):
