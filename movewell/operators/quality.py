@@ -155,6 +155,38 @@ def _totals(rows: DataFrame, suite: Suite, references: Mapping[str, DataFrame])
     return totals
 
 
+def dq_by_part(rows: DataFrame, suite: Suite, references: Mapping[str, DataFrame], part: str = "part") -> DataFrame:
+    """One row per part and rule with rows read, rows checked and the unexpected count. The counts of parts add up.
+
+    Each task sends one row per part for the literal rules, and one per part and value for a reference rule.
+    """
+    checked = is_checked()
+    literal = [(number, rule) for number, rule in enumerate(suite) if not rule.by_reference]
+    totals = rows.groupBy(part).agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if(checked).alias("rows_checked"),
+        *(F.count_if(checked & violates(rule, rows)).alias(f"r{number}") for number, rule in literal))
+    for number, rule in enumerate(suite):
+        if rule.by_reference:
+            reference = references[rule.column]
+            values = _typed(rows.where(checked), rule.column, reference).where(F.col(rule.column).isNotNull())
+            counted = values.groupBy(part, rule.column).agg(F.count(F.lit(1)).alias("occurrences"))
+            unknown = counted.join(reference.toDF(rule.column).dropna().distinct(), rule.column, "left_anti")
+            sums = unknown.groupBy(F.col(part).alias("_part")).agg(F.sum("occurrences").alias(f"r{number}"))
+            totals = totals.join(sums, F.col(part).eqNullSafe(F.col("_part")), "left").drop("_part")
+    results = F.array(*(F.struct(F.lit(number).alias("rule_no"), F.coalesce(F.col(f"r{number}"), F.lit(0)).alias("unexpected_count"))
+                        for number in range(len(suite))))
+    return totals.select(part, "rows_read", "rows_checked", F.inline(results))
+
+
+def dq_merged(by_part: DataFrame, suite: Suite) -> DataFrame:
+    """The statistics of all parts together, as dq_statistics gives them for the whole table."""
+    names = F.array(*(F.struct(F.lit(rule.kind).alias("expectation"), F.lit(rule.column).alias("column_name")) for rule in suite))
+    sums = by_part.groupBy("rule_no").agg(*(F.sum(c).alias(c) for c in ("rows_read", "rows_checked", "unexpected_count")))
+    named = sums.withColumn("_name", F.get(names, F.col("rule_no")))
+    return named.select("rows_read", "rows_checked", "rule_no", "_name.expectation", "_name.column_name", "unexpected_count",
+                        (F.col("unexpected_count") == 0).alias("success"))
+
+
 def dq_statistics(rows: DataFrame, suite: Suite, references: Mapping[str, DataFrame]) -> DataFrame:
     """One row per rule with its unexpected count."""
     results = F.array(*(

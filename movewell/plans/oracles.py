@@ -278,3 +278,6 @@ ORACLES["current_activities"] = _with(ACT, CURRENT, """
 SELECT "offset", op, CAST(id AS INT) AS id, CAST(employee_id AS INT) AS employee_id, epoch_us(date_debut) AS date_debut, type_activite,
   distance_m, duree_s, commentaire, date_debut AS date_debut_ts FROM present""")
 ORACLES["gold_current_stream"] = _with(RH, ACT, CURRENT, PRIME, _well("present"), GOLD)
+ORACLES["dq_loads"] = ORACLES["dq_statistics"]
+ORACLES["notifications_folded"] = ORACLES["notifications"]
+ORACLES["bronze_folded"] = ORACLES["bronze_stream"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +27,9 @@ from movewell.sources.hr import hr_ids, load_hr, strip_headers, write_hr
 from movewell.sources.routes import parse_distances
 from movewell.streaming.bronze import start_bronze, start_changes, start_quarantine
 from movewell.streaming.daily import TrailingCounts
+from movewell.streaming.folded import FoldedTable, by_part
 from movewell.streaming.gold import INCREMENTAL, REBUILD, GoldJob
+from movewell.streaming.loads import LoadStatistics
 from movewell.streaming.notify import Outbox
 from movewell.streaming.progress import ProgressLog, batches, read_progress
 from movewell.streaming.published import PublishedTable
@@ -234,6 +236,31 @@ def notifications_topic(spark, sf_dir):
     return outbox.read().drop("batch")
 
 
+@registered
+def notifications_folded(spark, sf_dir):
+    """The texts of a stream whose small files are folded and removed while it goes on."""
+    base = shared_dir(spark, "notify-folded")
+    outbox = Outbox(spark, f"{base}/outbox")
+    for messages in _arriving(spark, sf_dir, f"{base}/log"):
+        finish(outbox.start(messages, f"{base}/checkpoint"))
+        outbox.fold()
+        outbox.clean_up(timedelta(0), datetime.now(timezone.utc) + timedelta(minutes=1))
+    return outbox.read().drop("batch")
+
+
+@registered
+def bronze_folded(spark, sf_dir):
+    """Bronze by month: months that are closed are folded after each part of the log, the others read as they came."""
+    base = shared_dir(spark, "bronze-folded")
+    folded = FoldedTable(spark, f"{base}/folded", by_part())
+    for number, messages in enumerate(_arriving(spark, sf_dir, f"{base}/log")):
+        finish(start_bronze(messages, f"{base}/bronze", f"{base}/checkpoint", by=MONTH))
+        if number == WAVES - 1:  # orders come in no order of time: only now is a month closed
+            folded.fold(read_bronze(spark, f"{base}/bronze", in_parts=True), 19971231)
+            folded.fold(read_bronze(spark, f"{base}/bronze", in_parts=True), 20001231)
+    return _zoneless(folded.read(read_bronze(spark, f"{base}/bronze", in_parts=True)).drop("part"))
+
+
 # --- Updates and deletes applied ------------------------------------------------------------
 
 
@@ -276,6 +303,18 @@ def dq_table(spark, sf_dir):
     return quality.dq_statistics(read_activities(spark, path), suite, references)
 
 
+@registered
+def dq_loads(spark, sf_dir):
+    """Statistics of a table that came in three loads, of which each was evaluated alone."""
+    rows, suite, references = _quality_inputs(spark, sf_dir)
+    base = shared_dir(spark, "loads")
+    counts = LoadStatistics(spark, f"{base}/counts", suite)
+    for load in range(WAVES):
+        rows.where(F.pmod("id", F.lit(WAVES)) == load).write.parquet(f"{base}/table/load={load}")
+        counts.evaluate(spark.read.parquet(f"{base}/table"), references, "load")
+    return counts.statistics()
+
+
 @registered
 def dq_summary(spark, sf_dir):
     return quality.dq_summary(quality.dq_statistics(*_quality_inputs(spark, sf_dir)))

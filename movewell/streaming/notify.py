@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from movewell.operators.notifications import barriers, creations, may_hold_marker, notifications
+from movewell.streaming.folded import FoldedTable, by_batch
+from movewell.streaming.folders import finished
 from movewell.streaming.runs import start
 
 BARRIER_SCHEMA = "partition INT, barrier BIGINT"
 BARRIER_SLOTS = 3
+TEXTS = "partition INT, offset BIGINT, id INT, text STRING, batch BIGINT"
 
 
 class Outbox:
@@ -54,8 +59,23 @@ class Outbox:
         texts = notifications(creations(messages), self.barriers_after(batch_id))
         texts.write.mode("overwrite").parquet(f"{self.path}/texts/batch={batch_id}")
 
+    def _folded(self) -> FoldedTable:
+        return FoldedTable(self.spark, f"{self.path}/folded", by_batch())
+
+    def _pieces(self) -> DataFrame:
+        return self.spark.read.schema(TEXTS).parquet(f"{self.path}/texts")
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/texts")
+        return self._folded().read(self._pieces())
+
+    def fold(self) -> bool:
+        """Put the texts of all batches but the newest, which may be written anew, into files of a good size."""
+        batches = finished(self.spark, f"{self.path}/texts/batch=*")
+        return len(batches) > 1 and self._folded().fold(self._pieces(), max(batches) - 1)
+
+    def clean_up(self, age: timedelta, now: datetime | None = None) -> list[int]:
+        """Remove the small files that were folded longer than ``age`` ago, beyond which no reader holds them."""
+        return self._folded().clean_up(f"{self.path}/texts/batch=", age, now)
 
     def start(self, messages: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
         return start(messages.writeStream.foreachBatch(self.on_batch).queryName("notify"), checkpoint, every)

@@ -1,0 +1,98 @@
+"""Folding small files, and data quality load by load: same rows, fewer files, nothing read twice."""
+
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from movewell.operators import quality
+from movewell.plans import queries, views
+from movewell.streaming.folded import FoldedTable, by_batch, by_part
+from movewell.streaming.loads import LoadStatistics
+
+LATER = datetime.now(timezone.utc) + timedelta(days=2)
+
+
+def pieces(spark, path):
+    return spark.read.schema("id LONG, batch LONG").parquet(path)
+
+
+def files(frame):
+    return frame.select(F.input_file_name()).distinct().count()
+
+
+def test_folding_changes_no_row_and_bounds_the_files(spark, tmp_path):
+    table = FoldedTable(spark, f"{tmp_path}/folded", by_batch())
+    for batch in range(30):
+        spark.range(batch * 10, batch * 10 + 10).repartition(3).write.parquet(f"{tmp_path}/texts/batch={batch}")
+        if batch in (9, 19):
+            held = table.read(pieces(spark, f"{tmp_path}/texts"))
+            assert table.fold(pieces(spark, f"{tmp_path}/texts"), batch - 1)
+            assert held.count() == (batch + 1) * 10
+    table = FoldedTable(spark, f"{tmp_path}/folded", by_batch())
+    read = table.read(pieces(spark, f"{tmp_path}/texts"))
+    assert sorted(r["id"] for r in read.collect()) == list(range(300)) and sorted(table.segments()) == [8, 18]
+    assert files(read) <= 2 + 11 * 3
+    assert not table.fold(pieces(spark, f"{tmp_path}/texts"), 18)
+    assert table.clean_up(f"{tmp_path}/texts/batch=", timedelta(days=3), LATER) == []
+    assert table.clean_up(f"{tmp_path}/texts/batch=", timedelta(days=1), LATER) == list(range(19))
+    read = table.read(pieces(spark, f"{tmp_path}/texts"))
+    assert sorted((r["id"], r["batch"]) for r in read.collect()) == [(n, n // 10) for n in range(300)]
+
+
+def test_a_fold_that_fails_is_not_seen(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/t/batch=0")
+    table = FoldedTable(spark, f"{tmp_path}/folded", by_batch())
+    broken = pieces(spark, f"{tmp_path}/t").withColumn("id", F.raise_error(F.lit("executor gone")).cast("long"))
+    with pytest.raises(Exception, match="executor gone"):
+        table.fold(broken, 0)
+    assert table.segments() == {} and table.read(pieces(spark, f"{tmp_path}/t")).count() == 10
+    assert table.fold(pieces(spark, f"{tmp_path}/t"), 0) and table.read(pieces(spark, f"{tmp_path}/t")).count() == 10
+
+
+def test_rows_without_a_day_stay_where_they_are(spark, tmp_path):
+    rows = spark.sql("SELECT id, CASE WHEN id % 4 < 3 THEN date_add(DATE'2025-01-30', CAST(id % 4 AS INT)) END AS part FROM range(40)")
+    rows.write.partitionBy("part").parquet(f"{tmp_path}/t")
+    table, read = FoldedTable(spark, f"{tmp_path}/folded", by_part()), lambda: spark.read.schema("id LONG, part DATE").parquet(f"{tmp_path}/t")
+    assert table.fold(read(), 20250131)
+    assert spark.read.parquet(f"{tmp_path}/folded/segment=20250131").count() == 20
+    assert sorted(map(tuple, table.read(read()).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_only_new_loads_are_evaluated(spark, tables, tmp_path):
+    rows, suite, references = queries._quality_inputs(spark, tables)
+    counts, read = LoadStatistics(spark, f"{tmp_path}/counts", suite), lambda: spark.read.parquet(f"{tmp_path}/t")
+    scanned = []
+    for load in range(3):
+        rows.where(F.col("id") % 3 == load).coalesce(1).write.parquet(f"{tmp_path}/t/load={load}")
+        scanned.append(counts.evaluate(read(), references, "load"))
+        expected = quality.dq_statistics(read().drop("load"), suite, references)
+        assert sorted(map(tuple, counts.statistics().select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert scanned == [["0"], ["1"], ["2"]] and counts.evaluate(read(), references, "load") == []
+    wanted = read().where(F.col("load").isin([F.lit("2").cast("int")]))
+    plan = quality.dq_by_part(wanted, suite, references, "load")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load" in plan and "load" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_parts_that_grew_and_other_bounds_are_evaluated_anew(spark, tables, tmp_path):
+    rows, suite, references = queries._quality_inputs(spark, tables)
+    read = lambda: spark.read.parquet(f"{tmp_path}/t")
+    rows.where("id % 2 = 0").write.parquet(f"{tmp_path}/t/load=0")
+    counts = LoadStatistics(spark, f"{tmp_path}/counts", suite)
+    counts.evaluate(read(), references, "load")
+    rows.where("id % 2 = 1").write.mode("append").parquet(f"{tmp_path}/t/load=0")
+    assert counts.evaluate(read(), references, "load") == [] and counts.evaluate(read(), references, "load", ["0"]) == ["0"]
+    expected = quality.dq_statistics(rows, suite, references)
+    assert sorted(map(tuple, counts.statistics().select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    other = quality.with_date_bounds(suite, views.AS_OF + timedelta(days=100))
+    again = LoadStatistics(spark, f"{tmp_path}/counts", other)
+    assert again.evaluate(read(), references, "load") == ["0"]
+    expected = quality.dq_statistics(rows, other, references)
+    assert sorted(map(tuple, again.statistics().select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_no_rows(spark, tables, tmp_path):
+    _, suite, references = queries._quality_inputs(spark, tables)
+    counts = LoadStatistics(spark, f"{tmp_path}/counts", suite)
+    none = views.activities(spark, tables).limit(0).withColumn("load", F.lit(1))
+    assert counts.evaluate(none, references, "load") == [] and counts.statistics().collect() == []

@@ -9,7 +9,8 @@ from movewell.schemas import GOLD
 
 STARTS_JOBS = {"bronze_stream", "gold_stream", "gold_stream_rebuild", "gold_stream_sql", "gold_stream_rules", "notifications_stream",
                "gold_sql_kpi", "gold_sql_total", "hr_writeback", "activity_load", "dq_table", "stream_progress", "gold_trailing_stream", "wellness_daily",
-               "unreadable_messages", "stream_heartbeats", "batch_rate_stream", "counter_increase_stream", "notifications_topic", "gold_current_stream"}
+               "unreadable_messages", "stream_heartbeats", "batch_rate_stream", "counter_increase_stream", "notifications_topic", "gold_current_stream",
+               "dq_loads", "notifications_folded", "bronze_folded"}
 LAZY = sorted(set(REGISTRY) - STARTS_JOBS)
 
 
