@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movewell.llm.common import fold, share_kept, small_batches, texts_of
+from movewell.llm.common import fold, pieces, share_kept, texts_of
 
-NO_LETTERS = re.compile(r"[\W\d_]+")
+NO_WORD = re.compile(r"[\W\d_]+")
+NO_LETTER = regex.compile(r"[\p{Nl}\p{No}]+")  # numbers such as the half sign, which are of a word and no digits
 GRAMS = (1, 2, 3)
 CELLS = 1 << 20
 UNKNOWN = "und"
@@ -29,12 +31,15 @@ BLOCK = 64  # texts and landmarks that are compared at once
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language: expected training rows of each language, taken by hash of the id. landmarks: of
-    each language. sample_chars: none; training texts are whole. languages: more distinct values than
-    this are an error. ridge: penalty."""
+    """per_language: expected training rows of each language, taken by hash of id and text, equal rows once.
+    landmarks: of each language. rows, spanned: of all languages together; with many languages each has fewer.
+    languages: more distinct values than this are an error. ridge: penalty. sharpness: by which the
+    regressors' values are multiplied before their softmax gives the score."""
 
     per_language: int = 400
     landmarks: int = 32
+    rows: int = 16_000
+    spanned: int = 2_000
     languages: int = 500
     ridge: float = 1e-3
     sharpness: float = 6.0
@@ -42,7 +47,8 @@ class Settings:
 
 def gram_cells(text: str | None) -> np.ndarray | None:
     """Distinct hash cells of a whole text's n-grams; none where it has no letter."""
-    cleaned = NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    cleaned = NO_WORD.sub(" ", (text or "").lower())
+    cleaned = (cleaned if cleaned.isascii() else NO_LETTER.sub(" ", cleaned)).strip()
     if not cleaned:
         return None
     codes = np.frombuffer(f" {cleaned} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -104,7 +110,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from texts with a language, outside the held-out fold (crc32 of the id mod 3 is 1).
 
     The driver gets the number of rows of each language, then the hashed n-grams of a sample whose
-    expected size is ``per_language`` of each. Rows with null or letterless texts teach nothing.
+    expected size is ``per_language`` of each, and no more than ``rows``. Rows with null or letterless texts teach nothing.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).where(
@@ -114,9 +120,11 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
         raise ValueError(f"more than {settings.languages} languages")
     if not counts:
         return Model(np.zeros(0, int), [], np.zeros((1, 0)), [], settings.sharpness)
+    wanted = min(settings.per_language, settings.rows // len(counts))
     share = F.create_map(*[part for r in counts for part in (
-        F.lit(r["lang"]), F.lit(min(1.0, settings.per_language / r["count"])))])[F.col("lang")]
-    sample = known.where(share_kept(F.col("doc_id"), share))
+        F.lit(r["lang"]), F.lit(min(1.0, wanted / r["count"])))])[F.col("lang")]
+    mark = F.xxhash64("doc_id", "text")
+    sample = known.withColumn("mark", mark).where(share_kept(F.col("mark"), share)).dropDuplicates(["doc_id", "lang", "mark"]).drop("mark")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +139,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     if not rows:
         return Model(np.zeros(0, int), [], np.zeros((1, 0)), [], settings.sharpness)
     label = np.array([languages.index(r["lang"]) for r in rows])
-    chosen = np.concatenate([_spread(np.flatnonzero(label == k), settings.landmarks) for k in range(len(languages))])
+    each = max(1, min(settings.landmarks, settings.spanned // len(languages)))
+    chosen = np.concatenate([_spread(np.flatnonzero(label == k), each) for k in range(len(languages))])
     landmarks = [found[at] for at in chosen]
     model = Model(_union(landmarks), landmarks, np.zeros((1, len(languages))), languages, settings.sharpness)
     alike = model.kernel(found)
@@ -165,11 +174,10 @@ def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
     go to the language first in order. A null doc_id has a null held_out.
     """
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = model.predict([gram_cells(text.as_py()) for text in batch.column(1)])
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                   names=["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     return texts_of(docs).mapInArrow(predict, "doc_id long, lang_pred string, score double").select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+import zlib
+
 import numpy as np
 import pytest
 
@@ -35,11 +38,74 @@ def test_toxicity_of_held_out_documents(spark, docs, labels):
     assert toxic["predicted"].mean() > 0.4  # few positives to learn from at this size
 
 
+def test_toxicity_at_a_larger_size(spark):
+    folder = "/root/testdata/sf0.1"
+    held = toxicity.toxicity(spark, folder, table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id").where("held_out").toPandas()
+    assert held[held["toxic"] == 1]["predicted"].mean() > 0.9
+    assert (held[held["toxic"] == 0]["predicted"] == 0).mean() > 0.975
+
+
 def test_language_of_held_out_documents(docs):
     held = language.predict_documents(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (held["lang_pred"] == held["lang"]).mean() > 0.98
 
 
+@pytest.mark.parametrize("text", ["½ ² ①", "Ⅷ ↂ", "", " \n", "12 _ ! ٣", "٪ ½½½", "\u0301"])
+def test_texts_without_a_letter_have_no_language(docs_of, docs, text):
+    assert language.gram_cells(text) is None
+    found = language.predict_documents(docs_of([(1, text)]), language.Model(np.zeros(0, int), [], np.zeros((1, 1)), ["en"], 1.0)).first()
+    assert (found["lang_pred"], found["score"]) == ("und", 0.0)
+
+
+def test_numbers_are_no_letters_beside_others():
+    assert language.gram_cells("ab½cd").tolist() == language.gram_cells("ab cd").tolist()
+
+
+def test_one_row_with_a_third_of_the_corpus_teaches_once(spark):
+    rows = [(0, "la même phrase", "fr")] * 300 + [(n, f"word number {n} of many", "en") for n in range(1, 200)] + [
+        (n, f"le mot {n} de la langue", "fr") for n in range(200, 400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(texts, language.Settings(rows=100, spanned=10))
+    assert len(model.landmarks) <= 10 and model.languages == ["en", "fr"]
+    found = language.predict_documents(texts, model).join(texts.select("doc_id", "lang").distinct(), "doc_id").toPandas()
+    assert (found["lang_pred"] == found["lang"]).mean() > 0.95
+
+
+def brute_kernel(texts):
+    sets = []
+    for text in texts:
+        cleaned = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+        cleaned = f" {' '.join(cleaned.split())} "
+        sets.append({cleaned[i:i + n] for n in (1, 2, 3) for i in range(len(cleaned) - n + 1)})
+    return np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+
+
+def test_predictions_equal_a_plain_kernel_regression(spark):
+    """All texts are landmarks here; kernel, ridge regression and scores once more, from sets of strings."""
+    rng = np.random.default_rng(4)
+    pools = {"en": ["the", "house", "of", "stone", "and", "tree"], "fr": ["la", "maison", "de", "pierre", "et", "l'été"], "de": ["das", "Haus", "aus", "Stein", "über", "½"]}
+    rows = [(n, " ".join(rng.choice(pools[lang], 12)), lang) for n, lang in enumerate(sorted(pools) * 30)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = language.Settings(landmarks=1000)
+    found = {r["doc_id"]: r for r in language.predict_documents(texts, language.train(texts, settings)).collect()}
+    known = sorted((r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1), key=lambda r: r[2])
+    kernel, languages = brute_kernel([r[1] for r in known]), sorted(pools)
+    label = np.array([languages.index(r[2]) for r in known])
+    weight = (len(label) / np.bincount(label))[label]
+    whole = np.hstack([kernel, np.ones((len(kernel), 1))])
+    penalty = np.zeros((len(whole.T),) * 2)
+    penalty[:-1, :-1] = kernel
+    left = whole.T @ (whole * weight[:, None]) + settings.ridge * weight.sum() * (penalty + 1e-6 * np.eye(len(penalty)))
+    weights = np.linalg.solve(left, whole.T @ (np.where(label[:, None] == np.arange(3), 1.0, -1.0) * weight[:, None]))
+    every = brute_kernel([r[1] for r in rows] + [r[1] for r in known])[: len(rows), len(rows):]
+    values = np.hstack([every, np.ones((len(rows), 1))]) @ weights
+    likely = np.exp(settings.sharpness * (values - values.max(axis=1, keepdims=True)))
+    likely /= likely.sum(axis=1, keepdims=True)
+    for row, one in zip(rows, likely):
+        assert found[row[0]]["lang_pred"] == languages[one.argmax()] and found[row[0]]["score"] == pytest.approx(one.max(), abs=2e-3)
+        assert found[row[0]]["held_out"] == (zlib.crc32(str(row[0]).encode()) % 3 == 1)
+
+
 def test_rare_languages_keep_their_own_letters(spark):
     """Two languages of few texts, each in its own script, beside two frequent ones full of other n-grams."""
     rng = np.random.default_rng(8)
