@@ -1,8 +1,10 @@
 """Token ids in grammar-compressed shards: Re-Pair, with rules and expansion lengths.
 
 Documents in ascending id order are cut into shards of bounded size. In a shard the most frequent
-pairs of neighbouring symbols are replaced by new symbols, again and again, never across the end of
-a document. A shard holds its rules, the length to which each expands, where each document begins
+pairs of neighbouring symbols are replaced by new symbols, again and again until no pair is left that occurs
+``least`` times, never across the end of a document. The places of frequent pairs are kept in lists and the symbols
+linked with their neighbours, so a round counts and changes only what the round before has touched; it replaces
+the pairs at least half as frequent as the most frequent one. A shard holds its rules, the length to which each expands, where each document begins
 in the symbols, and the symbols. So any stretch of ids of any document is read without expanding
 what lies before it.
 
@@ -30,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from movewell.llm.bpe import printable_bytes
-from movewell.llm.common import small_batches, texts_of
+from movewell.llm.common import pieces, texts_of
 from movewell.session import shared_dir
 
 MAGIC = b"RPR1"
@@ -39,9 +40,9 @@ END = 1
 MARK = "<|"
 NO_RULE = np.iinfo(np.int32).max
 BUCKET_BITS = 20
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 400_000
 CACHED_WORDS = 750_000
-CACHED_LENGTH = 64
+TOGETHER = 20_000  # new words in one call of the library
 #: White space for Python's split, but not for the vocabulary's pattern: such texts go whole to the library.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Printable ASCII and single Latin letters, each of which is its own normal form and has one lower-case letter.
@@ -53,61 +54,86 @@ WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-
 @dataclass(frozen=True)
 class Settings:
     """shard_ids: a shard is closed at so many ids (a longer document is a shard of its own). least:
-    occurrences of a pair that is replaced. rounds: passes over a shard. width: pairs of a pass."""
+    occurrences of a pair that is replaced."""
 
     shard_ids: int = 1_000_000
     least: int = 8
-    rounds: int = 4
-    width: int = 2048
 
 
 def bucket_of(pair: np.ndarray) -> np.ndarray:
     return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
+def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur often enough, the places in ``pairs`` where they do, and the number of each place's pair."""
+    bucket = bucket_of(pairs)
+    # a frequent pair lies in a bucket at least as full, so no other pairs need sorting
+    places = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket])
+    found, number, counts = np.unique(pairs[places], return_inverse=True, return_counts=True)
+    often = counts >= least
+    stays = often[number]
+    return found[often], places[stays], (np.cumsum(often) - 1)[number[stays]]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings()) -> bytes:
     """A shard of the documents that end before each of ``ends``."""
-    symbols = ids.astype(np.int64)
-    last = np.zeros(len(symbols), bool)
+    size = len(ids)
+    symbols = np.append(ids, 0).astype(np.int64)
+    last, alive = np.zeros(size + 1, bool), np.ones(size + 1, bool)
     last[ends[ends > np.concatenate([[0], ends[:-1]])] - 1] = True
-    base = int(symbols.max()) + 1 if len(symbols) else 1
+    after, before = np.arange(1, size + 2), np.arange(-1, size)  # place ``size`` is beyond the end; -1 is the same place
+    before[0] = size
+    hit, touched = np.full(size + 1, NO_RULE, np.int32), np.zeros(size + 1, bool)
+    base = int(ids.max()) + 1 if size else 1
     rules: list[np.ndarray] = []
     next_symbol = base
-    for _ in range(settings.rounds):
-        pair = symbols[:-1] << 32 | symbols[1:]
-        # a frequent pair lies in a bucket at least as full, so no other pairs need sorting
-        bucket = bucket_of(pair)
-        inner = ~last[:-1]
-        full = np.bincount(bucket[inner], minlength=1 << BUCKET_BITS) >= settings.least
-        found, counts = np.unique(pair[full[bucket] & inner], return_counts=True)
+    inner = np.flatnonzero(~last[:-1])
+    pairs, found, number = frequent(symbols[inner] << 32 | symbols[inner + 1], settings.least)
+    at = inner[found]  # the lists of occurrences: place, and number of its pair
+    while True:
+        counts = np.bincount(number, minlength=len(pairs))
         often = counts >= settings.least
-        found, counts = found[often], counts[often]
-        if not len(found):
+        if not often.any():
             break
-        best = np.lexsort((found, -counts))[: settings.width]
-        rank = np.argsort(found[best])
-        chosen = found[best][rank]
-        wanted = np.zeros(1 << BUCKET_BITS, bool)
-        wanted[bucket_of(chosen)] = True
-        maybe = np.flatnonzero(wanted[bucket] & inner)
-        at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        around = np.full(len(pair) + 2, NO_RULE, np.int32)
-        before, hit, after = around[:-2], around[1:-1], around[2:]
-        hit[maybe] = np.where(chosen[at] == pair[maybe], rank[at], NO_RULE)
+        stays = often[number]
+        at, number, pairs, counts = at[stays], (np.cumsum(often) - 1)[number[stays]], pairs[often], counts[often]
+        chosen = np.flatnonzero(counts * 2 >= counts.max())
+        rank = np.full(len(pairs), NO_RULE, np.int32)
+        rank[chosen[np.lexsort((pairs[chosen], -counts[chosen]))]] = np.arange(len(chosen))
+        own = rank[number]
+        places, own = at[own < NO_RULE], own[own < NO_RULE]
+        hit[places] = own
         # of overlapping occurrences the more frequent pair wins, of equal ones the earlier
-        places = np.flatnonzero((hit < NO_RULE) & (hit < before) & (hit <= after))
-        if not len(places):
-            break
-        applied = np.bincount(hit[places], minlength=len(best)) > 0
-        used, named = np.flatnonzero(applied), (np.cumsum(applied) - 1)[hit[places]]
-        pairs = found[best][used]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
-        symbols[places] = next_symbol + named
+        wins = (own < hit[before[places]]) & (own <= hit[after[places]])
+        hit[places] = NO_RULE
+        places, own = places[wins], own[wins]
+        applied = np.bincount(own, minlength=len(chosen)) > 0
+        order = np.empty(len(chosen), np.int64)
+        order[rank[chosen]] = pairs[chosen]
+        used = order[applied]
+        rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], axis=1))
+        taken = after[places]  # joined with the symbol before it
+        symbols[places] = next_symbol + (np.cumsum(applied) - 1)[own]
         next_symbol += len(used)
-        last[places] = last[places + 1]
-        stays = np.ones(len(symbols), bool)
-        stays[places + 1] = False
-        symbols, last = symbols[stays], last[stays]
+        last[places] = last[taken]
+        alive[taken] = False
+        after[places] = after[taken]
+        before[after[places]] = places
+        before[size] = size
+        beside = before[places]
+        for changed in (places, taken, beside):
+            touched[changed] = True
+        stays = ~touched[at]
+        touched[taken] = False
+        touched[size] = False
+        fresh = np.unique(np.concatenate([places, beside]))
+        fresh = fresh[touched[fresh] & ~last[fresh] & alive[fresh]]
+        for changed in (places, beside):
+            touched[changed] = False
+        more, found, named = frequent(symbols[fresh] << 32 | symbols[after[fresh]], settings.least)
+        at, number = np.concatenate([at[stays], fresh[found]]), np.concatenate([number[stays], named + len(pairs)])
+        pairs = np.concatenate([pairs, more])
+    symbols = symbols[:-1][alive[:-1]]
     grammar = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     lengths = np.ones(base + len(grammar), np.int64)
     done = base
@@ -132,11 +158,20 @@ class Shard:
         self.rules = words[: 2 * rules].reshape(-1, 2)
         self.lengths = np.concatenate([np.ones(self.base, np.int64), words[2 * rules: 3 * rules]])
         self.starts = words[3 * rules: 3 * rules + documents + 1]
+        # what every rule expands to, one after the other, behind the plain ids, which expand to themselves
+        flat = self._expanded(np.arange(self.base, self.base + rules))
+        self.table = np.concatenate([np.arange(self.base), flat])
+        self.places = np.cumsum(self.lengths) - self.lengths
         self.symbols = words[3 * rules + documents + 1:]
         if len(self.symbols) != size:
             raise ValueError("a shard is cut short")
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        sizes = self.lengths[symbols]
+        ends = np.cumsum(sizes)
+        return self.table[np.repeat(self.places[symbols] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
         while (rule := symbols >= self.base).any():
             widths = 1 + rule
             ends = np.cumsum(widths)
@@ -177,62 +212,62 @@ class ChunkEncoder:
     white space is encoded once and remembered, up to a bound at which all is forgotten.
 
     A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
-    words here, and each new word goes straight to the library's model; the words of many chunks are
-    the same. Any other chunk goes through the whole library.
+    words here, and the new words of many texts go through the library together; the words of many chunks are
+    the same. Any other chunk goes through the library by itself. A vocabulary that cuts otherwise is refused.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.words = library(path), {}, {}
-        self.tokenize = self.tokenizer.model.tokenize
-        shown = printable_bytes()
-        self.shown = {ord(c): "".join(shown[b] for b in c.encode("utf-8")) for c in map(chr, range(0xA0, 0x180))}
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marked = all(token.content.startswith(MARK) for token in added)  # so that what lacks the mark holds none
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.shown))]).tobytes()
-            if len(word) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
+    def _make(self, words: list[str]) -> None:
+        """Remember the ids of plain new words, many of them by one call: each is a word of the library's, too."""
+        if len(self.words) + len(words) > CACHED_WORDS:
+            self.words.clear()
+        for begin in range(0, len(words), TOGETHER):
+            some = words[begin: begin + TOGETHER]
+            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, sizes = array("I", made.ids).tobytes(), np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))
+            if len(sizes) != len(some):
+                raise ValueError("the vocabulary cuts words otherwise than this module")
+            ends = (4 * np.cumsum(sizes)).tolist()
+            self.words.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def _cut(self, chunk: str) -> list[str] | None:
+        """The words of a plain chunk in lower case; none if it has to go to the library whole."""
         if not self.marked or MARK in chunk or not PLAIN.fullmatch(chunk):
-            return self._ids([chunk])[0]
+            return None
         lowered = chunk.lower()
-        if lowered.isalpha():
-            return self._word(lowered)
-        return b"".join([self._word(word) for word in WORDS.findall(lowered)])
-
-    def _text(self, text: str) -> bytes:
-        if any(s in text for s in SEPARATORS):
-            return self._ids([text])[0]
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[chunk] for chunk in chunks])
-        except KeyError:
-            pass
-        made = []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_CHUNKS:
-                        known.clear()
-                    known[chunk] = ids
-            made.append(ids)
-        return b"".join(made)
+        return [lowered] if lowered.isalpha() else WORDS.findall(lowered)
+
+    def _prepare(self, texts: list[list[str]]) -> None:
+        """Remember the chunks of these texts that are new."""
+        new = set()
+        for chunks in texts:
+            new.update(chunks)
+        new.difference_update(self.known)
+        cut = {chunk: self._cut(chunk) for chunk in new}
+        others = [chunk for chunk, words in cut.items() if words is None]
+        made = dict(zip(others, self._ids(others)))
+        plain = {chunk: words for chunk, words in cut.items() if words is not None}
+        self._make(sorted({word for words in plain.values() for word in words if word not in self.words}))
+        if len(self.known) + len(new) > CACHED_CHUNKS:
+            self.known.clear()
+        self.known.update(made)
+        words = self.words
+        self.known.update((chunk, b"".join([words[word] for word in parts])) for chunk, parts in plain.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""
-        return [self._text(text) for text in texts]
+        whole = [any(mark in text for mark in SEPARATORS) for text in texts]
+        chunks = [[] if odd else text.split() for odd, text in zip(whole, texts)]
+        self._prepare(chunks)
+        known = self.known.__getitem__
+        return [self._ids([text])[0] if odd else b"".join(map(known, own)) for odd, text, own in zip(whole, texts, chunks)]
 
 
 @lru_cache(maxsize=2)
@@ -265,8 +300,8 @@ def write_shards(docs: DataFrame, path: str, settings: Settings = Settings()) ->
                                     pa.array([compress(ids, ends, settings)], pa.binary())],
                                    names=["part", "place", "doc_ids", "n_ids", "payload"])
 
-        for batch in batches:
-            texts = [text.as_py() or "" for text in batch.column(1)]
+        for batch in pieces(batches):
+            texts = [text or "" for text in batch.column(1).to_pylist()]
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
                 if parts and size + len(ids) // 4 + 1 > settings.shard_ids:
                     yield closed()
@@ -278,7 +313,6 @@ def write_shards(docs: DataFrame, path: str, settings: Settings = Settings()) ->
             yield closed()
 
     spark = docs.sparkSession
-    small_batches(spark)
     folder = shared_dir(spark, "repair")
     dealt = texts_of(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text")
@@ -311,7 +345,6 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                                        names.values, pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())],
                                       names=["part", "place", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     read = stored.select("part", "place", "doc_ids", "payload").mapInArrow(
         expand, "part int, place int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "place"]).select(
