@@ -14,8 +14,8 @@ its list. All others share common shingles only. The common part of a set gives
 from ranges of the one hash and for small sets from several orders made of it, and five of these together are the value
 of a list, which two sets have in common only if they are alike. There are as many lists as it takes to miss a pair at
 the bound with odds below 1e-9. Long lists are then of groups that are alike: each class
-is compared with one leader first, and what the leaders leave apart is compared across the
-components of a list. A class with more own shingles than half of what may differ
+is compared with one leader first, those that are left apart with others in turn, and what is then still apart is
+compared across the components of a list. A class with more own shingles than half of what may differ
 is compared with others that have fewer, never with its like. No list is capped and no value dropped without
 the other way taking its place.
 """
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, log
 
 import numpy as np
@@ -44,7 +44,8 @@ class Settings:
     sketch: hashes retained of each set. probes: of these, how many go to inverted lists. common: a
     list longer than this is not paired up. mostly: a class with a larger share of common probes
     than this is of the core; far below percent, as the probes only estimate the share. slack: how far below the bound an estimate may lie; at 64
-    retained values five standard errors. led: of the core's long lists, one in so many has a leader.
+    retained values five standard errors. led: of the core's long lists, one in so many has a
+    leader. turns: with further leaders, as long as they find links.
     """
 
     words: int = 4
@@ -55,6 +56,7 @@ class Settings:
     mostly: float = 0.4
     slack: float = 0.25
     led: int = 4
+    turns: int = 6
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -123,6 +125,21 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return rows_of(docs).mapInArrow(sketch, "doc_id long, mark long, n long, print binary, sketch array<bigint>")
 
 
+FILTER_BITS = 1 << 24
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose mark falls on a bit that some wanted mark sets, so that few other texts move to the join.
+
+    The bits are FILTER_BITS at most, as words of 64: that is the bound of what is broadcast.
+    """
+    bit = F.pmod("mark", F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(mark, {FILTER_BITS}) % 64 AS INT))").alias("bits"))
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return (rows.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(words), "word")
+            .where(F.getbit("bits", (bit % 64).cast("int")) == 1).select(*rows.columns))
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """id and full set of the wanted classes; wanted: id, and the doc_id and mark of a row that has the set."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +147,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFr
             yield pa.record_batch([batch.column(0), _lists([shingle_set(t.as_py(), settings.words) for t in batch.column(1)])],
                                   names=["id", "members"])
 
-    rows = rows_of(docs).join(wanted, ["doc_id", "mark"]).select("id", "text")
+    rows = _likely(rows_of(docs), wanted).join(wanted, ["doc_id", "mark"]).select("id", "text")
     return rows.mapInArrow(gather, "id long, members array<bigint>").dropDuplicates(["id"])  # rows may be repeated
 
 
@@ -272,25 +289,57 @@ def _core_candidates(docs: DataFrame, core_sets: DataFrame, settings: Settings)
     return pairs, dealt, long
 
 
-def _apart(dealt: DataFrame, long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest."""
+def _split_lists(dealt: DataFrame, long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Rows (value, id, n, h, light, component, main) of long lists that hold several components; main has most rows. Stored."""
     light = F.col("n") * (100 - settings.percent) >= (F.col("n") - F.col("h")) * (100 + settings.percent)
-    named = dealt.join(labels, "id", "left").select(
+    named = dealt.join(labels.select("id", "component"), "id", "left").select(
         "id", "n", "h", light.alias("light"), F.coalesce("component", "id").alias("component"), F.explode("keys").alias("value"))
     sizes = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).join(long, "value", "left_semi")
     largest = stored(sizes.groupBy("value").agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
                      .where("kinds > 1").select("value", F.col("most.component").alias("main")), "neardup-largest")
     split = stored(named.join(largest, "value"), "neardup-split")
+    discard(largest)
+    return split
+
+
+def _fits(settings: Settings) -> Column:
+    return _bound_allows(settings.percent) & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent)
+
+
+def _to_other_leaders(split: DataFrame, turn: int, settings: Settings) -> DataFrame:
+    """Two pairs (a, b) at most for each class outside its lists' main components, with members that this turn picks."""
+    pick = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"))
+    leaders = split.where("component = main").groupBy("value").agg(F.max(pick).alias("lead")).select("value", "lead.*")
+    met = split.where("component <> main").join(leaders, "value").where(_fits(settings))
+    ends = met.groupBy("id").agg(F.min(F.struct("draw", "id_b")).alias("one"), F.max(F.struct("draw", "id_b")).alias("other"))
+    both = ends.select("id", F.explode(F.array("one.id_b", "other.id_b")).alias("id_b"))
+    return both.select(*_ordered(F.col("id"), F.col("id_b"))).distinct()
+
+
+def _apart(split: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest."""
     columns = [F.col(c).alias(f"{c}_b") for c in ("id", "n", "h", "light", "component")]
     outside = split.where(F.col("component") != F.col("main"))
-    fits = ((F.col("component") != F.col("component_b")) & _bound_allows(settings.percent)
-            & _sizes_allow(F.col("n"), F.col("n_b"), settings.percent))
+    fits = (F.col("component") != F.col("component_b")) & _fits(settings)
     # two sets with more own shingles than half of what may differ are no pair, so one side is light
     either = split.where("light").join(outside.select("value", *columns), "value").where(fits)
     other = split.where("NOT light").join(outside.where("light").select("value", *columns), "value").where(fits)
-    pairs = stored(either.union(other).select(*_ordered(F.col("id"), F.col("id_b"))).distinct(), "neardup-apart")
-    discard(split, largest)
-    return pairs
+    return either.union(other).select(*_ordered(F.col("id"), F.col("id_b"))).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once these links are added; a stored table. Only the components that they touch are looked at."""
+    known = labels.select("id", "component")
+    of_a = links.join(known.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a", "left")
+    of_both = of_a.join(known.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    between = of_both.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between)
+    everyone = known.select("id").union(links.select("a")).union(links.select("b")).distinct()
+    own = everyone.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    made = stored(own.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+                  .select("id", F.coalesce("to", "component").alias("component")), "neardup-labels")
+    discard(moved)
+    return made
 
 
 def _by_probes(lists: DataFrame, counted: DataFrame, settings: Settings) -> DataFrame:
@@ -335,11 +384,23 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
     discard(labels, pairs)
     labels = components(first.union(again))
-    cross = _apart(dealt, long, labels, settings)
+    links = [first, again]
+    for turn in range(settings.turns):
+        split = _split_lists(dealt, long, labels, settings)
+        asked = _to_other_leaders(split, turn, settings)
+        found = stored(_confirmed(_plausible(asked, classes, settings), sets, settings), "neardup-links")
+        links.append(found)
+        if found.isEmpty():
+            break
+        before, labels = labels, _merged(labels, found)
+        discard(before, split)
+    else:
+        split = _split_lists(dealt, long, labels, settings)
+    cross = stored(_apart(split, settings), "neardup-apart")
     last = _confirmed(_plausible(cross, classes, settings), sets, settings)
-    links = stored(first.union(again).union(last), "neardup-all-links")
-    discard(labels, first, again, cross, long, dealt, other_sets, core_sets, core_places, core, wanted)
-    return links
+    made = stored(reduce(DataFrame.union, [part.select("a", "b") for part in [*links, last]]), "neardup-all-links")
+    discard(labels, split, cross, long, dealt, other_sets, core_sets, core_places, core, wanted, *links)
+    return made
 
 
 def grouped(docs: DataFrame, settings: Settings = Settings(), one_per_id: bool = False) -> DataFrame:
