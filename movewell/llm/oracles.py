@@ -90,10 +90,15 @@ def _leaks(settings: decontamination.Settings = decontamination.Settings()) -> s
     return f"""
 WITH {_shingles("d", "documents", "doc_id", _PLAIN_WORDS, settings.words)},
 {_shingles("m", "benchmark", "item_id", _PLAIN_WORDS, settings.words)},
-sizes AS (SELECT item_id, count(*) AS n_item FROM m GROUP BY item_id),
-hits AS (SELECT doc_id, item_id, count(*) AS matched FROM d JOIN m USING (shingle) GROUP BY ALL)
+long AS (SELECT * FROM m WHERE item_id IN (SELECT item_id FROM m_words WHERE len(w) >= {settings.words})),
+short AS (SELECT DISTINCT item_id, len(w) AS width, array_to_string(w, ' ') AS run FROM m_words WHERE len(w) BETWEEN 1 AND {settings.words - 1}),
+runs AS (SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS run FROM (
+    SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM d_words, (SELECT DISTINCT width FROM short) WHERE len(w) >= width)),
+sizes AS (SELECT item_id, count(*) AS n_item FROM long GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS matched FROM d JOIN long USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, matched, n_item, CAST(matched * 100 // n_item AS INTEGER) AS containment
 FROM hits JOIN sizes USING (item_id) WHERE matched * 100 >= n_item * {settings.containment}
+UNION ALL SELECT doc_id, item_id, 1, 1, 100 FROM runs JOIN short USING (width, run)
 """
 
 

@@ -152,8 +152,12 @@ def test_no_documents(spark, docs_of):
     assert decontamination.leaks(docs_of([(1, "a b c d e f")]), items).collect() == []
 
 
+def plain_words(text):
+    return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+
+
 def plain_shingles(text, width=5):
-    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    words = plain_words(text)
     return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
@@ -178,14 +182,23 @@ def test_leaks_equal_brute_force(spark, docs_of, odd_texts, limit):
     expected = {}
     for i, text in rows:
         for item, asked in items:
-            wanted = plain_shingles(asked)
-            if i is not None and item is not None and wanted:
-                shared = len(wanted & plain_shingles(text))
+            width = min(5, len(plain_words(asked)))
+            wanted = plain_shingles(asked, width) if width else set()
+            if i is not None and item is not None and wanted and len(plain_words(text)) >= width:
+                shared = len(wanted & plain_shingles(text, width))
                 if shared * 100 >= 80 * len(wanted):
                     expected[i, item] = max(expected.get((i, item), 0), shared * 100 // len(wanted))
     assert {(r["doc_id"], r["item_id"]): r["containment"] for r in found} == expected
 
 
+def test_short_items_are_found_inside_documents(spark, docs_of):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "Zeta!"), (3, "beta alpha")], "item_id long, text string")
+    rows = [(1, "x y alpha beta gamma delta epsilon zeta q"), (2, "alpha beta gamma"), (3, "zeta"), (4, None), (5, "alpha, BETA; gamma delta"),
+            (6, "alpha x beta gamma delta y"), (1, "nothing here")]
+    found = decontamination.leaks(docs_of(rows), items).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1, 1, 100), (1, 2, 1, 1, 100), (3, 2, 1, 1, 100), (5, 1, 1, 1, 100)]
+
+
 KEYS = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
 PATTERNS = [("assign", KEYS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16),
             ("hex", r"[0-9a-f]+", 0, 32)]
