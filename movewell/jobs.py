@@ -24,6 +24,7 @@ from movewell.sources.hr import hr_ids, load_hr, read_hr, write_hr  # noqa: E402
 from movewell.sources.routes import parse_distances  # noqa: E402
 from movewell.streaming.bronze import start_bronze, start_quarantine  # noqa: E402
 from movewell.streaming.gold import INCREMENTAL, REBUILD, TRIGGER, GoldJob  # noqa: E402
+from movewell.streaming.loads import LoadStatistics  # noqa: E402
 from movewell.streaming.notify import Outbox  # noqa: E402
 from movewell.streaming.progress import ProgressLog, batches, read_progress, stream_progress  # noqa: E402
 from movewell.streaming.published import PublishedTable  # noqa: E402
@@ -76,7 +77,7 @@ def gold(spark: SparkSession, args: argparse.Namespace) -> None:
 def notify(spark: SparkSession, args: argparse.Namespace) -> None:
     messages = read_cdc_stream(spark, args.source, _pairs(args.option))
     _watched(spark, args)
-    Outbox(spark, args.outbox).start(messages, args.checkpoint, args.every).awaitTermination()
+    Outbox(spark, args.outbox, args.partitions).start(messages, args.checkpoint, args.every).awaitTermination()
 
 
 def validate(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -87,7 +88,12 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> None:
     suite = quality.with_date_bounds(quality.without_column(suite, "commentaire"), args.as_of)
     rows = read_activities(spark, _activity_source(args))
     references = {"employee_id": hr_ids(load_hr(_sheet(spark, args)))}
-    statistics = quality.evaluated(quality.dq_statistics(rows, suite, references))
+    if args.loads:  # the table is partitioned by load, and only new loads are evaluated
+        counts = LoadStatistics(spark, args.loads, suite)
+        print("evaluated", counts.evaluate(rows, references, "load"))
+        statistics = quality.evaluated(counts.statistics())
+    else:
+        statistics = quality.evaluated(quality.dq_statistics(rows, suite, references))
     statistics.orderBy("rule_no").show(len(suite), truncate=False)
     quality.dq_summary(statistics).show(truncate=False)
     if args.evidence:
@@ -129,6 +135,12 @@ def indicators(spark: SparkSession, args: argparse.Namespace) -> None:
     kpi.kpi_by_unit(spark).write.mode("overwrite").parquet(args.out)
 
 
+def fold(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Put the outbox's small files into files of a good size, and remove those folded a number of hours ago."""
+    outbox = Outbox(spark, args.outbox)
+    print("folded" if outbox.fold() else "nothing to fold", "- removed", outbox.clean_up(timedelta(hours=args.hours)))
+
+
 def clean(spark: SparkSession, args: argparse.Namespace) -> None:
     """Remove gold versions older than a number of hours, with their changes, never the newest."""
     print("removed", PublishedTable(spark, args.table).clean_up(timedelta(hours=args.hours)))
@@ -202,12 +214,14 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--view", default=GOLD_VIEW, help="SQL name of the newest version")
     sub.add_argument("--catalog", action="store_true", help="make the view one of the catalog, for other sessions")
     sub = job(notify, "outbox", "checkpoint")
+    sub.add_argument("--partitions", type=int, help="of the topic; once all are open, markers are searched no more")
     source(sub)
     stream(sub, "10 seconds")
     sub = job(validate)
     people(sub)
     activities(sub)
     sub.add_argument("--suite")
+    sub.add_argument("--loads", help="counts of the loads evaluated before; the activities are partitioned by load")
     sub.add_argument("--evidence")
     people(job(addresses, "out"))
     sub = job(enrich, "responses", "out")
@@ -220,6 +234,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--seed", type=int, default=0)
     sub.add_argument("--probe", action="store_true")
     job(indicators, "table", "out")
+    job(fold, "outbox").add_argument("--hours", type=float, default=24.0)
     job(clean, "table").add_argument("--hours", type=float, default=24.0)
     sub = job(health, "progress", "out")
     sub.add_argument("--threshold", default="1 minute")

@@ -129,3 +129,44 @@ def test_distances(spark, tmp_path, hr):
         known = row["Adresse du domicile"] != "rue 0"
         assert row["distance_km"] == (16.0 if known else None)
         assert row["declaration_correcte"] == (not known or row["Moyen de déplacement"] != "Marche/running")
+
+
+def test_jobs_that_keep_tables_up(spark, tmp_path, hr, capsys):
+    """Trailing gold from bronze by month, the quarantine, folded texts, rates as a stream, and loads evaluated once."""
+    base = str(tmp_path)
+    main(["generate", "--hr", hr, "--activities", f"{base}/load", "--as-of", NOW, "--seed", "3"])
+    loaded = read_loaded(spark, f"{base}/load")
+    as_messages(loaded).coalesce(1).write.parquet(f"{base}/log")
+    noise = spark.createDataFrame([(0, 99_999, bytearray(b"noise"))], "partition int, offset long, value binary")
+    noise.write.mode("append").parquet(f"{base}/log")
+    options = ["--source", "parquet", "--option", f"path={base}/log", "--every", "once"]
+    main(["bronze", *options, "--table", f"{base}/bronze", "--checkpoint", f"{base}/ck1", "--by", "month", "--progress", f"{base}/progress"])
+    main(["quarantine", *options, "--table", f"{base}/quarantine", "--checkpoint", f"{base}/ck2"])
+    assert [bytes(r["value"]) for r in spark.read.parquet(f"{base}/quarantine").collect()] == [b"noise"]
+    rules = tmp_path / "rules.json"
+    rules.write_text(json.dumps({"prime_sportive": {"percent": 0.1}, "bien_etre": {"min_activities": 1, "window_days": 100_000},
+                                 "distance": {"max_walk_km": 10, "max_bike_km": 20}}))
+    main(["gold", "--bronze", f"{base}/bronze", "--table", f"{base}/gold", "--checkpoint", f"{base}/ck3", "--hr", hr,
+          "--rules", str(rules), "--every", "once", "--trailing", "--by", "month"])
+    counts = {row["employee_id"]: row["count"] for row in loaded.groupBy("employee_id").count().collect()}
+    assert {r["employee_id"]: r["nb_activites"] for r in PublishedTable(spark, f"{base}/gold").read().collect()} == {n: counts[n] for n in range(1, 31)}
+
+    for part in range(2):
+        as_messages(loaded).where(f"offset % 2 = {part}").coalesce(1).write.parquet(f"{base}/parts/{part}")
+        main(["notify", "--source", "parquet", "--option", f"path={base}/parts/*", "--every", "once", "--outbox", f"{base}/outbox",
+              "--checkpoint", f"{base}/ck4", "--partitions", "1"])
+    before = Outbox(spark, f"{base}/outbox").read().count()
+    main(["fold", "--outbox", f"{base}/outbox"])
+    assert "folded" in capsys.readouterr().out and Outbox(spark, f"{base}/outbox").read().count() == before
+
+    for _ in range(2):
+        main(["health", "--progress", f"{base}/progress", "--out", f"{base}/health", "--as-of", NOW, "--checkpoint", f"{base}/ck5"])
+    assert spark.read.parquet(f"{base}/health/rates").agg(F.sum("events")).first()[0] >= 1
+    assert spark.read.parquet(f"{base}/health/input").agg(F.sum("unreadable")).first()[0] == 1
+
+    rows = loaded.withColumn("id", F.monotonically_increasing_id())
+    for load in range(2):
+        rows.where(F.col("id") % 2 == load).write.parquet(f"{base}/table/load={load}")
+        main(["validate", "--hr", hr, "--activities", f"{base}/table", "--loads", f"{base}/loads", "--as-of", NOW])
+    printed = capsys.readouterr().out
+    assert "evaluated ['0']" in printed and "evaluated ['1']" in printed
