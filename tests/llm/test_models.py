@@ -38,6 +38,50 @@ def test_toxicity_of_held_out_documents(spark, docs, labels):
     assert toxic["predicted"].mean() > 0.4  # few positives to learn from at this size
 
 
+def test_training_equals_a_plain_one(spark):
+    """All rows are in the sample here: words counted as strings, the risk's gradient taken by differences."""
+    rng = np.random.default_rng(9)
+    vile, plain = ["idiotic", "clown", "stupidly"], [f"word{n}" for n in range(60)]
+    rows, marks = [], []
+    for n in range(400):
+        toxic = n % 4 == 0
+        words = [*rng.choice(plain, 12), *(rng.choice(vile, 2) if toxic else [])]
+        rows.append((n, " ".join(words)))
+        marks.append((n, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    settings = toxicity.Settings(steps=40)
+    model = toxicity.train(docs.union(docs.where("doc_id = 4")), labels, settings)
+
+    learned = [n for n, _ in rows if zlib.crc32(str(n).encode()) % 3 != 1]
+    found = {n: {w for word in text.split() for w in (word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) >= k))} for n, text in rows}
+    positive, unlabelled = [n for n in learned if n % 4 == 0], learned
+    scored = {}
+    for word in set().union(*found.values()):
+        p, u = (sum(word in found[n] for n in some) for some in (positive, unlabelled))
+        pooled = (p + u + 1) / (len(positive) + len(unlabelled) + 2)
+        scored[word] = (p / len(positive) - u / len(unlabelled)) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)))
+    chosen = sorted((w for w, z in scored.items() if z >= settings.least_z), key=lambda w: toxicity.xxhash.xxh32_intdigest(w) % toxicity.BUCKETS)
+    buckets = [toxicity.xxhash.xxh32_intdigest(w) % toxicity.BUCKETS for w in chosen]
+    assert sorted(set(buckets)) == model.features.tolist() and len(set(buckets)) == len(buckets) > 3
+
+    x = {n: np.array([*(w in found[n] for w in chosen), 1.0]) for n in learned}
+    prior = sum(n % 4 == 0 for n in learned) / len(learned)
+    pos, unl = np.array([x[n] for n in positive]), np.array([x[n] for n in unlabelled])
+
+    def parts(w):
+        up = prior * np.mean(np.log1p(np.exp(-pos @ w)))
+        return up, np.mean(np.log1p(np.exp(unl @ w))) - prior * np.mean(np.log1p(np.exp(pos @ w)))
+
+    weights, first, second = np.append(np.zeros(len(chosen)), -1.0), 0.0, 0.0
+    for step in range(1, settings.steps + 1):
+        up, rest = parts(weights)
+        corrected = (lambda w: sum(parts(w))) if rest >= 0 else (lambda w: -parts(w)[1])
+        gradient = np.array([(corrected(weights + h) - corrected(weights - h)) / 2e-6 for h in 1e-6 * np.eye(len(weights))]) + settings.decay * weights
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        weights = weights - settings.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(model.weights, weights, atol=1e-3)
+
+
 def test_toxicity_at_a_larger_size(spark):
     folder = "/root/testdata/sf0.1"
     held = toxicity.toxicity(spark, folder, table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id").where("held_out").toPandas()
