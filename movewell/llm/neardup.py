@@ -290,10 +290,10 @@ def _core_candidates(docs: DataFrame, core_sets: DataFrame, settings: Settings)
 
 
 def _split_lists(dealt: DataFrame, long: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Rows (value, id, n, h, light, component, main) of long lists that hold several components; main has most rows. Stored."""
+    """Rows (value, id, n, h, keys, light, component, main) of long lists that hold several components; main has most rows. Stored."""
     light = F.col("n") * (100 - settings.percent) >= (F.col("n") - F.col("h")) * (100 + settings.percent)
     named = dealt.join(labels.select("id", "component"), "id", "left").select(
-        "id", "n", "h", light.alias("light"), F.coalesce("component", "id").alias("component"), F.explode("keys").alias("value"))
+        "id", "n", "h", "keys", light.alias("light"), F.coalesce("component", "id").alias("component"), F.explode("keys").alias("value"))
     sizes = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("rows")).join(long, "value", "left_semi")
     largest = stored(sizes.groupBy("value").agg(F.max(F.struct("rows", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
                      .where("kinds > 1").select("value", F.col("most.component").alias("main")), "neardup-largest")
@@ -317,10 +317,14 @@ def _to_other_leaders(split: DataFrame, turn: int, settings: Settings) -> DataFr
 
 
 def _apart(split: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest."""
-    columns = [F.col(c).alias(f"{c}_b") for c in ("id", "n", "h", "light", "component")]
+    """Pairs (a, b) of long lists whose ends are not in one component; one of the two is outside the list's largest.
+
+    Of the lists that both are in, a pair comes up in one; if that is a short list, it has been compared there.
+    """
+    columns = [F.col(c).alias(f"{c}_b") for c in ("id", "n", "h", "keys", "light", "component")]
     outside = split.where(F.col("component") != F.col("main"))
-    fits = (F.col("component") != F.col("component_b")) & _fits(settings)
+    once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("value")
+    fits = (F.col("component") != F.col("component_b")) & _fits(settings) & once
     # two sets with more own shingles than half of what may differ are no pair, so one side is light
     either = split.where("light").join(outside.select("value", *columns), "value").where(fits)
     other = split.where("NOT light").join(outside.where("light").select("value", *columns), "value").where(fits)
