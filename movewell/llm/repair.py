@@ -4,7 +4,7 @@ Documents in ascending id order are cut into shards of bounded size. In a shard
 pairs of neighbouring symbols are replaced by new symbols, again and again until no pair is left that occurs
 ``least`` times, never across the end of a document. The places of frequent pairs are kept in lists and the symbols
 linked with their neighbours, so a round counts and changes only what the round before has touched; it replaces
-the pairs at least half as frequent as the most frequent one. A shard holds its rules, the length to which each expands, where each document begins
+the pairs at least a sixteenth as frequent as the most frequent one. A shard holds its rules, the length to which each expands, where each document begins
 in the symbols, and the symbols. So any stretch of ids of any document is read without expanding
 what lies before it.
 
@@ -40,6 +40,7 @@ END = 1
 MARK = "<|"
 NO_RULE = np.iinfo(np.int32).max
 BUCKET_BITS = 20
+NEAR = 16  # a round replaces pairs up to so many times less frequent than the most frequent one
 CACHED_CHUNKS = 400_000
 CACHED_WORDS = 750_000
 TOGETHER = 20_000  # new words in one call of the library
@@ -60,15 +61,16 @@ class Settings:
     least: int = 8
 
 
-def bucket_of(pair: np.ndarray) -> np.ndarray:
-    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+def bucket_of(pair: np.ndarray, bits: int) -> np.ndarray:
+    return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that occur often enough, the places in ``pairs`` where they do, and the number of each place's pair."""
-    bucket = bucket_of(pairs)
+    bits = min(BUCKET_BITS, max(8, len(pairs).bit_length()))
+    bucket = bucket_of(pairs, bits)
     # a frequent pair lies in a bucket at least as full, so no other pairs need sorting
-    places = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket])
+    places = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
     found, number, counts = np.unique(pairs[places], return_inverse=True, return_counts=True)
     often = counts >= least
     stays = often[number]
@@ -97,7 +99,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
             break
         stays = often[number]
         at, number, pairs, counts = at[stays], (np.cumsum(often) - 1)[number[stays]], pairs[often], counts[often]
-        chosen = np.flatnonzero(counts * 2 >= counts.max())
+        chosen = np.flatnonzero(counts * NEAR >= counts.max())
         rank = np.full(len(pairs), NO_RULE, np.int32)
         rank[chosen[np.lexsort((pairs[chosen], -counts[chosen]))]] = np.arange(len(chosen))
         own = rank[number]
@@ -126,8 +128,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         stays = ~touched[at]
         touched[taken] = False
         touched[size] = False
-        fresh = np.unique(np.concatenate([places, beside]))
-        fresh = fresh[touched[fresh] & ~last[fresh] & alive[fresh]]
+        fresh = np.sort(np.concatenate([places, beside]))
+        fresh = fresh[np.append(True, fresh[1:] != fresh[:-1]) & touched[fresh] & ~last[fresh] & alive[fresh]]
         for changed in (places, beside):
             touched[changed] = False
         more, found, named = frequent(symbols[fresh] << 32 | symbols[after[fresh]], settings.least)
@@ -226,8 +228,6 @@ class ChunkEncoder:
 
     def _make(self, words: list[str]) -> None:
         """Remember the ids of plain new words, many of them by one call: each is a word of the library's, too."""
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
         for begin in range(0, len(words), TOGETHER):
             some = words[begin: begin + TOGETHER]
             made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -246,20 +246,30 @@ class ChunkEncoder:
 
     def _prepare(self, texts: list[list[str]]) -> None:
         """Remember the chunks of these texts that are new."""
-        new = set()
+        wanted = set()
         for chunks in texts:
-            new.update(chunks)
-        new.difference_update(self.known)
-        cut = {chunk: self._cut(chunk) for chunk in new}
+            wanted.update(chunks)
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > CACHED_CHUNKS:
+            self.known.clear()
+            new = wanted
+        simple = [chunk for chunk in new if chunk.isascii() and chunk.isalpha()] if self.marked else []
+        lowered = list(map(str.lower, simple))  # most chunks are one word
+        cut = {chunk: self._cut(chunk) for chunk in new.difference(simple)}
         others = [chunk for chunk, words in cut.items() if words is None]
         made = dict(zip(others, self._ids(others)))
         plain = {chunk: words for chunk, words in cut.items() if words is not None}
-        self._make(sorted({word for words in plain.values() for word in words if word not in self.words}))
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
+        needed = set(lowered)
+        needed.update(*plain.values())
+        missing = needed - self.words.keys()
+        if len(self.words) + len(missing) > CACHED_WORDS:
+            self.words.clear()
+            missing = needed
+        self._make(list(missing))
+        word = self.words.__getitem__
         self.known.update(made)
-        words = self.words
-        self.known.update((chunk, b"".join([words[word] for word in parts])) for chunk, parts in plain.items())
+        self.known.update(zip(simple, map(word, lowered)))
+        self.known.update((chunk, b"".join(map(word, parts))) for chunk, parts in plain.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""
