@@ -170,14 +170,14 @@ def gold_trailing_stream(spark, sf_dir):
 
 @registered
 def wellness_daily(spark, sf_dir):
-    """The trailing count from days: the log is counted by day as it arrives, and the period moves four times."""
+    """The trailing count from days: activities are counted by day as they arrive, and the period moves twice."""
     base = shared_dir(spark, "daily")
     rows = views.kept_activities(spark, sf_dir).withColumn("part", part_column(MONTH, "date_debut"))
     rows.withColumnRenamed("date_debut", "date_debut_ts").hint("rebalance", "part").write.partitionBy("part").parquet(f"{base}/activities")
     written = spark.read.parquet(f"{base}/activities")
     trail = TrailingCounts(spark, f"{base}/trailing", MONTH)
-    for batch, behind in enumerate((400, 90, 30, 0)):
-        trail.add(written.where(F.pmod("id", F.lit(4)) == batch), batch)
+    for batch, behind in enumerate((400, 30, 0)):
+        trail.add(written.where(F.pmod("id", F.lit(WAVES)) == batch), batch)
         trail.advance(batch, views.AS_OF - timedelta(days=behind), DEFAULT.window_days)
     return eligibility.with_wellness_flag(trail.counts(written, views.AS_OF, DEFAULT.window_days), DEFAULT)
 
