@@ -248,6 +248,19 @@ def test_changed_people_are_shown_from_the_state(spark, tmp_path, monkeypatch):
     assert shown(job.gold) == {1: 2, 2: 0, 3: 4}
 
 
+def test_rules_that_change_between_batches_apply_to_everyone(spark, tmp_path, monkeypatch):
+    """The running stream rewrites the whole picture from its state; history is not read."""
+    state = {"rules": DEFAULT, "fingerprint": "one"}
+    job = small_job(spark, tmp_path, INCREMENTAL, lambda: (state["rules"], state["fingerprint"]))
+    monkeypatch.setattr(job, "build_initial", lambda: pytest.fail("history was read"))
+    for employees, rules in (([1, 1, 2, 3], DEFAULT), ([2], Rules(0.05, 2, 15.0, 25.0, 365))):
+        state.update(rules=rules, fingerprint=str(rules))
+        bronze_rows(spark, *employees).coalesce(1).write.mode("append").parquet(job.bronze_path)
+        finish(job.start(f"{tmp_path}/ck", every=None, initial=False))
+    assert {r["employee_id"]: (r["nb_activites"], r["jours_bien_etre"]) for r in job.gold.read().collect()} == {1: (2, True), 2: (2, True)}
+    assert job.gold.versions() == [0, 1] and job.gold.latest()["batch_id"] == 1
+
+
 def test_a_new_checkpoint_rebuilds_from_repaired_bronze(spark, tmp_path):
     """Counts may fall then, under unchanged rules, and gold does not freeze at the old ones."""
     job = small_job(spark, tmp_path, INCREMENTAL)
