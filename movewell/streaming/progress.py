@@ -75,7 +75,10 @@ class ProgressLog(StreamingQueryListener):
         while not self._stopped.wait(self.pace):
             with self._lock:
                 silent, self._heard = set(self._names) - self._heard, set()
-            active = {str(query.runId) for query in self.spark.streams.active}
+            try:
+                active = {str(query.runId) for query in self.spark.streams.active}
+            except Exception:  # the session has ended, and with it all streams
+                return
             for query in silent & active:
                 self._beat(query, datetime.now(timezone.utc))
             with self._lock:
