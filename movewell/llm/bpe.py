@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from movewell.llm.common import pieces, texts_of
 
 SHORT = 96
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 CACHED_LENGTH = 64
 ROWS = 4096  # words in one matrix
 

@@ -68,7 +68,7 @@ def _mixed(value: np.ndarray) -> np.ndarray:
 class Words(dict):
     """The first 8 bytes of the BLAKE2b digest of each word, as a number; forgotten as a whole when full."""
 
-    FULL, LONG = 400_000, 64
+    FULL, LONG = 150_000, 64
 
     def __missing__(self, word: bytes) -> int:
         made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
