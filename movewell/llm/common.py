@@ -12,14 +12,21 @@ from movewell.session import shared_dir
 from movewell.streaming.folders import remove
 
 BATCH_ROWS = 256
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Few megabytes per Arrow batch, the same for all operators: a task then holds little beside its own data."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Just the id and the whole text, under fixed names, so that no other column can clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 

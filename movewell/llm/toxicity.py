@@ -19,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from movewell.llm.common import fold, share_kept, stored, table, texts_of
+from movewell.llm.common import bounded_batches, fold, pieces, share_kept, stored, table, texts_of
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"\w+")
@@ -159,11 +160,12 @@ REJECTED_FROM = 0.7  # Fixed value: the score from which a document is called to
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """row (all columns as a struct) and score of every whole text. Texts are scored where they are read."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.score(text.as_py()) for text in batch.column(1)]
+        for batch in pieces(batches):
+            scores = [model.score(text.as_py()) for text in pc.struct_field(batch.column(0), "text")]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(score, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
