@@ -259,25 +259,27 @@ class Encoder:
 
     def prepare(self, texts: list[str]) -> None:
         """Make the words that are new in these texts, all together; what is not made here is made when it is met."""
-        chunks, words = set(), set()
+        wanted, needed = set(), set()
         for text in texts:
             if self.special is not None and self.special.search(text):
                 continue
             first, *rest = text.split(" ")
-            words.update(WORDS.findall(first))
-            chunks.update(rest)
-        chunks.difference_update(self.chunks)
-        chunks = [chunk for chunk in chunks if chunk and len(chunk) <= CACHED_LENGTH and not (chunk[0].isspace() or chunk[-1].isspace())]
+            needed.update(WORDS.findall(first))
+            wanted.update(rest)
+        new = wanted.difference(self.chunks)
+        if len(self.chunks) + len(new) > CACHED_CHUNKS:
+            self.chunks.clear()
+            new = wanted
+        chunks = [chunk for chunk in new if chunk and len(chunk) <= CACHED_LENGTH and not (chunk[0].isspace() or chunk[-1].isspace())]
         # no word reaches across the left side of a single space: one call finds the words of all
         found = WORDS.findall(" " + " ".join(chunks)) if chunks else []
-        words.update(found)
-        words.difference_update(self.words)
-        words = [word for word in words if len(word) <= CACHED_LENGTH]
-        if len(self.words) + len(words) > CACHED_CHUNKS:
+        needed.update(found)
+        missing = needed.difference(self.words)
+        if len(self.words) + len(missing) > CACHED_CHUNKS:
             self.words.clear()
+            missing = needed
+        words = [word for word in missing if len(word) <= CACHED_LENGTH]
         self.words.update(zip(words, self.vocabulary.packed_words([word.encode("utf-8") for word in words])))
-        if len(self.chunks) + len(chunks) > CACHED_CHUNKS:
-            self.chunks.clear()
         packed = list(map(self._word, found))
         begins = [place for place, word in enumerate(found) if word[0] == " "]  # each chunk, and nothing else, begins so
         for chunk, begin, end in zip(chunks, begins, [*begins[1:], len(found)]):
