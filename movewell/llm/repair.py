@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from movewell.llm.bpe import printable_bytes
 from movewell.llm.common import pieces, texts_of
 from movewell.session import shared_dir
 
@@ -43,7 +44,7 @@ BUCKET_BITS = 20
 NEAR = 16  # a round replaces pairs up to so many times less frequent than the most frequent one
 CACHED_CHUNKS = 400_000
 CACHED_WORDS = 750_000
-TOGETHER = 20_000  # new words in one call of the library
+CACHED_LENGTH = 64
 #: White space for Python's split, but not for the vocabulary's pattern: such texts go whole to the library.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Printable ASCII and single Latin letters, each of which is its own normal form and has one lower-case letter.
@@ -214,70 +215,62 @@ class ChunkEncoder:
     white space is encoded once and remembered, up to a bound at which all is forgotten.
 
     A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
-    words here, and the new words of many texts go through the library together; the words of many chunks are
-    the same. Any other chunk goes through the library by itself. A vocabulary that cuts otherwise is refused.
+    words here, and each new word goes straight to the library's model; the words of many chunks are
+    the same. Any other chunk goes through the whole library.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known, self.words = library(path), {}, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        shown = printable_bytes()
+        self.shown = {ord(c): "".join(shown[b] for b in c.encode("utf-8")) for c in map(chr, range(0xA0, 0x180))}
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marked = all(token.content.startswith(MARK) for token in added)  # so that what lacks the mark holds none
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _make(self, words: list[str]) -> None:
-        """Remember the ids of plain new words, many of them by one call: each is a word of the library's, too."""
-        for begin in range(0, len(words), TOGETHER):
-            some = words[begin: begin + TOGETHER]
-            made = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, sizes = array("I", made.ids).tobytes(), np.bincount(np.array(made.word_ids, np.int64), minlength=len(some))
-            if len(sizes) != len(some):
-                raise ValueError("the vocabulary cuts words otherwise than this module")
-            ends = (4 * np.cumsum(sizes)).tolist()
-            self.words.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _cut(self, chunk: str) -> list[str] | None:
-        """The words of a plain chunk in lower case; none if it has to go to the library whole."""
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.shown))]).tobytes()
+            if len(word) <= CACHED_LENGTH:
+                if len(self.words) >= CACHED_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
         if not self.marked or MARK in chunk or not PLAIN.fullmatch(chunk):
-            return None
+            return self._ids([chunk])[0]
         lowered = chunk.lower()
-        return [lowered] if lowered.isalpha() else WORDS.findall(lowered)
-
-    def _prepare(self, texts: list[list[str]]) -> None:
-        """Remember the chunks of these texts that are new."""
-        wanted = set()
-        for chunks in texts:
-            wanted.update(chunks)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
-            new = wanted
-        simple = [chunk for chunk in new if chunk.isascii() and chunk.isalpha()] if self.marked else []
-        lowered = list(map(str.lower, simple))  # most chunks are one word
-        cut = {chunk: self._cut(chunk) for chunk in new.difference(simple)}
-        others = [chunk for chunk, words in cut.items() if words is None]
-        made = dict(zip(others, self._ids(others)))
-        plain = {chunk: words for chunk, words in cut.items() if words is not None}
-        needed = set(lowered)
-        needed.update(*plain.values())
-        missing = needed - self.words.keys()
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
-            missing = needed
-        self._make(list(missing))
-        word = self.words.__getitem__
-        self.known.update(made)
-        self.known.update(zip(simple, map(word, lowered)))
-        self.known.update((chunk, b"".join(map(word, parts))) for chunk, parts in plain.items())
+        if lowered.isalpha():
+            return self._word(lowered)
+        return b"".join([self._word(word) for word in WORDS.findall(lowered)])
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in SEPARATORS):
+            return self._ids([text])[0]
+        chunks, known = text.split(), self.known
+        try:
+            return b"".join([known[chunk] for chunk in chunks])
+        except KeyError:
+            pass
+        made = []
+        for chunk in chunks:
+            ids = known.get(chunk)
+            if ids is None:
+                ids = self._chunk(chunk)
+                if len(chunk) <= CACHED_LENGTH:
+                    if len(known) >= CACHED_CHUNKS:
+                        known.clear()
+                    known[chunk] = ids
+            made.append(ids)
+        return b"".join(made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""
-        whole = [any(mark in text for mark in SEPARATORS) for text in texts]
-        chunks = [[] if odd else text.split() for odd, text in zip(whole, texts)]
-        self._prepare(chunks)
-        known = self.known.__getitem__
-        return [self._ids([text])[0] if odd else b"".join(map(known, own)) for odd, text, own in zip(whole, texts, chunks)]
+        return [self._text(text) for text in texts]
 
 
 @lru_cache(maxsize=2)
