@@ -402,12 +402,21 @@ def activity_load(spark, sf_dir):
 # --- Stream health ------------------------------------------------------------------------
 
 
+BATCHES = 4
+
+
+def _in_batches(spark: SparkSession, messages: DataFrame, log: str) -> DataFrame:
+    """Write all messages; give the stream that takes a quarter of them in a batch, of which every core reads a file."""
+    cores = spark.sparkContext.defaultParallelism
+    messages.repartition(BATCHES * cores).write.parquet(log)
+    return read_cdc_stream(spark, "parquet", {"path": log, "maxFilesPerTrigger": str(cores)})
+
+
 @registered
 def stream_progress(spark, sf_dir):
     """Rows and batches of a stream over all messages, from the table its listener writes."""
     base = shared_dir(spark, "progress")
-    views.cdc_messages(spark, sf_dir).repartition(4).write.parquet(f"{base}/log")
-    messages = read_cdc_stream(spark, "parquet", {"path": f"{base}/log", "maxFilesPerTrigger": "1"})
+    messages = _in_batches(spark, views.cdc_messages(spark, sf_dir), f"{base}/log")
     log = ProgressLog(spark, f"{base}/progress", piece=3)
     spark.streams.addListener(log)
     try:
@@ -423,12 +432,11 @@ def stream_progress(spark, sf_dir):
 def unreadable_messages(spark, sf_dir):
     """Messages of a damaged log: counted by the stream that decodes them, and the unreadable ones kept."""
     base = shared_dir(spark, "unreadable")
-    views.damaged_messages(spark, sf_dir).repartition(4).write.parquet(f"{base}/log")
+    messages = _in_batches(spark, views.damaged_messages(spark, sf_dir), f"{base}/log")
     log = ProgressLog(spark, f"{base}/progress")
     spark.streams.addListener(log)
     try:
         for begin, table in ((start_bronze, "bronze"), (start_quarantine, "quarantine")):
-            messages = read_cdc_stream(spark, "parquet", {"path": f"{base}/log", "maxFilesPerTrigger": "1"})
             log.wait_for(finish(begin(messages, f"{base}/{table}", f"{base}/checkpoint-{table}")))
     finally:
         spark.streams.removeListener(log)

@@ -1,5 +1,6 @@
 """Health that is kept up: heartbeats, rates and increases as streams, counts of what could not be decoded."""
 
+import glob
 import time
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from movewell.operators import health
-from movewell.plans import views
+from movewell.plans import queries, views
 from movewell.sources.cdc import decode_envelope, decode_with_problem, read_cdc_stream
 from movewell.streaming import rates as kept_up
 from movewell.streaming.bronze import start_bronze, start_quarantine
@@ -94,6 +95,19 @@ def test_counts_of_a_damaged_log_and_its_quarantine(spark, tables, tmp_path, log
     assert kept.drop("problem").exceptAll(damaged.select("partition", "offset", "value")).isEmpty()
 
 
+@pytest.mark.parametrize("query", ["stream_progress", "unreadable_messages"])
+def test_every_core_has_a_file_of_each_batch(spark, tables, query, monkeypatch, tmp_path):
+    """Four batches whatever the number of cores; a batch of one file was read by one task."""
+    monkeypatch.setattr(queries, "shared_dir", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    queries.REGISTRY[query](spark, tables).collect()
+    cores, taken = spark.sparkContext.defaultParallelism, []
+    for batch in glob.glob(f"{tmp_path}/*/checkpoint*/sources/0/[0-9]*"):
+        with open(batch) as file:
+            taken.append(sum(line.startswith("{") for line in file))
+    assert taken == [cores] * 4 * (len(glob.glob(f"{tmp_path}/*/checkpoint*")))
+    assert cores > 1 and taken
+
+
 def samples(spark, rows):
     return spark.createDataFrame(rows, "app string, ts timestamp, n long")
 
