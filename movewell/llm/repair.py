@@ -42,8 +42,7 @@ MARK = "<|"
 NO_RULE = np.iinfo(np.int32).max
 BUCKET_BITS = 20
 NEAR = 16  # a round replaces pairs up to so many times less frequent than the most frequent one
-CACHED_CHUNKS = 400_000
-CACHED_WORDS = 750_000
+CACHED = 1_150_000
 CACHED_LENGTH = 64
 #: White space for Python's split, but not for the vocabulary's pattern: such texts go whole to the library.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -210,63 +209,61 @@ def library(path: str):
     return tokenizer
 
 
-class ChunkEncoder:
-    """The library's ids of whole texts. Words never reach across white space, so each chunk between
-    white space is encoded once and remembered, up to a bound at which all is forgotten.
-
-    A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
-    words here, and each new word goes straight to the library's model; the words of many chunks are
-    the same. Any other chunk goes through the whole library.
-    """
+class Known(dict):
+    """The ids of chunks and of words; of a string that is both they are the same. Forgotten as a whole when full."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.words = library(path), {}, {}
+        self.tokenizer = library(path)
         self.tokenize = self.tokenizer.model.tokenize
         shown = printable_bytes()
         self.shown = {ord(c): "".join(shown[b] for b in c.encode("utf-8")) for c in map(chr, range(0xA0, 0x180))}
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marked = all(token.content.startswith(MARK) for token in added)  # so that what lacks the mark holds none
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = array("I", [t.id for t in self.tokenize(word if word.isascii() else word.translate(self.shown))]).tobytes()
-            if len(word) <= CACHED_LENGTH:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHED:
+                self.clear()
+            self[key] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _new_word(self, word: str) -> bytes:
+        tokens = self.tokenize(word if word.isascii() else word.translate(self.shown))
+        return self._keep(word, array("I", [token.id for token in tokens]).tobytes())
+
+    def _word(self, word: str) -> bytes:
+        ids = self.get(word)
+        return self._new_word(word) if ids is None else ids
+
+    def __missing__(self, chunk: str) -> bytes:
         if not self.marked or MARK in chunk or not PLAIN.fullmatch(chunk):
-            return self._ids([chunk])[0]
+            return self._keep(chunk, self.whole([chunk])[0])
         lowered = chunk.lower()
-        if lowered.isalpha():
-            return self._word(lowered)
-        return b"".join([self._word(word) for word in WORDS.findall(lowered)])
+        words = [lowered] if lowered.isalpha() else WORDS.findall(lowered)
+        if words[0] == chunk:
+            return self._new_word(chunk)
+        return self._keep(chunk, b"".join(map(self._word, words)))
+
+
+class ChunkEncoder:
+    """The library's ids of whole texts. Words never reach across white space, so each chunk between
+    white space is encoded once and remembered, up to a bound at which all is forgotten.
+
+    A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
+    words here, and each new word goes straight to the library's model; the words of many chunks are
+    the same. Any other chunk goes through the whole library.
+    """
+
+    def __init__(self, path: str):
+        self.known = Known(path)
 
     def _text(self, text: str) -> bytes:
         if any(s in text for s in SEPARATORS):
-            return self._ids([text])[0]
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[chunk] for chunk in chunks])
-        except KeyError:
-            pass
-        made = []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= CACHED_LENGTH:
-                    if len(known) >= CACHED_CHUNKS:
-                        known.clear()
-                    known[chunk] = ids
-            made.append(ids)
-        return b"".join(made)
+            return self.known.whole([text])[0]
+        return b"".join(map(self.known.__getitem__, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""

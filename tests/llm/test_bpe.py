@@ -99,6 +99,18 @@ def test_chunks_equal_whole_texts_of_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_string_that_is_chunk_and_word_is_remembered_once(monkeypatch):
+    """And forgetting in the midst of a text changes no ids."""
+    texts = ["alpha Alpha, alpha", "don't DON'T it's 42 4242 --' ''s 's", "\u00c9t\u00e9 \u00e9t\u00e9. na\u00efve <|endoftext|> \u4e2d\u6587, x" + "y" * 80]
+    encoder = repair.ChunkEncoder(WORDS)
+    encoder.encode(texts[:1])
+    memories = [memory for memory in vars(encoder).values() if isinstance(memory, dict)]
+    assert sorted(key for memory in memories for key in memory if isinstance(key, str)) == [",", "Alpha,", "alpha"]
+    monkeypatch.setattr(repair, "CACHED", 2)
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == expected == repair.ChunkEncoder(WORDS).encode(texts)
+
+
 @pytest.mark.parametrize("settings", [repair.Settings(least=3), repair.Settings(least=2), repair.Settings()])
 def test_shards_round_trip_and_random_access(settings):
     rng = np.random.default_rng(5)
