@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
@@ -332,7 +332,12 @@ def _apart(split: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels once these links are added; a stored table. Only the components that they touch are looked at."""
+    """The labels once these stored links are added; a stored table in place of the one given, which is removed.
+
+    Only the components that the links touch are looked at; without links the labels stay as they are.
+    """
+    if links.isEmpty():
+        return labels
     known = labels.select("id", "component")
     of_a = links.join(known.select(F.col("id").alias("a"), F.col("component").alias("of_a")), "a", "left")
     of_both = of_a.join(known.select(F.col("id").alias("b"), F.col("component").alias("of_b")), "b", "left")
@@ -342,7 +347,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     own = everyone.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     made = stored(own.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
                   .select("id", F.coalesce("to", "component").alias("component")), "neardup-labels")
-    discard(moved)
+    discard(moved, labels)
     return made
 
 
@@ -359,7 +364,7 @@ def _by_probes(lists: DataFrame, counted: DataFrame, settings: Settings) -> Data
 
 
 def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) that hold the components of the classes together; classes: id, doc_id, mark, n, sketch. Stored.
+    """(id, component) of the classes that are linked; classes: id, doc_id, mark, n, sketch. A stored table.
 
     A link inside a component that is already known is not confirmed again, so a group of near
     copies costs about one comparison for each of them instead of one for each pair.
@@ -386,8 +391,8 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     first = stored(_confirmed(best.select((-F.col("best.other")).alias("a"), F.col("id").alias("b")), sets, settings), "neardup-links")
     labels = components(first)
     again = stored(_confirmed(_across(pairs, labels), sets, settings), "neardup-links")
-    discard(labels, pairs)
-    labels = components(first.union(again))
+    discard(pairs)
+    labels = _merged(labels, again)
     links = [first, again]
     for turn in range(settings.turns):
         split = _split_lists(dealt, long, labels, settings)
@@ -396,14 +401,14 @@ def class_links(docs: DataFrame, classes: DataFrame, settings: Settings) -> Data
         links.append(found)
         if found.isEmpty():
             break
-        before, labels = labels, _merged(labels, found)
-        discard(before, split)
+        labels = _merged(labels, found)
+        discard(split)
     else:
         split = _split_lists(dealt, long, labels, settings)
     cross = stored(_apart(split, settings), "neardup-apart")
-    last = _confirmed(_plausible(cross, classes, settings), sets, settings)
-    made = stored(reduce(DataFrame.union, [part.select("a", "b") for part in [*links, last]]), "neardup-all-links")
-    discard(labels, split, cross, long, dealt, other_sets, core_sets, core_places, core, wanted, *links)
+    last = stored(_confirmed(_plausible(cross, classes, settings), sets, settings), "neardup-links")
+    made = _merged(labels, last)
+    discard(split, cross, long, dealt, other_sets, core_sets, core_places, core, wanted, *links, last)
     return made
 
 
@@ -421,7 +426,7 @@ def grouped(docs: DataFrame, settings: Settings = Settings(), one_per_id: bool =
     whole = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     classes = stored(named.select(F.xxhash64("print", "n").alias("id"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "mark", "n", "print", "sketch"),
                      "neardup-classes")
-    links = class_links(whole, classes.select("id", "doc_id", "mark", "n", "sketch"), settings)
+    labels = class_links(whole, classes.select("id", "doc_id", "mark", "n", "sketch"), settings)
     of_print = classes.select("print", F.col("n").alias("n_class"), "id")
     rows = known.select("doc_id", "mark", "n", "print")
     if one_per_id:
@@ -430,17 +435,15 @@ def grouped(docs: DataFrame, settings: Settings = Settings(), one_per_id: bool =
         several = stored(several, "neardup-several")
         own = rows.where("n > 0").join(several, "doc_id", "left_semi").join(of_print, "print").select("doc_id", "id").distinct()
         first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
-        more = own.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-        both = stored(links.union(more), "neardup-all-links")
-        discard(links, several)
-        links = both
-    labels = components(links)
+        more = stored(own.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "neardup-links")
+        labels = _merged(labels, more)
+        discard(several, more)
     numbered = stored(of_print.join(labels.select("id", "component"), "id", "left").select(
         "print", "n_class", F.coalesce("component", "id").alias("group")), "neardup-numbered")
     mine = (F.col("n") == F.col("n_class")) & (rows["print"] == numbered["print"])
     made = stored(rows.join(numbered, mine & (rows["doc_id"].isNotNull() if one_per_id else F.lit(True)), "left")
                   .select("doc_id", "mark", "n", "group"), "neardup-groups")
-    discard(known, classes, links, labels, numbered)
+    discard(known, classes, labels, numbered)
     return made
 
 

@@ -70,7 +70,10 @@ def choose_features(positive: np.ndarray, unlabelled: np.ndarray, sizes: tuple[i
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Settings) -> np.ndarray:
-    """Weights (last: the constant) minimising the non-negative risk by Adam over full batches."""
+    """Weights (last: the constant) minimising the non-negative risk by Adam over full batches.
+
+    The rows are zeros and ones. As floats they are held once.
+    """
     pos, unl = (np.hstack([x[np.lexsort(x.T)] if x.size else x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
     weights = np.zeros(pos.shape[1])
     weights[-1] = -1.0
@@ -94,6 +97,14 @@ def _sigmoid(value):
     return 1 / (1 + np.exp(-np.clip(value, -40, 40)))
 
 
+def presence(has: pa.ChunkedArray, chosen: np.ndarray) -> np.ndarray:
+    """A row of zeros and ones for each list, one where it names a bucket of ``chosen``; a byte each, as the driver holds them all."""
+    x = np.zeros((len(has), len(chosen)), np.uint8)
+    rows = np.repeat(np.arange(len(has)), pc.list_value_length(has).to_numpy())
+    x[rows, np.searchsorted(chosen, pc.list_flatten(has).to_numpy())] = 1
+    return x
+
+
 @dataclass(frozen=True)
 class Model:
     features: np.ndarray
@@ -140,18 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     found = stored(rows.mapInArrow(buckets, "positive boolean, unlabelled boolean, buckets array<bigint>"), "toxic-sample")
     both = [F.count_if("positive").alias("p"), F.count_if("unlabelled").alias("u")]
-    counted = found.select("positive", "unlabelled", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*both).toPandas()
+    counted = found.select("positive", "unlabelled", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*both).toArrow()
     sizes = found.agg(*both).first()
     positive, unlabelled = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    positive[counted["bucket"]], unlabelled[counted["bucket"]] = counted["p"], counted["u"]
+    positive[counted["bucket"].to_numpy()], unlabelled[counted["bucket"].to_numpy()] = counted["p"].to_numpy(), counted["u"].to_numpy()
     chosen = choose_features(positive, unlabelled, (sizes["p"], sizes["u"]), settings)
     wanted = F.array(*[F.lit(int(b)) for b in chosen]).cast("array<bigint>")
-    present = found.select("positive", "unlabelled", F.array_intersect("buckets", wanted).alias("has")).collect()
-    x = np.zeros((len(present), len(chosen)))
-    for row, one in enumerate(present):
-        x[row, np.searchsorted(chosen, one["has"])] = 1
-    kinds = np.array([(one["positive"], one["unlabelled"]) for one in present], dtype=bool).reshape(-1, 2)
-    return Model(chosen, fit(x[kinds[:, 0]], x[kinds[:, 1]], prior, settings))
+    present = found.select("positive", "unlabelled", F.array_intersect("buckets", wanted).alias("has")).toArrow()
+    x = presence(present["has"], chosen)
+    return Model(chosen, fit(x[present["positive"].to_numpy()], x[present["unlabelled"].to_numpy()], prior, settings))
 
 
 REJECTED_FROM = 0.7  # Fixed value: the score from which a document is called toxic.

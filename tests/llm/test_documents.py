@@ -105,6 +105,15 @@ def passage_texts(size, seed=9):
     return rows
 
 
+def test_labels_are_not_made_anew_without_new_links(docs_of, monkeypatch):
+    calls = []
+    monkeypatch.setattr(neardup, "components", lambda links, made=neardup.components: calls.append(1) or made(links))
+    rows = [(n, " ".join(f"{n // 2}w{k}" for k in range(50 - n % 2))) for n in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows)).collect()}
+    assert found == {n: n - n % 2 for n in range(20)}
+    assert len(calls) == 1
+
+
 def test_documents_of_common_passages(docs_of):
     rows = passage_texts(400)
     found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows).repartition(4)).collect()}

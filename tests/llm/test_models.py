@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from movewell.llm import language, quality, toxicity
 from movewell.llm.common import table
@@ -82,6 +84,20 @@ def test_training_equals_a_plain_one(spark):
     assert np.allclose(model.weights, weights, atol=1e-3)
 
 
+def test_training_holds_its_sample_once_as_floats(spark):
+    """The driver held the floats three times, and a Python object for each row and word."""
+    known = F.array(*[F.concat(F.lit("vile"), F.pmod(F.xxhash64("doc_id", F.lit(n)), F.lit(200))) for n in range(12)])
+    docs = spark.range(6000).select(F.col("id").alias("doc_id")).withColumn("toxic", (F.col("doc_id") % 3 == 0).cast("int"))
+    docs = docs.withColumn("text", F.when(F.col("toxic") == 1, F.concat_ws(" ", known)).otherwise(F.concat(F.lit("plain"), F.col("doc_id").cast("string"))))
+    tracemalloc.start()
+    model = toxicity.train(docs, docs, toxicity.Settings(steps=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.features) > 150
+    floats = 8 * 6000 * 200
+    assert peak < 2 * floats + 2 * 8 * toxicity.BUCKETS
+
+
 def test_toxicity_at_a_larger_size(spark):
     folder = "/root/testdata/sf0.1"
     held = toxicity.toxicity(spark, folder, table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id").where("held_out").toPandas()
