@@ -104,14 +104,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         rank[chosen[np.lexsort((pairs[chosen], -counts[chosen]))]] = np.arange(len(chosen))
         own = rank[number]
         places, own = at[own < NO_RULE], own[own < NO_RULE]
+        order = np.empty(len(chosen), np.int64)
+        order[rank[chosen]] = pairs[chosen]
+        twins = np.flatnonzero((order >> 32 == order & 0xFFFFFFFF)[own])
+        if len(twins):  # a run of one symbol: every second occurrence, all in this round and by one rule
+            twins = twins[np.argsort(places[twins])]
+            follows = np.append(False, before[places[twins[1:]]] == places[twins[:-1]])
+            first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(twins))))
+            kept = np.ones(len(places), bool)
+            kept[twins[(np.arange(len(twins)) - first) % 2 == 1]] = False
+            places, own = places[kept], own[kept]
         hit[places] = own
         # of overlapping occurrences the more frequent pair wins, of equal ones the earlier
         wins = (own < hit[before[places]]) & (own <= hit[after[places]])
         hit[places] = NO_RULE
         places, own = places[wins], own[wins]
         applied = np.bincount(own, minlength=len(chosen)) > 0
-        order = np.empty(len(chosen), np.int64)
-        order[rank[chosen]] = pairs[chosen]
         used = order[applied]
         rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], axis=1))
         taken = after[places]  # joined with the symbol before it

@@ -157,6 +157,16 @@ def test_no_frequent_pair_is_left():
         int(repair.Shard(repair.compress(np.concatenate([passage] * 64), np.arange(1, 65) * 300)).base) + 298] * 64
 
 
+@pytest.mark.parametrize("size", [16, 700, 5001])
+def test_runs_of_one_id_are_halved_every_round(size):
+    """By one rule each time, so rules grow with the logarithm of a run, whatever stands beside it."""
+    runs = [np.full(size, 7, "<u4"), np.full(size + 3, 7, "<u4"), np.concatenate([[9], np.full(size, 7), [9, 8], np.full(size, 8)])]
+    ids, ends = np.concatenate(runs * 3).astype("<u4"), np.cumsum([len(run) for run in runs * 3])
+    counts, shard = pairs_left(repair.compress(ids, ends))
+    assert len(shard.rules) <= 4 * size.bit_length() and len(np.unique(shard.rules, axis=0)) == len(shard.rules)
+    assert np.array_equal(shard.every()[0], ids) and (not len(counts) or counts.max() < repair.Settings().least)
+
+
 def test_shards_of_documents(spark, docs_of, odd_texts):
     folder = repair.write_shards(docs_of(odd_texts), WORDS, repair.Settings(shard_ids=40, least=2))
     rows = sorted(map(tuple, repair.read_documents(spark, folder).collect()), key=lambda r: r[1])
