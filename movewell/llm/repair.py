@@ -4,9 +4,10 @@ Documents in ascending id order are cut into shards of bounded size. In a shard
 pairs of neighbouring symbols are replaced by new symbols, again and again until no pair is left that occurs
 ``least`` times, never across the end of a document. The places of frequent pairs are kept in lists and the symbols
 linked with their neighbours, so a round counts and changes only what the round before has touched; it replaces
-the pairs at least a sixteenth as frequent as the most frequent one. A shard holds its rules, the length to which each expands, where each document begins
-in the symbols, and the symbols. So any stretch of ids of any document is read without expanding
-what lies before it.
+the pairs at least a sixteenth as frequent as the most frequent one. In a run of one symbol it replaces every second
+occurrence, so a run of any length is halved by each round. A shard holds its rules, the length to which each expands,
+where each document begins in the symbols, and the symbols. So any stretch of ids of any document is read without
+expanding what lies before it.
 
 A shard, all integers little-endian: the magic, then as unsigned 32-bit the numbers of documents,
 rules and symbols and the symbol of the first rule; rules as pairs of symbols, their expansion
@@ -23,10 +24,11 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +46,14 @@ BUCKET_BITS = 20
 NEAR = 16  # a round replaces pairs up to so many times less frequent than the most frequent one
 CACHED = 1_150_000
 CACHED_LENGTH = 64
-#: White space for Python's split, but not for the vocabulary's pattern: such texts go whole to the library.
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Printable ASCII and single Latin letters, each of which is its own normal form and has one lower-case letter.
-PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
-#: Fixed value: the pattern by which this vocabulary's words are cut, for lower-case plain characters.
-WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+TEXTS = 1024  # of a batch, whose chunks are looked up once
+#: Printable ASCII and single Latin letters, each of which is its own normal form and has one lower-case letter; and a
+#: break between chunks.
+PLAIN = re.compile("[\n!-~\u00c0-\u012f\u0131-\u017f]+")
+#: Fixed value: the pattern by which this vocabulary's words are cut, for lower-case plain characters; a break is a word of its own.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|\n|[^\na-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+NO_ID = 0xFFFFFFFF  # which no token has
+BREAK = struct.pack("=I", NO_ID)
 
 
 @dataclass(frozen=True)
@@ -65,16 +69,24 @@ def bucket_of(pair: np.ndarray, bits: int) -> np.ndarray:
     return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that occur often enough, the places in ``pairs`` where they do, and the number of each place's pair."""
+def frequent(pairs: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur often enough, the places in ``pairs`` where they do, and the number of each place's pair.
+    width: bits of a symbol."""
     bits = min(BUCKET_BITS, max(8, len(pairs).bit_length()))
     bucket = bucket_of(pairs, bits)
     # a frequent pair lies in a bucket at least as full, so no other pairs need sorting
     places = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
-    found, number, counts = np.unique(pairs[places], return_inverse=True, return_counts=True)
+    own, bits = pairs[places], len(pairs).bit_length()
+    if 2 * width + bits < 64:  # pair and place in one number, which sorts faster
+        order = np.sort(own << bits | places)
+        own, places = order >> bits, order & ((1 << bits) - 1)
+    else:
+        order = np.argsort(own, kind="stable")
+        own, places = own[order], places[order]
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
+    counts = np.diff(begins, append=len(own))
     often = counts >= least
-    stays = often[number]
-    return found[often], places[stays], (np.cumsum(often) - 1)[number[stays]]
+    return own[begins[often]], places[np.repeat(often, counts)], np.repeat(np.arange(often.sum()), counts[often])
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings()) -> bytes:
@@ -89,8 +101,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
     base = int(ids.max()) + 1 if size else 1
     rules: list[np.ndarray] = []
     next_symbol = base
+    width = (base + size).bit_length()  # every rule saves a symbol, so there are fewer rules than ids
+    right = (1 << width) - 1
     inner = np.flatnonzero(~last[:-1])
-    pairs, found, number = frequent(symbols[inner] << 32 | symbols[inner + 1], settings.least)
+    pairs, found, number = frequent(symbols[inner] << width | symbols[inner + 1], width, settings.least)
     at = inner[found]  # the lists of occurrences: place, and number of its pair
     while True:
         counts = np.bincount(number, minlength=len(pairs))
@@ -106,7 +120,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         places, own = at[own < NO_RULE], own[own < NO_RULE]
         order = np.empty(len(chosen), np.int64)
         order[rank[chosen]] = pairs[chosen]
-        twins = np.flatnonzero((order >> 32 == order & 0xFFFFFFFF)[own])
+        twins = np.flatnonzero((order >> width == order & right)[own])
         if len(twins):  # a run of one symbol: every second occurrence, all in this round and by one rule
             twins = twins[np.argsort(places[twins])]
             follows = np.append(False, before[places[twins[1:]]] == places[twins[:-1]])
@@ -121,7 +135,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         places, own = places[wins], own[wins]
         applied = np.bincount(own, minlength=len(chosen)) > 0
         used = order[applied]
-        rules.append(np.stack([used >> 32, used & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([used >> width, used & right], axis=1))
         taken = after[places]  # joined with the symbol before it
         symbols[places] = next_symbol + (np.cumsum(applied) - 1)[own]
         next_symbol += len(used)
@@ -140,7 +154,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         fresh = fresh[np.append(True, fresh[1:] != fresh[:-1]) & touched[fresh] & ~last[fresh] & alive[fresh]]
         for changed in (places, beside):
             touched[changed] = False
-        more, found, named = frequent(symbols[fresh] << 32 | symbols[after[fresh]], settings.least)
+        more, found, named = frequent(symbols[fresh] << width | symbols[after[fresh]], width, settings.least)
         at, number = np.concatenate([at[stays], fresh[found]]), np.concatenate([number[stays], named + len(pairs)])
         pairs = np.concatenate([pairs, more])
     symbols = symbols[:-1][alive[:-1]]
@@ -231,51 +245,76 @@ class Known(dict):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[key] = ids
+    def _model(self, words: list[str]) -> list[bytes]:
+        tokenize, shown = self.tokenize, self.shown
+        return [array("I", [token.id for token in tokenize(word if word.isascii() else word.translate(shown))]).tobytes()
+                for word in words]
+
+    def _plain(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks of plain characters and of the words new in them. All are cut in one go, with a break after each."""
+        words = WORDS.findall("\n".join(chunks).lower() + "\n")
+        distinct = dict.fromkeys(words)
+        del distinct["\n"]
+        made = dict(zip(distinct, map(self.get, distinct)))
+        fresh = [word for word, ids in made.items() if ids is None]
+        kept = dict(zip(fresh, self._model(fresh)))
+        made.update(kept)
+        made["\n"] = BREAK
+        raw = b"".join(map(made.__getitem__, words))
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == NO_ID)).tolist()
+        kept.update((chunk, raw[begin:end]) for chunk, begin, end in zip(chunks, [0, *(end + 4 for end in ends)], ends))
+        return kept
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks. What is new is made for all of them together and kept afterwards."""
+        ids = list(map(self.get, chunks))
+        new = [at for at, own in enumerate(ids) if own is None]
+        if not new:
+            return ids
+        plain, odd = [chunks[at] for at in new], []
+        if not self._are_plain("\n".join(plain)):
+            odd = [chunk for chunk in plain if not self._are_plain(chunk)]
+            plain = [chunk for chunk in plain if self._are_plain(chunk)]
+        kept = self._plain(plain)
+        kept.update(zip(odd, self.whole(odd)))
+        for at in new:
+            ids[at] = kept[chunks[at]]
+        if len(self) + len(kept) > CACHED:
+            self.clear()
+        self.update(islice(((key, own) for key, own in kept.items() if len(key) <= CACHED_LENGTH), CACHED))
         return ids
 
-    def _new_word(self, word: str) -> bytes:
-        tokens = self.tokenize(word if word.isascii() else word.translate(self.shown))
-        return self._keep(word, array("I", [token.id for token in tokens]).tobytes())
-
-    def _word(self, word: str) -> bytes:
-        ids = self.get(word)
-        return self._new_word(word) if ids is None else ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not self.marked or MARK in chunk or not PLAIN.fullmatch(chunk):
-            return self._keep(chunk, self.whole([chunk])[0])
-        lowered = chunk.lower()
-        words = [lowered] if lowered.isalpha() else WORDS.findall(lowered)
-        if words[0] == chunk:
-            return self._new_word(chunk)
-        return self._keep(chunk, b"".join(map(self._word, words)))
+    def _are_plain(self, chunks: str) -> bool:
+        return self.marked and MARK not in chunks and PLAIN.fullmatch(chunks) is not None
 
 
 class ChunkEncoder:
-    """The library's ids of whole texts. Words never reach across white space, so each chunk between
-    white space is encoded once and remembered, up to a bound at which all is forgotten.
+    """The library's ids of whole texts. Words never reach across white space, so the chunks between ASCII
+    white space are told apart by Arrow, and each distinct one of a batch is looked up once. What is new is
+    encoded and remembered, up to a bound at which all is forgotten.
 
     A chunk of plain characters, which the vocabulary's normalizer only lower-cases, is cut into
     words here, and each new word goes straight to the library's model; the words of many chunks are
-    the same. Any other chunk goes through the whole library.
+    the same. Any other chunk goes through the whole library, other white space in it too.
     """
 
     def __init__(self, path: str):
         self.known = Known(path)
 
-    def _text(self, text: str) -> bytes:
-        if any(s in text for s in SEPARATORS):
-            return self.known.whole([text])[0]
-        return b"".join(map(self.known.__getitem__, text.split()))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of the machine, which are little-endian."""
-        return [self._text(text) for text in texts]
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        ids = self.known.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        chunks = coded.indices.to_numpy()
+        ends = np.cumsum(own := sizes[chunks])
+        places = np.repeat(begins[chunks] - (ends - own), own)
+        places += np.arange(len(places))
+        raw = np.frombuffer(b"".join(ids), np.uint32)[places].tobytes()
+        bounds = (4 * np.append(0, ends)[cut.offsets.to_numpy()]).tolist()
+        return [raw[begin:end] for begin, end in pairwise(bounds)]
 
 
 @lru_cache(maxsize=2)
@@ -308,7 +347,7 @@ def write_shards(docs: DataFrame, path: str, settings: Settings = Settings()) ->
                                     pa.array([compress(ids, ends, settings)], pa.binary())],
                                    names=["part", "place", "doc_ids", "n_ids", "payload"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, TEXTS):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
                 if parts and size + len(ids) // 4 + 1 > settings.shard_ids:

@@ -111,6 +111,29 @@ def test_a_string_that_is_chunk_and_word_is_remembered_once(monkeypatch):
     assert encoder.encode(texts) == expected == repair.ChunkEncoder(WORDS).encode(texts)
 
 
+def test_each_distinct_chunk_of_a_batch_is_looked_up_once(monkeypatch):
+    """And any character between words, or as the first or last of one, gives the ids of the library."""
+    encoder, asked = repair.ChunkEncoder(WORDS), []
+    monkeypatch.setattr(encoder.known, "tokenize", lambda word, plain=encoder.known.tokenize: asked.append(word) or plain(word))
+    texts = [f"{chr(c)}ab{chr(c)}CD{chr(c)} {chr(c)}" for c in [*range(0x500), *range(0x1E00, 0x2100), 0x3000, 0xFEFF, 0x1F642]]
+    texts += ["", " ", "\n", " a  b\t\r\n\x0b\x0cc "]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts * 2) == expected * 2 and encoder.encode(texts[::-1]) == expected[::-1]
+    assert len(asked) == len(set(asked)) and encoder.encode([]) == []
+
+
+def test_pairs_are_counted_alike_at_any_width():
+    """Whether pair and place fit in one number or not."""
+    rng = np.random.default_rng(2)
+    pairs = rng.zipf(1.3, 5000) % 1000 << 10 | rng.zipf(1.3, 5000) % 1000
+    values, counts = np.unique(pairs, return_counts=True)
+    for width in (10, 31):
+        found, places, number = repair.frequent(pairs, width, 8)
+        assert found.tolist() == values[counts >= 8].tolist()
+        assert sorted(places.tolist()) == np.flatnonzero(np.isin(pairs, found)).tolist() and (pairs[places] == found[number]).all()
+        assert [len(part) for part in repair.frequent(pairs[:0], width, 8)] == [0, 0, 0]
+
+
 @pytest.mark.parametrize("settings", [repair.Settings(least=3), repair.Settings(least=2), repair.Settings()])
 def test_shards_round_trip_and_random_access(settings):
     rng = np.random.default_rng(5)
