@@ -115,7 +115,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, settings: Settings = Settings())
         at, number, pairs, counts = at[stays], (np.cumsum(often) - 1)[number[stays]], pairs[often], counts[often]
         chosen = np.flatnonzero(counts * NEAR >= counts.max())
         rank = np.full(len(pairs), NO_RULE, np.int32)
-        rank[chosen[np.lexsort((pairs[chosen], -counts[chosen]))]] = np.arange(len(chosen))
+        # pairs equally frequent in a mixed order: by value, copies of ascending ids would be joined from one end, a pair a round
+        mixed = bucket_of(pairs[chosen], BUCKET_BITS)
+        rank[chosen[np.lexsort((pairs[chosen], mixed, -counts[chosen]))]] = np.arange(len(chosen))
         own = rank[number]
         places, own = at[own < NO_RULE], own[own < NO_RULE]
         order = np.empty(len(chosen), np.int64)

@@ -190,6 +190,17 @@ def test_runs_of_one_id_are_halved_every_round(size):
     assert np.array_equal(shard.every()[0], ids) and (not len(counts) or counts.max() < repair.Settings().least)
 
 
+def test_copies_of_ascending_ids_are_joined_evenly():
+    """Not from one end, which takes as many rounds as a copy has ids."""
+    ids = np.tile(np.arange(100, 900), 20).astype("<u4")
+    shard = repair.Shard(repair.compress(ids, np.arange(1, 21) * 800))
+    depth = [0] * shard.base
+    for left, right in shard.rules.tolist():
+        depth.append(1 + max(depth[left], depth[right]))
+    assert max(depth) <= 60 and shard.symbols.tolist() == [shard.base + 798] * 20
+    assert np.array_equal(shard.every()[0], ids)
+
+
 def test_shards_of_documents(spark, docs_of, odd_texts):
     folder = repair.write_shards(docs_of(odd_texts), WORDS, repair.Settings(shard_ids=40, least=2))
     rows = sorted(map(tuple, repair.read_documents(spark, folder).collect()), key=lambda r: r[1])
